@@ -32,7 +32,7 @@ def month_key(c) -> Column:
 def parse_date(c, formats=DATE_FORMATS) -> Column:
     """Lenient date parse: first format that fits, else null."""
     s = strip_ws(col(c).cast("string"))
-    return F.coalesce(*[F.try_to_date(s, F.lit(f)) for f in formats])
+    return F.coalesce(*[F.try_to_date(s, f) for f in formats])
 
 
 def month_from_file_name(c, default_year: int = P.DEFAULT_FILE_YEAR) -> Column:
@@ -50,7 +50,7 @@ def month_from_file_name(c, default_year: int = P.DEFAULT_FILE_YEAR) -> Column:
 
 def next_month_start(month_key_col) -> Column:
     """Exclusive upper bound of a ``YYYY-MM`` month."""
-    return F.add_months(F.try_to_date(F.concat(col(month_key_col), F.lit("-01")), F.lit("yyyy-MM-dd")), 1)
+    return F.add_months(F.try_to_date(F.concat(col(month_key_col), F.lit("-01")), "yyyy-MM-dd"), 1)
 
 
 def _as_of(as_of) -> Column:

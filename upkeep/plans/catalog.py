@@ -31,3 +31,141 @@ def q_replacement_status(spark: SparkSession, sf_dir: str) -> DataFrame:
         "equip_id", "equipment", "category", "building",
         F.round("parts", 2).alias("parts_cost"), F.round("labor", 2).alias("labor_cost"),
         F.round("total_cost", 2).alias("total_cost"), "new_price", "n_rows", "status")
+
+
+# ---- overview (all-months scope unless a month is named) -------------------
+from upkeep.operators import metrics as M  # noqa: E402
+from upkeep.operators.calendar import business_calendar, with_business_days  # noqa: E402
+from upkeep.operators.rollup import repair_count_mix  # noqa: E402
+from upkeep.operators.service_scope import (collapse_stale_duplicates, done_with_turnaround,  # noqa: E402
+                                            prepare_service_for_display)
+
+SERVICE_MONTH = "1998-06"
+REQUEST_MONTH = "2024-01"
+# Per-month capacity overrides as they would come from the settings file.
+CAPACITY_BY_MONTH = {"1998-06": {"staffCount": 6, "hoursPerDay": 5, "workDays": 21},
+                     "1999-12": {"staffCount": 2, "hoursPerDay": 30, "workDays": 40}}
+
+
+def _scoped_repairs(spark, sf_dir):
+    return bench.repairs_rows(spark, sf_dir).where(F.col("month_key").isNotNull())
+
+
+def _display_service_all(spark, sf_dir):
+    svc = bench.service(spark, sf_dir).where(F.col("month_key").isNotNull())
+    return prepare_service_for_display(svc, "ALL", catalog=svc)
+
+
+def q_kpi_row(spark, sf_dir):
+    req = bench.requests(spark, sf_dir).where(F.col("month_key").isNotNull())
+    k = M.kpi_row(req, _display_service_all(spark, sf_dir), _scoped_repairs(spark, sf_dir))
+    return k.select("total_requests", "completed", "scheduled", "total_service",
+                    _money("parts_cost"), _money("labor_cost"), _money("repair_cost"))
+
+
+def q_hours_by_category(spark, sf_dir):
+    rep = _scoped_repairs(spark, sf_dir)
+    rep = rep.join(bench.assets(spark, sf_dir).select("equip_id", "category"), "equip_id", "left")
+    return M.hours_by_category(rep, params=PARAMS).select(
+        "category", F.round("repair_hours", 2).alias("repair_hours"), "chart_rank")
+
+
+def q_hours_by_building(spark, sf_dir):
+    rep = _scoped_repairs(spark, sf_dir)
+    loc = bench.supplier_location(spark, sf_dir)
+    rep = rep.join(loc, rep.suppkey == loc.s_suppkey, "left")
+    return M.hours_by_building(rep).select("building", "building_code",
+                                           F.round("repair_hours", 2).alias("repair_hours"))
+
+
+def q_repair_count_mix(spark, sf_dir):
+    return repair_count_mix(_scoped_repairs(spark, sf_dir))
+
+
+def q_request_volume_by_month(spark, sf_dir):
+    return M.request_volume_by_month(bench.requests(spark, sf_dir))
+
+
+def q_request_calendar(spark, sf_dir):
+    return M.request_calendar(bench.requests(spark, sf_dir), REQUEST_MONTH, PARAMS.week_starts_on)
+
+
+def q_completion_rate(spark, sf_dir):
+    return M.completion_rate(_display_service_all(spark, sf_dir)).select(
+        "completed", "scheduled", F.round("rate_pct", 6).alias("rate_pct"), "band")
+
+
+def q_avg_repair_hours(spark, sf_dir):
+    return M.avg_repair_hours(_scoped_repairs(spark, sf_dir)).select(
+        F.round("total_hours", 2).alias("total_hours"), "n_repairs",
+        F.round("avg_hours", 6).alias("avg_hours"), "band")
+
+
+def q_staff_capacity(spark, sf_dir):
+    req = bench.requests(spark, sf_dir)
+    svc = _display_service_all(spark, sf_dir)
+    rep = _scoped_repairs(spark, sf_dir)
+    out = M.staff_capacity_all(rep, M.active_months(req, svc, rep), PARAMS)
+    return out.select("n_months", F.round("used_hours", 2).alias("used_hours"), "capacity_hours",
+                      F.round("remaining_hours", 2).alias("remaining_hours"),
+                      F.round("util_pct", 6).alias("util_pct"))
+
+
+def q_staff_capacity_by_month(spark, sf_dir):
+    ov = M.capacity_table(spark, CAPACITY_BY_MONTH, PARAMS)
+    out = M.staff_capacity_by_month(_scoped_repairs(spark, sf_dir), ov, PARAMS)
+    return out.select("month_key", F.round("used_hours", 2).alias("used_hours"), "capacity_hours",
+                      F.round("remaining_hours", 2).alias("remaining_hours"),
+                      F.round("util_pct", 6).alias("util_pct"))
+
+
+def q_parts_budget(spark, sf_dir):
+    out = M.parts_budget(_scoped_repairs(spark, sf_dir), annual=True, params=PARAMS)
+    return out.select(_money("spent"), "n_years", "budget", _money("available"),
+                      F.round("available_pct", 6).alias("available_pct"), "over_budget")
+
+
+def _done(spark, sf_dir):
+    svc = _display_service_all(spark, sf_dir)
+    svc = svc.join(bench.assets(spark, sf_dir).select("equip_id", "category"), "equip_id", "left")
+    return done_with_turnaround(svc, business_calendar(spark, PARAMS))
+
+
+def q_turnaround_by_category(spark, sf_dir):
+    return M.turnaround_by_category(_done(spark, sf_dir), params=PARAMS).select(
+        "category", F.round("avg_turnaround_bd", 6).alias("avg_turnaround_bd"), "chart_rank")
+
+
+def q_availability_by_category(spark, sf_dir):
+    eq = bench.assets(spark, sf_dir).select("equip_id", "category")
+    out = M.availability_by_category(_done(spark, sf_dir), eq, PARAMS.base_avail_days)
+    return out.select("category", F.round("availability_pct", 6).alias("availability_pct"), "n_assets")
+
+
+def q_business_days(spark, sf_dir):
+    """Business-day span of every service row (scheduled -> shipped)."""
+    svc = bench.service(spark, sf_dir)
+    li = bench.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey",
+                                                       "l_suppkey", "l_extendedprice", "l_shipdate")
+    o = bench.read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    j = li.join(o, li.l_orderkey == o.o_orderkey)
+    out = with_business_days(j, "o_orderdate", "l_shipdate", "bd", business_calendar(spark, PARAMS))
+    return out.groupBy(F.col("bd").alias("business_days")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# ---- service display --------------------------------------------------------
+_SVC_COLS = ("equip_id", "sched_date", "completed_date", "description", "month_key", "status")
+
+
+def q_service_display_all(spark, sf_dir):
+    return _display_service_all(spark, sf_dir).select(*_SVC_COLS)
+
+
+def q_service_display_month(spark, sf_dir):
+    svc = bench.service(spark, sf_dir).where(F.col("month_key") == SERVICE_MONTH)
+    return prepare_service_for_display(svc, SERVICE_MONTH).select(*_SVC_COLS)
+
+
+def q_stale_collapse(spark, sf_dir):
+    svc = bench.service(spark, sf_dir)
+    return collapse_stale_duplicates(svc, soft=False).select(*_SVC_COLS)

@@ -21,3 +21,210 @@ SELECT g.equip_id, p_name AS equipment, p_type AS category,
 FROM g LEFT JOIN loc ON g.first_supp = loc.s_suppkey
        LEFT JOIN part ON part.p_partkey = g.equip_id
 """
+
+_REP = f"WITH {X.REPAIRS_CTE}, rs AS (SELECT * FROM r WHERE month_key IS NOT NULL)"
+_CHART_RANK = "(CASE category " + " ".join(
+    f"WHEN {X.q(c)} THEN {i}" for i, c in enumerate(__import__('upkeep.params', fromlist=['x']).CHART_CLASS_ORDER)
+) + " ELSE 18 END)"
+
+
+def _svc_display_all() -> str:
+    nd, sd = X.norm_desc("s.description"), X.soft_norm_desc("s.description")
+    return f"""
+{X.SERVICE_CTE},
+cat AS (SELECT * FROM s WHERE month_key IS NOT NULL),
+done AS (SELECT * FROM cat WHERE completed_date IS NOT NULL),
+keys AS (SELECT DISTINCT equip_id, k FROM (
+           SELECT equip_id, {X.norm_desc('description')} AS k FROM done
+           UNION ALL SELECT equip_id, {X.soft_norm_desc('description')} AS k FROM done)),
+fd AS (SELECT equip_id, min(completed_date) AS first_done FROM done WHERE equip_id IS NOT NULL GROUP BY equip_id),
+eff AS (
+  SELECT s.equip_id, s.sched_date, s.completed_date, s.description, s.month_key, s.row_ord,
+         CASE WHEN kh.k IS NOT NULL OR ks.k IS NOT NULL OR coalesce(fd.first_done > s.sched_date, false)
+              THEN 'Completed' ELSE {X.raw_status('s.status')} END AS status
+  FROM cat s
+  LEFT JOIN keys kh ON kh.equip_id IS NOT DISTINCT FROM s.equip_id AND kh.k = {nd}
+  LEFT JOIN keys ks ON ks.equip_id IS NOT DISTINCT FROM s.equip_id AND ks.k = {sd}
+  LEFT JOIN fd ON fd.equip_id = s.equip_id),
+latest AS (SELECT max(month_key) AS m FROM cat),
+kept AS (SELECT eff.* FROM eff, latest WHERE NOT coalesce(completed_date IS NULL AND month_key < latest.m, false)),
+{_collapse_cte('kept', soft=True)}"""
+
+
+def _collapse_cte(src: str, soft: bool) -> str:
+    key = X.soft_norm_desc("description") if soft else X.norm_desc("description")
+    return f"""
+g0 AS (SELECT *, {key} AS dk, coalesce(strftime(sched_date, '%Y-%m'), '') AS dm FROM {src}),
+g1 AS (SELECT *, count(*) OVER w AS n, count(completed_date) OVER w AS nd,
+              row_number() OVER (PARTITION BY equip_id, dk, dm ORDER BY
+                 (completed_date IS NOT NULL) DESC, (lower(trim(status)) = 'completed') DESC,
+                 coalesce(completed_date, DATE '0001-01-01') DESC, coalesce(sched_date, DATE '0001-01-01') DESC,
+                 row_ord ASC) AS rn
+       FROM g0 WINDOW w AS (PARTITION BY equip_id, dk, dm)),
+disp AS (SELECT * FROM g1 WHERE NOT (nd > 0 AND nd < n) OR rn = 1)"""
+
+
+_SVC_OUT = "SELECT equip_id, sched_date, completed_date, description, month_key, status FROM disp"
+
+ORACLE["service_display_all"] = f"WITH {_svc_display_all()} {_SVC_OUT}"
+
+ORACLE["service_display_month"] = f"""
+WITH {X.SERVICE_CTE},
+m AS (SELECT equip_id, sched_date, completed_date, description, month_key, row_ord,
+             CASE WHEN completed_date IS NOT NULL AND completed_date >= DATE '1998-07-01' THEN 'Scheduled'
+                  ELSE {X.raw_status('status')} END AS status
+      FROM s WHERE month_key = '1998-06'),
+{_collapse_cte('m', soft=False)}
+{_SVC_OUT}"""
+
+ORACLE["stale_collapse"] = f"""
+WITH {X.SERVICE_CTE}, {_collapse_cte('s', soft=False)} {_SVC_OUT}"""
+
+ORACLE["kpi_row"] = f"""
+WITH {X.REPAIRS_CTE}, {_svc_display_all()}
+SELECT (SELECT count(*) FROM events WHERE ts IS NOT NULL) AS total_requests,
+       (SELECT count(*) FILTER (WHERE lower(status) = 'completed') FROM disp) AS completed,
+       (SELECT count(*) FILTER (WHERE lower(status) = 'scheduled') FROM disp) AS scheduled,
+       (SELECT count(*) FILTER (WHERE lower(status) IN ('completed', 'scheduled')) FROM disp) AS total_service,
+       (SELECT round(sum(parts), 2) FROM r WHERE month_key IS NOT NULL) AS parts_cost,
+       (SELECT round(sum(labor), 2) FROM r WHERE month_key IS NOT NULL) AS labor_cost,
+       (SELECT round(sum(parts + labor), 2) FROM r WHERE month_key IS NOT NULL) AS repair_cost
+"""
+
+ORACLE["hours_by_category"] = f"""
+{_REP}
+SELECT category, round(sum(hours), 2) AS repair_hours, {_CHART_RANK} AS chart_rank FROM (
+  SELECT CASE WHEN coalesce(trim(p_type), '') = '' THEN 'Other' ELSE p_type END AS category, hours
+  FROM rs LEFT JOIN part ON p_partkey = rs.equip_id) GROUP BY category
+"""
+
+ORACLE["hours_by_building"] = f"""
+{_REP},
+b AS (SELECT CASE WHEN {X.normalize_building('loc.location')} = '' THEN 'Unknown'
+                  ELSE {X.normalize_building('loc.location')} END AS building, hours
+      FROM rs LEFT JOIN loc ON rs.suppkey = loc.s_suppkey)
+SELECT building, {X.abbreviate_building('building')} AS building_code, round(sum(hours), 2) AS repair_hours
+FROM b GROUP BY building
+"""
+
+ORACLE["repair_count_mix"] = f"""
+{_REP}
+SELECT {X.repair_count_bin('n')} AS bin, count(*) AS n_assets
+FROM (SELECT equip_id, count(*) AS n FROM rs WHERE equip_id IS NOT NULL GROUP BY equip_id) GROUP BY 1
+"""
+
+ORACLE["request_volume_by_month"] = """
+SELECT strftime(ts, '%Y-%m') AS month_key, count(*) AS n_requests FROM events WHERE ts IS NOT NULL GROUP BY 1
+"""
+
+ORACLE["request_calendar"] = """
+WITH days AS (SELECT CAST(generate_series AS DATE) AS day_date
+              FROM generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)),
+c AS (SELECT CAST(ts AS DATE) AS day_date, count(*) AS n FROM events
+      WHERE strftime(ts, '%Y-%m') = '2024-01' GROUP BY 1),
+d AS (SELECT days.day_date, coalesce(c.n, 0) AS n_requests FROM days LEFT JOIN c USING (day_date)),
+mx AS (SELECT greatest(max(n_requests), 1) AS mx FROM d),
+fc AS (SELECT (isodow(DATE '2024-01-01') - 1 + 1) % 7 AS first_col)
+SELECT day_date, day(day_date) AS day, n_requests,
+       CASE WHEN n_requests = 0 THEN 0 WHEN n_requests / mx < 0.25 THEN 1 WHEN n_requests / mx < 0.5 THEN 2
+            WHEN n_requests / mx < 0.75 THEN 3 ELSE 4 END AS intensity_bucket,
+       CAST(floor((day(day_date) - 1 + first_col) / 7) AS INTEGER) AS week_row,
+       CAST((day(day_date) - 1 + first_col) % 7 AS INTEGER) AS week_col
+FROM d, mx, fc
+"""
+
+ORACLE["completion_rate"] = f"""
+WITH {_svc_display_all()},
+c AS (SELECT count(*) FILTER (WHERE lower(status) = 'completed') AS completed,
+             count(*) FILTER (WHERE lower(status) = 'scheduled') AS scheduled FROM disp)
+SELECT completed, scheduled,
+       round(CASE WHEN completed + scheduled > 0 THEN completed / (completed + scheduled) * 100.0 ELSE 0.0 END, 6) AS rate_pct,
+       CASE WHEN completed / (completed + scheduled) * 100.0 >= 80 THEN 'good'
+            WHEN completed / (completed + scheduled) * 100.0 >= 50 THEN 'fair' ELSE 'poor' END AS band
+FROM c
+"""
+
+ORACLE["avg_repair_hours"] = f"""
+{_REP},
+a AS (SELECT coalesce(sum(hours), 0) AS th, count(*) AS n FROM rs),
+b AS (SELECT th, n, CASE WHEN n > 0 THEN th / n ELSE 0.0 END AS av FROM a)
+SELECT round(th, 2) AS total_hours, n AS n_repairs, round(av, 6) AS avg_hours,
+       CASE WHEN av < greatest(av * 2, 4.0) * 0.5 THEN 'low' WHEN av < greatest(av * 2, 4.0) * 0.75 THEN 'mid'
+            ELSE 'high' END AS band
+FROM b
+"""
+
+ORACLE["staff_capacity"] = f"""
+WITH {X.REPAIRS_CTE}, {_svc_display_all()},
+months AS (SELECT strftime(ts, '%Y-%m') AS m FROM events WHERE ts IS NOT NULL
+           UNION SELECT month_key FROM disp WHERE month_key IS NOT NULL
+           UNION SELECT month_key FROM r WHERE month_key IS NOT NULL),
+v AS (SELECT greatest(count(*), 1) AS n_months FROM months),
+u AS (SELECT coalesce(sum(hours), 0.0) AS used FROM r WHERE month_key IS NOT NULL),
+c AS (SELECT n_months, used, 4.0 * 4.0 * CAST(20 * n_months AS DOUBLE) AS cap FROM v, u)
+SELECT n_months, round(used, 2) AS used_hours, cap AS capacity_hours,
+       round(greatest(cap - used, 0.0), 2) AS remaining_hours,
+       round(CASE WHEN cap > 0 THEN used / cap * 100.0 ELSE 0.0 END, 6) AS util_pct
+FROM c
+"""
+
+ORACLE["staff_capacity_by_month"] = f"""
+{_REP},
+ov(month_key, staff, hpd, wd) AS (VALUES ('1998-06', 6.0, 5.0, 21.0), ('1999-12', 2.0, 24.0, 31.0)),
+u AS (SELECT month_key, sum(hours) AS used FROM rs GROUP BY month_key),
+c AS (SELECT u.month_key, used, coalesce(staff, 4.0) * coalesce(hpd, 4.0) * coalesce(wd, 20.0) AS cap
+      FROM u LEFT JOIN ov USING (month_key))
+SELECT month_key, round(used, 2) AS used_hours, cap AS capacity_hours,
+       round(greatest(cap - used, 0.0), 2) AS remaining_hours,
+       round(CASE WHEN cap > 0 THEN used / cap * 100.0 ELSE 0.0 END, 6) AS util_pct
+FROM c
+"""
+
+ORACLE["parts_budget"] = f"""
+{_REP},
+a AS (SELECT coalesce(sum(parts), 0.0) AS spent, count(DISTINCT substr(month_key, 1, 4)) AS n_years FROM rs),
+b AS (SELECT spent, n_years, greatest(80000.0 * greatest(n_years, 1), 0.01) AS budget FROM a)
+SELECT round(spent, 2) AS spent, n_years, budget,
+       round(greatest(budget - greatest(spent, 0.0), 0.0), 2) AS available,
+       round(least(greatest(budget - greatest(spent, 0.0), 0.0) / budget * 100.0, 100.0), 6) AS available_pct,
+       greatest(spent, 0.0) > budget AS over_budget
+FROM b
+"""
+
+
+def _done_sql() -> str:
+    return f"""{_svc_display_all()}, {X.business_calendar_cte()},
+dn AS (SELECT disp.*, p_type AS category,
+              {X.business_days('disp.sched_date', 'disp.completed_date', 'ca', 'cb')} AS tbd
+       FROM disp LEFT JOIN part ON p_partkey = disp.equip_id
+       LEFT JOIN cal ca ON ca.cal_date = disp.sched_date
+       LEFT JOIN cal cb ON cb.cal_date = disp.completed_date
+       WHERE lower(trim(disp.status)) = 'completed' AND disp.sched_date IS NOT NULL
+         AND disp.completed_date IS NOT NULL AND disp.completed_date >= disp.sched_date),
+done_t AS (SELECT * FROM dn WHERE tbd IS NOT NULL)"""
+
+
+ORACLE["turnaround_by_category"] = f"""
+WITH {_done_sql()}
+SELECT category, round(avg(tbd), 6) AS avg_turnaround_bd, {_CHART_RANK} AS chart_rank
+FROM done_t GROUP BY category HAVING avg(tbd) > 0
+"""
+
+ORACLE["availability_by_category"] = f"""
+WITH {_done_sql()},
+down AS (SELECT equip_id, sum(tbd) AS dt FROM done_t WHERE equip_id IS NOT NULL GROUP BY equip_id),
+mem AS (SELECT p_type AS category, p_partkey AS equip_id FROM part WHERE p_partkey IS NOT NULL AND p_type IS NOT NULL
+        UNION SELECT category, equip_id FROM done_t WHERE equip_id IS NOT NULL AND category IS NOT NULL)
+SELECT category, round(avg((311.0 - least(coalesce(dt, 0.0), 311.0)) / 311.0) * 100.0, 6) AS availability_pct,
+       count(*) AS n_assets
+FROM mem LEFT JOIN down USING (equip_id) GROUP BY category
+"""
+
+ORACLE["business_days"] = f"""
+WITH {X.business_calendar_cte()},
+j AS (SELECT {X.business_days('CAST(o_orderdate AS DATE)', 'CAST(l_shipdate AS DATE)', 'ca', 'cb')} AS bd
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+      LEFT JOIN cal ca ON ca.cal_date = CAST(o_orderdate AS DATE)
+      LEFT JOIN cal cb ON cb.cal_date = CAST(l_shipdate AS DATE))
+SELECT bd AS business_days, count(*) AS n_rows FROM j GROUP BY bd
+"""

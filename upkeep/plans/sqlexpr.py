@@ -9,6 +9,10 @@ from __future__ import annotations
 from upkeep.functions.text import BUILDING_ABBREV, BUILDING_ALIASES, NON_BUILDING_PATTERNS
 
 
+EMPTY = "''"
+WS = "'\\s+'"
+
+
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -64,9 +68,9 @@ def repair_count_bin(n: str) -> str:
 def abbreviate_building(x: str) -> str:
     n = normalize_building(x)
     words = (f"list_filter(regexp_split_to_array({n}, '[\\s\\-/]+'), "
-             f"w -> w <> '' AND lower(w) NOT IN ('the', 'of', 'and', 'a'))")
+             f"lambda w: w <> '' AND lower(w) NOT IN ('the', 'of', 'and', 'a'))")
     alnum = f"regexp_replace({n}, '[^A-Za-z0-9]', '', 'g')"
-    initials = f"substr(array_to_string(list_transform({words}[1:3], w -> upper(substr(w, 1, 1))), ''), 1, 3)"
+    initials = f"substr(array_to_string(list_transform({words}[1:3], lambda w: upper(substr(w, 1, 1))), ''), 1, 3)"
     table = "CASE " + n + " " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in BUILDING_ABBREV.items()) + " END"
     fallback = (f"CASE WHEN length({alnum}) BETWEEN 1 AND 3 THEN upper({alnum}) "
                 f"WHEN len({words}) = 0 THEN upper(substr({n}, 1, 3)) "
@@ -102,3 +106,44 @@ s AS (
          {'a': l_shipdate, 'b': l_orderkey, 'c': l_linenumber, 'd': l_partkey, 'e': l_suppkey, 'f': l_extendedprice} AS row_ord
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 """
+
+
+def norm_desc(x: str) -> str:
+    s = f"lower({strip_ws(f'coalesce(CAST({x} AS VARCHAR), {EMPTY})')})"
+    s = f"regexp_replace({s}, '(?i)\\s*-\\s*\\(repair\\)\\s*$', '')"
+    s = f"regexp_replace({s}, '\\s+', ' ', 'g')"
+    return f"substr({s}, 1, 80)"
+
+
+def soft_norm_desc(x: str) -> str:
+    s = f"regexp_replace({norm_desc(x)}, '\\b(rig|closet|room|bldg|building)\\b', ' ', 'g')"
+    t = strip_ws(f"regexp_replace({s}, '\\s+', ' ', 'g')")
+    return f"substr({t}, 1, 80)"
+
+
+def raw_status(x: str) -> str:
+    return f"(CASE WHEN lower({strip_ws(f'coalesce({x}, {EMPTY})')}) = 'completed' THEN 'Completed' ELSE 'Scheduled' END)"
+
+
+def business_calendar_cte(start: str = "1990-01-01", end: str = "2040-12-31",
+                          hol_start: str = "2000-01-01", hol_end: str = "2035-12-31") -> str:
+    """cal(cal_date, is_bd, cum_bd) with US federal holidays (observed) in range."""
+    def obs(m, d):
+        return (f"((month(x) = {m} AND day(x) = {d} AND isodow(x) <= 5) OR "
+                f"(isodow(x) = 5 AND month(x + 1) = {m} AND day(x + 1) = {d}) OR "
+                f"(isodow(x) = 1 AND month(x - 1) = {m} AND day(x - 1) = {d}))")
+    parts = [obs(1, 1), obs(7, 4), obs(11, 11), obs(12, 25), f"({obs(6, 19)} AND x >= DATE '2021-06-18')"]
+    for m, dow, first in ((1, 1, 15), (2, 1, 15), (5, 1, 25), (9, 1, 1), (10, 1, 8), (11, 4, 22)):
+        parts.append(f"(month(x) = {m} AND isodow(x) = {dow} AND day(x) BETWEEN {first} AND {first + 6})")
+    hol = f"(({' OR '.join(parts)}) AND x BETWEEN DATE '{hol_start}' AND DATE '{hol_end}')"
+    return f"""
+days AS (SELECT CAST(generate_series AS DATE) AS x FROM generate_series(DATE '{start}', DATE '{end}', INTERVAL 1 DAY)),
+cal0 AS (SELECT x AS cal_date, CASE WHEN isodow(x) <= 5 AND NOT {hol} THEN 1 ELSE 0 END AS is_bd FROM days),
+cal AS (SELECT cal_date, is_bd, sum(is_bd) OVER (ORDER BY cal_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_bd FROM cal0)
+"""
+
+
+def business_days(a: str, b: str, ca: str, cb: str) -> str:
+    """Span expression given calendar aliases joined on a and b."""
+    return (f"(CASE WHEN {a} IS NULL OR {b} IS NULL OR {b} < {a} THEN NULL WHEN {a} = {b} THEN 1.0 "
+            f"ELSE CAST({cb}.cum_bd - {ca}.cum_bd + {ca}.is_bd AS DOUBLE) END)")

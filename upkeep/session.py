@@ -23,6 +23,7 @@ BASE_CONF = {
     # else is left to the planner, which checks sizes against this threshold.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
