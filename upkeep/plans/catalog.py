@@ -169,3 +169,45 @@ def q_service_display_month(spark, sf_dir):
 def q_stale_collapse(spark, sf_dir):
     svc = bench.service(spark, sf_dir)
     return collapse_stale_duplicates(svc, soft=False).select(*_SVC_COLS)
+
+
+# ---- depreciation and the full replacement table ---------------------------
+from upkeep.operators.depreciation import purchase_cohorts, resolve_depreciation  # noqa: E402
+
+
+def _depreciation(spark, sf_dir, assets_df, overrides=None):
+    meta = bench.asset_meta(spark, sf_dir).select(
+        "equip_id", "purchase_date", F.col("life_years").alias("depreciation_years"),
+        F.col("category").alias("equip_type"))
+    pb = bench.purchase_book(spark, sf_dir)
+    by_kw, by_type, fleet = purchase_cohorts(pb, PARAMS)
+    return resolve_depreciation(assets_df, meta=meta, purchase_by_id=pb.select("equip_id", "year", "life_years"),
+                                by_keyword=by_kw, by_type=by_type, fleet=fleet, overrides=overrides,
+                                params=PARAMS)
+
+
+def q_depreciation(spark, sf_dir):
+    a = bench.assets(spark, sf_dir).select("equip_id", "new_price", F.col("category").alias("equip_type"),
+                                            F.lit(None).cast("string").alias("keyword"))
+    d = _depreciation(spark, sf_dir, a)
+    return d.select("equip_id", F.round("age_months", 4).alias("age_months"),
+                    F.round("useful_life_months", 4).alias("useful_life_months"),
+                    "book_value", "basis", "age_source", "life_source")
+
+
+def q_replacement_full(spark, sf_dir):
+    """Replacement table: rollup, depreciation with manual extensions, combined status."""
+    rep = bench.repairs_rows(spark, sf_dir).where(F.col("month_key").isNotNull())
+    roll = replacement_rollup(rep, attrs=bench.assets(spark, sf_dir).select(
+                                  "equip_id", "equipment", "category", "new_price"),
+                              locations=bench.supplier_location(spark, sf_dir))
+    roll = roll.withColumn("equip_type", F.col("category")).withColumn("keyword", F.lit(None).cast("string"))
+    d = _depreciation(spark, sf_dir, roll, overrides=bench.life_overrides(spark, sf_dir))
+    out = _status(d, PARAMS, age_col="age_months", life_col="useful_life_months")
+    return out.select("equip_id", "equipment", "category", "building",
+                      F.round("parts", 2).alias("parts_cost"), F.round("labor", 2).alias("labor_cost"),
+                      F.round("total_cost", 2).alias("total_cost"), "new_price",
+                      F.round("age_months", 4).alias("age_months"),
+                      F.round("useful_life_months", 4).alias("useful_life_months"),
+                      "life_adj_months", "book_value", "basis",
+                      "repair_status", "life_status", "status")

@@ -228,3 +228,89 @@ j AS (SELECT {X.business_days('CAST(o_orderdate AS DATE)', 'CAST(l_shipdate AS D
       LEFT JOIN cal cb ON cb.cal_date = CAST(l_shipdate AS DATE))
 SELECT bd AS business_days, count(*) AS n_rows FROM j GROUP BY bd
 """
+
+
+def _dep_sql(src: str) -> str:
+    """Depreciation CTEs over an asset source with (equip_id, price, equip_type)."""
+    return f"""
+meta AS (SELECT p_partkey AS equip_id, CASE WHEN p_size <= 40 THEN CAST(p_size AS DOUBLE) END AS dyears,
+                p_type AS mtype, f.pd AS pdate
+         FROM part LEFT JOIN (SELECT l_partkey, CAST(min(l_shipdate) AS DATE) AS pd FROM lineitem
+                              WHERE l_returnflag = 'R' GROUP BY l_partkey) f ON f.l_partkey = p_partkey),
+pb AS (SELECT l_partkey AS equip_id, year(min(l_shipdate)) AS pyear, p_type AS ptype
+       FROM lineitem LEFT JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'A' GROUP BY l_partkey, p_type),
+pba AS (SELECT *, greatest(0, (2002 - pyear) * 12 + (1 - 7)) AS age_m FROM pb),
+bytype AS (SELECT ptype, median(age_m) AS mage, CAST(NULL AS DOUBLE) AS mlife FROM pba
+           WHERE ptype IS NOT NULL AND ptype <> '' GROUP BY ptype),
+fleet AS (SELECT median(age_m) AS fage, CAST(NULL AS DOUBLE) AS flife FROM pba),
+d0 AS (
+  SELECT a.*,
+    CASE WHEN meta.pdate IS NOT NULL THEN CAST(greatest(0, (2002 - year(meta.pdate)) * 12 + (1 - month(meta.pdate))
+              - CASE WHEN 1 < day(meta.pdate) THEN 1 ELSE 0 END) AS DOUBLE) END AS age_d,
+    CASE WHEN pb.pyear IS NOT NULL THEN CAST(greatest(0, (2002 - pb.pyear) * 12 + (1 - 7)) AS DOUBLE) END AS age_y,
+    CASE WHEN meta.dyears > 0 THEN meta.dyears * 12.0 END AS life_m,
+    bt.ptype IS NOT NULL AS ty_hit, bt.mage AS ty_age, bt.mlife AS ty_life, fleet.fage, fleet.flife
+  FROM {src} a
+  LEFT JOIN meta ON meta.equip_id = a.equip_id
+  LEFT JOIN pb ON pb.equip_id = a.equip_id
+  LEFT JOIN bytype bt ON bt.ptype = coalesce(nullif(a.equip_type, ''), meta.mtype)
+  CROSS JOIN fleet),
+d1 AS (
+  SELECT d0.*,
+    coalesce(age_d, age_y, CASE WHEN ty_hit THEN ty_age END, fage) AS age_months,
+    coalesce(life_m, CASE WHEN ty_hit THEN ty_life END, flife, 96.0) AS life0,
+    CASE WHEN age_d IS NOT NULL THEN 'summary_date' WHEN age_y IS NOT NULL THEN 'purchase_year'
+         WHEN ty_hit AND ty_age IS NOT NULL THEN 'purchase_type_median'
+         WHEN fage IS NOT NULL THEN 'purchase_fleet_median' ELSE 'none' END AS age_source,
+    CASE WHEN life_m IS NOT NULL THEN 'summary' WHEN ty_hit AND ty_life IS NOT NULL THEN 'purchase_type_median'
+         WHEN flife IS NOT NULL THEN 'purchase_fleet_median' ELSE 'default' END AS life_source0
+  FROM d0)"""
+
+
+def _bv(cost: str, age: str, life: str) -> str:
+    return f"greatest({cost} * 0.05, {cost} * (1.0 - least(1.0, greatest(0.0, {age} / {life}))))"
+
+
+ORACLE["depreciation"] = f"""
+WITH a AS (SELECT p_partkey AS equip_id, p_retailprice AS price, p_type AS equip_type FROM part),
+{_dep_sql('a')}
+SELECT equip_id, round(age_months, 4) AS age_months, round(life0, 4) AS useful_life_months,
+       CASE WHEN age_months IS NOT NULL AND life0 > 0 AND coalesce(price, 0) > 0
+                  THEN {_bv('price', 'age_months', 'life0')} END AS book_value,
+       CASE WHEN age_months IS NOT NULL AND life0 > 0 AND coalesce(price, 0) > 0 THEN
+            CASE WHEN age_source IN ('summary_date', 'purchase_year') AND life_source0 IN ('purchase_id', 'summary')
+                 THEN 'Confirmed' ELSE 'Estimated' END ELSE '—' END AS basis,
+       age_source, life_source0 AS life_source
+FROM d1
+"""
+
+ORACLE["replacement_full"] = f"""
+WITH {X.REPAIRS_CTE},
+g AS (SELECT equip_id, arg_min(suppkey, row_ord) AS first_supp, sum(parts) AS parts, sum(labor) AS labor
+      FROM r WHERE equip_id IS NOT NULL AND month_key IS NOT NULL GROUP BY equip_id),
+a AS (SELECT g.*, p_name AS equipment, p_type AS category, p_type AS equip_type, p_retailprice AS price,
+             {X.normalize_building('loc.location')} AS building
+      FROM g LEFT JOIN part ON p_partkey = g.equip_id LEFT JOIN loc ON loc.s_suppkey = g.first_supp),
+{_dep_sql('a')},
+ov AS (SELECT p_partkey AS equip_id, least(CAST(p_size AS DOUBLE), 240.0) AS extra FROM part WHERE p_size > 45),
+d2 AS (SELECT d1.*, coalesce(ov.extra, 0.0) AS life_adj_months,
+              coalesce(ov.extra, 0.0) > 0 AS ext FROM d1 LEFT JOIN ov USING (equip_id)),
+d3 AS (SELECT d2.*, CASE WHEN ext THEN life0 + life_adj_months ELSE life0 END AS life,
+              age_months IS NOT NULL AND life0 > 0 AND coalesce(price, 0) > 0 AS ok0 FROM d2),
+d4 AS (SELECT d3.*,
+         CASE WHEN ext THEN (CASE WHEN age_months IS NOT NULL AND life > 0 AND coalesce(price, 0) > 0
+                                  THEN {_bv('price', 'age_months', 'life')}
+                                  WHEN ok0 THEN {_bv('price', 'age_months', 'life0')} END)
+              WHEN ok0 THEN {_bv('price', 'age_months', 'life0')} END AS bv,
+         CASE WHEN ext THEN 'Manual' WHEN ok0 THEN
+              CASE WHEN age_source IN ('summary_date', 'purchase_year') AND life_source0 IN ('purchase_id', 'summary')
+                   THEN 'Confirmed' ELSE 'Estimated' END ELSE '—' END AS basis,
+         {X.replace_status('labor', 'parts', 'price')} AS repair_status,
+         {X.life_status('age_months', 'life')} AS life_status
+       FROM d3)
+SELECT equip_id, equipment, category, building, round(parts, 2) AS parts_cost, round(labor, 2) AS labor_cost,
+       round(labor + parts, 2) AS total_cost, price AS new_price, round(age_months, 4) AS age_months,
+       round(life, 4) AS useful_life_months, life_adj_months, bv AS book_value, basis,
+       repair_status, life_status, {X.combine_status('repair_status', 'life_status')} AS status
+FROM d4
+"""

@@ -135,3 +135,21 @@ def asset_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
               .agg(F.min(F.col("l_shipdate")).cast("date").alias("purchase_date"))
     a = assets(spark, sf_dir).select("equip_id", "category", "life_years")
     return a.join(first, "equip_id", "left")
+
+
+def purchase_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchase-book rows per part: year of the first shipment among line items
+    with ``l_returnflag = 'A'``; the book records no life; type from the part."""
+    li = read(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "A")
+    first = li.groupBy(F.col("l_partkey").alias("equip_id")) \
+              .agg(F.year(F.min("l_shipdate")).alias("year"))
+    a = assets(spark, sf_dir).select("equip_id", F.col("category").alias("equip_type"))
+    return first.join(a, "equip_id", "left").withColumn("life_years", F.lit(None).cast("double")) \
+                .withColumn("keyword", F.lit(None).cast("string"))
+
+
+def life_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manual life extensions: parts of size above 45 get ``p_size`` extra months."""
+    p = read(spark, sf_dir, "part").where(F.col("p_size") > 45)
+    return p.select(F.col("p_partkey").alias("equip_id"),
+                    F.least(F.col("p_size").cast("double"), F.lit(240.0)).alias("extra_months"))
