@@ -211,3 +211,44 @@ def q_replacement_full(spark, sf_dir):
                       F.round("useful_life_months", 4).alias("useful_life_months"),
                       "life_adj_months", "book_value", "basis",
                       "repair_status", "life_status", "status")
+
+
+# ---- rosters ----------------------------------------------------------------
+from upkeep.plans.rosters import order_roster, request_roster  # noqa: E402
+
+
+def q_order_roster(spark, sf_dir):
+    """Service rows of one month (display-prepared) with names, buildings and
+    business days; status filter 'compl' (regex), id filter '1' (literal)."""
+    svc = bench.service(spark, sf_dir, with_location=True).where(F.col("month_key") == SERVICE_MONTH)
+    svc = prepare_service_for_display(svc, SERVICE_MONTH)
+    svc = svc.join(bench.assets(spark, sf_dir).select("equip_id", "equipment", "category"), "equip_id", "left")
+    return order_roster(svc, business_calendar(spark, PARAMS), status_substr="compl", id_substr="1")
+
+
+def q_request_roster(spark, sf_dir):
+    """Requests of day 15 whose request text matches 'view|click'."""
+    return request_roster(bench.requests(spark, sf_dir), day="15", request_substr="view|click")
+
+
+# ---- row-order operators -----------------------------------------------------
+from upkeep.operators.windows import forward_fill, latest_per_key  # noqa: E402
+
+
+def q_dedupe_latest(spark, sf_dir):
+    """Latest line item per part (ship date desc, nulls last; earliest row key on ties)."""
+    li = bench.read(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("equip_id"), F.col("l_shipdate").cast("date").alias("ship_date"),
+        "l_orderkey", "l_linenumber", "l_suppkey",
+        F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice").alias("row_ord"))
+    return latest_per_key(li, "equip_id", "ship_date").select(
+        "equip_id", "ship_date", "l_orderkey", "l_linenumber", "l_suppkey")
+
+
+def q_forward_fill_context(spark, sf_dir):
+    """Each conversation turn carries the last user turn (number and text length)
+    at or before it, the way detail rows inherit their header row's context."""
+    cv = bench.read(spark, sf_dir, "conversations").withColumn("text_len", F.length("text"))
+    out = forward_fill(cv, ["conv_id"], "turn", F.col("role") == "user", ["text_len"], bucket_rows=4)
+    return out.select("conv_id", "turn", "role", F.col("ctx_turn").alias("ctx_turn"),
+                      F.col("ctx_text_len").alias("ctx_text_len"))

@@ -314,3 +314,47 @@ SELECT equip_id, equipment, category, building, round(parts, 2) AS parts_cost, r
        repair_status, life_status, {X.combine_status('repair_status', 'life_status')} AS status
 FROM d4
 """
+
+ORACLE["order_roster"] = f"""
+WITH {X.SERVICE_CTE}, {X.business_calendar_cte()}, {X.REPAIRS_CTE.split('loc AS')[0].rstrip().rstrip(',').replace('r AS (', 'r_unused AS (')},
+loc AS (SELECT s_suppkey, n_name AS location FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey),
+m AS (SELECT s.equip_id, sched_date, completed_date, description, month_key, row_ord, l.location,
+             CASE WHEN completed_date IS NOT NULL AND completed_date >= DATE '1998-07-01' THEN 'Scheduled'
+                  ELSE {X.raw_status('status')} END AS status
+      FROM s LEFT JOIN loc l ON l.s_suppkey = s.suppkey WHERE month_key = '1998-06'),
+{_collapse_cte('m', soft=False)},
+o AS (SELECT coalesce(p_name, '') AS equipment, coalesce(CAST(disp.equip_id AS VARCHAR), '') AS equip_id,
+             {X.abbreviate_building('disp.location')} AS building, coalesce(p_type, '') AS category,
+             trim(coalesce(status, '')) AS status,
+             coalesce(strftime(sched_date, '%Y-%m-%d'), '') AS start_scheduled,
+             coalesce(strftime(completed_date, '%Y-%m-%d'), '') AS end_completed,
+             CASE WHEN sched_date IS NOT NULL AND completed_date IS NOT NULL AND completed_date >= sched_date
+                  AND {X.business_days('sched_date', 'completed_date', 'ca', 'cb')} IS NOT NULL
+                  THEN CAST(CAST({X.business_days('sched_date', 'completed_date', 'ca', 'cb')} AS BIGINT) AS VARCHAR)
+                  ELSE '' END AS business_days
+      FROM disp LEFT JOIN part ON p_partkey = disp.equip_id
+      LEFT JOIN cal ca ON ca.cal_date = sched_date LEFT JOIN cal cb ON cb.cal_date = completed_date)
+SELECT * FROM o WHERE regexp_matches(lower(status), 'compl') AND contains(upper(replace(equip_id, ' ', '')), '1')
+"""
+
+ORACLE["request_roster"] = """
+SELECT CAST(event_id AS VARCHAR) AS work_order, coalesce(strftime(CAST(ts AS DATE), '%Y-%m-%d'), '') AS request_date,
+       coalesce(CAST(user_id AS VARCHAR), '') AS requestor, coalesce(event_type, '') AS request, '' AS assigned_to
+FROM events WHERE day(ts) = 15 AND regexp_matches(lower(event_type), 'view|click')
+"""
+
+ORACLE["dedupe_latest"] = """
+SELECT equip_id, ship_date, l_orderkey, l_linenumber, l_suppkey FROM (
+  SELECT l_partkey AS equip_id, CAST(l_shipdate AS DATE) AS ship_date, l_orderkey, l_linenumber, l_suppkey,
+         row_number() OVER (PARTITION BY l_partkey ORDER BY CAST(l_shipdate AS DATE) DESC NULLS LAST,
+                            l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS rn
+  FROM lineitem) WHERE rn = 1
+"""
+
+ORACLE["forward_fill_context"] = """
+SELECT conv_id, turn, role,
+       last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER w AS ctx_turn,
+       last_value(CASE WHEN role = 'user' THEN length(text) END IGNORE NULLS) OVER w AS ctx_text_len
+FROM conversations
+WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+"""
