@@ -252,3 +252,112 @@ def q_forward_fill_context(spark, sf_dir):
     out = forward_fill(cv, ["conv_id"], "turn", F.col("role") == "user", ["text_len"], bucket_rows=4)
     return out.select("conv_id", "turn", "role", F.col("ctx_turn").alias("ctx_turn"),
                       F.col("ctx_text_len").alias("ctx_text_len"))
+
+
+# ---- text parsers over table columns ------------------------------------------
+from upkeep.functions import (extract_label, month_from_file_name, normalize_building,  # noqa: E402
+                              abbreviate_building, parse_dollar, parse_dollar_amount,
+                              parse_purchase_year, parse_repair_hours, strip_html, parse_date)
+
+
+def _order_texts(spark, sf_dir):
+    o = bench.read(spark, sf_dir, "orders")
+    return o.select(
+        "o_orderkey",
+        F.concat(F.lit("Order Id: "), F.col("o_orderkey").cast("string")).alias("label_text"),
+        F.when(F.col("o_orderstatus") == "P", F.lit("Enter Data"))
+         .otherwise(F.concat(F.lit("$"), F.format_number("o_totalprice", 2))).alias("money_text"),
+        F.concat(F.lit("bought "), F.date_format("o_orderdate", "MMM yyyy")).alias("year_text"),
+        F.concat(F.lit("Location: "), F.col("o_orderpriority"), F.lit(" Room "),
+                 F.dayofmonth("o_orderdate").cast("string")).alias("location_text"),
+        F.concat(F.date_format("o_orderdate", "MMMM"), F.lit(" Repair Report "),
+                 F.year("o_orderdate").cast("string"), F.lit(".csv")).alias("file_name"),
+        F.when(F.col("o_orderstatus") == "F", F.lit(None).cast("string"))
+         .when(F.col("o_orderstatus") == "O", F.concat(F.dayofmonth("o_orderdate").cast("string"),
+                                                      F.lit("/"), F.month("o_orderdate").cast("string"),
+                                                      F.lit(" hr")))
+         .otherwise(F.concat(F.lit("about "), F.format_string("%d,5", F.dayofmonth("o_orderdate")),
+                             F.lit(" hours"))).alias("details"),
+        F.when(F.col("o_orderpriority").startswith("1"), F.lit("found in closet"))
+         .otherwise(F.col("o_orderpriority")).alias("row_text"),
+        F.when(F.col("o_orderstatus") == "P", F.lit("n/a"))
+         .otherwise(F.date_format("o_orderdate", "M/d/yyyy")).alias("date_text"))
+
+
+def q_text_functions(spark, sf_dir):
+    """Label, money, year, building, file-month, hours and date parsers over text built from orders."""
+    t = _order_texts(spark, sf_dir)
+    return t.select(
+        "o_orderkey",
+        extract_label("label_text", "order id").alias("label"),
+        parse_dollar_amount("money_text").alias("amount"),
+        parse_dollar("money_text").alias("amount_or_zero"),
+        parse_purchase_year("year_text").alias("purchase_year"),
+        normalize_building("location_text").alias("building"),
+        abbreviate_building("location_text").alias("building_code"),
+        month_from_file_name("file_name").alias("file_month"),
+        parse_repair_hours("details", "row_text").alias("hours"),
+        parse_date("date_text").alias("parsed_date"))
+
+
+def q_strip_tags(spark, sf_dir):
+    """HTML tags removed from every page; length of the remaining text."""
+    p = bench.read(spark, sf_dir, "pages")
+    return p.select("page_id", F.length(strip_html("html")).alias("text_len"))
+
+
+def q_dq_bad_dates(spark, sf_dir):
+    """Unparsable dates per source (priority stands in for the export file)."""
+    t = _order_texts(spark, sf_dir).join(bench.read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"),
+                                         "o_orderkey")
+    return t.groupBy(F.col("o_orderpriority").alias("source_file")).agg(
+        F.count_if(parse_date("date_text").isNull()).alias("bad_dates"), F.count(F.lit(1)).alias("n_rows"))
+
+
+# ---- sets, scopes, overrides, audit ------------------------------------------
+from upkeep.operators.audit import list_events  # noqa: E402
+from upkeep.operators.overrides import merge_overrides  # noqa: E402
+from upkeep.operators.scope import building_scope  # noqa: E402
+from upkeep.sources.exports import union_by_name  # noqa: E402
+
+
+def q_union_by_name(spark, sf_dir):
+    """Two exports with different columns (the later one lacks l_tax and adds a
+    note column) stacked by name; per year row counts and null counts."""
+    li = bench.read(spark, sf_dir, "lineitem")
+    early = li.where(F.year("l_shipdate") <= 1997).select("l_orderkey", "l_quantity", "l_tax", "l_shipdate")
+    late = li.where(F.year("l_shipdate") > 1997).select("l_shipdate", "l_orderkey", "l_quantity",
+                                                          F.col("l_returnflag").alias("note"))
+    u = union_by_name([early, late])
+    return u.groupBy(F.year("l_shipdate").alias("ship_year")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("l_tax").isNull()).alias("tax_missing"),
+        F.count_if(F.col("note").isNull()).alias("note_missing"), F.sum("l_quantity").alias("qty"))
+
+
+def q_row_scope(spark, sf_dir):
+    """Repair hours per building for a user allowed the nations of region 1."""
+    nat = bench.read(spark, sf_dir, "nation")
+    scope = nat.where(F.col("n_regionkey") == 1).select(F.lit("u1").alias("user_id"),
+                                                         F.col("n_name").alias("building"))
+    rep = bench.repairs(spark, sf_dir)
+    scoped = building_scope(rep, scope, "u1")
+    return scoped.groupBy(F.col("location").alias("building")).agg(
+        F.round(F.sum("hours"), 2).alias("repair_hours"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def q_override_merge(spark, sf_dir):
+    """Base life extensions (parts above size 45) merged with a change set
+    (parts of size 40..48 set to size - 44 months; <= 0 deletes)."""
+    p = bench.read(spark, sf_dir, "part")
+    base = bench.life_overrides(spark, sf_dir)
+    changes = p.where(F.col("p_size").between(40, 48)).select(
+        F.col("p_partkey").alias("equip_id"), (F.col("p_size") - 44).cast("double").alias("extra_months"))
+    return merge_overrides(base, changes)
+
+
+def q_audit_listing(spark, sf_dir):
+    """Events as an audit log: page 2 (offset 50, 50 rows), newest first, payload decoded."""
+    ev = bench.read(spark, sf_dir, "events")
+    page = list_events(ev, limit=50, offset=50, ts_col="ts", id_col="event_id", payload_col="props")
+    return page.select("event_id", "ts", "event_type",
+                       F.element_at("payload", F.lit("k")).cast("int").alias("k"))

@@ -358,3 +358,70 @@ SELECT conv_id, turn, role,
 FROM conversations
 WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 """
+
+
+def _order_texts_sql() -> str:
+    return """
+t AS (SELECT o_orderkey, o_orderstatus, o_orderdate, o_totalprice, o_orderpriority,
+             'Location: ' || o_orderpriority || ' Room ' || CAST(day(o_orderdate) AS VARCHAR) AS location_text
+      FROM orders)"""
+
+
+_MONTHS = "['january','february','march','april','may','june','july','august','september','october','november','december']"
+
+ORACLE["text_functions"] = f"""
+WITH {_order_texts_sql()}
+SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS label,
+       CASE WHEN o_orderstatus = 'P' OR o_totalprice <= 0 THEN NULL ELSE o_totalprice END AS amount,
+       CASE WHEN o_orderstatus = 'P' THEN 0.0 ELSE o_totalprice END AS amount_or_zero,
+       year(o_orderdate) AS purchase_year,
+       {X.normalize_building('location_text')} AS building,
+       {X.abbreviate_building('location_text')} AS building_code,
+       CASE WHEN year(o_orderdate) BETWEEN 2000 AND 2099 THEN strftime(o_orderdate, '%Y-%m')
+            ELSE '2026-' || strftime(o_orderdate, '%m') END AS file_month,
+       CASE WHEN o_orderstatus = 'F' THEN (CASE WHEN o_orderpriority LIKE '1%' THEN 0.5 ELSE 1.0 END)
+            WHEN o_orderstatus = 'O' THEN day(o_orderdate) / month(o_orderdate)
+            ELSE CAST(day(o_orderdate) AS DOUBLE) + 0.5 END AS hours,
+       CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderdate AS DATE) END AS parsed_date
+FROM t
+"""
+
+ORACLE["strip_tags"] = f"""
+SELECT page_id, length({X.strip_ws("regexp_replace(html, '<[^>]+>', '', 'g')")}) AS text_len FROM pages
+"""
+
+ORACLE["dq_bad_dates"] = """
+SELECT o_orderpriority AS source_file, count(*) FILTER (WHERE o_orderstatus = 'P') AS bad_dates, count(*) AS n_rows
+FROM orders GROUP BY o_orderpriority
+"""
+
+ORACLE["union_by_name"] = """
+WITH u AS (
+  SELECT l_orderkey, l_quantity, l_tax, l_shipdate FROM lineitem WHERE year(l_shipdate) <= 1997
+  UNION ALL BY NAME
+  SELECT l_shipdate, l_orderkey, l_quantity, l_returnflag AS note FROM lineitem WHERE year(l_shipdate) > 1997)
+SELECT year(l_shipdate) AS ship_year, count(*) AS n_rows, count(*) FILTER (WHERE l_tax IS NULL) AS tax_missing,
+       count(*) FILTER (WHERE note IS NULL) AS note_missing, sum(l_quantity) AS qty
+FROM u GROUP BY 1
+"""
+
+ORACLE["row_scope"] = f"""
+WITH {X.REPAIRS_CTE}
+SELECT loc.location AS building, round(sum(hours), 2) AS repair_hours, count(*) AS n_rows
+FROM r LEFT JOIN loc ON loc.s_suppkey = r.suppkey
+WHERE loc.location IN (SELECT n_name FROM nation WHERE n_regionkey = 1)
+GROUP BY loc.location
+"""
+
+ORACLE["override_merge"] = """
+WITH base AS (SELECT p_partkey AS equip_id, least(CAST(p_size AS DOUBLE), 240.0) AS m FROM part WHERE p_size > 45),
+ch AS (SELECT p_partkey AS equip_id, CAST(p_size - 44 AS DOUBLE) AS m FROM part WHERE p_size BETWEEN 40 AND 48),
+u AS (SELECT coalesce(ch.equip_id, base.equip_id) AS equip_id, CASE WHEN ch.equip_id IS NOT NULL THEN ch.m ELSE base.m END AS m
+      FROM base FULL OUTER JOIN ch ON base.equip_id = ch.equip_id)
+SELECT equip_id, round(least(m, 240.0), 2) AS extra_months FROM u WHERE m > 0
+"""
+
+ORACLE["audit_listing"] = """
+SELECT event_id, ts, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
+FROM events ORDER BY ts DESC, event_id DESC LIMIT 50 OFFSET 50
+"""
