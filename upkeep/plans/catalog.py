@@ -361,3 +361,57 @@ def q_audit_listing(spark, sf_dir):
     page = list_events(ev, limit=50, offset=50, ts_col="ts", id_col="event_id", payload_col="props")
     return page.select("event_id", "ts", "event_type",
                        F.element_at("payload", F.lit("k")).cast("int").alias("k"))
+
+
+# ---- keywords and valuation ----------------------------------------------------
+from upkeep.functions.keywords import with_equip_type_from_name, with_keyword, with_keyword_label  # noqa: E402
+from upkeep.operators.valuation import keyword_medians, nearest_year_price, valuation_sheet  # noqa: E402
+
+
+def _keyed_names(spark, sf_dir):
+    """Keyword per part, classified once per distinct name and joined back."""
+    names = bench.equipment_names(spark, sf_dir)
+    distinct = names.select("equip_name").distinct()
+    k = with_equip_type_from_name(with_keyword_label(with_keyword(distinct, "equip_name")), "equip_name")
+    return names.join(k, "equip_name", "left")
+
+
+def q_keyword_extract(spark, sf_dir):
+    return _keyed_names(spark, sf_dir).select("equip_id", "equip_name", "keyword", "label", "equip_type")
+
+
+def _purchase_records(spark, sf_dir):
+    pb = bench.purchase_book(spark, sf_dir).select("equip_id", "year")
+    return _keyed_names(spark, sf_dir).join(pb, "equip_id", "left").select("keyword", "year", "cost")
+
+
+def _service_prices(spark, sf_dir):
+    li = bench.read(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "N") \
+              .select(F.col("l_partkey").alias("equip_id"),
+                      F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("price"))
+    return li.join(_keyed_names(spark, sf_dir).select("equip_id", "keyword"), "equip_id")
+
+
+def q_median_price_by_keyword(spark, sf_dir):
+    """Median purchase cost per keyword, recent 5 years when any record is that recent."""
+    return keyword_medians(_purchase_records(spark, sf_dir), "cost", recent_years=5,
+                           reference_year=PARAMS.as_of.year)
+
+
+def q_valuation_sheet(spark, sf_dir):
+    """Valuation sheet: purchase medians, gaps filled from service medians, labelled."""
+    return valuation_sheet(_purchase_records(spark, sf_dir), _service_prices(spark, sf_dir),
+                           recent_years=5, reference_year=PARAMS.as_of.year)
+
+
+def q_nearest_year_price(spark, sf_dir):
+    """Catalog price per (model, year) from returned items; each asset's purchase
+    year priced at the exact year, else the nearest catalog year (earlier on ties)."""
+    li = bench.read(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R")
+    p = bench.read(spark, sf_dir, "part").select("p_partkey", "p_name")
+    cat = li.join(p, li.l_partkey == p.p_partkey).groupBy(
+        F.col("p_name").alias("model"), F.year("l_shipdate").alias("year")).agg(
+        F.max(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+    targets = bench.purchase_book(spark, sf_dir).join(p, F.col("equip_id") == p.p_partkey) \
+                   .select("equip_id", F.col("p_name").alias("model"), F.col("year").alias("target_year"))
+    return nearest_year_price(targets, cat)

@@ -425,3 +425,52 @@ ORACLE["audit_listing"] = """
 SELECT event_id, ts, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
 FROM events ORDER BY ts DESC, event_id DESC LIMIT 50 OFFSET 50
 """
+
+_KW = f"{X.equipment_names_cte()}, {X.keyword_ctes('en', 'equip_name')}"
+
+ORACLE["keyword_extract"] = f"""
+WITH {_KW}
+SELECT en.equip_id, en.equip_name, kw.keyword, kw.label, kw.equip_type
+FROM en LEFT JOIN kw ON kw.name = en.equip_name
+"""
+
+_PURCHASE = f"""{_KW},
+pb AS (SELECT l_partkey AS equip_id, year(min(l_shipdate)) AS year FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1),
+pr AS (SELECT kw.keyword, pb.year, en.cost FROM en LEFT JOIN kw ON kw.name = en.equip_name
+       LEFT JOIN pb ON pb.equip_id = en.equip_id WHERE kw.keyword IS NOT NULL AND en.cost > 0),
+pr2 AS (SELECT *, year IS NOT NULL AND 2002 - year <= 5 AS recent,
+               max(CASE WHEN year IS NOT NULL AND 2002 - year <= 5 THEN 1 ELSE 0 END) OVER (PARTITION BY keyword) AS has
+        FROM pr),
+pm AS (SELECT keyword, median(cost) AS purchase_price, count(*) AS n_records FROM pr2
+       WHERE has = 0 OR recent GROUP BY keyword)"""
+
+ORACLE["median_price_by_keyword"] = f"""
+WITH {_PURCHASE}
+SELECT keyword, purchase_price AS median_price, n_records FROM pm
+"""
+
+ORACLE["valuation_sheet"] = f"""
+WITH {_PURCHASE},
+sp AS (SELECT kw.keyword, round(l_extendedprice / l_quantity, 2) AS price FROM lineitem
+       JOIN en ON en.equip_id = l_partkey LEFT JOIN kw ON kw.name = en.equip_name
+       WHERE l_returnflag = 'N' AND kw.keyword IS NOT NULL AND round(l_extendedprice / l_quantity, 2) > 0),
+sm AS (SELECT keyword, median(price) AS service_price FROM sp GROUP BY keyword),
+j AS (SELECT coalesce(pm.keyword, sm.keyword) AS keyword, coalesce(purchase_price, service_price) AS price,
+             CASE WHEN purchase_price IS NOT NULL THEN 'purchase' ELSE 'service' END AS price_source
+      FROM pm FULL OUTER JOIN sm ON pm.keyword = sm.keyword),
+lab AS (SELECT DISTINCT keyword, label FROM kw WHERE keyword IS NOT NULL)
+SELECT j.keyword, price, price_source, lab.label FROM j LEFT JOIN lab USING (keyword)
+"""
+
+ORACLE["nearest_year_price"] = """
+WITH cat AS (SELECT p_name AS model, year(l_shipdate) AS year, max(l_extendedprice / l_quantity) AS price
+             FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' GROUP BY 1, 2),
+t AS (SELECT pb.equip_id, p_name AS model, pb.year AS target_year FROM
+        (SELECT l_partkey AS equip_id, year(min(l_shipdate)) AS year FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) pb
+        JOIN part ON p_partkey = pb.equip_id),
+c AS (SELECT t.*, cat.year AS catalog_year, cat.price,
+             row_number() OVER (PARTITION BY t.equip_id, t.model, t.target_year
+                                ORDER BY abs(cat.year - t.target_year), cat.year) AS rn
+      FROM t LEFT JOIN cat ON cat.model = t.model)
+SELECT equip_id, model, target_year, catalog_year, price FROM c WHERE rn = 1
+"""

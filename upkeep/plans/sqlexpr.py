@@ -147,3 +147,76 @@ def business_days(a: str, b: str, ca: str, cb: str) -> str:
     """Span expression given calendar aliases joined on a and b."""
     return (f"(CASE WHEN {a} IS NULL OR {b} IS NULL OR {b} < {a} THEN NULL WHEN {a} = {b} THEN 1.0 "
             f"ELSE CAST({cb}.cum_bd - {ca}.cum_bd + {ca}.is_bd AS DOUBLE) END)")
+
+
+def _case_map(x: str, d: dict, default: str | None = None) -> str:
+    body = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in d.items())
+    return f"(CASE {x} {body} ELSE {default if default is not None else 'NULL'} END)"
+
+
+def keyword_ctes(src: str, name_col: str) -> str:
+    """CTEs ending in ``kw(name, keyword, label, equip_type)`` for distinct names of ``src``."""
+    from upkeep.functions import keywords as K
+    norm0 = (f"trim(regexp_replace(regexp_replace(lower(strip_accents(coalesce({name_col}, ''))), "
+             f"'[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g'))")
+    clean = (f"trim(regexp_replace(trim(regexp_replace({norm0}, '(?i)\\s*#\\s*\\d+\\s*$|\\s+number\\s+\\d+\\s*$', '')), "
+             f"'\\s+', ' ', 'g'))")
+    canon = _case_map(f"coalesce({_case_map('t', K.TOKEN_TYPO)}, t)", K.BRAND_ALIASES,
+                      f"coalesce({_case_map('t', K.TOKEN_TYPO)}, t)")
+    slugs = ", ".join(q(s) for s in K.BRAND_SLUGS)
+    cat = "(CASE " + " ".join(f"WHEN regexp_matches(n, {q(p)}) THEN {q(s)}" for p, s in K.CATEGORY_RULES) + " END)"
+    ladder = ("coalesce(nullif(regexp_extract(n, '\\bladder\\s+(\\d+)\\b', 1), '') || 'ft', "
+              "nullif(regexp_extract(n, '\\b(\\d+)\\s*(?:ft|foot|feet)\\b', 1), '') || 'ft')")
+    scrub = ("(CASE WHEN regexp_matches(n, '\\bi\\s*18\\b|i18b|i18c') THEN '18' "
+             "WHEN regexp_matches(n, '\\bi\\s*20\\b|i20') THEN '20' END)")
+    generic = f"nullif(regexp_extract(n, {q(K.SIZE_PATTERN)}, 1), '')"
+    sized = ", ".join(q(c) for c in K.SIZED_CATEGORIES)
+    label_cat = f"coalesce({_case_map('kc', K.CATEGORY_LABEL)}, kc)"
+    label_brand = f"coalesce({_case_map('kb', K.BRAND_LABEL)}, upper(substr(kb, 1, 1)) || substr(kb, 2))"
+    coarse = []
+    for words, label in K.NAME_CLASS_RULES:
+        cond = " OR ".join(f"contains(lt, {q(w)})" for w in words)
+        coarse.append(f"WHEN {cond} THEN {q(label)}")
+    coarse_sql = ("(CASE WHEN lt = '' THEN 'Other' " + " ".join(coarse) +
+                  " WHEN contains(lt, 'vacuum') OR suffix(lt, ' vac') OR contains(lt, ' vac ') THEN 'Other vacuums' "
+                  "WHEN contains(lt, 'cart') OR contains(lt, 'janitor') OR contains(lt, 'mop bucket') "
+                  "OR contains(lt, 'mop ') OR contains(lt, 'wringer') THEN 'Janitorial / carts' ELSE 'Other' END)")
+    return f"""
+kw0 AS (SELECT DISTINCT {name_col} AS name FROM {src}),
+kw1 AS (SELECT name, {clean.replace(name_col, 'name')} AS n,
+               lower(trim(coalesce(name, ''))) AS lt FROM kw0),
+kw2 AS (SELECT *, CASE WHEN list_contains(string_split(n, ' '), 'pro') AND list_contains(string_split(n, ' '), 'team')
+                       THEN 'proteam'
+                       ELSE list_filter(list_transform(string_split(n, ' '), lambda t: {canon}),
+                                        lambda c: c IN ({slugs}))[1] END AS kb,
+               {cat} AS kc0 FROM kw1),
+kw3 AS (SELECT *, CASE WHEN kc0 = 'ladder' THEN {ladder}
+                       WHEN kc0 = 'scrubber' THEN coalesce({scrub}, {generic})
+                       WHEN kc0 IN ({sized}) THEN {generic} END AS ks,
+               coalesce(kc0, {_case_map('kb', K.DEFAULT_BRAND_CATEGORY)}) AS kc FROM kw2),
+kw4 AS (SELECT *, CASE WHEN n = '' OR regexp_matches(n, {q(K.JUNK_PATTERN)}) OR kc IS NULL
+                            OR (kc = 'ladder' AND ks IS NULL) THEN NULL
+                       ELSE concat_ws('|', kc, kb, ks) END AS keyword FROM kw3),
+kw AS (SELECT name, keyword,
+              CASE WHEN keyword IS NULL THEN NULL
+                   WHEN kc = 'ladder' AND ks IS NOT NULL THEN replace(ks, 'ft', '') || ''' Ladder'
+                   WHEN kb IS NOT NULL AND ks IS NOT NULL AND NOT suffix(ks, 'ft')
+                        THEN {label_brand} || ' ' || ks || '" ' || {label_cat}
+                   WHEN kb IS NOT NULL THEN {label_brand} || ' ' || {label_cat}
+                   WHEN ks IS NOT NULL AND NOT suffix(ks, 'ft') THEN ks || '" ' || {label_cat}
+                   WHEN ks IS NOT NULL THEN replace(ks, 'ft', '') || ''' ' || {label_cat}
+                   ELSE {label_cat} END AS label,
+              CASE WHEN name IS NULL OR trim(name) = '' THEN NULL
+                   ELSE coalesce({_case_map("CASE WHEN keyword IS NULL THEN NULL ELSE kc END", K.KEYWORD_TO_EQUIP_TYPE)},
+                                 {_case_map(coarse_sql, K.NAME_CLASS_TO_EQUIP_TYPE)}) END AS equip_type
+       FROM kw4)"""
+
+
+def equipment_names_cte() -> str:
+    from upkeep.sources.bench import KIND_BY_NOUN, MAKER_BY_ADJECTIVE
+    maker = _case_map("split_part(p_name, ' ', 1)", MAKER_BY_ADJECTIVE, "''")
+    kind = _case_map("split_part(p_name, ' ', -1)", KIND_BY_NOUN, "''")
+    return f"""
+en AS (SELECT p_partkey AS equip_id, regexp_replace(trim(concat_ws(' ', {maker}, {kind}, CAST(p_size AS VARCHAR))),
+                                                    '  +', ' ', 'g') AS equip_name,
+              p_retailprice AS cost FROM part)"""

@@ -153,3 +153,32 @@ def life_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "part").where(F.col("p_size") > 45)
     return p.select(F.col("p_partkey").alias("equip_id"),
                     F.least(F.col("p_size").cast("double"), F.lit(240.0)).alias("extra_months"))
+
+
+# ---- equipment names --------------------------------------------------------
+# Fixed vocabulary of this binding: the part name's adjective picks a maker
+# word and its noun an equipment kind, so the keyword classifier sees realistic
+# names (brands, typos, junk, sizes) derived from every part row.
+MAKER_BY_ADJECTIVE = {"blue": "Tennant", "cold": "Pro Team", "hot": "ICE", "large": "Windsor",
+                      "new": "Karcker", "old": "Lindhause", "red": "", "small": "storage area"}
+KIND_BY_NOUN = {"anvil": "auto scrubber", "bolt": "backpack vac", "gear": "burnisher",
+                "gizmo": "wet/dry vacuum", "plate": "carpet extractor", "ring": "ladder",
+                "rod": "chemical dispenser", "widget": "floor machine"}
+
+
+def _lookup(d: dict, c):
+    kv = []
+    for k, v in d.items():
+        kv += [F.lit(k), F.lit(v)]
+    return F.coalesce(F.element_at(F.create_map(*kv), c), F.lit(""))
+
+
+def equipment_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(equip_id, equip_name, cost, size) per part."""
+    p = read(spark, sf_dir, "part")
+    adj = F.substring_index("p_name", " ", 1)
+    noun = F.substring_index("p_name", " ", -1)
+    name = F.trim(F.concat_ws(" ", _lookup(MAKER_BY_ADJECTIVE, adj), _lookup(KIND_BY_NOUN, noun),
+                              F.col("p_size").cast("string")))
+    return p.select(F.col("p_partkey").alias("equip_id"), F.regexp_replace(name, "  +", " ").alias("equip_name"),
+                    F.col("p_retailprice").alias("cost"), F.col("p_size").alias("size"))
