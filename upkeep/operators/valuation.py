@@ -49,3 +49,39 @@ def nearest_year_price(targets: DataFrame, catalog: DataFrame, model_col: str =
                     F.struct(dist.alias("d"), F.col("year").alias("y")))
     keys = [c for c in targets.columns]
     return j.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.catalog_year", "_b.price")
+
+
+def first_valid_price(rows: DataFrame, id_col: str, price_col: str, order_col: str = "row_ord") -> DataFrame:
+    """Per id, the first row (file order) with a positive price."""
+    return rows.where(F.col(price_col) > 0).groupBy(id_col) \
+               .agg(F.min_by(F.col(price_col), F.col(order_col)).alias(price_col))
+
+
+def price_cascade(assets: DataFrame, *, purchase: DataFrame | None = None, catalog: DataFrame | None = None,
+                  valuation: DataFrame | None = None, service: DataFrame | None = None,
+                  id_col: str = "equip_id") -> DataFrame:
+    """New price and its source per asset: purchase book by id -> catalog by
+    model and purchase year -> valuation sheet by keyword -> service estimate by
+    id -> 0 with a blank source. All lookups are one-row-per-key equi joins."""
+    a = assets
+    tiers = []
+    if purchase is not None:
+        a = a.join(purchase.select(id_col, F.col("price").alias("_p1")), id_col, "left"); tiers.append(("_p1", "purchase"))
+    if catalog is not None:
+        a = a.join(catalog.select(id_col, F.col("price").alias("_p2")), id_col, "left"); tiers.append(("_p2", "custodial"))
+    if valuation is not None:
+        a = a.join(valuation.select("keyword", F.col("price").alias("_p3")), "keyword", "left"); tiers.append(("_p3", "valuation"))
+    if service is not None:
+        a = a.join(service.select(id_col, F.col("price").alias("_p4")), id_col, "left"); tiers.append(("_p4", "service"))
+    valid = [F.when(F.col(c) > 0, F.col(c)) for c, _ in tiers]
+    price = F.coalesce(*valid, F.lit(0.0))
+    src = None
+    for (c, label), v in zip(tiers, valid):
+        src = F.when(v.isNotNull(), F.lit(label)) if src is None else src.when(v.isNotNull(), F.lit(label))
+    src = src.otherwise(F.lit("")) if src is not None else F.lit("")
+    return a.withColumn("new_price", price).withColumn("price_source", src).drop(*[c for c, _ in tiers])
+
+
+# ---- fixed values: display labels of price sources ----------------------------
+PRICE_SOURCE_LABEL = {"purchase": "Purchase", "custodial": "Catalog", "valuation": "Valuation",
+                      "service": "Service", "": "—"}

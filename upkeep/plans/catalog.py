@@ -415,3 +415,20 @@ def q_nearest_year_price(spark, sf_dir):
     targets = bench.purchase_book(spark, sf_dir).join(p, F.col("equip_id") == p.p_partkey) \
                    .select("equip_id", F.col("p_name").alias("model"), F.col("year").alias("target_year"))
     return nearest_year_price(targets, cat)
+
+
+def q_price_cascade(spark, sf_dir):
+    """New price per repaired asset through the four price books."""
+    from upkeep.operators.valuation import first_valid_price, price_cascade
+    ids = bench.repairs_rows(spark, sf_dir).select("equip_id").distinct()
+    names = _keyed_names(spark, sf_dir).select("equip_id", "keyword", "cost", "size")
+    assets_df = ids.join(names, "equip_id", "left")
+    purchase = names.where(F.col("size") <= 10).select("equip_id", F.col("cost").alias("price"))
+    catalog = q_nearest_year_price(spark, sf_dir).select("equip_id", "price")
+    sheet = q_valuation_sheet(spark, sf_dir).select("keyword", "price")
+    li = bench.read(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "N").select(
+        F.col("l_partkey").alias("equip_id"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice").alias("row_ord"))
+    service = first_valid_price(li, "equip_id", "price")
+    out = price_cascade(assets_df, purchase=purchase, catalog=catalog, valuation=sheet, service=service)
+    return out.select("equip_id", "new_price", "price_source")

@@ -474,3 +474,36 @@ c AS (SELECT t.*, cat.year AS catalog_year, cat.price,
       FROM t LEFT JOIN cat ON cat.model = t.model)
 SELECT equip_id, model, target_year, catalog_year, price FROM c WHERE rn = 1
 """
+
+ORACLE["price_cascade"] = f"""
+WITH {_PURCHASE},
+ids AS (SELECT DISTINCT l_partkey AS equip_id FROM lineitem WHERE l_partkey IS NOT NULL),
+p1 AS (SELECT p_partkey AS equip_id, p_retailprice AS price FROM part WHERE p_size <= 10),
+cat AS (SELECT p_name AS model, year(l_shipdate) AS year, max(l_extendedprice / l_quantity) AS price
+        FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' GROUP BY 1, 2),
+t AS (SELECT pb.equip_id, p_name AS model, pb.year AS target_year FROM pb JOIN part ON p_partkey = pb.equip_id),
+c AS (SELECT t.equip_id, cat.price, row_number() OVER (PARTITION BY t.equip_id
+                         ORDER BY abs(cat.year - t.target_year), cat.year) AS rn
+      FROM t LEFT JOIN cat ON cat.model = t.model),
+p2 AS (SELECT equip_id, price FROM c WHERE rn = 1),
+sp AS (SELECT kw.keyword, round(l_extendedprice / l_quantity, 2) AS price FROM lineitem
+       JOIN en ON en.equip_id = l_partkey LEFT JOIN kw ON kw.name = en.equip_name
+       WHERE l_returnflag = 'N' AND kw.keyword IS NOT NULL AND round(l_extendedprice / l_quantity, 2) > 0),
+sm AS (SELECT keyword, median(price) AS service_price FROM sp GROUP BY keyword),
+p3 AS (SELECT coalesce(pm.keyword, sm.keyword) AS keyword, coalesce(purchase_price, service_price) AS price
+       FROM pm FULL OUTER JOIN sm ON pm.keyword = sm.keyword),
+p4 AS (SELECT l_partkey AS equip_id,
+              arg_min(l_extendedprice / l_quantity, {{'a': l_shipdate, 'b': l_orderkey, 'c': l_linenumber, 'd': l_suppkey, 'e': l_extendedprice}}) AS price
+       FROM lineitem WHERE l_returnflag = 'N' AND l_extendedprice / l_quantity > 0 GROUP BY 1),
+a AS (SELECT ids.equip_id, kw.keyword FROM ids LEFT JOIN en ON en.equip_id = ids.equip_id
+      LEFT JOIN kw ON kw.name = en.equip_name),
+j AS (SELECT a.equip_id,
+             CASE WHEN p1.price > 0 THEN p1.price END AS v1, CASE WHEN p2.price > 0 THEN p2.price END AS v2,
+             CASE WHEN p3.price > 0 THEN p3.price END AS v3, CASE WHEN p4.price > 0 THEN p4.price END AS v4
+      FROM a LEFT JOIN p1 ON p1.equip_id = a.equip_id LEFT JOIN p2 ON p2.equip_id = a.equip_id
+      LEFT JOIN p3 ON p3.keyword = a.keyword LEFT JOIN p4 ON p4.equip_id = a.equip_id)
+SELECT equip_id, coalesce(v1, v2, v3, v4, 0.0) AS new_price,
+       CASE WHEN v1 IS NOT NULL THEN 'purchase' WHEN v2 IS NOT NULL THEN 'custodial'
+            WHEN v3 IS NOT NULL THEN 'valuation' WHEN v4 IS NOT NULL THEN 'service' ELSE '' END AS price_source
+FROM j
+"""
