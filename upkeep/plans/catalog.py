@@ -432,3 +432,37 @@ def q_price_cascade(spark, sf_dir):
     service = first_valid_price(li, "equip_id", "price")
     out = price_cascade(assets_df, purchase=purchase, catalog=catalog, valuation=sheet, service=service)
     return out.select("equip_id", "new_price", "price_source")
+
+
+# ---- raw ingest: header detection, unique names, alias pick --------------------
+from upkeep.sources.raw_grid import find_header_rows, grid_from_text, header_name_rows, pick, records  # noqa: E402
+
+
+def _doc_grid(spark, sf_dir):
+    """Each document is an export file; each line a row; words are cells."""
+    return grid_from_text(bench.read(spark, sf_dir, "documents"), "doc_id", "text", " ")
+
+
+def q_header_detect(spark, sf_dir):
+    """Header row per document: first of the first 10 lines whose first word is
+    'the' (case-insensitive), else line 1."""
+    return find_header_rows(_doc_grid(spark, sf_dir), "the", 10, 1).select(
+        F.col("file").alias("doc_id"), "header_row")
+
+
+def q_unique_headers(spark, sf_dir):
+    """Header names made unique per document (blank -> _unnamed_i, repeats -> name__k)."""
+    g = _doc_grid(spark, sf_dir)
+    h = header_name_rows(g, find_header_rows(g, "the", 10, 1))
+    return h.select(F.col("file").alias("doc_id"), "pos", "name")
+
+
+def q_alias_pick(spark, sf_dir):
+    """Records under each header; per document the rows that carry a value under
+    the first present alias of ('The', 'the_', 'a', 'Le')."""
+    g = _doc_grid(spark, sf_dir)
+    rec = records(g, find_header_rows(g, "the", 10, 1))
+    v = pick("rec", "The", "the_", "a", "Le")
+    return rec.select(F.col("file").alias("doc_id"), "row_no", v.alias("value")) \
+              .groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count("value").alias("n_values"),
+                                     F.sum(F.length("value")).alias("value_chars"))

@@ -507,3 +507,25 @@ SELECT equip_id, coalesce(v1, v2, v3, v4, 0.0) AS new_price,
             WHEN v3 IS NOT NULL THEN 'valuation' WHEN v4 IS NOT NULL THEN 'service' ELSE '' END AS price_source
 FROM j
 """
+
+_DOC_GRID = """
+lines AS (SELECT doc_id AS file, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS row_no,
+                 unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+grid AS (SELECT file, row_no, string_split(line, ' ') AS cells FROM lines),
+hit AS (SELECT file, min(row_no) AS h FROM grid
+        WHERE row_no < 10 AND lower(regexp_replace(cells[1], '^\\s+|\\s+$', '', 'g')) = 'the' GROUP BY file),
+hdr AS (SELECT d.file, coalesce(hit.h, 1) AS header_row FROM (SELECT DISTINCT file FROM grid) d
+        LEFT JOIN hit USING (file))"""
+
+ORACLE["header_detect"] = f"WITH {_DOC_GRID} SELECT file AS doc_id, header_row FROM hdr"
+
+ORACLE["unique_headers"] = f"""
+WITH {_DOC_GRID},
+hn AS (SELECT grid.file, generate_subscripts(cells, 1) - 1 AS pos, unnest(cells) AS raw
+       FROM grid JOIN hdr ON grid.file = hdr.file AND grid.row_no = hdr.header_row),
+b AS (SELECT file, pos, coalesce(nullif(regexp_replace(replace(raw, chr(10), ' '), '^\\s+|\\s+$', '', 'g'), ''),
+                                 '_unnamed_' || CAST(pos AS VARCHAR)) AS base FROM hn),
+k AS (SELECT *, row_number() OVER (PARTITION BY file, base ORDER BY pos) - 1 AS kth FROM b)
+SELECT file AS doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN kth = 0 THEN base ELSE base || '__' || CAST(kth AS VARCHAR) END AS name
+FROM k
+"""
