@@ -466,3 +466,21 @@ def q_alias_pick(spark, sf_dir):
     return rec.select(F.col("file").alias("doc_id"), "row_no", v.alias("value")) \
               .groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count("value").alias("n_values"),
                                      F.sum(F.length("value")).alias("value_chars"))
+
+
+# ---- streaming ---------------------------------------------------------------
+from upkeep.streaming.feeds import daily_volume, dedup_feed  # noqa: E402
+
+EVENTS_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+
+
+def q_stream_daily_volume(spark, sf_dir):
+    """Events read as a file stream (availableNow); requests per event-time day."""
+    return daily_volume(spark, sf_dir, EVENTS_SCHEMA, glob="events.parquet")
+
+
+def q_stream_dedup_feed(spark, sf_dir):
+    """Events through a watermark de-duplication on event_id; rows per type."""
+    feed = dedup_feed(spark, sf_dir, EVENTS_SCHEMA, "event_id", "ts", glob="events.parquet")
+    return feed.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_events"),
+                                          F.countDistinct("event_id").alias("n_ids"))

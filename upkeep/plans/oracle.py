@@ -529,3 +529,11 @@ k AS (SELECT *, row_number() OVER (PARTITION BY file, base ORDER BY pos) - 1 AS
 SELECT file AS doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN kth = 0 THEN base ELSE base || '__' || CAST(kth AS VARCHAR) END AS name
 FROM k
 """
+
+ORACLE["stream_daily_volume"] = """
+SELECT date_trunc('day', ts) AS day_start, count(*) AS n_requests FROM events WHERE ts IS NOT NULL GROUP BY 1
+"""
+
+ORACLE["stream_dedup_feed"] = """
+SELECT event_type, count(DISTINCT event_id) AS n_events, count(DISTINCT event_id) AS n_ids FROM events GROUP BY 1
+"""
