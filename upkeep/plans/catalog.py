@@ -256,7 +256,7 @@ def q_forward_fill_context(spark, sf_dir):
 
 # ---- text parsers over table columns ------------------------------------------
 from upkeep.functions import (extract_label, month_from_file_name, normalize_building,  # noqa: E402
-                              abbreviate_building, parse_dollar, parse_dollar_amount,
+                              abbreviate_normalized, parse_dollar, parse_dollar_amount,
                               parse_purchase_year, parse_repair_hours, strip_html, parse_date)
 
 
@@ -286,15 +286,15 @@ def _order_texts(spark, sf_dir):
 
 def q_text_functions(spark, sf_dir):
     """Label, money, year, building, file-month, hours and date parsers over text built from orders."""
-    t = _order_texts(spark, sf_dir)
+    t = _order_texts(spark, sf_dir).withColumn("_bld", normalize_building("location_text"))
     return t.select(
         "o_orderkey",
         extract_label("label_text", "order id").alias("label"),
         parse_dollar_amount("money_text").alias("amount"),
         parse_dollar("money_text").alias("amount_or_zero"),
         parse_purchase_year("year_text").alias("purchase_year"),
-        normalize_building("location_text").alias("building"),
-        abbreviate_building("location_text").alias("building_code"),
+        F.col("_bld").alias("building"),
+        abbreviate_normalized("_bld").alias("building_code"),
         month_from_file_name("file_name").alias("file_month"),
         parse_repair_hours("details", "row_text").alias("hours"),
         parse_date("date_text").alias("parsed_date"))
