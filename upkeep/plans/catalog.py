@@ -484,3 +484,25 @@ def q_stream_dedup_feed(spark, sf_dir):
     feed = dedup_feed(spark, sf_dir, EVENTS_SCHEMA, "event_id", "ts", glob="events.parquet")
     return feed.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_events"),
                                           F.countDistinct("event_id").alias("n_ids"))
+
+
+# ---- catalog model matching and catalog price ----------------------------------
+from upkeep.operators.catalog_match import load_catalog, match_catalog  # noqa: E402
+
+
+def q_catalog_match(spark, sf_dir):
+    """Each distinct equipment name matched to a catalog model (tier 1-4) or none."""
+    models, _ = load_catalog(bench.catalog_rows(spark, sf_dir))
+    return match_catalog(bench.equipment_names(spark, sf_dir), "equip_name", models)
+
+
+def q_catalog_price(spark, sf_dir):
+    """Catalog price of every part with a purchase year: matched model, nearest catalog year."""
+    models, prices = load_catalog(bench.catalog_rows(spark, sf_dir))
+    names = bench.equipment_names(spark, sf_dir)
+    m = match_catalog(names, "equip_name", models)
+    targets = names.join(m, "equip_name").join(bench.purchase_book(spark, sf_dir).select("equip_id", "year"),
+                                               "equip_id") \
+                   .where(F.col("model").isNotNull()) \
+                   .select("equip_id", "model", F.col("year").alias("target_year"))
+    return nearest_year_price(targets, prices)

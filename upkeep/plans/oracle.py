@@ -537,3 +537,19 @@ SELECT date_trunc('day', ts) AS day_start, count(*) AS n_requests FROM events WH
 ORACLE["stream_dedup_feed"] = """
 SELECT event_type, count(DISTINCT event_id) AS n_events, count(DISTINCT event_id) AS n_ids FROM events GROUP BY 1
 """
+
+ORACLE["catalog_match"] = f"""
+WITH {X.equipment_names_cte()}, {X.catalog_ctes()}, {X.catalog_match_ctes('en', 'equip_name')}
+SELECT name AS equip_name, model, match_tier FROM cmatch
+"""
+
+ORACLE["catalog_price"] = f"""
+WITH {X.equipment_names_cte()}, {X.catalog_ctes()}, {X.catalog_match_ctes('en', 'equip_name')},
+pb AS (SELECT l_partkey AS equip_id, year(min(l_shipdate)) AS year FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1),
+t AS (SELECT en.equip_id, cmatch.model, pb.year AS target_year FROM en JOIN cmatch ON cmatch.name = en.equip_name
+      JOIN pb ON pb.equip_id = en.equip_id WHERE cmatch.model IS NOT NULL),
+c AS (SELECT t.*, cp.year AS catalog_year, cp.price,
+             row_number() OVER (PARTITION BY t.equip_id ORDER BY abs(cp.year - t.target_year), cp.year) AS rn
+      FROM t LEFT JOIN cp ON cp.model = t.model)
+SELECT equip_id, model, target_year, catalog_year, price FROM c WHERE rn = 1
+"""

@@ -220,3 +220,77 @@ def equipment_names_cte() -> str:
 en AS (SELECT p_partkey AS equip_id, regexp_replace(trim(concat_ws(' ', {maker}, {kind}, CAST(p_size AS VARCHAR))),
                                                     '  +', ' ', 'g') AS equip_name,
               p_retailprice AS cost FROM part)"""
+
+
+def catalog_ctes() -> str:
+    """cm(model, norm_name, category, ord, tokens) and cp(model, year, price) for the bench catalog."""
+    from upkeep.operators.catalog_match import BRAND_TOKENS, CATALOG_STOPWORDS
+    from upkeep.sources.bench import KIND_BY_NOUN, MAKER_BY_ADJECTIVE
+    maker = _case_map("split_part(p_name, ' ', 1)", MAKER_BY_ADJECTIVE, "''")
+    kind = _case_map("split_part(p_name, ' ', -1)", KIND_BY_NOUN, "''")
+    size = "CAST(p_size AS VARCHAR)"
+    model = (f"regexp_replace(trim(CASE WHEN split_part(p_name, ' ', -1) = 'anvil' "
+             f"THEN concat_ws(' ', {maker}, 'i' || {size}, 'walk-behind scrubber') "
+             f"ELSE concat_ws(' ', {maker}, {kind}, {size}) END), '  +', ' ', 'g')")
+    cat = (f"CASE WHEN split_part(p_name, ' ', -1) = 'anvil' THEN 'Walk-Behind Scrubber' "
+           f"ELSE array_to_string(list_transform(string_split({kind}, ' '), "
+           f"lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') END")
+    stops = ", ".join(q(s) for s in CATALOG_STOPWORDS)
+    brands = ", ".join(q(s) for s in BRAND_TOKENS)
+    norm = ("trim(regexp_replace(regexp_replace(lower(strip_accents(model)), '[^\\w\\s]', ' ', 'g'), "
+            "'\\s+', ' ', 'g'))")
+    return f"""
+cr AS (SELECT {model} AS model, {cat} AS category, year(l_shipdate) AS year, l_extendedprice / l_quantity AS price,
+              {{'a': l_shipdate, 'b': l_orderkey, 'c': l_linenumber, 'd': l_suppkey, 'e': l_extendedprice}} AS ord
+       FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' AND p_size <= 30),
+cm0 AS (SELECT model, arg_min(category, ord) AS category, min(ord) AS ord FROM cr GROUP BY model),
+cm AS (SELECT *, {norm} AS norm_name,
+              list_filter(list_distinct(list_filter(string_split({norm}, ' '), lambda t: t <> '' AND t NOT IN ({stops}))),
+                          lambda t: regexp_matches(t, '\\d') OR t IN ({brands})) AS tokens FROM cm0),
+cp AS (SELECT model, year, arg_max(price, ord) AS price FROM cr GROUP BY model, year)"""
+
+
+def catalog_match_ctes(names_src: str, name_col: str) -> str:
+    """cmatch(name, model, match_tier) over distinct names of ``names_src``."""
+    from upkeep.operators.catalog_match import BRAND_TOKENS, CATALOG_STOPWORDS
+    stops = ", ".join(q(s) for s in CATALOG_STOPWORDS)
+    brands = ", ".join(q(s) for s in BRAND_TOKENS)
+    clean = ("trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(regexp_replace(lower(strip_accents("
+             f"coalesce({name_col}, ''))), '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g')), "
+             "'(?i)\\s*#\\s*\\d+\\s*$|\\s+number\\s+\\d+\\s*$', '')), '\\s+', ' ', 'g'))")
+    return f"""
+nm AS (SELECT DISTINCT {name_col} AS name, {clean} AS n FROM {names_src}),
+nn AS (SELECT DISTINCT n, list_filter(list_distinct(list_filter(string_split(n, ' '), lambda t: t <> '' AND t NOT IN ({stops}))),
+                                      lambda t: regexp_matches(t, '\\d') OR t IN ({brands})) AS ntok
+       FROM nm WHERE n <> ''),
+c1 AS (SELECT nn.n, cm.model, 1 AS tier,
+              CASE WHEN contains(nn.n, 'versamatic') AND contains(cm.norm_name, 'versamatic') THEN 0
+                   WHEN contains(nn.n, 'kaivac') AND contains(cm.norm_name, 'kaivac') THEN 10
+                   WHEN regexp_matches(nn.n, '\\bpuzzi\\b|\\bpriza\\b') AND contains(cm.norm_name, 'puzzi') THEN 20
+                   WHEN contains(nn.n, 'chariot') AND contains(cm.norm_name, 'chariot') THEN
+                        CASE WHEN (contains(nn.n, 'iscrub') AND contains(cm.norm_name, 'iscrub'))
+                                  OR (contains(nn.n, 'ivac') AND contains(cm.norm_name, 'ivac')) THEN 30 ELSE 31 END
+              END AS sub, 0 AS score, cm.ord
+       FROM nn, cm),
+c2 AS (SELECT nn.n, cm.model, 2 AS tier, 0 AS sub,
+              abs(CAST(regexp_extract(cm.norm_name, '\\bice i(\\d+)\\b', 1) AS INTEGER)
+                  - CAST(regexp_extract(nn.n, '\\b(1[3-9]|2[0-9]|3[0-2])\\b', 1) AS INTEGER)) AS score, cm.ord
+       FROM nn, cm
+       WHERE regexp_matches(nn.n, '\\bice\\b') AND regexp_matches(nn.n, '\\b(1[3-9]|2[0-9]|3[0-2])\\b')
+         AND contains(lower(cm.category), 'walk-behind scrubber') AND regexp_matches(cm.norm_name, '\\bice i(\\d+)\\b')),
+c3 AS (SELECT nn.n, cm.model, 3 AS tier, 0 AS sub, -length(cm.norm_name) AS score, cm.ord FROM nn, cm
+       WHERE length(cm.norm_name) >= 8 AND (contains(nn.n, cm.norm_name) OR contains(cm.norm_name, nn.n))),
+c4a AS (SELECT nn.n, cm.model, cm.norm_name, cm.ord, cm.tokens, list_intersect(nn.ntok, cm.tokens) AS ov
+        FROM nn, cm WHERE len(cm.tokens) > 0),
+c4 AS (SELECT n, model, 4 AS tier, 0 AS sub,
+              -CAST(len(ov) / len(tokens) * 1000000 AS BIGINT) * 1000 - length(norm_name) AS score, ord
+       FROM c4a
+       WHERE len(ov) > 0 AND len(list_filter(ov, lambda t: NOT regexp_full_match(t, '\\d+[a-z]*'))) > 0
+         AND (len(list_filter(tokens, lambda t: regexp_matches(t, '\\d'))) = 0
+              OR len(list_intersect(ov, list_filter(tokens, lambda t: regexp_matches(t, '\\d')))) > 0)
+         AND len(ov) / len(tokens) >= 0.5),
+call AS (SELECT * FROM c1 WHERE sub IS NOT NULL UNION ALL SELECT * FROM c2 WHERE score <= 2
+         UNION ALL SELECT * FROM c3 UNION ALL SELECT * FROM c4),
+cbest AS (SELECT n, model, tier FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY tier, sub, score, ord) AS rn
+                                      FROM call) WHERE rn = 1),
+cmatch AS (SELECT nm.name, cbest.model, cbest.tier AS match_tier FROM nm LEFT JOIN cbest ON cbest.n = nm.n)"""

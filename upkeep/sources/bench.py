@@ -182,3 +182,24 @@ def equipment_names(spark: SparkSession, sf_dir: str) -> DataFrame:
                               F.col("p_size").cast("string")))
     return p.select(F.col("p_partkey").alias("equip_id"), F.regexp_replace(name, "  +", " ").alias("equip_name"),
                     F.col("p_retailprice").alias("cost"), F.col("p_size").alias("size"))
+
+
+def catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalog price list (model, category, year, price as text, row_ord) from
+    returned line items of parts up to size 30: model names follow the equipment
+    vocabulary (walk-behind scrubbers as ``<maker> i<size> walk-behind scrubber``)."""
+    p = read(spark, sf_dir, "part").where(F.col("p_size") <= 30)
+    adj = F.substring_index("p_name", " ", 1)
+    noun = F.substring_index("p_name", " ", -1)
+    maker = _lookup(MAKER_BY_ADJECTIVE, adj)
+    kind = _lookup(KIND_BY_NOUN, noun)
+    size = F.col("p_size").cast("string")
+    model = F.when(noun == "anvil", F.concat_ws(" ", maker, F.concat(F.lit("i"), size), F.lit("walk-behind scrubber"))) \
+             .otherwise(F.concat_ws(" ", maker, kind, size))
+    cat = F.when(noun == "anvil", F.lit("Walk-Behind Scrubber")).otherwise(F.initcap(kind))
+    p = p.select("p_partkey", F.regexp_replace(F.trim(model), "  +", " ").alias("model"), cat.alias("category"))
+    li = read(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R")
+    j = li.join(p, li.l_partkey == p.p_partkey)
+    return j.select("model", "category", F.year("l_shipdate").cast("string").alias("year"),
+                    F.concat(F.lit("$"), (F.col("l_extendedprice") / F.col("l_quantity")).cast("string")).alias("price"),
+                    F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice").alias("row_ord"))
