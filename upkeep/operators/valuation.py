@@ -85,3 +85,40 @@ def price_cascade(assets: DataFrame, *, purchase: DataFrame | None = None, catal
 # ---- fixed values: display labels of price sources ----------------------------
 PRICE_SOURCE_LABEL = {"purchase": "Purchase", "custodial": "Catalog", "valuation": "Valuation",
                       "service": "Service", "": "—"}
+
+
+def scored_keyword_price(keys: DataFrame, sheet: DataFrame, key_col: str = "keyword",
+                         order_col: str = "sheet_ord") -> DataFrame:
+    """Sheet price for each keyword: exact key; else, for a branded key, the
+    same-brand sheet row scoring +4 for the same category and +2 for the same
+    size (a different size excludes the row; earlier sheet row on ties); else,
+    for an unbranded key, the first unbranded row of the same category whose
+    size agrees when the key has one. Candidate rows come from equi joins on
+    the brand or the category."""
+    from upkeep.functions.keywords import keyword_parts
+    k = keys.select(key_col).where(F.col(key_col).isNotNull()).distinct() \
+            .withColumn("_p", keyword_parts(key_col)) \
+            .select(key_col, F.col("_p.category").alias("k_cat"), F.col("_p.brand").alias("k_brand"),
+                    F.col("_p.size").alias("k_size"))
+    s = sheet.withColumn("_p", keyword_parts("keyword")) \
+             .select(F.col("keyword").alias("s_key"), "price", F.col(order_col).alias("s_ord"),
+                     F.col("_p.category").alias("s_cat"), F.col("_p.brand").alias("s_brand"),
+                     F.col("_p.size").alias("s_size"))
+    exact = k.join(s, k[key_col] == s.s_key).select(key_col, F.col("price").alias("_exact"))
+    br = k.where(F.col("k_brand").isNotNull()).join(s, F.col("k_brand") == F.col("s_brand")) \
+          .where(~(F.col("k_size").isNotNull() & F.col("s_size").isNotNull() & (F.col("k_size") != F.col("s_size"))))
+    score = F.when(F.col("s_cat") == F.col("k_cat"), 4).otherwise(0) + \
+        F.when(F.col("k_size").isNotNull() & (F.col("s_size") == F.col("k_size")), 2).otherwise(0)
+    branded = br.groupBy(key_col).agg(F.min_by("price", F.struct((-score).alias("a"), F.col("s_ord").alias("b")))
+                                      .alias("_branded"))
+    ub = k.where(F.col("k_brand").isNull()).join(s.where(F.col("s_brand").isNull()),
+                                                 F.col("k_cat") == F.col("s_cat")) \
+          .where(F.col("k_size").isNull() | (F.col("s_size") == F.col("k_size")))
+    unbranded = ub.groupBy(key_col).agg(F.min_by("price", "s_ord").alias("_unbranded"))
+    out = k.join(exact, key_col, "left").join(branded, key_col, "left").join(unbranded, key_col, "left")
+    price = F.when(F.col("_exact").isNotNull(), F.col("_exact")) \
+             .when(F.col("k_brand").isNotNull(), F.col("_branded")).otherwise(F.col("_unbranded"))
+    src = F.when(F.col("_exact").isNotNull(), "exact").when(price.isNotNull(),
+                                                            F.when(F.col("k_brand").isNotNull(), "brand")
+                                                            .otherwise("category"))
+    return out.select(key_col, price.alias("price"), src.alias("match"))

@@ -506,3 +506,15 @@ def q_catalog_price(spark, sf_dir):
                    .where(F.col("model").isNotNull()) \
                    .select("equip_id", "model", F.col("year").alias("target_year"))
     return nearest_year_price(targets, prices)
+
+
+def q_scored_price_lookup(spark, sf_dir):
+    """Keywords of all parts priced from a sheet built from parts up to size 25."""
+    from upkeep.operators.valuation import scored_keyword_price
+    keyed = _keyed_names(spark, sf_dir)
+    pb = bench.purchase_book(spark, sf_dir).select("equip_id", "year")
+    small = keyed.where(F.col("size") <= 25).join(pb, "equip_id", "left").select("keyword", "year", "cost")
+    sheet = keyword_medians(small, "cost").select("keyword", F.col("median_price").alias("price"))
+    sheet = with_keyword_label(sheet, "keyword", "label") \
+        .withColumn("sheet_ord", F.struct(F.lower("label").alias("l"), F.col("keyword").alias("k")))
+    return scored_keyword_price(keyed.select("keyword"), sheet)

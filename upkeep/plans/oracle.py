@@ -553,3 +553,36 @@ c AS (SELECT t.*, cp.year AS catalog_year, cp.price,
       FROM t LEFT JOIN cp ON cp.model = t.model)
 SELECT equip_id, model, target_year, catalog_year, price FROM c WHERE rn = 1
 """
+
+ORACLE["scored_price_lookup"] = f"""
+WITH {_KW},
+sm AS (SELECT kw.keyword, median(en.cost) AS price FROM en JOIN part ON p_partkey = en.equip_id
+       LEFT JOIN kw ON kw.name = en.equip_name WHERE p_size <= 25 AND kw.keyword IS NOT NULL AND en.cost > 0
+       GROUP BY kw.keyword),
+lab AS (SELECT DISTINCT keyword, label FROM kw WHERE keyword IS NOT NULL),
+sheet AS (SELECT sm.keyword, sm.price, lower(lab.label) AS l FROM sm JOIN lab USING (keyword)),
+parts AS (SELECT keyword, string_split(keyword, '|')[1] AS cat,
+                 list_filter(string_split(keyword, '|')[2:], lambda p: regexp_full_match(p, '\\d+') OR suffix(p, 'ft'))[-1] AS size,
+                 list_filter(string_split(keyword, '|')[2:], lambda p: NOT (regexp_full_match(p, '\\d+') OR suffix(p, 'ft')))[-1] AS brand
+          FROM (SELECT DISTINCT keyword FROM kw WHERE keyword IS NOT NULL
+                UNION SELECT keyword FROM sheet)),
+k AS (SELECT DISTINCT kw.keyword, p.cat, p.brand, p.size FROM en JOIN kw ON kw.name = en.equip_name
+      JOIN parts p ON p.keyword = kw.keyword WHERE kw.keyword IS NOT NULL),
+s AS (SELECT sheet.*, p.cat, p.brand, p.size FROM sheet JOIN parts p USING (keyword)),
+br AS (SELECT k.keyword, s.price, row_number() OVER (PARTITION BY k.keyword ORDER BY
+              -((CASE WHEN s.cat = k.cat THEN 4 ELSE 0 END) + (CASE WHEN k.size IS NOT NULL AND s.size = k.size THEN 2 ELSE 0 END)),
+              s.l, s.keyword) AS rn
+       FROM k JOIN s ON s.brand = k.brand
+       WHERE k.brand IS NOT NULL AND NOT (k.size IS NOT NULL AND s.size IS NOT NULL AND k.size <> s.size)),
+ub AS (SELECT k.keyword, s.price, row_number() OVER (PARTITION BY k.keyword ORDER BY s.l, s.keyword) AS rn
+       FROM k JOIN s ON s.cat = k.cat AND s.brand IS NULL
+       WHERE k.brand IS NULL AND (k.size IS NULL OR s.size = k.size))
+SELECT k.keyword,
+       CASE WHEN ex.price IS NOT NULL THEN ex.price WHEN k.brand IS NOT NULL THEN br.price ELSE ub.price END AS price,
+       CASE WHEN ex.price IS NOT NULL THEN 'exact'
+            WHEN (CASE WHEN k.brand IS NOT NULL THEN br.price ELSE ub.price END) IS NOT NULL
+            THEN CASE WHEN k.brand IS NOT NULL THEN 'brand' ELSE 'category' END END AS match
+FROM k LEFT JOIN sheet ex ON ex.keyword = k.keyword
+LEFT JOIN (SELECT * FROM br WHERE rn = 1) br ON br.keyword = k.keyword
+LEFT JOIN (SELECT * FROM ub WHERE rn = 1) ub ON ub.keyword = k.keyword
+"""
