@@ -518,3 +518,25 @@ def q_scored_price_lookup(spark, sf_dir):
     sheet = with_keyword_label(sheet, "keyword", "label") \
         .withColumn("sheet_ord", F.struct(F.lower("label").alias("l"), F.col("keyword").alias("k")))
     return scored_keyword_price(keyed.select("keyword"), sheet)
+
+
+# ---- category resolution ----------------------------------------------------------
+from upkeep.operators.category import equipment_row_category, resolve_category, type_map  # noqa: E402
+
+
+def q_category_resolve(spark, sf_dir):
+    """Category per part two ways: type map (parts up to size 20) -> summary type
+    ('Other' above size 40) -> name rules -> Other; and the equipment-row order
+    (own summary type first)."""
+    p = bench.read(spark, sf_dir, "part")
+    names = bench.equipment_names(spark, sf_dir).select("equip_id", "equip_name")
+    tm = type_map(p.where(F.col("p_size") <= 20).select(F.col("p_partkey").alias("equip_id"),
+                                                          F.col("p_type").alias("equip_type"),
+                                                          F.col("p_partkey").alias("row_ord")))
+    summ = p.select(F.col("p_partkey").alias("equip_id"),
+                    F.when(F.col("p_size") > 40, F.lit("Other")).otherwise(F.initcap("p_type")).alias("equip_type"))
+    a = resolve_category(names, "equip_name", tm, summ)
+    rows = names.join(summ.withColumnRenamed("equip_type", "summary_type")
+                      .where(F.col("summary_type") != "Other"), "equip_id", "left")
+    b = equipment_row_category(rows, "equip_name", "summary_type", tm, out="row_category")
+    return a.select("equip_id", "category").join(b.select("equip_id", "row_category"), "equip_id")

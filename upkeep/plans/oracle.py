@@ -586,3 +586,15 @@ FROM k LEFT JOIN sheet ex ON ex.keyword = k.keyword
 LEFT JOIN (SELECT * FROM br WHERE rn = 1) br ON br.keyword = k.keyword
 LEFT JOIN (SELECT * FROM ub WHERE rn = 1) ub ON ub.keyword = k.keyword
 """
+
+ORACLE["category_resolve"] = f"""
+WITH {_KW},
+tm AS (SELECT p_partkey AS equip_id, nullif(trim(p_type), '') AS t FROM part WHERE p_size <= 20),
+sm AS (SELECT p_partkey AS equip_id, CASE WHEN p_size > 40 THEN 'Other'
+                                          ELSE upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) END AS s FROM part)
+SELECT en.equip_id,
+       coalesce(tm.t, CASE WHEN sm.s <> 'Other' THEN sm.s END, nullif(trim(kw.equip_type), ''), 'Other') AS category,
+       coalesce(CASE WHEN sm.s <> 'Other' THEN sm.s END, tm.t, nullif(trim(kw.equip_type), ''), 'Other') AS row_category
+FROM en LEFT JOIN tm ON tm.equip_id = en.equip_id LEFT JOIN sm ON sm.equip_id = en.equip_id
+LEFT JOIN kw ON kw.name = en.equip_name
+"""
