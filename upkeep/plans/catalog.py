@@ -540,3 +540,25 @@ def q_category_resolve(spark, sf_dir):
                       .where(F.col("summary_type") != "Other"), "equip_id", "left")
     b = equipment_row_category(rows, "equip_name", "summary_type", tm, out="row_category")
     return a.select("equip_id", "category").join(b.select("equip_id", "row_category"), "equip_id")
+
+
+# ---- cleaning and loading jobs over raw export grids --------------------------------
+from upkeep.plans.jobs import clean_repairs_rows, load_repairs_grid  # noqa: E402
+
+
+def q_repairs_ingest(spark, sf_dir):
+    """Repair exports (two header layouts) loaded into canonical rows; totals per month."""
+    rows = load_repairs_grid(bench.repairs_export_grid(spark, sf_dir))
+    return rows.groupBy("month_key").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("equip_id").alias("n_ids"),
+        F.round(F.sum("hours"), 2).alias("hours"), F.round(F.sum("parts"), 2).alias("parts"),
+        F.round(F.sum("labor"), 2).alias("labor"), F.round(F.sum("total"), 2).alias("total"))
+
+
+def q_repairs_clean(spark, sf_dir):
+    """Raw repair row exports cleaned (labels, hours text, labor); totals per file month."""
+    rows = clean_repairs_rows(bench.repairs_row_export_grid(spark, sf_dir))
+    return rows.groupBy("month_key").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("hours"), 2).alias("hours"),
+        F.round(F.sum("parts"), 2).alias("parts"), F.round(F.sum("labor"), 2).alias("labor"),
+        F.count_if(F.col("vendor") == "—").alias("no_vendor"))

@@ -598,3 +598,25 @@ SELECT en.equip_id,
 FROM en LEFT JOIN tm ON tm.equip_id = en.equip_id LEFT JOIN sm ON sm.equip_id = en.equip_id
 LEFT JOIN kw ON kw.name = en.equip_name
 """
+
+ORACLE["repairs_ingest"] = """
+WITH r AS (SELECT strftime(l_shipdate, '%Y-%m') AS month_key, l_partkey, l_quantity / 10.0::DOUBLE AS h,
+                  l_extendedprice * l_discount / 1000.0::DOUBLE AS p,
+                  round_even(l_quantity / 10.0::DOUBLE * 12.5::DOUBLE, 2) AS l FROM lineitem WHERE l_shipdate IS NOT NULL)
+SELECT month_key, count(*) AS n_rows, count(DISTINCT l_partkey) AS n_ids, round(sum(h), 2) AS hours,
+       round(sum(p), 2) AS parts, round(sum(l), 2) AS labor, round(sum(p + l), 2) AS total
+FROM r GROUP BY month_key
+"""
+
+ORACLE["repairs_clean"] = """
+WITH r AS (SELECT CASE WHEN year(l_shipdate) >= 2000 THEN strftime(l_shipdate, '%Y-%m')
+                       ELSE '2026-' || strftime(l_shipdate, '%m') END AS month_key,
+                  CASE WHEN l_returnflag = 'N' THEN l_quantity / 10.0::DOUBLE WHEN l_returnflag = 'A' THEN 0.5
+                       ELSE 1.0 END AS h,
+                  l_extendedprice * l_discount / 1000.0::DOUBLE AS p, s_name
+           FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey WHERE l_shipdate IS NOT NULL)
+SELECT month_key, count(*) AS n_rows, round(sum(h), 2) AS hours, round(sum(p), 2) AS parts,
+       round(sum(round_even(h * 12.5::DOUBLE, 2)), 2) AS labor,
+       count(*) FILTER (WHERE coalesce(s_name, '') = '') AS no_vendor
+FROM r GROUP BY month_key
+"""

@@ -203,3 +203,68 @@ def catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("model", "category", F.year("l_shipdate").cast("string").alias("year"),
                     F.concat(F.lit("$"), (F.col("l_extendedprice") / F.col("l_quantity")).cast("string")).alias("price"),
                     F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice").alias("row_ord"))
+
+
+# ---- raw export grids built from line items ----------------------------------------
+def _export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read(spark, sf_dir, "lineitem")
+    names = equipment_names(spark, sf_dir).select(F.col("equip_id").alias("_pid"), "equip_name")
+    loc = supplier_location(spark, sf_dir)
+    sup = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("_sid"), "s_name")
+    j = li.join(names, li.l_partkey == names._pid, "left").join(loc, li.l_suppkey == loc.s_suppkey, "left") \
+          .join(sup, li.l_suppkey == sup._sid, "left")
+    hours = F.col("l_quantity") / F.lit(10.0)
+    parts = F.col("l_extendedprice") * F.col("l_discount") / F.lit(1000.0)
+    labor = F.bround(hours * F.lit(12.5), 2)
+    return j.select("*", hours.alias("_hours"), parts.alias("_parts"), labor.alias("_labor"))
+
+
+def repairs_export_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned repair exports as a raw grid, one file per ship month. Files up to
+    2000 have two preamble rows and a '#' index column; later files have one
+    preamble row, no index column and alias headers (Repair Date, Equipment, Asset ID)."""
+    r = _export_rows(spark, sf_dir)
+    file = F.concat(F.date_format("l_shipdate", "MMMM yyyy"), F.lit(" Repair List.csv"))
+    new = F.year("l_shipdate") > 2000
+    s = lambda c: F.col(c).cast("string")
+    common = [F.coalesce(F.col("equip_name"), F.lit("")), s("l_partkey"), F.coalesce(F.col("location"), F.lit("")),
+              F.coalesce(F.col("s_name"), F.lit("")), F.lit("1"), s("_hours"), s("_parts"), s("_labor"),
+              (F.col("_parts") + F.col("_labor")).cast("string")]
+    date_txt = F.date_format("l_shipdate", "yyyy-MM-dd")
+    idx = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string")
+    cells = F.when(new, F.array(date_txt, *common)).otherwise(F.array(idx, date_txt, *common))
+    data = r.select(file.alias("file"), (F.lit(100) + F.monotonically_increasing_id()).alias("row_no"),
+                    cells.alias("cells"))
+    files = r.select(file.alias("file"), new.alias("new")).distinct()
+    old_hdr = list(("#", "Completed Date", "Equipment Name", "Equipment ID", "Location", "Service Vendor",
+                    "# of Repairs", "Repair Person-Hrs", "Parts Cost $", "Total Labor $", "Est. Total $"))
+    new_hdr = ["Repair Date", "Equipment", "Asset ID"] + old_hdr[4:]
+    title = files.select("file", F.lit(0).cast("long").alias("row_no"),
+                         F.array(F.concat(F.lit("Equipment Repair Log | "), F.col("file"))).alias("cells"))
+    gen = files.where(~F.col("new")).select("file", F.lit(1).cast("long").alias("row_no"),
+                                           F.array(F.lit("Generated from row export")).alias("cells"))
+    hdr = files.select("file", F.when(F.col("new"), F.lit(1)).otherwise(F.lit(2)).cast("long").alias("row_no"),
+                       F.when(F.col("new"), F.array(*[F.lit(h) for h in new_hdr]))
+                        .otherwise(F.array(*[F.lit(h) for h in old_hdr])).alias("cells"))
+    return title.unionByName(gen).unionByName(hdr).unionByName(data)
+
+
+def repairs_row_export_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw repair row exports (labelled cells, header on line 0), one file per ship month."""
+    r = _export_rows(spark, sf_dir)
+    file = F.concat(F.date_format("l_shipdate", "MMMM yyyy"), F.lit(" Repair Export.csv"))
+    details = (F.when(F.col("l_returnflag") == "N", F.concat(F.col("_hours").cast("string"), F.lit(" hrs")))
+               .when(F.col("l_returnflag") == "A", F.lit("found")))
+    cells = F.array(F.concat(F.lit("Equip. Name: "), F.coalesce("equip_name", F.lit(""))),
+                    F.concat(F.lit("Equipment Id: "), F.col("l_partkey").cast("string")),
+                    F.concat(F.lit("Location: "), F.coalesce("location", F.lit(""))),
+                    F.concat(F.lit("Service Vendor: "), F.coalesce("s_name", F.lit(""))),
+                    F.date_format("l_shipdate", "M/d/yyyy"),
+                    F.concat(F.lit("$"), F.col("_parts").cast("string")), details)
+    data = r.select(file.alias("file"), (F.lit(1) + F.monotonically_increasing_id()).alias("row_no"),
+                    cells.alias("cells"))
+    hdr = data.select("file").distinct().select(
+        "file", F.lit(0).cast("long").alias("row_no"),
+        F.array(*[F.lit(h) for h in ("PersonnelId5", "PersonnelId1", "PersonnelId4", "PersonnelId3",
+                                     "CompletedDate1", "Textbox38", "Details")]).alias("cells"))
+    return hdr.unionByName(data)

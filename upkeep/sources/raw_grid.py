@@ -125,3 +125,35 @@ def pick(rec: str | Column, *aliases: str) -> Column:
         val = F.try_element_at(hits, F.lit(-1))["value"]
         out = F.when(cond, val) if out is None else out.when(cond, val)
     return out if out is not None else F.lit(None).cast("string")
+
+
+def resolve_columns(names: Column, spec: dict, key_fn) -> list[Column]:
+    """For each output in ``spec`` (name -> alias keys in priority order) the
+    header name to read, found once per file from its header names: first alias
+    present; when two headers normalise alike the later one wins."""
+    out = []
+    for name, keys in spec.items():
+        v = None
+        for k in keys:
+            hits = F.filter(names, lambda n: key_fn(n) == F.lit(k))
+            c = F.when(F.size(hits) > 0, F.try_element_at(hits, F.lit(-1)))
+            v = c if v is None else F.coalesce(v, c)
+        out.append(v.alias("_c_" + name))
+    return out
+
+
+def records_resolved(grid: DataFrame, headers: DataFrame, spec: dict, key_fn) -> DataFrame:
+    """Like ``records`` plus one ``_c_<name>`` column per spec entry holding the
+    resolved header name (null when the file lacks the column). Resolution runs
+    on one row per file; rows then read ``element_at(rec, _c_<name>)``."""
+    hn = header_names(grid, headers)
+    hn = hn.select(F.col("file").alias("_nf"), "header_row", "names", *resolve_columns(F.col("names"), spec, key_fn))
+    g = grid.join(hn, F.col("file") == F.col("_nf")).where(F.col("row_no") > F.col("header_row"))
+    n = F.least(F.size("names"), F.size("cells"))
+    rec = F.map_from_arrays(F.slice("names", 1, n), F.slice("cells", 1, n))
+    return g.select("file", "row_no", rec.alias("rec"), *[F.col("_c_" + k) for k in spec])
+
+
+def field(name: str) -> Column:
+    """Cell of a resolved column (null when the file has no such column)."""
+    return F.element_at(F.col("rec"), F.col("_c_" + name))
