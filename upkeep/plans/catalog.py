@@ -562,3 +562,21 @@ def q_repairs_clean(spark, sf_dir):
         F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("hours"), 2).alias("hours"),
         F.round(F.sum("parts"), 2).alias("parts"), F.round(F.sum("labor"), 2).alias("labor"),
         F.count_if(F.col("vendor") == "—").alias("no_vendor"))
+
+
+def q_requests_clean(spark, sf_dir):
+    """Raw request exports cleaned; rows and file month per accepted file, plus rejected files."""
+    from upkeep.plans.jobs import clean_requests_grid
+    rows, rejected = clean_requests_grid(bench.requests_export_grid(spark, sf_dir))
+    ok = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n_rows"), F.first("file_month").alias("file_month"),
+                                  F.countDistinct("requestor").alias("n_requestors"))
+    return ok.withColumn("rejected", F.lit(False)).unionByName(
+        rejected.select("file", F.lit(0).cast("long").alias("n_rows"), F.lit(None).cast("string").alias("file_month"),
+                        F.lit(0).cast("long").alias("n_requestors"), F.lit(True).alias("rejected")))
+
+
+def q_requests_load(spark, sf_dir):
+    """Request exports loaded (header found or row 1); requests per month and file."""
+    from upkeep.plans.jobs import load_requests_grid
+    r = load_requests_grid(bench.requests_export_grid(spark, sf_dir))
+    return r.groupBy("file", "month_key").agg(F.count(F.lit(1)).alias("n_rows"))

@@ -111,3 +111,45 @@ def clean_repairs_rows(grid: DataFrame, labor_rate: float = P.LABOR_RATE_PER_HOU
          .withColumn("repairs", F.lit(1)) \
          .withColumn("month_key", month_from_file_name("file"))
     return r
+
+
+REQUEST_COLUMNS = ("Work Order #", "Request Date", "Requestor", "Request", "Assigned To")
+
+
+def clean_requests_grid(grid: DataFrame, default_year: int = P.DEFAULT_FILE_YEAR):
+    """Raw request exports -> (cleaned rows, rejected files).
+
+    The header row is the first of the first 25 rows whose first cell is
+    'Work Order #'; files without one are returned as rejected. Rows need a
+    work order that is not blank and does not start with 'total', and a
+    parseable request date (written MM/dd/yyyy). Each file's month comes from
+    its name, else from the first kept row."""
+    headers = find_header_rows(grid, "Work Order #", 25, None)
+    rejected = headers.where(F.col("header_row").isNull()).select("file")
+    spec = {c: (c.strip().lower(),) for c in REQUEST_COLUMNS}
+    r = records_resolved(grid, headers.where(F.col("header_row").isNotNull()), spec,
+                         lambda k: F.lower(strip_ws(k)))
+    wo = strip_ws(field("Work Order #"))
+    d = parse_date(field("Request Date"))
+    r = r.where(wo.isNotNull() & (wo != "") & ~F.lower(wo).startswith("total") & d.isNotNull())
+    out = r.select("file", "row_no", wo.alias("work_order"), F.date_format(d, "MM/dd/yyyy").alias("request_date"),
+                   field("Requestor").alias("requestor"), field("Request").alias("request"),
+                   F.coalesce(field("Assigned To"), F.lit("")).alias("assigned_to"), month_key(d).alias("_m"))
+    first = out.groupBy("file").agg(F.min_by("_m", "row_no").alias("_first_m"))
+    out = out.join(first, "file").withColumn(
+        "file_month", F.coalesce(month_from_file_name("file", default_year), F.col("_first_m"))).drop("_m", "_first_m")
+    return out, rejected
+
+
+def load_requests_grid(grid: DataFrame) -> DataFrame:
+    """Cleaned request exports -> requests (header 'Work Order #' in the first 10
+    rows, else row 1; drop rows whose work order is null or starts with 'Total';
+    dates M/d/yyyy, bad -> null)."""
+    spec = {c: (c,) for c in REQUEST_COLUMNS}
+    r = records_resolved(grid, find_header_rows(grid, "Work Order #", 10, 1), spec, lambda k: strip_ws(k))
+    wo = field("Work Order #")
+    r = r.where(wo.isNotNull() & ~wo.startswith("Total"))
+    d = F.try_to_date(strip_ws(field("Request Date")), "M/d/yyyy")
+    return r.select("file", "row_no", wo.alias("work_order"), d.alias("request_date"),
+                    field("Requestor").alias("requestor"), field("Request").alias("request"),
+                    F.coalesce(field("Assigned To"), F.lit("")).alias("assigned_to"), month_key(d).alias("month_key"))

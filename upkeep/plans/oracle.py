@@ -620,3 +620,16 @@ SELECT month_key, count(*) AS n_rows, round(sum(h), 2) AS hours, round(sum(p), 2
        count(*) FILTER (WHERE coalesce(s_name, '') = '') AS no_vendor
 FROM r GROUP BY month_key
 """
+
+ORACLE["requests_clean"] = """
+SELECT event_type || ' requests.csv' AS file, count(*) AS n_rows,
+       strftime(arg_min(ts, event_id), '%Y-%m') AS file_month, count(DISTINCT user_id) AS n_requestors, false AS rejected
+FROM events WHERE event_type <> 'error' AND ts IS NOT NULL GROUP BY event_type
+UNION ALL
+SELECT DISTINCT event_type || ' requests.csv', 0, NULL, 0, true FROM events WHERE event_type = 'error'
+"""
+
+ORACLE["requests_load"] = """
+SELECT event_type || ' requests.csv' AS file, strftime(ts, '%Y-%m') AS month_key, count(*) AS n_rows
+FROM events WHERE event_type <> 'error' GROUP BY 1, 2
+"""

@@ -268,3 +268,26 @@ def repairs_row_export_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(*[F.lit(h) for h in ("PersonnelId5", "PersonnelId1", "PersonnelId4", "PersonnelId3",
                                      "CompletedDate1", "Textbox38", "Details")]).alias("cells"))
     return hdr.unionByName(data)
+
+
+def requests_export_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw request exports from events: one file per event type (no month in the
+    name), three title rows, the 'Work Order #' header, the rows, and a trailing
+    'Total requests' row; 'error' files come without a header row."""
+    e = read(spark, sf_dir, "events")
+    file = F.concat(F.col("event_type"), F.lit(" requests.csv"))
+    data = e.select(file.alias("file"), (F.lit(10) + F.col("event_id")).alias("row_no"),
+                    F.array(F.col("event_id").cast("string"), F.date_format("ts", "MM/dd/yyyy"),
+                            F.col("user_id").cast("string"), F.col("event_type"),
+                            F.format_number("value", 2)).alias("cells"))
+    files = e.select(file.alias("file"), F.col("event_type")).distinct()
+    titles = files.select("file", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("row_no")) \
+                  .withColumn("row_no", F.col("row_no").cast("long")) \
+                  .withColumn("cells", F.array(F.lit("Work Request Report")))
+    hdr = files.where(F.col("event_type") != "error").select(
+        "file", F.lit(3).cast("long").alias("row_no"),
+        F.array(*[F.lit(h) for h in ("Work Order #", "Request Date", "Requestor", "Request", "Assigned To")])
+        .alias("cells"))
+    total = files.select("file", F.lit(10 ** 15).cast("long").alias("row_no"),
+                         F.array(F.lit("Total requests"), F.lit("")).alias("cells"))
+    return titles.unionByName(hdr).unionByName(data).unionByName(total)

@@ -134,9 +134,10 @@ def resolve_columns(names: Column, spec: dict, key_fn) -> list[Column]:
     out = []
     for name, keys in spec.items():
         v = None
+        rkeys = F.reverse(F.transform(names, key_fn))
         for k in keys:
-            hits = F.filter(names, lambda n: key_fn(n) == F.lit(k))
-            c = F.when(F.size(hits) > 0, F.try_element_at(hits, F.lit(-1)))
+            pos = F.array_position(rkeys, F.lit(k))  # 1-based from the end: later header wins
+            c = F.when(pos > 0, F.try_element_at(names, (-pos).cast("int")))
             v = c if v is None else F.coalesce(v, c)
         out.append(v.alias("_c_" + name))
     return out
