@@ -580,3 +580,14 @@ def q_requests_load(spark, sf_dir):
     from upkeep.plans.jobs import load_requests_grid
     r = load_requests_grid(bench.requests_export_grid(spark, sf_dir))
     return r.groupBy("file", "month_key").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def q_equipment_clean(spark, sf_dir):
+    """Equipment list exports cleaned into one row per id (latest purchase date)."""
+    from upkeep.plans.jobs import clean_equipment_grid
+    p = bench.read(spark, sf_dir, "part")
+    tm = type_map(p.where(F.col("p_size") <= 20).select(F.col("p_partkey").cast("string").alias("equip_id"),
+                                                          F.col("p_type").alias("equip_type"),
+                                                          F.col("p_partkey").alias("row_ord")))
+    rows, _rejected = clean_equipment_grid(bench.equipment_export_grid(spark, sf_dir), tm, PARAMS.as_of)
+    return rows

@@ -153,3 +153,74 @@ def load_requests_grid(grid: DataFrame) -> DataFrame:
     return r.select("file", "row_no", wo.alias("work_order"), d.alias("request_date"),
                     field("Requestor").alias("requestor"), field("Request").alias("request"),
                     F.coalesce(field("Assigned To"), F.lit("")).alias("assigned_to"), month_key(d).alias("month_key"))
+
+
+# ---- equipment list ---------------------------------------------------------------
+EQUIPMENT_COLUMNS = ("EquipmentId", "Name", "Location", "EquipType", "Manufacturer", "SerialNumber",
+                     "PurchaseDate", "DepreciationYears", "Cost", "Age")
+# fixed values: export header -> canonical column
+EQUIPMENT_RENAME = {"Equipment ID": "EquipmentId", "Equip. Name": "Name", "EquipmentName": "Name",
+                    "Equip. Type": "EquipType", "Serial Number": "SerialNumber",
+                    "Depreciation Yrs": "DepreciationYears", "Purch. Date": "PurchaseDate",
+                    "Purch. Cost": "Cost", "Current Value": "CurrentValue"}
+
+
+def _canon_header(c: Column) -> Column:
+    """Header cell as the list cleaner names it: trimmed, BOM removed, renamed."""
+    s = F.regexp_replace(strip_ws(c), "^﻿", "")
+    kv = []
+    for k, v in EQUIPMENT_RENAME.items():
+        kv += [F.lit(k), F.lit(v)]
+    return F.coalesce(F.element_at(F.create_map(*kv), s), s)
+
+
+def clean_equipment_grid(grid: DataFrame, tmap: DataFrame | None, as_of, scan_rows: int = 40):
+    """Equipment list exports -> (one row per equipment id, rejected files).
+
+    Header: the first of the first 40 rows holding an 'equipmentid' cell, then
+    rows 1 and 0, whichever first yields both EquipmentId and Name. Rows need an
+    id and a name without (Repair)/(PM); ids lose spaces; cost falls back to the
+    current value; the latest purchase date per id wins (first row on ties);
+    blank types come from the type map, then the name rules."""
+    from upkeep.functions import age_years, extract_location, parse_list_cost
+    from upkeep.operators.category import resolve_category
+    from upkeep.operators.windows import latest_per_key
+    from upkeep.sources.raw_grid import find_header_rows, unique_names
+    found = find_header_rows(grid, "equipment id", scan_rows, None, any_column=True)
+    tries = found.select("file", F.array_distinct(F.filter(F.array(F.col("header_row"), F.lit(1), F.lit(0)),
+                                                          lambda x: x.isNotNull())).alias("t"))
+    tries = tries.select("file", F.posexplode("t").alias("rank", "row"))
+    hdr_rows = grid.select(F.col("file").alias("_gf"), F.col("row_no").alias("_gr"),
+                           F.transform("cells", _canon_header).alias("canon"))
+    cand = tries.join(hdr_rows, (F.col("file") == F.col("_gf")) & (F.col("row") == F.col("_gr"))) \
+                .where(F.array_contains("canon", "EquipmentId") & F.array_contains("canon", "Name"))
+    best = cand.groupBy("file").agg(F.min_by("row", "rank").alias("header_row"))
+    rejected = grid.select("file").distinct().join(best, "file", "left_anti")
+    h = best.join(hdr_rows, (F.col("file") == F.col("_gf")) & (F.col("header_row") == F.col("_gr"))) \
+            .select(F.col("file").alias("_nf"), "header_row", unique_names(F.col("canon")).alias("names"))
+    g = grid.join(h, F.col("file") == F.col("_nf")).where(F.col("row_no") > F.col("header_row"))
+    n = F.least(F.size("names"), F.size("cells"))
+    g = g.select("file", "row_no", F.map_from_arrays(F.slice("names", 1, n), F.slice("cells", 1, n)).alias("rec"))
+
+    def cell(name):
+        return F.nullif(F.element_at("rec", F.lit(name)), F.lit(""))
+
+    loc = F.coalesce(cell("Location"), extract_location(cell("PersonnelId1")))
+    cost = F.coalesce(parse_list_cost(cell("Cost")), parse_list_cost(cell("CurrentValue")))
+    r = g.select("file", "row_no",
+                 F.regexp_replace(cell("EquipmentId"), " ", "").alias("_id"), cell("Name").alias("Name"),
+                 loc.alias("Location"), cell("EquipType").alias("EquipType"),
+                 cell("Manufacturer").alias("Manufacturer"), cell("SerialNumber").alias("SerialNumber"),
+                 parse_date(cell("PurchaseDate")).alias("PurchaseDate"),
+                 cell("DepreciationYears").alias("DepreciationYears"), cost.alias("Cost"))
+    r = r.where(F.col("_id").isNotNull() & F.col("Name").isNotNull() & ~F.col("Name").rlike(r"\(Repair\)|\(PM\)"))
+    r = r.withColumn("EquipmentId", strip_ws("_id")).drop("_id") \
+         .withColumn("row_ord", F.struct("file", "row_no"))
+    latest = latest_per_key(r, "EquipmentId", "PurchaseDate").drop("file", "row_no", "row_ord")
+    latest = latest.withColumn("Age", age_years("PurchaseDate", as_of)).withColumn("equip_id", norm_equip_id("EquipmentId"))
+    blank = strip_ws(F.coalesce(F.col("EquipType"), F.lit(""))) == ""
+    filled = resolve_category(latest.withColumn("_name", F.col("Name")), "_name", tmap, None, out="_cat")
+    # only blank types change; the resolver's last resort 'Other' stays null as in the source
+    out = filled.withColumn("EquipType", F.when(blank, F.when(F.col("_cat") != "Other", F.col("_cat")))
+                            .otherwise(F.col("EquipType")))
+    return out.select(*EQUIPMENT_COLUMNS), rejected

@@ -633,3 +633,23 @@ ORACLE["requests_load"] = """
 SELECT event_type || ' requests.csv' AS file, strftime(ts, '%Y-%m') AS month_key, count(*) AS n_rows
 FROM events WHERE event_type <> 'error' GROUP BY 1, 2
 """
+
+ORACLE["equipment_clean"] = f"""
+WITH {_KW},
+meta AS (SELECT l_partkey, CAST(min(l_shipdate) AS DATE) AS pd FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+j AS (SELECT part.*, en.equip_name, meta.pd, kw.equip_type AS inferred FROM part JOIN en ON en.equip_id = p_partkey
+      LEFT JOIN meta ON meta.l_partkey = p_partkey LEFT JOIN kw ON kw.name = en.equip_name),
+w AS (SELECT *, pd IS NOT NULL AND p_size <> 1 AS brand_wins FROM j)
+SELECT CAST(p_partkey AS VARCHAR) AS EquipmentId, equip_name AS Name,
+       CASE WHEN brand_wins THEN 'Hall ' || p_brand END AS Location,
+       CASE WHEN NOT brand_wins THEN p_type WHEN p_size <= 40 THEN p_type
+            WHEN p_size <= 20 THEN p_type
+            WHEN coalesce(inferred, 'Other') <> 'Other' THEN inferred END AS EquipType,
+       p_brand AS Manufacturer, 'SN' || CAST(p_partkey AS VARCHAR) AS SerialNumber,
+       CASE WHEN brand_wins THEN pd ELSE pd - 365 END AS PurchaseDate,
+       CAST(p_size AS VARCHAR) AS DepreciationYears,
+       CASE WHEN NOT brand_wins THEN round(p_retailprice * 0.9, 2)
+            WHEN p_size BETWEEN 41 AND 45 THEN round(p_retailprice * 0.8, 2) ELSE p_retailprice END AS Cost,
+       date_diff('day', CASE WHEN brand_wins THEN pd ELSE pd - 365 END, DATE '2002-01-01') / 365.0 AS Age
+FROM w
+"""

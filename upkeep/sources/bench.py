@@ -291,3 +291,41 @@ def requests_export_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = files.select("file", F.lit(10 ** 15).cast("long").alias("row_no"),
                          F.array(F.lit("Total requests"), F.lit("")).alias("cells"))
     return titles.unionByName(hdr).unionByName(data).unionByName(total)
+
+
+def equipment_export_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equipment list exports from parts: one file per brand (two preamble rows,
+    labelled location, blank types above size 40, cost only in 'Current Value'
+    for sizes 41-45, names tagged '(Repair)' at size 1) and an archive file
+    (header on row 0, other header names, purchase dates one year earlier)."""
+    p = read(spark, sf_dir, "part")
+    names = equipment_names(spark, sf_dir).select(F.col("equip_id").alias("_pid"), "equip_name")
+    meta = asset_meta(spark, sf_dir).select(F.col("equip_id").alias("_mid"), "purchase_date")
+    j = p.join(names, p.p_partkey == names._pid).join(meta, p.p_partkey == meta._mid, "left")
+    s = lambda c: F.col(c).cast("string")
+    brand_file = F.concat(F.col("p_brand"), F.lit(" equipment.csv"))
+    name = F.when(F.col("p_size") == 1, F.concat("equip_name", F.lit(" (Repair)"))).otherwise(F.col("equip_name"))
+    cost = F.when(F.col("p_size").between(41, 45), F.lit("")).otherwise(
+        F.concat(F.lit("$"), F.format_number("p_retailprice", 2)))
+    brand_rows = j.select(brand_file.alias("file"), (F.lit(10) + F.col("p_partkey")).alias("row_no"), F.array(
+        s("p_partkey"), F.concat(F.lit(" "), s("p_partkey"), F.lit(" ")), name,
+        F.concat(F.lit("Location: Hall "), F.col("p_brand")),
+        F.when(F.col("p_size") > 40, F.lit("")).otherwise(F.col("p_type")), F.col("p_brand"),
+        F.concat(F.lit("SN"), s("p_partkey")), F.coalesce(F.date_format("purchase_date", "M/d/yyyy"), F.lit("")),
+        s("p_size"), cost, F.format_number(F.col("p_retailprice") * 0.8, 2)).alias("cells"))
+    arch_rows = j.select(F.lit("Archive equipment.csv").alias("file"), (F.lit(1) + F.col("p_partkey")).alias("row_no"),
+                         F.array(s("p_partkey"), F.col("equip_name"), F.col("p_type"), F.col("p_brand"),
+                                 F.concat(F.lit("SN"), s("p_partkey")),
+                                 F.coalesce(F.date_format(F.date_sub("purchase_date", 365), "yyyy-MM-dd"), F.lit("")),
+                                 s("p_size"), F.format_number(F.col("p_retailprice") * 0.9, 2)).alias("cells"))
+    files = j.select(brand_file.alias("file")).distinct()
+    pre = files.select("file", F.lit(0).cast("long").alias("row_no"), F.array(F.lit("Equipment Summary")).alias("cells")) \
+        .unionByName(files.select("file", F.lit(1).cast("long").alias("row_no"), F.array(F.lit("")).alias("cells")))
+    hdr = files.select("file", F.lit(2).cast("long").alias("row_no"), F.array(*[F.lit(h) for h in (
+        "#", "Equipment ID", "Equip. Name", "PersonnelId1", "Equip. Type", "Manufacturer", "Serial Number",
+        "Purch. Date", "Depreciation Yrs", "Purch. Cost", "Current Value")]).alias("cells"))
+    arch_hdr = spark.range(1).select(F.lit("Archive equipment.csv").alias("file"), F.lit(0).cast("long").alias("row_no"),
+                                     F.array(*[F.lit(h) for h in ("EquipmentId", "EquipmentName", "EquipType",
+                                                                  "Manufacturer", "SerialNumber", "PurchaseDate",
+                                                                  "DepreciationYears", "Cost")]).alias("cells"))
+    return pre.unionByName(hdr).unionByName(brand_rows).unionByName(arch_hdr).unionByName(arch_rows)
