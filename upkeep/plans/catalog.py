@@ -591,3 +591,12 @@ def q_equipment_clean(spark, sf_dir):
                                                           F.col("p_partkey").alias("row_ord")))
     rows, _rejected = clean_equipment_grid(bench.equipment_export_grid(spark, sf_dir), tm, PARAMS.as_of)
     return rows
+
+
+def q_service_clean(spark, sf_dir):
+    """Service exports (order-list and legacy layouts) cleaned; rows per month and status."""
+    from upkeep.plans.jobs import clean_service_grid
+    rows = clean_service_grid(bench.service_export_grid(spark, sf_dir), detail_bucket_rows=1_000_000_000)
+    return rows.groupBy("month_key", "status").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("estimated_price"), 2).alias("estimated_price"),
+        F.countDistinct("description").alias("n_descriptions"), F.count_if(F.col("location") == "").alias("no_location"))

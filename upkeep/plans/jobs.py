@@ -224,3 +224,73 @@ def clean_equipment_grid(grid: DataFrame, tmap: DataFrame | None, as_of, scan_ro
     out = filled.withColumn("EquipType", F.when(blank, F.when(F.col("_cat") != "Other", F.col("_cat")))
                             .otherwise(F.col("EquipType")))
     return out.select(*EQUIPMENT_COLUMNS), rejected
+
+
+# ---- service orders -------------------------------------------------------------
+# fixed values: order-list export column names -> logical names
+ORDER_LIST_RENAME = {"EquipmentId1": "EquipmentId", "EquipmentName1": "EquipmentName", "Textbox21": "StatusRaw"}
+
+
+def clean_service_grid(grid: DataFrame, default_year: int = P.DEFAULT_FILE_YEAR,
+                       detail_bucket_rows: int = 1_000_000_000) -> DataFrame:
+    """Service exports (header on line 0) -> cleaned service rows.
+
+    Order-list files (an EquipmentId1 / EquipmentName1 column) carry one order
+    per row; legacy files carry an equipment header row whose id, name, location
+    and cost apply to the following detail rows (forward fill, all four reset
+    together). Rows need a scheduled-date text, a real description, an id and a
+    parseable date; when the file name gives a month, a row must fall in it by
+    scheduled or completed month."""
+    from upkeep.functions import (clean_service_description, is_placeholder_description, status_from_hint)
+    from upkeep.operators.windows import forward_fill
+    hdr = grid.where(F.col("row_no") == 0).select(
+        F.col("file").alias("_hf"),
+        F.transform("cells", lambda c: strip_ws(F.regexp_replace(F.coalesce(c, F.lit("")), "^﻿", ""))).alias("raw"))
+    is_ol = F.exists("raw", lambda c: c.isin("EquipmentId1", "EquipmentName1"))
+    has_loc = F.array_contains("raw", "Location")
+    kv = []
+    for k, v in ORDER_LIST_RENAME.items():
+        kv += [F.lit(k), F.lit(v)]
+    ren = F.create_map(*kv)
+    names = F.transform("raw", lambda c: F.when(
+        is_ol, F.coalesce(F.element_at(ren, c), F.when((c == "Name") & ~has_loc, F.lit("Location")), c)).otherwise(c))
+    from upkeep.sources.raw_grid import unique_names
+    hdr = hdr.select("_hf", is_ol.alias("order_list"), unique_names(names).alias("names"))
+    g = grid.where(F.col("row_no") > 0).join(hdr, F.col("file") == F.col("_hf"))
+    n = F.least(F.size("names"), F.size("cells"))
+    g = g.select("file", "row_no", "order_list",
+                 F.map_from_arrays(F.slice("names", 1, n), F.slice("cells", 1, n)).alias("rec"))
+
+    def cell(name):
+        return F.element_at("rec", F.lit(name))
+
+    eid = strip_ws(F.coalesce(cell("EquipmentId"), F.lit("")))
+    base = g.select("file", "row_no", "order_list", eid.alias("_eid"),
+                    cell("ScheduledDate").alias("_sched"), cell("CompletedDate").alias("_comp"),
+                    cell("Description").alias("_desc"), cell("StatusRaw").alias("_hint"),
+                    strip_ws(F.coalesce(cell("EquipmentName"), cell("Name"), F.lit(""))).alias("_name"),
+                    strip_ws(F.coalesce(cell("Location"), F.lit(""))).alias("_loc"),
+                    parse_dollar(cell("Cost")).alias("_price"))
+    ol = base.where(F.col("order_list"))
+    leg = forward_fill(base.where(~F.col("order_list")), ["file"], "row_no", F.col("_eid") != "",
+                       ["_eid", "_name", "_loc", "_price"], bucket_rows=detail_bucket_rows, prefix="ctx")
+    leg = leg.select("file", "row_no", "_sched", "_comp", "_desc", F.lit(None).cast("string").alias("_hint"),
+                     F.coalesce(F.col("ctx_eid"), F.lit("")).alias("_eid"),
+                     F.coalesce(F.col("ctx_name"), F.lit("")).alias("_name"),
+                     F.coalesce(F.col("ctx_loc"), F.lit("")).alias("_loc"),
+                     F.coalesce(F.col("ctx_price"), F.lit(0.0)).alias("_price"))
+    rows = ol.select(*leg.columns).unionByName(leg)
+    sched, comp = parse_date(F.col("_sched")), parse_date(F.col("_comp"))
+    fm = month_from_file_name("file", default_year)
+    months_ok = (fm.isNull() | (month_key(sched).isNull() & month_key(comp).isNull()) |
+                 (fm == month_key(sched)) | (fm == month_key(comp)))
+    desc = clean_service_description(F.col("_desc"))
+    keep = (F.col("_sched").isNotNull() & (strip_ws(F.col("_sched")) != "") & ~is_placeholder_description("_desc")
+            & (F.col("_eid") != "") & (sched.isNotNull() | comp.isNotNull()) & F.coalesce(months_ok, F.lit(True))
+            & (desc != "") & ~F.lower(desc).startswith("delete duplicate"))
+    out = rows.where(keep).select(
+        "file", "row_no", F.col("_eid").alias("equip_id"), F.col("_name").alias("equipment"),
+        sched.alias("sched_date"), comp.alias("completed_date"), F.col("_loc").alias("location"),
+        desc.alias("description"), status_from_hint(F.col("_hint"), comp).alias("status"),
+        F.when(F.col("_price") > 0, F.col("_price")).alias("estimated_price"))
+    return out.withColumn("month_key", month_key("sched_date"))

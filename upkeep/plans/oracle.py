@@ -653,3 +653,20 @@ SELECT CAST(p_partkey AS VARCHAR) AS EquipmentId, equip_name AS Name,
        date_diff('day', CASE WHEN brand_wins THEN pd ELSE pd - 365 END, DATE '2002-01-01') / 365.0 AS Age
 FROM w
 """
+
+ORACLE["service_clean"] = """
+WITH j AS (SELECT o_orderdate, l_shipdate, l_linestatus, o_orderpriority, l_extendedprice / l_quantity AS unit,
+                  p_retailprice, s_suppkey IS NOT NULL AND n_name IS NOT NULL AS has_loc,
+                  l_linestatus = 'F' AND l_shipdate >= o_orderdate AS done, year(o_orderdate) <= 1999 AS old
+           FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey
+           LEFT JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN nation ON n_nationkey = s_nationkey)
+SELECT strftime(o_orderdate, '%Y-%m') AS month_key,
+       CASE WHEN old THEN (CASE WHEN l_linestatus = 'F' THEN 'Completed' ELSE 'Scheduled' END)
+            ELSE (CASE WHEN done THEN 'Completed' ELSE 'Scheduled' END) END AS status,
+       count(*) AS n_rows,
+       round(sum(CASE WHEN old THEN (CASE WHEN unit > 0 THEN unit END)
+                      ELSE (CASE WHEN p_retailprice > 0 THEN p_retailprice END) END), 2) AS estimated_price,
+       count(DISTINCT o_orderpriority) AS n_descriptions,
+       count(*) FILTER (WHERE NOT has_loc) AS no_location
+FROM j GROUP BY 1, 2
+"""

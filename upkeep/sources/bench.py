@@ -329,3 +329,48 @@ def equipment_export_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                                   "Manufacturer", "SerialNumber", "PurchaseDate",
                                                                   "DepreciationYears", "Cost")]).alias("cells"))
     return pre.unionByName(hdr).unionByName(brand_rows).unionByName(arch_hdr).unionByName(arch_rows)
+
+
+def service_export_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Service exports from line items x orders. Orders up to 1999 go to
+    order-list files named by priority (no month); later orders go to legacy
+    'Equipment Details' files per order month, with one equipment header row
+    per part followed by its detail rows."""
+    li = read(spark, sf_dir, "lineitem")
+    o = read(spark, sf_dir, "orders")
+    names = equipment_names(spark, sf_dir).select(F.col("equip_id").alias("_pid"), "equip_name")
+    loc = supplier_location(spark, sf_dir)
+    pr = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("_pp"), "p_retailprice")
+    j = li.join(o, li.l_orderkey == o.o_orderkey).join(names, li.l_partkey == names._pid, "left") \
+          .join(loc, li.l_suppkey == loc.s_suppkey, "left").join(pr, li.l_partkey == pr._pp, "left")
+    s = lambda c: F.col(c).cast("string")
+    done = (F.col("l_linestatus") == "F") & (F.col("l_shipdate") >= F.col("o_orderdate"))
+    sched_t = F.date_format("o_orderdate", "M/d/yyyy")
+    comp_t = F.when(done, F.date_format("l_shipdate", "M/d/yyyy")).otherwise(F.lit(""))
+    old = F.year("o_orderdate") <= 1999
+    ol_file = F.concat(F.lit("Service Orders "), F.col("o_orderpriority"), F.lit(".csv"))
+    ol = j.where(old).select(ol_file.alias("file"), (F.lit(1) + F.monotonically_increasing_id()).alias("row_no"),
+                             F.array(s("l_partkey"), F.coalesce("equip_name", F.lit("")),
+                                     F.when(F.col("l_linestatus") == "F", F.lit("Completed")).otherwise(F.lit("open")),
+                                     F.coalesce("location", F.lit("")), sched_t, comp_t,
+                                     F.concat(F.col("o_orderpriority"), F.lit(" - (Repair)")),
+                                     F.concat(F.lit("$"), (F.col("l_extendedprice") / F.col("l_quantity")).cast("string")))
+                             .alias("cells"))
+    ol_files = ol.select("file").distinct()
+    ol_hdr = ol_files.select("file", F.lit(0).cast("long").alias("row_no"), F.array(*[F.lit(h) for h in (
+        "EquipmentId1", "EquipmentName1", "Textbox21", "Name", "ScheduledDate", "CompletedDate", "Description",
+        "Cost")]).alias("cells"))
+    new = j.where(~old)
+    lg_file = F.concat(F.date_format("o_orderdate", "MMMM yyyy"), F.lit(" Equipment Details.csv"))
+    base = (F.col("l_partkey") + 1) * F.lit(1_000_000_000)
+    details = new.select(lg_file.alias("file"), (base + F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_no"),
+                         F.array(F.lit(""), F.lit(""), F.lit(""), F.lit(""), sched_t, comp_t,
+                                 F.col("o_orderpriority")).alias("cells"))
+    heads = new.select(lg_file.alias("file"), base.alias("row_no"), s("l_partkey").alias("_id"),
+                       F.coalesce("equip_name", F.lit("")).alias("_n"), F.coalesce("location", F.lit("")).alias("_l"),
+                       F.concat(F.lit("$"), F.format_number("p_retailprice", 2)).alias("_c")).distinct() \
+               .select("file", "row_no", F.array("_id", "_n", "_l", "_c", F.lit(""), F.lit(""), F.lit("")).alias("cells"))
+    lg_hdr = details.select("file").distinct().select("file", F.lit(0).cast("long").alias("row_no"), F.array(
+        *[F.lit(h) for h in ("EquipmentId", "Name", "Location", "Cost", "ScheduledDate", "CompletedDate",
+                             "Description")]).alias("cells"))
+    return ol_hdr.unionByName(ol).unionByName(lg_hdr).unionByName(heads).unionByName(details)
