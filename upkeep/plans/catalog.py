@@ -600,3 +600,41 @@ def q_service_clean(spark, sf_dir):
     return rows.groupBy("month_key", "status").agg(
         F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("estimated_price"), 2).alias("estimated_price"),
         F.countDistinct("description").alias("n_descriptions"), F.count_if(F.col("location") == "").alias("no_location"))
+
+
+# ---- selector options and counters ----------------------------------------------------
+from upkeep.operators import options as O  # noqa: E402
+
+
+def q_month_options(spark, sf_dir):
+    """Months present in requests, service and repairs."""
+    return O.month_options(bench.requests(spark, sf_dir), bench.service(spark, sf_dir),
+                           bench.repairs_rows(spark, sf_dir))
+
+
+def q_building_options(spark, sf_dir):
+    """Buildings present in repairs and service (normalised), with display codes."""
+    loc = bench.supplier_location(spark, sf_dir)
+    rep = bench.repairs_rows(spark, sf_dir)
+    rep = rep.join(loc, rep.suppkey == loc.s_suppkey, "left")
+    svc = bench.service(spark, sf_dir, with_location=True)
+    b = O.building_options((rep, "location"), (svc, "location"))
+    from upkeep.functions import abbreviate_normalized
+    return b.withColumn("building_code", abbreviate_normalized("building"))
+
+
+def q_footer_counts(spark, sf_dir):
+    """Record counts, distinct assets and latest month for the report footer."""
+    rep = bench.repairs_rows(spark, sf_dir).where(F.col("month_key").isNotNull())
+    svc = bench.service(spark, sf_dir)
+    a = rep.agg(F.count(F.lit(1)).alias("repair_records"), F.countDistinct("equip_id").alias("assets"))
+    b = svc.agg(F.count(F.lit(1)).alias("service_orders"), F.max("month_key").alias("latest_month"))
+    return a.crossJoin(b)
+
+
+def q_unclassified_count(spark, sf_dir):
+    """Purchase rows with a valid cost but no keyword (data-quality counter) and
+    the distinct keywords seen."""
+    k = _keyed_names(spark, sf_dir)
+    return k.where(F.col("cost") > 0).agg(F.count_if(F.col("keyword").isNull()).alias("unclassified"),
+                                          F.countDistinct("keyword").alias("keywords"))

@@ -670,3 +670,28 @@ SELECT strftime(o_orderdate, '%Y-%m') AS month_key,
        count(*) FILTER (WHERE NOT has_loc) AS no_location
 FROM j GROUP BY 1, 2
 """
+
+ORACLE["month_options"] = """
+SELECT strftime(ts, '%Y-%m') AS month_key FROM events WHERE ts IS NOT NULL
+UNION SELECT strftime(o_orderdate, '%Y-%m') FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate IS NOT NULL
+UNION SELECT strftime(l_shipdate, '%Y-%m') FROM lineitem WHERE l_shipdate IS NOT NULL
+"""
+
+ORACLE["building_options"] = f"""
+WITH b AS (SELECT DISTINCT {X.normalize_building('n_name')} AS building
+           FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey)
+SELECT building, {X.abbreviate_building('building')} AS building_code FROM b WHERE building <> ''
+"""
+
+ORACLE["footer_counts"] = """
+SELECT (SELECT count(*) FROM lineitem WHERE l_shipdate IS NOT NULL) AS repair_records,
+       (SELECT count(DISTINCT l_partkey) FROM lineitem WHERE l_shipdate IS NOT NULL) AS assets,
+       (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey) AS service_orders,
+       (SELECT max(strftime(o_orderdate, '%Y-%m')) FROM lineitem JOIN orders ON l_orderkey = o_orderkey) AS latest_month
+"""
+
+ORACLE["unclassified_count"] = f"""
+WITH {_KW}
+SELECT count(*) FILTER (WHERE kw.keyword IS NULL) AS unclassified, count(DISTINCT kw.keyword) AS keywords
+FROM en LEFT JOIN kw ON kw.name = en.equip_name WHERE en.cost > 0
+"""
