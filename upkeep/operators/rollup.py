@@ -52,3 +52,15 @@ def ids_in_bin(df: DataFrame, bin_label: str, id_col: str = "equip_id") -> DataF
     """Ids whose repair-row count falls in ``bin_label`` (for a left-semi filter)."""
     per_id = drop_blank_ids(df, id_col).groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
     return per_id.where(repair_count_bin("n") == bin_label).select(id_col)
+
+
+def asset_snapshot(df: DataFrame, equip_id, id_col: str = "equip_id", firsts=("equipment", "location"),
+                   sums=("parts", "labor")) -> DataFrame:
+    """One asset's first attributes and cost sums (filter pushed to the scan)."""
+    present = [c for c in firsts if c in df.columns]
+    return asset_rollup(df.where(F.col(id_col) == F.lit(equip_id)), id_col, firsts=present, sums=sums)
+
+
+def calendar_year(df: DataFrame, year: int, col: str = "month_key") -> DataFrame:
+    """Rows whose month key falls in ``year``."""
+    return df.where(F.substring(F.col(col), 1, 4) == str(int(year)))

@@ -122,3 +122,44 @@ def scored_keyword_price(keys: DataFrame, sheet: DataFrame, key_col: str = "keyw
                                                             F.when(F.col("k_brand").isNotNull(), "brand")
                                                             .otherwise("category"))
     return out.select(key_col, price.alias("price"), src.alias("match"))
+
+
+# ---- price-book loaders (first valid row per key wins) -------------------------------
+def purchase_price_map(rows: DataFrame, id_col: str = "equip_id", cost_col: str = "cost",
+                       order_col: str = "row_ord") -> DataFrame:
+    """id -> cost from the first row with a valid positive cost (invalid rows are
+    skipped before 'first wins')."""
+    from upkeep.functions import norm_equip_id, parse_dollar_amount
+    r = rows.select(norm_equip_id(id_col).alias("equip_id"), parse_dollar_amount(cost_col).alias("price"), order_col)
+    return r.where((F.col("equip_id") != "") & F.col("price").isNotNull()).groupBy("equip_id") \
+            .agg(F.min_by("price", order_col).alias("price"))
+
+
+def purchase_year_map(rows: DataFrame, id_col: str = "equip_id", year_col: str = "year",
+                      order_col: str = "row_ord") -> DataFrame:
+    """id -> purchase year from the first row with a valid year."""
+    from upkeep.functions import norm_equip_id, parse_purchase_year
+    r = rows.select(norm_equip_id(id_col).alias("equip_id"), parse_purchase_year(year_col).alias("year"), order_col)
+    return r.where((F.col("equip_id") != "") & F.col("year").isNotNull()).groupBy("equip_id") \
+            .agg(F.min_by("year", order_col).alias("year"))
+
+
+def load_valuation_sheet(rows: DataFrame, label_col: str = "Equipment", price_col: str = "price",
+                         order_col: str = "row_ord") -> DataFrame:
+    """Sheet rows -> (keyword, price, sheet_ord): key = keyword of the label, else
+    the normalised label; first row with a valid positive price per key wins."""
+    from upkeep.functions import norm_equipment_name, parse_dollar_amount
+    from upkeep.functions.keywords import with_keyword
+    r = rows.select(F.col(label_col).alias("_label"), parse_dollar_amount(price_col).alias("price"), order_col)
+    r = with_keyword(r, "_label", "_kw").withColumn("keyword", F.coalesce("_kw", norm_equipment_name("_label")))
+    r = r.where((F.col("keyword") != "") & F.col("price").isNotNull())
+    return r.groupBy("keyword").agg(F.min_by("price", order_col).alias("price"), F.min(order_col).alias("sheet_ord"))
+
+
+def merge_price_sheets(base: DataFrame, extra: DataFrame, overwrite: bool = False) -> DataFrame:
+    """Union of two keyword price books: base wins unless ``overwrite``."""
+    b = base.select("keyword", F.col("price").alias("_b"))
+    e = extra.select("keyword", F.col("price").alias("_e"))
+    j = b.join(e, "keyword", "full_outer")
+    price = F.coalesce("_e", "_b") if overwrite else F.coalesce("_b", "_e")
+    return j.select("keyword", price.alias("price"))

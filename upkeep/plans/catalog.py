@@ -638,3 +638,27 @@ def q_unclassified_count(spark, sf_dir):
     k = _keyed_names(spark, sf_dir)
     return k.where(F.col("cost") > 0).agg(F.count_if(F.col("keyword").isNull()).alias("unclassified"),
                                           F.countDistinct("keyword").alias("keywords"))
+
+
+def q_override_context(spark, sf_dir):
+    """Base and manually extended depreciation side by side for every repaired
+    asset, with the three statuses (repair, life, combined) under each."""
+    from upkeep.functions import combine_status, life_status, replace_status
+    rep = bench.repairs_rows(spark, sf_dir).where(F.col("month_key").isNotNull())
+    roll = replacement_rollup(rep, attrs=bench.assets(spark, sf_dir).select("equip_id", "category", "new_price"))
+    roll = roll.withColumn("equip_type", F.col("category")).withColumn("keyword", F.lit(None).cast("string"))
+    base = _depreciation(spark, sf_dir, roll)
+    ext = _depreciation(spark, sf_dir, roll.select("equip_id", "equip_type", "keyword", "new_price"),
+                        overrides=bench.life_overrides(spark, sf_dir))
+    b = base.select("equip_id", "labor", "parts", "new_price", F.col("age_months").alias("age_months"),
+                    F.col("useful_life_months").alias("base_life_months"),
+                    replace_status("labor", "parts", "new_price").alias("repair_status"),
+                    life_status("age_months", "useful_life_months").alias("base_life_status"))
+    e = ext.select("equip_id", F.col("useful_life_months").alias("effective_life_months"),
+                   F.col("life_adj_months").alias("extra_months"),
+                   life_status("age_months", "useful_life_months").alias("effective_life_status"))
+    j = b.join(e, "equip_id")
+    return j.select("equip_id", "age_months", "base_life_months", "effective_life_months", "extra_months",
+                    "repair_status", "base_life_status", "effective_life_status",
+                    combine_status("repair_status", "base_life_status").alias("base_status"),
+                    combine_status("repair_status", "effective_life_status").alias("effective_status"))

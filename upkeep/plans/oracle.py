@@ -695,3 +695,23 @@ WITH {_KW}
 SELECT count(*) FILTER (WHERE kw.keyword IS NULL) AS unclassified, count(DISTINCT kw.keyword) AS keywords
 FROM en LEFT JOIN kw ON kw.name = en.equip_name WHERE en.cost > 0
 """
+
+ORACLE["override_context"] = f"""
+WITH {X.REPAIRS_CTE},
+g AS (SELECT equip_id, sum(parts) AS parts, sum(labor) AS labor FROM r
+      WHERE equip_id IS NOT NULL AND month_key IS NOT NULL GROUP BY equip_id),
+a AS (SELECT g.*, p_type AS equip_type, p_retailprice AS price FROM g LEFT JOIN part ON p_partkey = g.equip_id),
+{_dep_sql('a')},
+ov AS (SELECT p_partkey AS equip_id, least(CAST(p_size AS DOUBLE), 240.0) AS extra FROM part WHERE p_size > 45),
+d2 AS (SELECT d1.*, coalesce(ov.extra, 0.0) AS extra_months,
+              CASE WHEN coalesce(ov.extra, 0.0) > 0 THEN life0 + ov.extra ELSE life0 END AS elife
+       FROM d1 LEFT JOIN ov USING (equip_id)),
+d3 AS (SELECT d2.*, {X.replace_status('labor', 'parts', 'price')} AS repair_status,
+              {X.life_status('age_months', 'life0')} AS base_life_status,
+              {X.life_status('age_months', 'elife')} AS effective_life_status FROM d2)
+SELECT equip_id, age_months, life0 AS base_life_months, elife AS effective_life_months, extra_months,
+       repair_status, base_life_status, effective_life_status,
+       {X.combine_status('repair_status', 'base_life_status')} AS base_status,
+       {X.combine_status('repair_status', 'effective_life_status')} AS effective_status
+FROM d3
+"""

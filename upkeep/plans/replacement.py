@@ -43,8 +43,10 @@ def replacement_rollup(rep: DataFrame, *, attrs: DataFrame | None = None,
         rows = rows.join(ids_in_bin(rows, repair_count_bin, id_col), id_col, "left_semi")
     if "location" in rows.columns:
         firsts = ["location"]
-    else:
+    elif locations is not None and location_key in rows.columns:
         firsts = [location_key]
+    else:
+        firsts = []
     firsts += [c for c in ("equipment", "new_price", "price_source", "category") if c in rows.columns]
     roll = asset_rollup(rows, id_col=id_col, firsts=firsts, sums=("parts", "labor"))
     if "location" not in roll.columns and locations is not None:
@@ -53,6 +55,8 @@ def replacement_rollup(rep: DataFrame, *, attrs: DataFrame | None = None,
     if attrs is not None:
         keep = [id_col] + [c for c in attrs.columns if c != id_col and c not in roll.columns]
         roll = roll.join(attrs.select(*keep), id_col, "left")
+    if "location" not in roll.columns:
+        return roll.withColumn("building", F.lit(""))
     return roll.withColumn("building", normalize_building("location"))
 
 
