@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from upkeep import params as P
 from upkeep.functions import (extract_label, labor_cost, month_from_file_name, month_key, norm_equip_id,
                               parse_date, parse_dollar, parse_repair_hours, strip_ws, to_double)
-from upkeep.sources.raw_grid import field, find_header_rows, records, records_resolved
+from upkeep.sources.raw_grid import field, find_header_rows, record_map, records, records_resolved
 
 # ---- fixed values: export column names and aliases ---------------------------
 REPAIRS_COLUMNS = ("#", "Completed Date", "Equipment Name", "Equipment ID", "Location", "Service Vendor",
@@ -199,8 +199,7 @@ def clean_equipment_grid(grid: DataFrame, tmap: DataFrame | None, as_of, scan_ro
     h = best.join(hdr_rows, (F.col("file") == F.col("_gf")) & (F.col("header_row") == F.col("_gr"))) \
             .select(F.col("file").alias("_nf"), "header_row", unique_names(F.col("canon")).alias("names"))
     g = grid.join(h, F.col("file") == F.col("_nf")).where(F.col("row_no") > F.col("header_row"))
-    n = F.least(F.size("names"), F.size("cells"))
-    g = g.select("file", "row_no", F.map_from_arrays(F.slice("names", 1, n), F.slice("cells", 1, n)).alias("rec"))
+    g = g.select("file", "row_no", record_map("names", "cells").alias("rec"))
 
     def cell(name):
         return F.nullif(F.element_at("rec", F.lit(name)), F.lit(""))
@@ -257,9 +256,7 @@ def clean_service_grid(grid: DataFrame, default_year: int = P.DEFAULT_FILE_YEAR,
     from upkeep.sources.raw_grid import unique_names
     hdr = hdr.select("_hf", is_ol.alias("order_list"), unique_names(names).alias("names"))
     g = grid.where(F.col("row_no") > 0).join(hdr, F.col("file") == F.col("_hf"))
-    n = F.least(F.size("names"), F.size("cells"))
-    g = g.select("file", "row_no", "order_list",
-                 F.map_from_arrays(F.slice("names", 1, n), F.slice("cells", 1, n)).alias("rec"))
+    g = g.select("file", "row_no", "order_list", record_map("names", "cells").alias("rec"))
 
     def cell(name):
         return F.element_at("rec", F.lit(name))

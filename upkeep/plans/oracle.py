@@ -715,3 +715,21 @@ SELECT equip_id, age_months, life0 AS base_life_months, elife AS effective_life_
        {X.combine_status('repair_status', 'effective_life_status')} AS effective_status
 FROM d3
 """
+
+ORACLE["alias_pick"] = f"""
+WITH {_DOC_GRID},
+hn AS (SELECT grid.file, generate_subscripts(cells, 1) AS pos, unnest(cells) AS raw
+       FROM grid JOIN hdr ON grid.file = hdr.file AND grid.row_no = hdr.header_row),
+b AS (SELECT file, pos, coalesce(nullif(regexp_replace(replace(raw, chr(10), ' '), '^\\s+|\\s+$', '', 'g'), ''),
+                                 '_unnamed_' || CAST(pos - 1 AS VARCHAR)) AS base FROM hn),
+u AS (SELECT file, pos, CASE WHEN row_number() OVER (PARTITION BY file, base ORDER BY pos) = 1 THEN base
+                             ELSE base || '__' || CAST(row_number() OVER (PARTITION BY file, base ORDER BY pos) - 1 AS VARCHAR) END AS name
+      FROM b),
+k AS (SELECT file, pos, translate(lower(name), ' _#', '') AS key FROM u),
+pick AS (SELECT file, coalesce(max(pos) FILTER (WHERE key = 'the'), max(pos) FILTER (WHERE key = 'a'),
+                               max(pos) FILTER (WHERE key = 'le')) AS p FROM k GROUP BY file),
+d AS (SELECT grid.file, CASE WHEN pick.p IS NOT NULL AND pick.p <= len(grid.cells) THEN grid.cells[pick.p] END AS v
+      FROM grid JOIN hdr ON grid.file = hdr.file AND grid.row_no > hdr.header_row
+      JOIN pick ON pick.file = grid.file)
+SELECT file AS doc_id, count(*) AS n_rows, count(v) AS n_values, sum(length(v)) AS value_chars FROM d GROUP BY file
+"""

@@ -106,9 +106,16 @@ def records(grid: DataFrame, headers: DataFrame) -> DataFrame:
     names = header_names(grid, headers)
     names = names.withColumnRenamed("file", "_nf")
     g = grid.join(names, F.col("file") == F.col("_nf")).where(F.col("row_no") > F.col("header_row"))
-    n = F.least(F.size("names"), F.size("cells"))
-    rec = F.map_from_arrays(F.slice("names", 1, n), F.slice("cells", 1, n))
-    return g.select("file", "row_no", rec.alias("rec"))
+    return g.select("file", "row_no", record_map("names", "cells").alias("rec"))
+
+
+def record_map(names, cells) -> Column:
+    """Header name -> cell; short rows are padded with nulls (every header is a
+    key on every row), cells beyond the header are dropped."""
+    names = F.col(names) if isinstance(names, str) else names
+    cells = F.col(cells) if isinstance(cells, str) else cells
+    padded = F.transform(names, lambda _n, i: F.try_element_at(cells, (i + 1).cast("int")))
+    return F.map_from_arrays(names, padded)
 
 
 def pick(rec: str | Column, *aliases: str) -> Column:
@@ -150,9 +157,7 @@ def records_resolved(grid: DataFrame, headers: DataFrame, spec: dict, key_fn) ->
     hn = header_names(grid, headers)
     hn = hn.select(F.col("file").alias("_nf"), "header_row", "names", *resolve_columns(F.col("names"), spec, key_fn))
     g = grid.join(hn, F.col("file") == F.col("_nf")).where(F.col("row_no") > F.col("header_row"))
-    n = F.least(F.size("names"), F.size("cells"))
-    rec = F.map_from_arrays(F.slice("names", 1, n), F.slice("cells", 1, n))
-    return g.select("file", "row_no", rec.alias("rec"), *[F.col("_c_" + k) for k in spec])
+    return g.select("file", "row_no", record_map("names", "cells").alias("rec"), *[F.col("_c_" + k) for k in spec])
 
 
 def field(name: str) -> Column:
