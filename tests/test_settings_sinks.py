@@ -51,3 +51,35 @@ def test_overview_all_scope(spark):
                    bench.repairs_rows(spark, sf).join(cat, "equip_id", "left"), cat)
     assert out["kpis"].count() == 1 and out["parts_budget"].count() == 1
     assert drill_down("repair_count_mix", "2 repairs") == {"report": "replacement", "repair_count_bin": "2 repairs"}
+
+
+def test_excel_source_reports_unavailable(spark):
+    from upkeep.sources import excel
+    if any(excel.available().values()):
+        return
+    import pytest
+    with pytest.raises(RuntimeError):
+        excel.read_excel_grid(spark, tempfile.mkdtemp())
+
+
+def test_csv_grid_and_incremental_ingest(spark):
+    """CSV exports with preamble rows, a multi-line header cell, a quoted comma and
+    a short row; a second file arriving later is picked up by the next run."""
+    from upkeep.plans.jobs import load_repairs_grid
+    from upkeep.sources.raw_grid import read_csv_grid
+    from upkeep.streaming.feeds import export_ingest
+    src = tempfile.mkdtemp()
+    with open(os.path.join(src, "May 2026 Repairs.csv"), "w") as f:
+        f.write('Title,,\nGenerated,,\n#,Completed Date,"Equipment\nName",Parts Cost $\n'
+                '1,5/2/2026,"Vac, red",3.5\n2,5/3/2026,Ladder\nTotal,,,\n')
+    g = read_csv_grid(spark, src)
+    rows = load_repairs_grid(g).orderBy("row_no").collect()
+    assert [(r.equipment, r.parts, r.month_key) for r in rows] == [("Vac, red", 3.5, "2026-05"), ("Ladder", 0.0, "2026-05")]
+    target = os.path.join(tempfile.mkdtemp(), "repairs")
+    run = "t1"
+    out = export_ingest(spark, src, load_repairs_grid, target, width=8, run_id=run)
+    assert out.count() == 2
+    with open(os.path.join(src, "June 2026 Repairs.csv"), "w") as f:
+        f.write('#,Completed Date,Equipment Name\n1,6/1/2026,Fan\n')
+    out = export_ingest(spark, src, load_repairs_grid, target, width=8, run_id=run)
+    assert out.count() == 3

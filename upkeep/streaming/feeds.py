@@ -68,14 +68,19 @@ def export_ingest(spark: SparkSession, source_dir: str, transform, target: str,
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
     raw = spark.readStream.schema(schema).option("header", False).option("multiLine", True) \
                .option("escape", '"').option("pathGlobFilter", "*.csv").csv(source_dir)
-    g = raw.select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("_mid"),
+    g = raw.select(F.col("_metadata.file_name").alias("file"),
                    F.array(*[F.col(f"c{i}") for i in range(width)]).alias("cells"))
 
     def build(ckpt, out):
         def sink(batch: DataFrame, _epoch: int):
             from pyspark.sql import Window
-            b = batch.withColumn("row_no", F.row_number().over(Window.partitionBy("file").orderBy("_mid")) - 1) \
-                     .drop("_mid")
+            # each new file is read whole by one task, so ids increase in file order
+            b = batch.withColumn("_mid", F.monotonically_increasing_id())
+            b = b.withColumn("row_no", F.row_number().over(Window.partitionBy("file").orderBy("_mid")) - 1) \
+                 .drop("_mid")
+            last = F.aggregate(F.sequence(F.lit(1), F.lit(width)), F.lit(0),
+                               lambda acc, i: F.when(F.try_element_at("cells", i).isNotNull(), i).otherwise(acc))
+            b = b.withColumn("cells", F.slice("cells", 1, F.greatest(last, F.lit(1))))
             w = transform(b).write.mode("append")
             if partition_by:
                 w = w.partitionBy(partition_by)
