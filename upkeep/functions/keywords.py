@@ -218,3 +218,15 @@ def name_class(c) -> Column:
     for w in ("cart", "janitor", "mop bucket", "mop ", "wringer"):
         jan = jan | F.contains(t, F.lit(w))
     return out.when(vac, F.lit("Other vacuums")).when(jan, F.lit("Janitorial / carts")).otherwise(F.lit("Other"))
+
+
+def keyword_dimension(df, name_col: str):
+    """(name, keyword, label, equip_type) for the distinct names of ``df``.
+
+    Classification runs once per distinct name and the result (vocabulary-sized)
+    is materialised in the shared checkpoint folder, so later joins read a small
+    table instead of re-planning and re-running the rule expressions."""
+    from upkeep.session import materialize
+    d = df.select(F.col(name_col).alias("name")).distinct()
+    d = with_equip_type_from_name(with_keyword_label(with_keyword(d, "name")), "name")
+    return materialize(d.select("name", "keyword", "label", "equip_type"))

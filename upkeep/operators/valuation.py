@@ -104,6 +104,9 @@ def scored_keyword_price(keys: DataFrame, sheet: DataFrame, key_col: str = "keyw
              .select(F.col("keyword").alias("s_key"), "price", F.col(order_col).alias("s_ord"),
                      F.col("_p.category").alias("s_cat"), F.col("_p.brand").alias("s_brand"),
                      F.col("_p.size").alias("s_size"))
+    from upkeep.session import materialize
+    # both sides hold one row per keyword (vocabulary-sized); computed once, read by three branches
+    k, s = materialize(k), materialize(s)
     exact = k.join(s, k[key_col] == s.s_key).select(key_col, F.col("price").alias("_exact"))
     br = k.where(F.col("k_brand").isNotNull()).join(s, F.col("k_brand") == F.col("s_brand")) \
           .where(~(F.col("k_size").isNotNull() & F.col("s_size").isNotNull() & (F.col("k_size") != F.col("s_size"))))

@@ -370,10 +370,10 @@ from upkeep.operators.valuation import keyword_medians, nearest_year_price, valu
 
 def _keyed_names(spark, sf_dir):
     """Keyword per part, classified once per distinct name and joined back."""
+    from upkeep.functions.keywords import keyword_dimension
     names = bench.equipment_names(spark, sf_dir)
-    distinct = names.select("equip_name").distinct()
-    k = with_equip_type_from_name(with_keyword_label(with_keyword(distinct, "equip_name")), "equip_name")
-    return names.join(k, "equip_name", "left")
+    k = keyword_dimension(names, "equip_name").withColumnRenamed("name", "equip_name")
+    return names.join(k, names.equip_name.eqNullSafe(k.equip_name), "left").drop(k.equip_name)
 
 
 def q_keyword_extract(spark, sf_dir):

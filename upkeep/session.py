@@ -69,3 +69,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediate tables."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def materialize(df):
+    """Compute a small, reused intermediate result once (e.g. a keyword sheet or
+    a distinct-name dimension) and cut its lineage. Uses a reliable checkpoint
+    in the shared checkpoint folder, so a lost executor does not lose it."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
