@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from upkeep import params as P
 from upkeep.functions import (extract_label, labor_cost, month_from_file_name, month_key, norm_equip_id,
                               parse_date, parse_dollar, parse_repair_hours, strip_ws, to_double)
-from upkeep.sources.raw_grid import field, find_header_rows, record_map, records, records_resolved
+from upkeep.sources.raw_grid import field, find_header_rows, record_map, records, records_resolved, spread
 
 # ---- fixed values: export column names and aliases ---------------------------
 REPAIRS_COLUMNS = ("#", "Completed Date", "Equipment Name", "Equipment ID", "Location", "Service Vendor",
@@ -136,7 +136,7 @@ def clean_requests_grid(grid: DataFrame, default_year: int = P.DEFAULT_FILE_YEAR
                    field("Requestor").alias("requestor"), field("Request").alias("request"),
                    F.coalesce(field("Assigned To"), F.lit("")).alias("assigned_to"), month_key(d).alias("_m"))
     first = out.groupBy("file").agg(F.min_by("_m", "row_no").alias("_first_m"))
-    out = out.join(first, "file").withColumn(
+    out = out.join(F.broadcast(first), "file").withColumn(
         "file_month", F.coalesce(month_from_file_name("file", default_year), F.col("_first_m"))).drop("_m", "_first_m")
     return out, rejected
 
@@ -192,13 +192,13 @@ def clean_equipment_grid(grid: DataFrame, tmap: DataFrame | None, as_of, scan_ro
     tries = tries.select("file", F.posexplode("t").alias("rank", "row"))
     hdr_rows = grid.select(F.col("file").alias("_gf"), F.col("row_no").alias("_gr"),
                            F.transform("cells", _canon_header).alias("canon"))
-    cand = tries.join(hdr_rows, (F.col("file") == F.col("_gf")) & (F.col("row") == F.col("_gr"))) \
+    cand = F.broadcast(tries).join(hdr_rows, (F.col("file") == F.col("_gf")) & (F.col("row") == F.col("_gr"))) \
                 .where(F.array_contains("canon", "EquipmentId") & F.array_contains("canon", "Name"))
     best = cand.groupBy("file").agg(F.min_by("row", "rank").alias("header_row"))
     rejected = grid.select("file").distinct().join(best, "file", "left_anti")
     h = best.join(hdr_rows, (F.col("file") == F.col("_gf")) & (F.col("header_row") == F.col("_gr"))) \
             .select(F.col("file").alias("_nf"), "header_row", unique_names(F.col("canon")).alias("names"))
-    g = grid.join(h, F.col("file") == F.col("_nf")).where(F.col("row_no") > F.col("header_row"))
+    g = spread(grid).join(F.broadcast(h), F.col("file") == F.col("_nf")).where(F.col("row_no") > F.col("header_row"))
     g = g.select("file", "row_no", record_map("names", "cells").alias("rec"))
 
     def cell(name):
@@ -255,7 +255,7 @@ def clean_service_grid(grid: DataFrame, default_year: int = P.DEFAULT_FILE_YEAR,
         is_ol, F.coalesce(F.element_at(ren, c), F.when((c == "Name") & ~has_loc, F.lit("Location")), c)).otherwise(c))
     from upkeep.sources.raw_grid import unique_names
     hdr = hdr.select("_hf", is_ol.alias("order_list"), unique_names(names).alias("names"))
-    g = grid.where(F.col("row_no") > 0).join(hdr, F.col("file") == F.col("_hf"))
+    g = spread(grid.where(F.col("row_no") > 0)).join(F.broadcast(hdr), F.col("file") == F.col("_hf"))
     g = g.select("file", "row_no", "order_list", record_map("names", "cells").alias("rec"))
 
     def cell(name):

@@ -17,6 +17,10 @@ from pyspark.sql import types as T
 from upkeep.functions import header_token, norm_col_key, strip_ws
 
 GRID_WIDTH = 64
+# Per-file tables (header row, header names, resolved columns) hold one row per
+# file. Their size is bounded by the file listing the driver already holds, so
+# they are broadcast: joining them on the file name must not send every row of a
+# (possibly huge) file to a single task.
 
 
 def read_csv_grid(spark: SparkSession, path: str, width: int = GRID_WIDTH, glob: str = "*.{csv,CSV}") -> DataFrame:
@@ -47,6 +51,14 @@ def grid_from_text(df: DataFrame, file_col: str, text_col: str, sep: str = ",")
     return lines.select("file", "row_no", F.split("line", sep).alias("cells"))
 
 
+def spread(grid: DataFrame) -> DataFrame:
+    """Rebalance raw rows before per-row parsing. A multi-line CSV file is read
+    whole by one task, so a huge file would otherwise be parsed by one task; the
+    rebalance hint lets AQE split large partitions and merge small ones (one
+    shuffle of the raw text, after row numbers are fixed)."""
+    return grid.hint("rebalance")
+
+
 def find_header_rows(grid: DataFrame, sentinel: str, max_scan: int = 10, default: int | None = 1,
                      any_column: bool = False) -> DataFrame:
     """(file, header_row): first row within ``max_scan`` whose first cell (or any
@@ -82,7 +94,7 @@ def header_name_rows(grid: DataFrame, headers: DataFrame) -> DataFrame:
     The repeat counter is a window over (file, name), i.e. over one header
     line's cells, never over data rows."""
     hd = headers.select(F.col("file").alias("_hf"), "header_row")
-    h = grid.join(hd, (F.col("file") == F.col("_hf")) & (F.col("row_no") == F.col("header_row")))
+    h = grid.join(F.broadcast(hd), (F.col("file") == F.col("_hf")) & (F.col("row_no") == F.col("header_row")))
     e = h.select("file", "header_row", F.posexplode("cells").alias("pos", "raw"))
     base = F.coalesce(F.nullif(strip_ws(F.regexp_replace("raw", "\n", " ")), F.lit("")),
                       F.concat(F.lit("_unnamed_"), F.col("pos").cast("string")))
@@ -105,7 +117,7 @@ def records(grid: DataFrame, headers: DataFrame) -> DataFrame:
     Names are unique, so the first of duplicated columns keeps the plain name."""
     names = header_names(grid, headers)
     names = names.withColumnRenamed("file", "_nf")
-    g = grid.join(names, F.col("file") == F.col("_nf")).where(F.col("row_no") > F.col("header_row"))
+    g = spread(grid).join(F.broadcast(names), F.col("file") == F.col("_nf")).where(F.col("row_no") > F.col("header_row"))
     return g.select("file", "row_no", record_map("names", "cells").alias("rec"))
 
 
@@ -156,7 +168,7 @@ def records_resolved(grid: DataFrame, headers: DataFrame, spec: dict, key_fn) ->
     on one row per file; rows then read ``element_at(rec, _c_<name>)``."""
     hn = header_names(grid, headers)
     hn = hn.select(F.col("file").alias("_nf"), "header_row", "names", *resolve_columns(F.col("names"), spec, key_fn))
-    g = grid.join(hn, F.col("file") == F.col("_nf")).where(F.col("row_no") > F.col("header_row"))
+    g = spread(grid).join(F.broadcast(hn), F.col("file") == F.col("_nf")).where(F.col("row_no") > F.col("header_row"))
     return g.select("file", "row_no", record_map("names", "cells").alias("rec"), *[F.col("_c_" + k) for k in spec])
 
 
