@@ -277,17 +277,20 @@ def clean_service_grid(grid: DataFrame, default_year: int = P.DEFAULT_FILE_YEAR,
                      F.coalesce(F.col("ctx_loc"), F.lit("")).alias("_loc"),
                      F.coalesce(F.col("ctx_price"), F.lit(0.0)).alias("_price"))
     rows = ol.select(*leg.columns).unionByName(leg)
-    sched, comp = parse_date(F.col("_sched")), parse_date(F.col("_comp"))
-    fm = month_from_file_name("file", default_year)
-    months_ok = (fm.isNull() | (month_key(sched).isNull() & month_key(comp).isNull()) |
-                 (fm == month_key(sched)) | (fm == month_key(comp)))
-    desc = clean_service_description(F.col("_desc"))
+    # each parsed value is its own column, referenced (not re-expanded) below
+    rows = rows.withColumn("_sd", parse_date(F.col("_sched"))).withColumn("_cd", parse_date(F.col("_comp"))) \
+               .withColumn("_fm", month_from_file_name("file", default_year)) \
+               .withColumn("_dc", clean_service_description(F.col("_desc")))
+    rows = rows.withColumn("_ms", month_key("_sd")).withColumn("_mc", month_key("_cd"))
+    months_ok = (F.col("_fm").isNull() | (F.col("_ms").isNull() & F.col("_mc").isNull()) |
+                 (F.col("_fm") == F.col("_ms")) | (F.col("_fm") == F.col("_mc")))
     keep = (F.col("_sched").isNotNull() & (strip_ws(F.col("_sched")) != "") & ~is_placeholder_description("_desc")
-            & (F.col("_eid") != "") & (sched.isNotNull() | comp.isNotNull()) & F.coalesce(months_ok, F.lit(True))
-            & (desc != "") & ~F.lower(desc).startswith("delete duplicate"))
+            & (F.col("_eid") != "") & (F.col("_sd").isNotNull() | F.col("_cd").isNotNull())
+            & F.coalesce(months_ok, F.lit(True))
+            & (F.col("_dc") != "") & ~F.lower(F.col("_dc")).startswith("delete duplicate"))
     out = rows.where(keep).select(
         "file", "row_no", F.col("_eid").alias("equip_id"), F.col("_name").alias("equipment"),
-        sched.alias("sched_date"), comp.alias("completed_date"), F.col("_loc").alias("location"),
-        desc.alias("description"), status_from_hint(F.col("_hint"), comp).alias("status"),
+        F.col("_sd").alias("sched_date"), F.col("_cd").alias("completed_date"), F.col("_loc").alias("location"),
+        F.col("_dc").alias("description"), status_from_hint(F.col("_hint"), F.col("_cd")).alias("status"),
         F.when(F.col("_price") > 0, F.col("_price")).alias("estimated_price"))
     return out.withColumn("month_key", month_key("sched_date"))
