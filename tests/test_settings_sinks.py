@@ -83,3 +83,18 @@ def test_csv_grid_and_incremental_ingest(spark):
         f.write('#,Completed Date,Equipment Name\n1,6/1/2026,Fan\n')
     out = export_ingest(spark, src, load_repairs_grid, target, width=8, run_id=run)
     assert out.count() == 3
+
+
+def test_csv_table_sql_and_display(spark):
+    from upkeep.functions.display import money, months, months_adjustment
+    from upkeep.sources.tables import csv_sql, first_present, read_csv_table
+    d = tempfile.mkdtemp()
+    with open(os.path.join(d, "a.csv"), "w") as f:
+        f.write("Equipment Id,Cost\nA1,5\nB2,7\n")
+    t = read_csv_table(spark, d)
+    assert first_present(t, ("Equipment ID", "Equipment Id")) == "Equipment Id"
+    r = csv_sql(spark, "SELECT count(*) AS n FROM csv_input WHERE `Equipment Id` = :eid", d, eid="B2").first()
+    assert r.n == 1
+    row = spark.createDataFrame([(1234.5, 12.4, 6.0)], "m double, a double, x double") \
+               .select(money("m"), money("m", True), months("a"), months_adjustment("x")).first()
+    assert tuple(row) == ("$1,234.50", "$1,234", "12 mo", "+6 mo")  # half to even, like Python format
