@@ -57,12 +57,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     and registered; on a cluster the configured shared folder is always used.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+    sc = None
+    try:
+        sc = spark.sparkContext  # absent under Spark Connect
+    except Exception:  # noqa: BLE001
+        sc = None
+    if not d and sc is not None and hasattr(sc, "getCheckpointDir"):
+        d = sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="upkeep-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if sc is not None:
+        sc.setCheckpointDir(d)
     return d
 
 
@@ -75,5 +81,10 @@ def materialize(df):
     """Compute a small, reused intermediate result once (e.g. a keyword sheet or
     a distinct-name dimension) and cut its lineage. Uses a reliable checkpoint
     in the shared checkpoint folder, so a lost executor does not lose it."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    try:
+        checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    except Exception:  # noqa: BLE001 - no usable checkpoint folder: keep it cached instead
+        out = df.persist()
+        out.count()
+        return out
