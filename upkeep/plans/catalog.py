@@ -662,3 +662,35 @@ def q_override_context(spark, sf_dir):
                     "repair_status", "base_life_status", "effective_life_status",
                     combine_status("repair_status", "base_life_status").alias("base_status"),
                     combine_status("repair_status", "effective_life_status").alias("effective_status"))
+
+
+def q_enriched_repairs(spark, sf_dir):
+    """Repair rows enriched with category and new price (purchase -> matched
+    catalog model at the purchase year -> valuation sheet -> service price);
+    rows, assets and parts spend per month, category and price source."""
+    from upkeep.operators.valuation import first_valid_price
+    from upkeep.plans.enrich import catalog_prices_by_id, enrich_repairs
+    p = bench.read(spark, sf_dir, "part")
+    keyed = _keyed_names(spark, sf_dir)
+    names = keyed.select("equip_id", "equip_name")
+    tm = type_map(p.where(F.col("p_size") <= 20).select(F.col("p_partkey").alias("equip_id"),
+                                                          F.col("p_type").alias("equip_type"),
+                                                          F.col("p_partkey").alias("row_ord")))
+    summ = p.select(F.col("p_partkey").alias("equip_id"),
+                    F.when(F.col("p_size") > 40, F.lit("Other")).otherwise(F.initcap("p_type")).alias("equip_type"))
+    models, prices = load_catalog(bench.catalog_rows(spark, sf_dir))
+    years = bench.purchase_book(spark, sf_dir).select("equip_id", "year")
+    li = bench.read(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "N").select(
+        F.col("l_partkey").alias("equip_id"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice").alias("row_ord"))
+    rep = bench.repairs_rows(spark, sf_dir).where(F.col("month_key").isNotNull())
+    out = enrich_repairs(
+        rep, names, type_map=tm, summary=summ,
+        purchase=keyed.where(F.col("size") <= 10).select("equip_id", F.col("cost").alias("price")),
+        catalog=catalog_prices_by_id(names, years, models, prices),
+        valuation=q_valuation_sheet(spark, sf_dir).select("keyword", "price"),
+        service=first_valid_price(li, "equip_id", "price"),
+        keywords=keyed.select("equip_id", "keyword"))
+    return out.groupBy("month_key", "category", "price_source").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("equip_id").alias("n_assets"),
+        F.round(F.sum("parts"), 2).alias("parts"), F.sum(F.col("new_price").cast("decimal(20,6)")).cast("double").alias("new_price_sum"))

@@ -733,3 +733,42 @@ d AS (SELECT grid.file, CASE WHEN pick.p IS NOT NULL AND pick.p <= len(grid.cell
       JOIN pick ON pick.file = grid.file)
 SELECT file AS doc_id, count(*) AS n_rows, count(v) AS n_values, sum(length(v)) AS value_chars FROM d GROUP BY file
 """
+
+ORACLE["enriched_repairs"] = f"""
+WITH {_PURCHASE}, {X.catalog_ctes()}, {X.catalog_match_ctes('en', 'equip_name')},
+sp AS (SELECT kw.keyword, round(l_extendedprice / l_quantity, 2) AS price FROM lineitem
+       JOIN en ON en.equip_id = l_partkey LEFT JOIN kw ON kw.name = en.equip_name
+       WHERE l_returnflag = 'N' AND kw.keyword IS NOT NULL AND round(l_extendedprice / l_quantity, 2) > 0),
+sm AS (SELECT keyword, median(price) AS service_price FROM sp GROUP BY keyword),
+p3 AS (SELECT coalesce(pm.keyword, sm.keyword) AS keyword, coalesce(purchase_price, service_price) AS price
+       FROM pm FULL OUTER JOIN sm ON pm.keyword = sm.keyword),
+t AS (SELECT en.equip_id, cmatch.model, pb.year AS target_year FROM en JOIN cmatch ON cmatch.name = en.equip_name
+      JOIN pb ON pb.equip_id = en.equip_id WHERE cmatch.model IS NOT NULL),
+c AS (SELECT t.equip_id, cp.price, row_number() OVER (PARTITION BY t.equip_id
+                     ORDER BY abs(cp.year - t.target_year), cp.year) AS rn FROM t LEFT JOIN cp ON cp.model = t.model),
+p2 AS (SELECT equip_id, price FROM c WHERE rn = 1),
+p1 AS (SELECT p_partkey AS equip_id, p_retailprice AS price FROM part WHERE p_size <= 10),
+p4 AS (SELECT l_partkey AS equip_id,
+              arg_min(l_extendedprice / l_quantity, {{'a': l_shipdate, 'b': l_orderkey, 'c': l_linenumber, 'd': l_suppkey, 'e': l_extendedprice}}) AS price
+       FROM lineitem WHERE l_returnflag = 'N' AND l_extendedprice / l_quantity > 0 GROUP BY 1),
+tm AS (SELECT p_partkey AS equip_id, nullif(trim(p_type), '') AS tt FROM part WHERE p_size <= 20),
+sm2 AS (SELECT p_partkey AS equip_id, CASE WHEN p_size > 40 THEN 'Other'
+                                            ELSE upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) END AS ss FROM part),
+ids AS (SELECT DISTINCT l_partkey AS equip_id FROM lineitem WHERE l_shipdate IS NOT NULL),
+a AS (SELECT ids.equip_id,
+             coalesce(tm.tt, CASE WHEN sm2.ss <> 'Other' THEN sm2.ss END, nullif(trim(kw.equip_type), ''), 'Other') AS category,
+             CASE WHEN p1.price > 0 THEN p1.price END AS v1, CASE WHEN p2.price > 0 THEN p2.price END AS v2,
+             CASE WHEN p3.price > 0 THEN p3.price END AS v3, CASE WHEN p4.price > 0 THEN p4.price END AS v4
+      FROM ids LEFT JOIN en ON en.equip_id = ids.equip_id LEFT JOIN kw ON kw.name = en.equip_name
+      LEFT JOIN tm ON tm.equip_id = ids.equip_id LEFT JOIN sm2 ON sm2.equip_id = ids.equip_id
+      LEFT JOIN p1 ON p1.equip_id = ids.equip_id LEFT JOIN p2 ON p2.equip_id = ids.equip_id
+      LEFT JOIN p3 ON p3.keyword = kw.keyword LEFT JOIN p4 ON p4.equip_id = ids.equip_id),
+b AS (SELECT equip_id, category, coalesce(v1, v2, v3, v4, 0.0) AS new_price,
+             CASE WHEN v1 IS NOT NULL THEN 'purchase' WHEN v2 IS NOT NULL THEN 'custodial'
+                  WHEN v3 IS NOT NULL THEN 'valuation' WHEN v4 IS NOT NULL THEN 'service' ELSE '' END AS price_source FROM a),
+r AS (SELECT strftime(l_shipdate, '%Y-%m') AS month_key, l_partkey AS equip_id,
+             l_extendedprice * l_discount / 1000.0::DOUBLE AS parts FROM lineitem WHERE l_shipdate IS NOT NULL)
+SELECT month_key, category, price_source, count(*) AS n_rows, count(DISTINCT r.equip_id) AS n_assets,
+       round(sum(parts), 2) AS parts, CAST(sum(CAST(new_price AS DECIMAL(20,6))) AS DOUBLE) AS new_price_sum
+FROM r LEFT JOIN b USING (equip_id) GROUP BY 1, 2, 3
+"""
