@@ -108,9 +108,9 @@ def clean_repairs_rows(grid: DataFrame, labor_rate: float = P.LABOR_RATE_PER_HOU
     r = r.where(((F.col("equipment") != "") | (F.col("equip_id") != "")) & F.col("completed_date").isNotNull())
     r = r.withColumn("labor", labor_cost("hours", labor_rate)) \
          .withColumn("total", F.bround(F.col("parts") + F.col("labor"), 2)) \
-         .withColumn("repairs", F.lit(1)) \
-         .withColumn("month_key", month_from_file_name("file"))
-    return r
+         .withColumn("repairs", F.lit(1))
+    months = r.select("file").distinct().withColumn("month_key", month_from_file_name("file"))  # once per file
+    return r.join(F.broadcast(months), "file")
 
 
 REQUEST_COLUMNS = ("Work Order #", "Request Date", "Requestor", "Request", "Assigned To")
@@ -136,8 +136,9 @@ def clean_requests_grid(grid: DataFrame, default_year: int = P.DEFAULT_FILE_YEAR
                    field("Requestor").alias("requestor"), field("Request").alias("request"),
                    F.coalesce(field("Assigned To"), F.lit("")).alias("assigned_to"), month_key(d).alias("_m"))
     first = out.groupBy("file").agg(F.min_by("_m", "row_no").alias("_first_m"))
-    out = out.join(F.broadcast(first), "file").withColumn(
-        "file_month", F.coalesce(month_from_file_name("file", default_year), F.col("_first_m"))).drop("_m", "_first_m")
+    first = first.withColumn("file_month", F.coalesce(month_from_file_name("file", default_year),
+                                                      F.col("_first_m")))  # once per file
+    out = out.join(F.broadcast(first.select("file", "file_month")), "file").drop("_m")
     return out, rejected
 
 
@@ -254,15 +255,16 @@ def clean_service_grid(grid: DataFrame, default_year: int = P.DEFAULT_FILE_YEAR,
     names = F.transform("raw", lambda c: F.when(
         is_ol, F.coalesce(F.element_at(ren, c), F.when((c == "Name") & ~has_loc, F.lit("Location")), c)).otherwise(c))
     from upkeep.sources.raw_grid import unique_names
-    hdr = hdr.select("_hf", is_ol.alias("order_list"), unique_names(names).alias("names"))
+    hdr = hdr.select("_hf", is_ol.alias("order_list"), unique_names(names).alias("names"),
+                     month_from_file_name("_hf", default_year).alias("_fm"))  # once per file
     g = spread(grid.where(F.col("row_no") > 0)).join(F.broadcast(hdr), F.col("file") == F.col("_hf"))
-    g = g.select("file", "row_no", "order_list", record_map("names", "cells").alias("rec"))
+    g = g.select("file", "row_no", "order_list", "_fm", record_map("names", "cells").alias("rec"))
 
     def cell(name):
         return F.element_at("rec", F.lit(name))
 
     eid = strip_ws(F.coalesce(cell("EquipmentId"), F.lit("")))
-    base = g.select("file", "row_no", "order_list", eid.alias("_eid"),
+    base = g.select("file", "row_no", "order_list", "_fm", eid.alias("_eid"),
                     cell("ScheduledDate").alias("_sched"), cell("CompletedDate").alias("_comp"),
                     cell("Description").alias("_desc"), cell("StatusRaw").alias("_hint"),
                     strip_ws(F.coalesce(cell("EquipmentName"), cell("Name"), F.lit(""))).alias("_name"),
@@ -271,7 +273,7 @@ def clean_service_grid(grid: DataFrame, default_year: int = P.DEFAULT_FILE_YEAR,
     ol = base.where(F.col("order_list"))
     leg = forward_fill(base.where(~F.col("order_list")), ["file"], "row_no", F.col("_eid") != "",
                        ["_eid", "_name", "_loc", "_price"], bucket_rows=detail_bucket_rows, prefix="ctx")
-    leg = leg.select("file", "row_no", "_sched", "_comp", "_desc", F.lit(None).cast("string").alias("_hint"),
+    leg = leg.select("file", "row_no", "_fm", "_sched", "_comp", "_desc", F.lit(None).cast("string").alias("_hint"),
                      F.coalesce(F.col("ctx_eid"), F.lit("")).alias("_eid"),
                      F.coalesce(F.col("ctx_name"), F.lit("")).alias("_name"),
                      F.coalesce(F.col("ctx_loc"), F.lit("")).alias("_loc"),
@@ -279,7 +281,6 @@ def clean_service_grid(grid: DataFrame, default_year: int = P.DEFAULT_FILE_YEAR,
     rows = ol.select(*leg.columns).unionByName(leg)
     # each parsed value is its own column, referenced (not re-expanded) below
     rows = rows.withColumn("_sd", parse_date(F.col("_sched"))).withColumn("_cd", parse_date(F.col("_comp"))) \
-               .withColumn("_fm", month_from_file_name("file", default_year)) \
                .withColumn("_dc", clean_service_description(F.col("_desc")))
     rows = rows.withColumn("_ms", month_key("_sd")).withColumn("_mc", month_key("_cd"))
     months_ok = (F.col("_fm").isNull() | (F.col("_ms").isNull() & F.col("_mc").isNull()) |
