@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from upkeep.functions import attach_one_row
+
 from upkeep.functions import age_months_from_date, age_months_from_year, book_value
 from upkeep.operators.stats import exact_median
 from upkeep.params import Params
@@ -40,7 +42,7 @@ def purchase_cohorts(purchase: DataFrame, params: Params = Params()):
         if g:
             out = keys.join(a, g, "left").join(life, g, "left")
         else:
-            out = a.crossJoin(life)
+            out = attach_one_row(a, life)
         return out.withColumn("n", F.greatest(F.coalesce("n_age", F.lit(0)), F.coalesce("n_life", F.lit(0)))) \
                   .drop("n_age", "n_life")
 
@@ -85,7 +87,7 @@ def resolve_depreciation(assets: DataFrame, *, meta: DataFrame | None, purchase_
         a = a.withColumn("_ty_hit", F.lit(None).cast("boolean")).withColumn("_ty_age", F.lit(None).cast("double")) \
              .withColumn("_ty_life", F.lit(None).cast("double"))
     if fleet is not None:
-        a = a.crossJoin(fleet.select(F.col("median_age").alias("_fl_age"), F.col("median_life").alias("_fl_life")))
+        a = attach_one_row(a, fleet.select(F.col("median_age").alias("_fl_age"), F.col("median_life").alias("_fl_life")))
     else:
         a = a.withColumn("_fl_age", F.lit(None).cast("double")).withColumn("_fl_life", F.lit(None).cast("double"))
 

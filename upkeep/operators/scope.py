@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from upkeep.functions import attach_one_row
+
 from upkeep.functions import normalize_building
 
 
@@ -27,5 +29,5 @@ def building_scope(df: DataFrame, scope: DataFrame, user_id, location_col: str =
     restricted = tagged.join(allowed, "_bld", "left_semi")
     # unrestricted when the user has no rows: a one-row flag decides per row
     has_scope = allowed.agg((F.count(F.lit(1)) > 0).alias("_has"))
-    unrestricted = tagged.crossJoin(has_scope).where(~F.col("_has")).drop("_has")
+    unrestricted = attach_one_row(tagged, has_scope).where(~F.col("_has")).drop("_has")
     return restricted.unionByName(unrestricted).drop("_bld")

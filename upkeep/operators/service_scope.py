@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from upkeep.functions import attach_one_row
+
 from upkeep.functions import month_key, next_month_start, norm_desc, soft_norm_desc, strip_ws
 
 
@@ -56,7 +58,7 @@ def effective_status_month(svc: DataFrame, month: str) -> DataFrame:
 def drop_prior_open_stubs(svc: DataFrame, catalog: DataFrame) -> DataFrame:
     """Drop open rows of months before the latest month of the catalog."""
     latest = catalog.where(F.col("month_key").isNotNull()).agg(F.max("month_key").alias("_latest"))
-    j = svc.crossJoin(F.broadcast(latest))  # one-row aggregate
+    j = attach_one_row(svc, latest)
     prior_open = F.col("completed_date").isNull() & (F.col("month_key") < F.col("_latest"))
     return j.where(~F.coalesce(prior_open, F.lit(False))).drop("_latest")
 

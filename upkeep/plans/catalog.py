@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from upkeep.functions import attach_one_row
+
 from upkeep.params import Params
 from upkeep.plans.replacement import replacement_rollup, replacement_status as _status
 from upkeep.sources import bench
@@ -629,7 +631,7 @@ def q_footer_counts(spark, sf_dir):
     svc = bench.service(spark, sf_dir)
     a = rep.agg(F.count(F.lit(1)).alias("repair_records"), F.countDistinct("equip_id").alias("assets"))
     b = svc.agg(F.count(F.lit(1)).alias("service_orders"), F.max("month_key").alias("latest_month"))
-    return a.crossJoin(b)
+    return attach_one_row(a, b)
 
 
 def q_unclassified_count(spark, sf_dir):
