@@ -98,3 +98,20 @@ def test_csv_table_sql_and_display(spark):
     row = spark.createDataFrame([(1234.5, 12.4, 6.0)], "m double, a double, x double") \
                .select(money("m"), money("m", True), months("a"), months_adjustment("x")).first()
     assert tuple(row) == ("$1,234.50", "$1,234", "12 mo", "+6 mo")  # half to even, like Python format
+
+
+def test_row_numbers_dense_across_splits(spark):
+    from upkeep.sources.raw_grid import read_csv_grid
+    d = tempfile.mkdtemp()
+    with open(os.path.join(d, "big.csv"), "w") as f:
+        for i in range(2000):
+            f.write(f"{i},x{i}\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        g = read_csv_grid(spark, d, width=2, multi_line=False)
+        assert g.rdd.getNumPartitions() > 1
+        rows = g.select("row_no", F.col("cells")[0].alias("c")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r.row_no, int(r.c)) for r in rows) == [(i, i) for i in range(2000)]

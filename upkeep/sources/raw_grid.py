@@ -23,27 +23,45 @@ GRID_WIDTH = 64
 # (possibly huge) file to a single task.
 
 
-def read_csv_grid(spark: SparkSession, path: str, width: int = GRID_WIDTH, glob: str = "*.{csv,CSV}") -> DataFrame:
+def read_csv_grid(spark: SparkSession, path: str, width: int = GRID_WIDTH, glob: str = "*.{csv,CSV}",
+                  multi_line: bool = True) -> DataFrame:
     """(file, row_no, cells) from every CSV under ``path``; all cells text.
 
     An explicit wide schema keeps rows longer than the first line; quotes are
     escaped by doubling. Files are read whole (multi-line cells), so each file
-    is one reader task and numbering its rows is a per-file window."""
+    is one reader task. Exports without line breaks inside cells can be read
+    with ``multi_line=False``: files are then split across tasks and still
+    numbered in order (``number_rows``)."""
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
-    raw = (spark.read.schema(schema).option("header", False).option("multiLine", True)
+    raw = (spark.read.schema(schema).option("header", False).option("multiLine", multi_line)
            .option("escape", '"').option("pathGlobFilter", glob).option("recursiveFileLookup", True)
            .option("mode", "PERMISSIVE").csv(path))
     cells = F.array(*[F.col(f"c{i}") for i in range(width)])
-    g = raw.select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("_mid"),
-                   cells.alias("cells"))
-    w = Window.partitionBy("file").orderBy("_mid")
-    g = g.withColumn("row_no", F.row_number().over(w) - 1).drop("_mid")
+    g = raw.select(F.col("_metadata.file_name").alias("file"), cells.alias("cells"))
+    g = number_rows(g)
     # trailing empty cells beyond the last filled one are dropped
     last = F.aggregate(F.sequence(F.lit(1), F.lit(width)), F.lit(0),
                        lambda acc, i: F.when(F.try_element_at("cells", i).isNotNull(), i).otherwise(acc))
     return g.withColumn("cells", F.slice("cells", 1, F.greatest(last, F.lit(1))))
 
 
+def number_rows(df: DataFrame, file_col: str = "file") -> DataFrame:
+    """0-based row number per file in read order, without a window over a file's rows.
+
+    Within one read partition ``monotonically_increasing_id`` is consecutive, so
+    each (file, partition) chunk is numbered by its id offset; chunks get a
+    running offset from a window over the chunks of a file (a handful per file,
+    not its rows) joined back by broadcast. A huge splittable file is numbered
+    by all its reader tasks in parallel."""
+    d = df.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    chunks = d.groupBy(file_col, "_pid").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(file_col).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    j = d.join(F.broadcast(chunks.select(file_col, "_pid", "_first", "_off")), [file_col, "_pid"])
+    return j.withColumn("row_no", F.col("_off") + F.col("_mid") - F.col("_first")) \
+            .drop("_pid", "_mid", "_first", "_off")
+
+
 def grid_from_text(df: DataFrame, file_col: str, text_col: str, sep: str = ",") -> DataFrame:
     """(file, row_no, cells) from a table of whole texts (one text = one file)."""
     lines = df.select(F.col(file_col).alias("file"),

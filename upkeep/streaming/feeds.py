@@ -74,10 +74,8 @@ def export_ingest(spark: SparkSession, source_dir: str, transform, target: str,
     def build(ckpt, out):
         def sink(batch: DataFrame, _epoch: int):
             from pyspark.sql import Window
-            # each new file is read whole by one task, so ids increase in file order
-            b = batch.withColumn("_mid", F.monotonically_increasing_id())
-            b = b.withColumn("row_no", F.row_number().over(Window.partitionBy("file").orderBy("_mid")) - 1) \
-                 .drop("_mid")
+            from upkeep.sources.raw_grid import number_rows
+            b = number_rows(batch)
             last = F.aggregate(F.sequence(F.lit(1), F.lit(width)), F.lit(0),
                                lambda acc, i: F.when(F.try_element_at("cells", i).isNotNull(), i).otherwise(acc))
             b = b.withColumn("cells", F.slice("cells", 1, F.greatest(last, F.lit(1))))
