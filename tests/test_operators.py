@@ -101,3 +101,13 @@ def test_union_by_name(spark):
     b = spark.createDataFrame([(3, 4)], "b int, c int")
     rows = sorted(union_by_name([a, b]).collect(), key=lambda r: r.b)
     assert [tuple(r) for r in rows] == [(1, 2, None), (None, 3, 4)]
+
+
+def test_renumber_after_filter(spark):
+    from upkeep.operators.windows import renumber
+    df = spark.createDataFrame([("f", i, i % 3 == 0) for i in range(30)] + [("g", i, True) for i in range(4)],
+                               "file string, row_no int, keep boolean").repartition(1)
+    out = renumber(df.where("keep"), "file", "row_no", "n").collect()
+    got = sorted((r.file, r.row_no, r.n) for r in out)
+    assert [x[2] for x in got if x[0] == "f"] == list(range(1, 11))
+    assert [x[2] for x in got if x[0] == "g"] == [1, 2, 3, 4]

@@ -59,9 +59,19 @@ def forward_fill(df: DataFrame, part_cols: Sequence[str], order_col: str, is_hea
 
 
 def renumber(df: DataFrame, part_col: str, order_col: str, out: str = "row_no") -> DataFrame:
-    """1..n within each file after filtering (file order kept).
+    """1..n within each file after filtering, in file order.
+
+    Rows are numbered inside each read partition (a window bounded by one
+    partition's rows) and shifted by the running count of the file's earlier
+    chunks, so a huge file is numbered by all its tasks at once. Call it on
+    rows straight from a file scan (before any shuffle): the input is evaluated
+    twice, and only scan partitions are guaranteed to be the same both times."""
+    d = df.withColumn("_pid", F.spark_partition_id())
+    chunks = d.groupBy(part_col, "_pid").agg(F.min(order_col).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    wc = Window.partitionBy(part_col).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("_off", F.coalesce(F.sum("_n").over(wc), F.lit(0))).drop("_n", "_first")
+    w = Window.partitionBy(part_col, "_pid").orderBy(order_col)
+    d = d.withColumn("_r", F.row_number().over(w))
+    return d.join(F.broadcast(chunks), [part_col, "_pid"]) \
+            .withColumn(out, F.col("_off") + F.col("_r")).drop("_pid", "_r", "_off")
 
-    Per-file numbering is sequential by definition; files are the unit a single
-    reader task owns, so this window is bounded by one file."""
-    w = Window.partitionBy(part_col).orderBy(order_col)
-    return df.withColumn(out, F.row_number().over(w))
