@@ -100,19 +100,36 @@ def _contains_candidates(names: DataFrame, models: DataFrame) -> DataFrame:
                     (-F.length("norm_name")).alias("score"), "ord")
 
 
+def _token_keys(toks: Column, has_digit_side: Column | None = None) -> Column:
+    """Join keys a valid token match must share: (word token, digit token) pairs,
+    plus (word token, '') for models without digit tokens. A word token is one
+    not of the form ``\\d+[a-z]*``; a digit token contains a digit."""
+    words = F.filter(toks, lambda t: ~t.rlike(r"^\d+[a-z]*$"))
+    digits = F.filter(toks, lambda t: t.rlike(r"\d"))
+    pairs = F.flatten(F.transform(words, lambda w: F.transform(digits, lambda d: F.struct(w.alias("w"), d.alias("d")))))
+    singles = F.transform(words, lambda w: F.struct(w.alias("w"), F.lit("").alias("d")))
+    if has_digit_side is None:  # names: both kinds of keys
+        return F.concat(pairs, singles)
+    return F.when(F.size(digits) > 0, pairs).otherwise(singles)  # models: the kind their rule needs
+
+
 def _token_candidates(names: DataFrame, models: DataFrame) -> DataFrame:
-    nt = names.select("name_norm", F.explode(distinctive_tokens(F.col("name_norm"))).alias("tok"))
-    mt = models.where(F.size("tokens") > 0).select("model", "norm_name", "ord", "tokens",
-                                                   F.explode("tokens").alias("tok"))
-    ov = nt.join(mt, "tok").groupBy("name_norm", "model", "norm_name", "ord", "tokens") \
-           .agg(F.collect_set("tok").alias("overlap"))  # bounded by one model's token count
-    non_digit = F.exists("overlap", lambda t: ~t.rlike(r"^\d+[a-z]*$"))
-    model_digit = F.filter("tokens", lambda t: t.rlike(r"\d"))
-    digit_ok = (F.size(model_digit) == 0) | (F.size(F.array_intersect("overlap", model_digit)) > 0)
-    score = F.size("overlap") / F.size("tokens")
-    ok = non_digit & digit_ok & (score >= 0.5)
-    return ov.where(ok).select("name_norm", "model", F.lit(4).alias("tier"), F.lit(0).alias("sub"),
-                               (-(score * 1000000).cast("long") * 1000 - F.length("norm_name")).alias("score"), "ord")
+    """Token-overlap tier. Candidates must share a word token and, when the model
+    has digit tokens, a digit token too, so the join key is that pair: a name only
+    meets models with the same brand word and the same size number, never every
+    model sharing a common word."""
+    n = names.select("name_norm", distinctive_tokens(F.col("name_norm")).alias("ntok"))
+    nk = n.select("name_norm", "ntok", F.explode(_token_keys(F.col("ntok"))).alias("k"))
+    m = models.where(F.size("tokens") > 0)
+    mk = m.select("model", "norm_name", "ord", "tokens",
+                  F.explode(_token_keys(F.col("tokens"), F.lit(True))).alias("k"))
+    c = nk.join(mk, "k").select("name_norm", "ntok", "model", "norm_name", "ord", "tokens").dropDuplicates(
+        ["name_norm", "model"])
+    ov = F.array_intersect("ntok", "tokens")
+    score = F.size(ov) / F.size("tokens")
+    return c.where(score >= 0.5).select(
+        "name_norm", "model", F.lit(4).alias("tier"), F.lit(0).alias("sub"),
+        (-(score * 1000000).cast("long") * 1000 - F.length("norm_name")).alias("score"), "ord")
 
 
 def _family_candidates(names: DataFrame, models: DataFrame) -> DataFrame:
