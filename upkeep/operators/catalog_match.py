@@ -14,9 +14,10 @@ Tiers, first tier with a hit wins:
 Ties go to the earlier catalog model.
 
 No tier pairs every name with every model. Candidates come from equi joins on
-generated keys (family word; size shifted by -2..2; 8-grams and short n-grams for
-containment, verified afterwards; exploded tokens), so work is bounded by name
-length and key fan-out, not by |names| x |catalog|.
+generated keys: the family word; the size shifted by -2..2; whole substrings
+for containment (name substrings = catalog name, catalog substrings = name);
+(word token, digit token) pairs for overlap. Work is bounded by string lengths
+and token counts, not by |names| x |catalog|.
 """
 
 from __future__ import annotations
@@ -70,34 +71,31 @@ def load_catalog(raw: DataFrame, order_col: str = "row_ord") -> tuple[DataFrame,
     return models, prices
 
 
+def _substrings(s: Column, min_len: int) -> Column:
+    """Every substring of ``s`` with at least ``min_len`` characters (distinct)."""
+    n = F.length(s)
+    subs = F.flatten(F.transform(
+        F.sequence(F.lit(min_len), F.greatest(n, F.lit(min_len))),
+        lambda ln: F.transform(F.sequence(F.lit(1), F.greatest(n - ln + 1, F.lit(1))),
+                               lambda i: F.substring(s, i, ln))))
+    return F.when(n >= min_len, F.array_distinct(F.filter(subs, lambda x: F.length(x) >= min_len))) \
+            .otherwise(F.array().cast("array<string>"))
+
+
 def _contains_candidates(names: DataFrame, models: DataFrame) -> DataFrame:
-    """(name_norm, model) where one string contains the other (catalog name >= 8 chars)."""
+    """(name_norm, model) where one string contains the other (catalog name >= 8
+    chars), as two exact equi joins on whole strings: the name's substrings
+    against catalog names, and catalog names' substrings against names. Work is
+    bounded by string lengths; no candidate pairs are generated and discarded."""
     m = models.where(F.length("norm_name") >= MIN_CONTAIN_LEN).select("model", "norm_name", "ord")
-    k = MIN_CONTAIN_LEN
-
-    def grams(s: Column, n) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))),
-                           lambda i: F.substring(s, i, n))
-
-    # (a) catalog name inside the name: its first k chars are one of the name's k-grams
-    ng = names.select("name_norm", F.explode(F.array_distinct(grams(F.col("name_norm"), F.lit(k)))).alias("g"))
-    a = ng.join(m.select(F.substring("norm_name", 1, k).alias("g"), "model", "norm_name", "ord"), "g") \
-          .where(F.contains(F.col("name_norm"), F.col("norm_name")))
-    # (b) name inside the catalog name: for names of >= k chars their first k chars are a
-    #     k-gram of the catalog name; shorter names equal one of its n-grams (n = length)
-    mg = m.select("model", "norm_name", "ord",
-                  F.explode(F.array_distinct(F.flatten(F.transform(
-                      F.sequence(F.lit(1), F.lit(k)),
-                      lambda n: F.transform(grams(F.col("norm_name"), n), lambda g: F.struct(n.alias("n"), g.alias("g")))
-                  )))).alias("ng")).select("model", "norm_name", "ord", "ng.n", "ng.g")
-    nk = names.select("name_norm", F.least(F.length("name_norm"), F.lit(k)).alias("n"),
-                      F.substring("name_norm", 1, k).alias("g")).where(F.col("n") >= 1)
-    b = nk.join(mg, ["n", "g"]).where(F.contains(F.col("norm_name"), F.col("name_norm"))) \
-          .select("g", "name_norm", "model", "norm_name", "ord")
-    c = a.select("name_norm", "model", "norm_name", "ord").union(b.select("name_norm", "model", "norm_name", "ord")) \
-         .distinct()
+    ns = names.select("name_norm", F.explode(_substrings(F.col("name_norm"), MIN_CONTAIN_LEN)).alias("sub"))
+    a = ns.join(m, ns.sub == m.norm_name).select("name_norm", "model", "norm_name", "ord")
+    ms = m.select("model", "norm_name", "ord", F.explode(_substrings(F.col("norm_name"), 1)).alias("sub"))
+    b = names.select("name_norm").join(ms, F.col("name_norm") == F.col("sub")) \
+             .select("name_norm", "model", "norm_name", "ord")
+    c = a.unionByName(b).dropDuplicates(["name_norm", "model"])
     return c.select("name_norm", "model", F.lit(3).alias("tier"), F.lit(0).alias("sub"),
-                    (-F.length("norm_name")).alias("score"), "ord")
+                    (-F.length("norm_name")).cast("long").alias("score"), "ord")
 
 
 def _token_keys(toks: Column, has_digit_side: Column | None = None) -> Column:
