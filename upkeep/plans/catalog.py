@@ -696,3 +696,18 @@ def q_enriched_repairs(spark, sf_dir):
     return out.groupBy("month_key", "category", "price_source").agg(
         F.count(F.lit(1)).alias("n_rows"), F.countDistinct("equip_id").alias("n_assets"),
         F.round(F.sum("parts"), 2).alias("parts"), F.sum(F.col("new_price").cast("decimal(20,6)")).cast("double").alias("new_price_sum"))
+
+
+def q_replacement_filtered(spark, sf_dir):
+    """Replacement table with the report's filters: category, building and
+    repair-count bin on repair rows before the rollup; equipment regex and id
+    substring after it."""
+    rep = bench.repairs_rows(spark, sf_dir)
+    roll = replacement_rollup(rep, attrs=bench.assets(spark, sf_dir).select(
+                                  "equip_id", "equipment", "category", "new_price"),
+                              locations=bench.supplier_location(spark, sf_dir),
+                              category="ECONOMY", building="NATION_1", repair_count_bin="2 repairs")
+    out = _status(roll, PARAMS, equipment_substr="widget|gear", id_substr="1")
+    return out.select("equip_id", "equipment", "category", "building",
+                      F.round("parts", 2).alias("parts_cost"), F.round("labor", 2).alias("labor_cost"),
+                      F.round("total_cost", 2).alias("total_cost"), "new_price", "n_rows", "status")

@@ -772,3 +772,18 @@ SELECT month_key, category, price_source, count(*) AS n_rows, count(DISTINCT r.e
        round(sum(parts), 2) AS parts, CAST(sum(CAST(new_price AS DECIMAL(20,6))) AS DOUBLE) AS new_price_sum
 FROM r LEFT JOIN b USING (equip_id) GROUP BY 1, 2, 3
 """
+
+ORACLE["replacement_filtered"] = f"""
+WITH {X.REPAIRS_CTE},
+f AS (SELECT r.*, loc.location FROM r LEFT JOIN loc ON loc.s_suppkey = r.suppkey
+      LEFT JOIN part ON p_partkey = r.equip_id
+      WHERE r.equip_id IS NOT NULL AND p_type = 'ECONOMY' AND {X.normalize_building('loc.location')} = 'NATION_1'),
+ids AS (SELECT equip_id FROM f GROUP BY equip_id HAVING count(*) = 2),
+g AS (SELECT equip_id, arg_min(location, row_ord) AS location, sum(parts) AS parts, sum(labor) AS labor,
+             count(*) AS n_rows FROM f WHERE equip_id IN (SELECT equip_id FROM ids) GROUP BY equip_id)
+SELECT g.equip_id, p_name AS equipment, p_type AS category, {X.normalize_building('g.location')} AS building,
+       round(parts, 2) AS parts_cost, round(labor, 2) AS labor_cost, round(labor + parts, 2) AS total_cost,
+       p_retailprice AS new_price, n_rows, {X.replace_status('labor', 'parts', 'p_retailprice')} AS status
+FROM g LEFT JOIN part ON p_partkey = g.equip_id
+WHERE regexp_matches(lower(p_name), 'widget|gear') AND contains(CAST(g.equip_id AS VARCHAR), '1')
+"""
