@@ -61,3 +61,24 @@ def test_export_report_writes_rows_and_audit(spark):
     assert {r.equipment for r in spark.read.parquet(os.path.join(d, "out")).collect()} == {"Vac", "Fan"}
     a = spark.read.parquet(os.path.join(d, "audit")).first()
     assert a.row_count == 2 and a.event_type == "export_csv"
+
+
+def test_csv_report_roundtrip_and_type_lookups(spark):
+    from upkeep.functions import text_or_empty
+    from upkeep.operators.category import merge_type_lookups, type_map
+    from upkeep.sinks import write_csv_report
+    from upkeep.sources.tables import reread_cleaned
+    d = tempfile.mkdtemp()
+    out = os.path.join(d, "cleaned")
+    write_csv_report(spark.createDataFrame([("A", "Vac")], "EquipmentId string, Name string"), out)
+    back = reread_cleaned(spark, out, "all_equipment_summary.csv")
+    assert [(r.EquipmentId, r.Name) for r in back.collect()] == [("A", "Vac")]
+    assert spark.createDataFrame([(" x ",), (None,)], "v string").select(text_or_empty("v")).collect() == \
+        [("x",), ("",)]
+    rows = spark.createDataFrame([(1, "Vac", 1), (1, " ", 2), (1, "Fan", 3), (2, "Mop", 4)],
+                                 "equip_id int, equip_type string, row_ord int")
+    assert {r.equip_id: r.equip_type for r in type_map(rows, last=True).collect()} == {1: "Fan", 2: "Mop"}
+    assert {r.equip_id: r.equip_type for r in type_map(rows).collect()} == {1: "Vac", 2: "Mop"}
+    other = spark.createDataFrame([(2, "Cart"), (3, "Lift")], "equip_id int, equip_type string")
+    merged = {r.equip_id: r.equip_type for r in merge_type_lookups(type_map(rows), other).collect()}
+    assert merged == {1: "Vac", 2: "Mop", 3: "Lift"}
