@@ -32,8 +32,10 @@ def effective_status_all(svc: DataFrame, catalog: DataFrame, id_col: str = "equi
     """All-months effective status; ``catalog`` is the unscoped service table."""
     cat = catalog.where(F.col("month_key").isNotNull())
     done = cat.where(F.col("completed_date").isNotNull())
-    keys = done.select(id_col, norm_desc("description").alias("_k")) \
-               .union(done.select(id_col, soft_norm_desc("description").alias("_k"))).distinct()
+    # hard and soft keys from one pass over the completed rows
+    keys = done.select(id_col, F.explode(F.array_distinct(F.array(norm_desc("description"),
+                                                                  soft_norm_desc("description")))).alias("_k")) \
+               .distinct()
     first_done = done.where(F.col(id_col).isNotNull()).groupBy(id_col) \
                      .agg(F.min("completed_date").alias("_first_done"))
     s = svc.withColumn("_hk", norm_desc("description")).withColumn("_sk", soft_norm_desc("description"))
