@@ -115,3 +115,21 @@ def test_row_numbers_dense_across_splits(spark):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert sorted((r.row_no, int(r.c)) for r in rows) == [(i, i) for i in range(2000)]
+
+
+def test_overview_month_scope(spark):
+    from upkeep.operators import metrics as M
+    from upkeep.plans.overview import overview
+    from upkeep.sources import bench
+    sf = "/root/testdata/sf0.001"
+    cat = bench.assets(spark, sf).select("equip_id", "category")
+    rep = bench.repairs_rows(spark, sf).join(cat, "equip_id", "left")
+    ov = M.capacity_table(spark, {"1998-06": {"staffCount": 2, "hoursPerDay": 5, "workDays": 10}})
+    out = overview(spark, "1998-06", bench.requests(spark, sf), bench.service(spark, sf).join(cat, "equip_id", "left"),
+                   rep, cat, capacity_overrides=ov)
+    cap = out["staff_capacity"].collect()
+    assert len(cap) == 1 and cap[0].capacity_hours == 100.0
+    assert out["parts_budget"].first().budget == 6667.0
+    assert out["request_calendar"].count() == 30
+    hours = rep.where("month_key = '1998-06'").agg(F.sum("hours")).first()[0]
+    assert abs(cap[0].used_hours - hours) < 1e-9
