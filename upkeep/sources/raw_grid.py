@@ -70,11 +70,14 @@ def grid_from_text(df: DataFrame, file_col: str, text_col: str, sep: str = ",")
 
 
 def spread(grid: DataFrame) -> DataFrame:
-    """Rebalance raw rows before per-row parsing. A multi-line CSV file is read
-    whole by one task, so a huge file would otherwise be parsed by one task; the
-    rebalance hint lets AQE split large partitions and merge small ones (one
-    shuffle of the raw text, after row numbers are fixed)."""
-    return grid.hint("rebalance")
+    """Spread raw rows evenly before per-row parsing. A multi-line CSV file is
+    read whole by one task, and parsing (regexes, date formats) costs far more
+    CPU per byte than a size-based split assumes, so rows are dealt round-robin
+    over ``spark.sql.shuffle.partitions`` tasks (one shuffle of the raw text,
+    after row numbers are fixed). A size-targeted rebalance would merge a small
+    but CPU-heavy input into one task."""
+    n = int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return grid.repartition(n)
 
 
 def find_header_rows(grid: DataFrame, sentinel: str, max_scan: int = 10, default: int | None = 1,
