@@ -74,10 +74,8 @@ def q_hours_by_category(spark, sf_dir):
 
 def q_hours_by_building(spark, sf_dir):
     rep = _scoped_repairs(spark, sf_dir)
-    loc = bench.supplier_location(spark, sf_dir)
-    rep = rep.join(loc, rep.suppkey == loc.s_suppkey, "left")
-    return M.hours_by_building(rep).select("building", "building_code",
-                                           F.round("repair_hours", 2).alias("repair_hours"))
+    out = M.hours_by_building_via_key(rep, bench.supplier_location(spark, sf_dir))
+    return out.select("building", "building_code", F.round("repair_hours", 2).alias("repair_hours"))
 
 
 def q_repair_count_mix(spark, sf_dir):
@@ -341,10 +339,14 @@ def q_row_scope(spark, sf_dir):
     nat = bench.read(spark, sf_dir, "nation")
     scope = nat.where(F.col("n_regionkey") == 1).select(F.lit("u1").alias("user_id"),
                                                          F.col("n_name").alias("building"))
-    rep = bench.repairs(spark, sf_dir)
+    # hours and rows per supplier first; the scope then filters one row per supplier
+    per_supp = bench.repairs_rows(spark, sf_dir).groupBy("suppkey").agg(
+        F.sum("hours").alias("hours"), F.count(F.lit(1)).alias("n"))
+    loc = bench.supplier_location(spark, sf_dir)
+    rep = per_supp.join(loc, per_supp.suppkey == loc.s_suppkey, "left")
     scoped = building_scope(rep, scope, "u1")
     return scoped.groupBy(F.col("location").alias("building")).agg(
-        F.round(F.sum("hours"), 2).alias("repair_hours"), F.count(F.lit(1)).alias("n_rows"))
+        F.round(F.sum("hours"), 2).alias("repair_hours"), F.sum("n").alias("n_rows"))
 
 
 def q_override_merge(spark, sf_dir):
@@ -617,10 +619,11 @@ def q_month_options(spark, sf_dir):
 def q_building_options(spark, sf_dir):
     """Buildings present in repairs and service (normalised), with display codes."""
     loc = bench.supplier_location(spark, sf_dir)
-    rep = bench.repairs_rows(spark, sf_dir)
-    rep = rep.join(loc, rep.suppkey == loc.s_suppkey, "left")
-    svc = bench.service(spark, sf_dir, with_location=True)
-    b = O.building_options((rep, "location"), (svc, "location"))
+    # distinct location keys first: the join and normalisation run once per supplier
+    keys = bench.repairs_rows(spark, sf_dir).select("suppkey") \
+        .union(bench.service(spark, sf_dir).select("suppkey")).distinct()
+    rows = keys.join(loc, keys.suppkey == loc.s_suppkey, "left")
+    b = O.building_options((rows, "location"))
     from upkeep.functions import abbreviate_normalized
     return b.withColumn("building_code", abbreviate_normalized("building"))
 
