@@ -69,31 +69,29 @@ def collapse_stale_duplicates(svc: DataFrame, soft: bool = False, id_col: str =
                               order_col: str = "row_ord") -> DataFrame:
     """Within (id, description key, scheduled month): if the group mixes open and
     completed rows, keep its best row by (has completion, status Completed,
-    completion date, scheduled date), earliest row on ties; else keep all."""
+    completion date, scheduled date), earliest row on ties; else keep all.
+
+    One aggregation per group gives the row count, the completed count and the
+    winning row (``min_by`` over the negated rank, then row order); one join
+    back keeps the rows. Both are shuffle operators AQE can split, so a hot
+    group never has to fit one task."""
     key = soft_norm_desc("description") if soft else norm_desc("description")
     s = svc.withColumn("_dk", key).withColumn("_dm", F.coalesce(month_key("sched_date"), F.lit("")))
     has_c = F.col("completed_date").isNotNull()
-    rank = F.struct(has_c.cast("int").alias("a"),
-                    (F.lower(strip_ws(F.col("status"))) == "completed").cast("int").alias("b"),
-                    F.coalesce(F.col("completed_date"), F.lit("0001-01-01").cast("date")).alias("c"),
-                    F.coalesce(F.col("sched_date"), F.lit("0001-01-01").cast("date")).alias("d"))
-    # best = max rank; among equal ranks the earliest row (negate order by taking min of order
-    # within the max rank: encode as max_by over (rank, inverted order) is not expressible, so
-    # compute max rank first, then the min order among rows holding it.
+    far = F.lit("0001-01-01").cast("date")
+    neg_rank = F.struct((-has_c.cast("int")).alias("a"),
+                        (-(F.lower(strip_ws(F.col("status"))) == "completed").cast("int")).alias("b"),
+                        (-F.unix_date(F.coalesce(F.col("completed_date"), far))).alias("c"),
+                        (-F.unix_date(F.coalesce(F.col("sched_date"), far))).alias("d"),
+                        F.col(order_col).alias("o"))
     gkey = [id_col, "_dk", "_dm"]
     stats = s.groupBy(*gkey).agg(F.count(F.lit(1)).alias("_n"), F.count("completed_date").alias("_nd"),
-                                 F.max(rank).alias("_best"))
+                                 F.min_by(F.col(order_col), neg_rank).alias("_win"))
     stale = stats.where((F.col("_nd") > 0) & (F.col("_nd") < F.col("_n"))) \
-                 .select(*[F.col(c).alias("_s" + c) for c in gkey], "_best")
-    s2 = s.withColumn("_rank", rank)
-    j = s2.join(stale, [s2[c].eqNullSafe(stale["_s" + c]) for c in gkey], "left") \
-          .drop(*["_s" + c for c in gkey])
-    cand = j.where(F.col("_best").isNotNull() & (F.col("_rank") == F.col("_best")))
-    winner = cand.groupBy(*[F.col(c).alias("_w" + c) for c in gkey]).agg(F.min(order_col).alias("_win"))
-    k = j.join(winner, [j[c].eqNullSafe(winner["_w" + c]) for c in gkey], "left") \
-         .drop(*["_w" + c for c in gkey])
-    keep = F.col("_best").isNull() | (F.col(order_col) == F.col("_win"))
-    return k.where(keep).drop("_dk", "_dm", "_rank", "_best", "_win")
+                 .select(*[F.col(c).alias("_s" + c) for c in gkey], "_win")
+    j = s.join(stale, [s[c].eqNullSafe(stale["_s" + c]) for c in gkey], "left").drop(*["_s" + c for c in gkey])
+    keep = F.col("_win").isNull() | (F.col(order_col) == F.col("_win"))
+    return j.where(keep).drop("_dk", "_dm", "_win")
 
 
 def prepare_service_for_display(svc: DataFrame, month: str, catalog: DataFrame | None = None,
