@@ -97,3 +97,10 @@ def test_keyword_key(spark):
 def test_regex_search_rejects_bad_pattern(spark):
     with pytest.raises(ValueError):
         U.regex_search("x", "(unclosed")
+
+
+def test_optional_modes(spark):
+    df = spark.createDataFrame([("1 1/2", ""), ("2 hrs", "")], "d string, t string")
+    assert [r[0] for r in df.select(U.parse_repair_hours("d", "t", mixed_numbers=True)).collect()] == [1.5, 2.0]
+    got = one_col(spark, ["May_Report.csv", "x_June_2027.csv"], lambda c: U.month_from_file_name(c, underscore_boundary=True))
+    assert got == ["2026-05", "2027-06"]

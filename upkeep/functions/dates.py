@@ -46,15 +46,22 @@ def parse_date(c, formats=DATE_FORMATS) -> Column:
             .otherwise(full))
 
 
-def month_from_file_name(c, default_year: int = P.DEFAULT_FILE_YEAR) -> Column:
-    """Month word in a file name (+ optional 20xx year, else ``default_year``) -> ``YYYY-MM``."""
+def month_from_file_name(c, default_year: int = P.DEFAULT_FILE_YEAR, underscore_boundary: bool = False) -> Column:
+    """Month word in a file name (+ optional 20xx year, else ``default_year``) -> ``YYYY-MM``.
+
+    A word boundary treats '_' as a word character, so ``May_Report.csv`` has no
+    month (as in the source cleaner); ``underscore_boundary=True`` also accepts
+    '_' (and other non-letters) around the month word."""
     name = col(c)
-    word = F.lower(F.regexp_extract(name, r"(?i)\b(" + "|".join(MONTH_NAMES) + r")\b", 1))
+    words = "|".join(MONTH_NAMES)
+    pat = (r"(?i)(?:^|[_\W])(" + words + r")(?:$|[_\W])") if underscore_boundary else (r"(?i)\b(" + words + r")\b")
+    word = F.lower(F.regexp_extract(name, pat, 1))
     kv = []
     for i, m in enumerate(MONTH_NAMES, start=1):
         kv += [F.lit(m), F.lit(f"{i:02d}")]
     mm = F.element_at(F.create_map(*kv), word)
-    yr = F.regexp_extract(name, r"\b(20\d{2})\b", 1)
+    ypat = r"(?:^|[_\W])(20\d{2})(?:$|[_\W])" if underscore_boundary else r"\b(20\d{2})\b"
+    yr = F.regexp_extract(name, ypat, 1)
     yr = F.when(yr == "", F.lit(str(default_year))).otherwise(yr)
     return F.when(word != "", F.concat(yr, F.lit("-"), mm))
 

@@ -56,12 +56,14 @@ def row_mentions_found(row_text) -> Column:
 
 
 def parse_repair_hours(details, row_text, found_hours: float = P.FOUND_HOURS,
-                       blank_hours: float = P.DEFAULT_HOURS_WHEN_BLANK) -> Column:
+                       blank_hours: float = P.DEFAULT_HOURS_WHEN_BLANK, mixed_numbers: bool = False) -> Column:
     """Repair duration from a free-text details cell.
 
     ``found`` -> found_hours; blank -> found_hours when the row mentions found,
     else blank_hours; hour words removed; ``a/b`` fraction (b = 0 -> blank_hours);
     ``'1 5'`` -> 1.5; first number with ',' as decimal point; else as blank.
+    By default ``'1 1/2'`` reads as 0.5 (the fraction rule runs first, as in the
+    source exports' cleaner); ``mixed_numbers=True`` reads it as 1.5.
     """
     d = col(details).cast("string")
     s = strip_ws(d)
@@ -81,8 +83,14 @@ def parse_repair_hours(details, row_text, found_hours: float = P.FOUND_HOURS,
                         F.regexp_extract(strip_ws(norm), typo, 2)).cast("double")
     dotted = F.replace(norm, F.lit(","), F.lit("."))
     first_num = F.regexp_extract(dotted, r"(\d+\.?\d*)", 1).cast("double")
-    return (F.when(blank, fallback)
-            .when((low == "found") | low.rlike(r"^found\b"), F.lit(float(found_hours)))
+    mixed = r"(\d+)\s+(\d+)\s*/\s*(\d+)"
+    mixed_val = F.regexp_extract(norm, mixed, 1).cast("double") + \
+        F.regexp_extract(norm, mixed, 2).cast("double") / F.regexp_extract(norm, mixed, 3).cast("double")
+    out = (F.when(blank, fallback)
+           .when((low == "found") | low.rlike(r"^found\b"), F.lit(float(found_hours))))
+    if mixed_numbers:
+        out = out.when(norm.rlike(mixed) & (F.regexp_extract(norm, mixed, 3).cast("double") != 0), mixed_val)
+    return (out
             .when(norm.rlike(frac),
                   F.when(num_b != 0, num_a / num_b).otherwise(F.lit(float(blank_hours))))
             .when(strip_ws(norm).rlike(typo), typo_val)
