@@ -172,3 +172,40 @@ def match_catalog(names: DataFrame, name_col: str, models: DataFrame) -> DataFra
     best = cands.groupBy("name_norm").agg(F.min(F.struct("tier", "sub", "score", "ord", "model")).alias("b"))
     return d.join(best, "name_norm", "left").select(name_col, F.col("b.model").alias("model"),
                                                    F.col("b.tier").alias("match_tier"))
+
+
+def match_keys(names: DataFrame, name_col: str, keys: DataFrame, key_col: str = "key",
+               order_col: str = "key_ord") -> DataFrame:
+    """Fuzzy keyword-key match for normalised names: a key contained in the name
+    (or the name in the key), longest first; else the key whose tokens (2+
+    characters, counted with repeats) occur in the name for at least half of
+    them, best share then longer key. Ties go to the earlier key.
+
+    Both tiers are exact equi joins: name substrings against whole keys (and key
+    substrings against whole names); name substrings against key tokens."""
+    n = names.select(F.col(name_col).alias("_name")).where(F.col("_name").isNotNull() & (F.col("_name") != "")) \
+             .distinct()
+    k = keys.select(F.col(key_col).alias("_key"), F.col(order_col).alias("_ko")).where(F.col("_key") != "")
+    ns = n.select("_name", F.explode(_substrings(F.col("_name"), 1)).alias("_sub"))
+    a = ns.join(k, F.col("_sub") == F.col("_key")).select("_name", "_key", "_ko")
+    ks = k.select("_key", "_ko", F.explode(_substrings(F.col("_key"), 1)).alias("_sub"))
+    b = n.join(ks, F.col("_name") == F.col("_sub")).select("_name", "_key", "_ko")
+    sub = a.unionByName(b).dropDuplicates(["_name", "_key"]) \
+           .groupBy("_name").agg(F.min_by("_key", F.struct((-F.length("_key")).alias("l"), F.col("_ko").alias("o")))
+                                 .alias("_sub_key"))
+    toks = k.select("_key", "_ko", F.filter(F.split("_key", " "), lambda t: F.length(t) >= 2).alias("_toks")) \
+            .where(F.size("_toks") > 0)
+    tk = toks.select("_key", "_ko", F.size("_toks").alias("_nt"), F.explode("_toks").alias("_tok")) \
+             .groupBy("_key", "_ko", "_nt", "_tok").agg(F.count(F.lit(1)).alias("_mult"))
+    ns2 = n.select("_name", F.explode(_substrings(F.col("_name"), 2)).alias("_tok"))
+    hits = ns2.join(tk, "_tok").groupBy("_name", "_key", "_ko", "_nt").agg(F.sum("_mult").alias("_hits"))
+    score = F.col("_hits") / F.col("_nt")
+    tok = hits.where(score >= TOKEN_MIN_SCORE).groupBy("_name").agg(
+        F.min_by("_key", F.struct((-score).alias("s"), (-F.length("_key")).alias("l"), F.col("_ko").alias("o")))
+        .alias("_tok_key"))
+    out = n.join(sub, "_name", "left").join(tok, "_name", "left")
+    return out.select(F.col("_name").alias(name_col), F.coalesce("_sub_key", "_tok_key").alias(key_col))
+
+
+# fixed value: minimum token share for the token tier
+TOKEN_MIN_SCORE = 0.5
