@@ -715,3 +715,15 @@ def q_replacement_filtered(spark, sf_dir):
     return out.select("equip_id", "equipment", "category", "building",
                       F.round("parts", 2).alias("parts_cost"), F.round("labor", 2).alias("labor_cost"),
                       F.round("total_cost", 2).alias("total_cost"), "new_price", "n_rows", "status")
+
+
+def q_keyword_key_match(spark, sf_dir):
+    """Fuzzy key match of every normalised equipment name against the normalised
+    keyword labels (label order), substring tier then token-share tier."""
+    from upkeep.functions import norm_equipment_name
+    from upkeep.operators.catalog_match import match_keys
+    k = _keyed_names(spark, sf_dir)
+    keys = k.where(F.col("label").isNotNull()).select(norm_equipment_name("label").alias("key")).distinct() \
+            .withColumn("key_ord", F.struct((-F.length("key")).alias("l"), F.col("key").alias("k")))
+    names = k.select(norm_equipment_name("equip_name").alias("name"))
+    return match_keys(names, "name", keys)

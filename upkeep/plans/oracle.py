@@ -787,3 +787,22 @@ SELECT g.equip_id, p_name AS equipment, p_type AS category, {X.normalize_buildin
 FROM g LEFT JOIN part ON p_partkey = g.equip_id
 WHERE regexp_matches(lower(p_name), 'widget|gear') AND contains(CAST(g.equip_id AS VARCHAR), '1')
 """
+
+ORACLE["keyword_key_match"] = f"""
+WITH {_KW},
+nk AS (SELECT DISTINCT trim(regexp_replace(regexp_replace(lower(strip_accents(label)), '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS k
+       FROM kw WHERE label IS NOT NULL),
+nn AS (SELECT DISTINCT trim(regexp_replace(regexp_replace(lower(strip_accents(equip_name)), '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS n
+       FROM en),
+nn2 AS (SELECT n FROM nn WHERE n IS NOT NULL AND n <> ''),
+s1 AS (SELECT n, k, row_number() OVER (PARTITION BY n ORDER BY length(k) DESC, k) AS rn
+       FROM nn2, nk WHERE contains(n, k) OR contains(k, n)),
+t0 AS (SELECT k, list_filter(string_split(k, ' '), lambda t: length(t) >= 2) AS toks FROM nk),
+t1 AS (SELECT n, k, len(list_filter(toks, lambda t: contains(n, t))) / len(toks) AS sc
+       FROM nn2, t0 WHERE len(toks) > 0),
+s2 AS (SELECT n, k, row_number() OVER (PARTITION BY n ORDER BY sc DESC, length(k) DESC, k) AS rn
+       FROM t1 WHERE sc >= 0.5)
+SELECT nn2.n AS name, coalesce(a.k, b.k) AS key
+FROM nn2 LEFT JOIN (SELECT * FROM s1 WHERE rn = 1) a ON a.n = nn2.n
+LEFT JOIN (SELECT * FROM s2 WHERE rn = 1) b ON b.n = nn2.n
+"""
