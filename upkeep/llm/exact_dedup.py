@@ -39,8 +39,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     head = F.substring(F.concat(length, ascii_lower(F.substring(text, 1, first_bytes))).cast("binary"), 1, first_bytes)
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"), head.alias("_head"),
                        *([F.struct(*carry).alias("_carry")] if carry else []))
-    heads = (rows.groupBy("_head").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-             .select(F.col("_head").alias("_h")))
+    # written, so that the join has an exchange of its own and a hot head can be split
+    heads = written(rows.groupBy("_head").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+                    .select(F.col("_head").alias("_h")), "heads")
     norm = ascii_lower(F.col("_text"))
     kept_cols = ["doc_id", "text_sha256", *(["_carry"] if carry else [])]
     first = (rows.join(heads.hint("shuffle_hash"), F.col("_head") == F.col("_h"), "left")
@@ -58,9 +59,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     step = first_bytes
     while True:
         live = state.where("_rest is not null").withColumn("_run", F.substring("_rest", 1, step))
-        classes = (live.groupBy("_class", "_run")
-                   .agg(F.count(F.lit(1)).alias("_n"), F.max("doc_id").alias("_keep"), F.min("_rid").alias("_next"))
-                   .where("_n > 1").withColumnsRenamed({"_class": "_c", "_run": "_r"}))
+        classes = written(live.groupBy("_class", "_run")
+                          .agg(F.count(F.lit(1)).alias("_n"), F.max("doc_id").alias("_keep"), F.min("_rid").alias("_next"))
+                          .where("_n > 1").withColumnsRenamed({"_class": "_c", "_run": "_r"}), "classes")
         goes_on = F.col("_n").isNotNull() & (F.length("_rest") > step)
         state = written(
             live.join(classes.hint("shuffle_hash"), (F.col("_class") == F.col("_c")) & (F.col("_run") == F.col("_r")), "left")
@@ -78,8 +79,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
         step = min(step * growth, most_bytes)
     # of several rows with the class's largest id the first one read stays
-    winner = (ended.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("_class")
-              .agg(F.min("_rid").alias("_winner")).withColumnRenamed("_class", "_c"))
+    winner = written(ended.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("_class")
+                     .agg(F.min("_rid").alias("_winner")).withColumnRenamed("_class", "_c"), "winners")
     copies = (ended.join(winner, F.col("_class") == F.col("_c"))
               .withColumn("kept", F.col("_rid") == F.col("_winner")).select(*cols, "kept"))
     out = copies
