@@ -157,6 +157,7 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, radius: int = 4
               .select(F.col("_fp").alias("_f"), "_least", F.coalesce("root", "_fp").alias("_root")))
     least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id")).withColumnRenamed("_root", "_r")
     named = rooted.join(least, F.col("_root") == F.col("_r")).select("_f", "_root", "component_id")
+    named = written(named, "named")
     return marked.join(named, F.col("_fp") == F.col("_f")).select(
         "doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id", "_rid", "_root",
         *(["_carry"] if carry else []))
@@ -166,4 +167,4 @@ def one_of_each(near: DataFrame) -> DataFrame:
     """The rows that stay: of each component the smallest document; of repeated
     rows with that id the first."""
     first = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("_root").agg(F.min("_rid").alias("_first"))
-    return near.join(first.withColumnRenamed("_root", "_o"), (F.col("_root") == F.col("_o")) & (F.col("_rid") == F.col("_first")), "left_semi")
+    return near.join(first.select("_first"), F.col("_rid") == F.col("_first"), "left_semi")
