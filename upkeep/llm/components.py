@@ -19,10 +19,10 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     last = None
     while True:
         both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = (both.join(least, F.col("u") == F.col("w")).where("v > u")
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")), "least")
+        large = written(both.join(least, F.col("u") == F.col("w")).where("v > u")
+                        .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w"), "least")
         hung = large.join(least, F.col("u") == F.col("w"))
         small = (hung.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct())
