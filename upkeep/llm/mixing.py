@@ -119,10 +119,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     plan = written(sizes.select("source", "_chars", "_blocks").coalesce(1).mapInArrow(
         schedule, "_s string, _j long, _release long, _deadline long, _slot long, _count long, _blocks long, "
                   "_uses long, _length long"), "schedule")
-    per_source = plan.groupBy("_s").agg(*[F.first(c).alias(c) for c in ("_count", "_blocks", "_uses")])
+    per_source = plan.where("_j = 0").select("_s", "_count", "_blocks", "_uses")
     if carry:
         blocked = blocked.join(rows.select(F.col("_rid").alias("_r"), "_carry"), F.col("_rid") == F.col("_r")).drop("_r")
-    used = (blocked.join(F.broadcast(per_source), F.col("source").eqNullSafe(F.col("_s")))
+    used = (blocked.join(per_source, F.col("source").eqNullSafe(F.col("_s")))
             # the source's j-th block in the schedule is block j mod blocks: one use per turn
             .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"),
                                                       F.floor((F.col("_uses") - 1 - F.col("block")) / F.col("_blocks")))))
@@ -131,8 +131,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
             .drop("_s", "_count", "_blocks", "_uses"))
     slots = plan.select("_s", "_j", "_release", "_deadline", "_slot", "_length")
     begin = F.col("_turn") * F.col("_length")
-    # the slots of one period: bounded by the period, whatever the number of documents
-    return used.join(F.broadcast(slots), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_at") == F.col("_j"))).select(
+    # the planner broadcasts the slots of one period while they are small
+    return used.join(slots, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_at") == F.col("_j"))).select(
         "_rid", "doc_id", "source", "block", "epoch", (begin + F.col("_release")).alias("release"),
         (begin + F.col("_deadline")).alias("deadline"), (begin + F.col("_slot")).alias("slot"), "place",
         *(["_carry"] if carry else []))
