@@ -88,7 +88,8 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
 
     rows = written(conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
                    .withColumn("_cost", tokens("text") + TURN_TOKENS).withColumn("_rid", F.monotonically_increasing_id()), "turns")
-    lead = rows.groupBy("conv_id").agg(F.min(F.struct("turn", "_rid")).alias("_lead")).select(F.col("conv_id").alias("_c"), F.col("_lead._rid").alias("_first"))
+    lead = written(rows.groupBy("conv_id").agg(F.min(F.struct("turn", "_rid")).alias("_lead"))
+                   .select(F.col("conv_id").alias("_c"), F.col("_lead._rid").alias("_first")), "leads")
     marked = (rows.join(lead, F.col("conv_id").eqNullSafe(F.col("_c")))
               .withColumn("_system", (F.col("role") == "system") & (F.col("_rid") == F.col("_first"))).drop("_c", "_first")
               .withColumn("_weight", F.when(F.col("_system"), 0).otherwise(F.col("_cost"))))
