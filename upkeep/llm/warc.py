@@ -103,8 +103,8 @@ def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str
         return pd.Series(np.where(known, np.maximum(at, 0), 0))
 
     known = ids.where(F.col("page_id").isNotNull() & (F.col("len") >= revisit_bytes))
-    first = (known.groupBy(F.col("sha").alias("_sha"), F.col("len").alias("_len")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("_n"))
-             .where("_n > 1"))
+    first = written(known.groupBy(F.col("sha").alias("_sha"), F.col("len").alias("_len")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("_n"))
+                    .where("_n > 1"), "first")
     roles = known.join(first, (F.col("sha") == F.col("_sha")) & (F.col("len") == F.col("_len"))).select("page_id", "sha", "first").distinct()
     # the roles travel with the pages and are sorted before the page they are for
     both = (rows.select("page_id", "url", "payload", F.lit(None).cast("string").alias("sha"), F.lit(None).cast("long").alias("first"), F.lit(1).alias("kind"))
