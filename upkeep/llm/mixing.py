@@ -15,9 +15,10 @@ a lookup and an addition.
 The mix ends with the slot in which the last source has been used whole: the
 source that is largest against its weight appears once, the others start over
 (their last round may stop short there). No document is
-left out. Default weights are size to the power ``temperature``, the usual
-smoothing; a dictionary of weights replaces it (sources that it does not name
-get the smallest named weight).
+left out. Default weights are the number of blocks to the power ``temperature``,
+the usual smoothing; a dictionary of weights replaces it (sources that it does
+not name get the smallest named weight). A share of less than a slot per period
+is raised to one slot, so ``period`` bounds how finely weights are met.
 
 Cases: a null source is a source of its own; a null text has no characters;
 null and repeated ids are kept (rows are told apart by a row id); a text longer
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from upkeep.llm.common import prefix_sums, written
 
 BLOCK_CHARS = 32_768
-PERIOD = 4096
+PERIOD = 16_384
 TEMPERATURE = 0.7
 
 
@@ -85,9 +86,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
                                *([F.struct(*carry).alias("_carry")] if carry else []))
                    .withColumn("_rid", F.monotonically_increasing_id()), "mix")
     # a hash decides the order inside a source, so neighbours in the input are spread out
-    laid = prefix_sums(rows.drop("_carry").withColumn("_order", F.xxhash64("_rid")), ["source"], ["_order", "_rid"], "_len", "place", "laid")
+    laid = prefix_sums(rows.withColumn("_order", F.xxhash64("_rid")), ["source"], ["_order", "_rid"], "_len", "place", "laid")
     blocked = laid.withColumn("block", F.floor(F.col("place") / block_chars))
-    sizes = blocked.groupBy("source").agg(F.sum("_len").alias("_chars"), (F.max("block") + 1).alias("_blocks"))
+    sizes = blocked.groupBy("source").agg((F.max("block") + 1).alias("_blocks"))
 
     def schedule(batches):
         """One row per source in, the slots of a period out."""
@@ -99,7 +100,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
             least = min(weights.values())
             wanted = [float(weights.get(r["source"], least)) for r in got]
         else:
-            wanted = [max(r["_chars"] or 0, 1) ** temperature for r in got]
+            wanted = [r["_blocks"] ** temperature for r in got]
         slots = max(period, 8 * len(got))
         counts = shares(wanted, slots)
         plan = pfair_period(counts)
@@ -116,12 +117,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
              pa.array([uses[i] for i in cols[0]], pa.int64()), pa.array([slots] * len(plan), pa.int64())],
             ["_s", "_j", "_release", "_deadline", "_slot", "_count", "_blocks", "_uses", "_length"])
 
-    plan = written(sizes.select("source", "_chars", "_blocks").coalesce(1).mapInArrow(
+    plan = written(sizes.coalesce(1).mapInArrow(
         schedule, "_s string, _j long, _release long, _deadline long, _slot long, _count long, _blocks long, "
                   "_uses long, _length long"), "schedule")
     per_source = plan.where("_j = 0").select("_s", "_count", "_blocks", "_uses")
-    if carry:
-        blocked = blocked.join(rows.select(F.col("_rid").alias("_r"), "_carry"), F.col("_rid") == F.col("_r")).drop("_r")
     used = (blocked.join(per_source, F.col("source").eqNullSafe(F.col("_s")))
             # the source's j-th block in the schedule is block j mod blocks: one use per turn
             .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"),
