@@ -163,8 +163,8 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, radius: int = 4
         *(["_carry"] if carry else []))
 
 
-def one_of_each(near: DataFrame) -> DataFrame:
-    """The rows that stay: of each component the smallest document; of repeated
-    rows with that id the first."""
+def all_but_one(near: DataFrame) -> DataFrame:
+    """The rows that go: of each component the smallest document stays; of
+    repeated rows with that id the first."""
     first = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("_root").agg(F.min("_rid").alias("_first"))
-    return near.join(first.select("_first"), F.col("_rid") == F.col("_first"), "left_semi")
+    return near.join(first.select("_first"), F.col("_rid") == F.col("_first"), "left_anti")
