@@ -79,9 +79,12 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 4, id_col: str = "doc
 
 
 def covering_masks(bits: list[int], radius: int) -> list[int]:
-    """The 2^(radius+1) - 1 masks over the given bit positions (unsigned)."""
+    """The 2^(radius+1) - 1 masks over the given bit positions (unsigned). The
+    first bits carry the unit vectors, so with more than ``radius`` positions no
+    mask is empty."""
     top = 1 << (radius + 1)
-    phi = {b: 1 + k % (top - 1) for k, b in enumerate(bits)}
+    vectors = [1 << k for k in range(radius + 1)] + [v for v in range(1, top) if v & (v - 1)]
+    phi = {b: vectors[k % len(vectors)] for k, b in enumerate(bits)}
     return [sum(1 << b for b in bits if (phi[b] & v).bit_count() & 1) for v in range(1, top)]
 
 
@@ -109,6 +112,7 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
 def links(fps: DataFrame, radius: int, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """Edges ``a, b`` between distinct fingerprints (column ``_fp``) that connect
     exactly the fingerprints within ``radius`` bits, directly or over others."""
+    bucket_limit = max(bucket_limit, 1 << (radius + 1))  # a larger bucket has free bits left to split by
     masks = [_signed(m) for m in covering_masks(list(range(BITS)), radius)]
     rows = fps.select("_fp", F.explode(F.array(*[F.lit(m) for m in masks])).alias("_mask"))
     found = None
