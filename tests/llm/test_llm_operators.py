@@ -246,7 +246,17 @@ def test_chat_round_trip(spark):
     assert over and all(len(chat.parse(r["formatted"])) - r["context"] == 1 for r in over)
     later = windows.where("conv_id = -8 and window > 0").collect()
     assert later and all(chat.parse(r["formatted"])[0] == ("system", "be kind\\") for r in later)
-    assert windows.where("conv_id = -11 and window > 0 and context = 0").count() < windows.where("conv_id = -11").count() / 2
+    # history: the turns before a window's first that start within 40 tokens of it
+    count = token_counts.counter(token_counts.TOKENIZER).count
+    texts = [r["text"] for r in rows.where("conv_id = -11").orderBy("turn").collect()]
+    starts = np.cumsum([0] + [count(t) + chat.TURN_TOKENS for t in texts]).tolist()
+    at = 0
+    for r in windows.where("conv_id = -11").orderBy("window").collect():
+        history = [t for t in range(at) if starts[t] >= starts[at] - 40]
+        turns = chat.parse(r["formatted"])
+        assert r["context"] == len(history) and [t for _, t in turns[:len(history)]] == [texts[t] for t in history]
+        at += len(turns) - r["context"]
+    assert at == len(texts)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body class="page"><div id="top-nav"><a href=/>Home</a> <a href=/x>News, all</a></div>
