@@ -109,7 +109,7 @@ def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str
     # the roles travel with the pages and are sorted before the page they are for
     both = (rows.select("page_id", "url", "payload", F.lit(None).cast("string").alias("sha"), F.lit(None).cast("long").alias("first"), F.lit(1).alias("kind"))
             .unionByName(roles.select("page_id", F.lit("").alias("url"), F.lit(b"").alias("payload"), "sha", "first", F.lit(0).alias("kind"))))
-    dealt = (both.withColumn("shard", shard_of("page_id")).repartition("shard")
+    dealt = (both.withColumn("shard", shard_of("page_id")).repartition(max(1, 2 * len(lows)), "shard")
              .sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "kind", F.length("payload"), "url"))
 
     def run(batches):
