@@ -54,7 +54,7 @@ class Block:
         rest = np.sqrt(np.maximum(longest ** 2 - np.einsum("ij,ij->i", vectors, vectors), 0))
         self.lines = np.random.default_rng(SEED).standard_normal((projections, dim + 1))
         at = (np.column_stack([vectors, rest]) / longest) @ self.lines.T
-        self.order = np.argsort(at, axis=0, kind="stable").T.astype(np.int32).ravel()
+        self.order = np.argsort(at, axis=0, kind="stable").T.ravel()
         # all sorted arrays in one, each moved clear of the last, so one search serves all lines
         self.apart = 4 * (1 + np.abs(at).max()) * np.arange(projections)
         self.sorted = (np.sort(at, axis=0).T + self.apart[:, None]).ravel()
@@ -123,7 +123,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
 
     def search(part: pd.DataFrame) -> pd.DataFrame:
         known, asks = part[~part["asks"]], part[part["asks"]]
-        out = []
+        asked_by, found_ids, found_scores = [], [], []
         if len(known) and len(asks):
             ids = known["id"].astype("Int64")
             own = ids.fillna(-(1 << 62)).to_numpy(dtype=np.int64)
@@ -132,8 +132,13 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
             least, most = max(1, round(threshold * projections)), max(4 * k, round(verify * len(own)))
             for q, v in zip(asks["id"], asks["v"]):
                 got, scores = block.nearest(int(q), np.array(v, dtype=float), k, least, most)
-                out.append(pd.DataFrame({"query_id": int(q), "vec_id": pd.array(names[got], dtype="Int64"), "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "Int64", "score": float})
+                asked_by.append(np.full(len(got), int(q)))
+                found_ids.append(names[got])
+                found_scores.append(scores)
+        if not asked_by:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "Int64", "score": float})
+        return pd.DataFrame({"query_id": np.concatenate(asked_by), "vec_id": pd.array(np.concatenate(found_ids), dtype="Int64"),
+                             "score": np.concatenate(found_scores)})
 
     found = (data.unionByName(queries).groupBy("dim", "block", "set")
              .applyInPandas(search, "query_id long, vec_id long, score double"))
