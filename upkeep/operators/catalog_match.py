@@ -152,10 +152,10 @@ def _family_candidates(names: DataFrame, models: DataFrame) -> DataFrame:
 
 def _ice_candidates(names: DataFrame, models: DataFrame) -> DataFrame:
     n = names.where(F.col("name_norm").rlike(r"\bice\b") & F.col("name_norm").rlike(ICE_SIZE_PATTERN)) \
-             .select("name_norm", F.regexp_extract("name_norm", ICE_SIZE_PATTERN, 1).cast("int").alias("target"))
+             .select("name_norm", F.regexp_extract("name_norm", ICE_SIZE_PATTERN, 1).try_cast("int").alias("target"))
     m = models.where(F.contains(F.lower("category"), F.lit("walk-behind scrubber")) &
                      F.col("norm_name").rlike(r"\bice i(\d+)\b")) \
-              .select("model", "ord", F.regexp_extract("norm_name", r"\bice i(\d+)\b", 1).cast("int").alias("msize"))
+              .select("model", "ord", F.regexp_extract("norm_name", r"\bice i(\d+)\b", 1).try_cast("int").alias("msize"))
     # band join as an equi join: each model size stands for targets msize-2 .. msize+2
     m = m.select("*", F.explode(F.sequence(F.col("msize") - 2, F.col("msize") + 2)).alias("target"))
     j = n.join(m, "target")
