@@ -47,20 +47,21 @@ def test_snapshot_year_and_names(spark):
     s = asset_snapshot(df, 1).first()
     assert (s.equipment, s.location, s.parts, s.labor, s.n_rows) == ("Vac", "Hall", 5.0, 3.0, 2)
     assert calendar_year(df, 2026).count() == 2
-    assert output_name("raw.csv", "2026-05") == "May_Repair_List_All_Work_Orders.csv"
-    assert output_name("May Report (v2).csv", None) == "May_Report_v2_cleaned.csv"
+    files = spark.createDataFrame([("raw.csv", "2026-05"), ("May Report (v2).csv", None)], "f string, m string")
+    assert [r[0] for r in files.select(output_name("f", "m")).collect()] == [
+        "May_Repair_List_All_Work_Orders.csv", "May_Report_v2_cleaned.csv"]
 
 
 def test_export_report_writes_rows_and_audit(spark):
     d = tempfile.mkdtemp()
     df = spark.createDataFrame([("<b>Vac</b>", 1.0), ("Fan", 2.0)], "equipment string, cost double")
-    n = export_report(df, os.path.join(d, "out"), event_type="export_csv", username="u", user_id=1, role="admin",
+    n = export_report(df, os.path.join(d, "out"), event_type="export.pdf.replacement", username="u", user_id=1, role="admin",
                       month_key="ALL", filters={"status": "Replace"}, building_scope=[],
                       audit_path=os.path.join(d, "audit"))
     assert n == 2
     assert {r.equipment for r in spark.read.parquet(os.path.join(d, "out")).collect()} == {"Vac", "Fan"}
     a = spark.read.parquet(os.path.join(d, "audit")).first()
-    assert a.row_count == 2 and a.event_type == "export_csv"
+    assert a.row_count == 2 and a.event_type == "export.pdf.replacement" and a.status == "ok"
 
 
 def test_csv_report_roundtrip_and_type_lookups(spark):

@@ -11,7 +11,7 @@ from upkeep.sources.settings import (decode_token, decode_token_col, encode_toke
 
 
 def test_page_size():
-    assert [page_size(v) for v in (None, "all", "ALL", 0, 50, 10 ** 9, "x")] == [20, 100000, 100000, 1, 50, 100000, 20]
+    assert [page_size(v) for v in (None, "all", "ALL", 0, 50, 10 ** 9, "x")] == [20, None, None, 1, 50, 10 ** 9, 20]
 
 
 def test_settings_clamp_and_defaults(spark):

@@ -18,15 +18,15 @@ def money(c, whole: bool = False) -> Column:
 
 
 def months(c) -> Column:
-    """``12 mo`` (rounded), null -> dash."""
+    """``12 mo`` (rounded, halves to even), null -> dash."""
     x = col(c)
-    return F.when(x.isNull(), F.lit(DASH)).otherwise(F.concat(F.round(x, 0).cast("long").cast("string"), F.lit(" mo")))
+    return F.when(x.isNull(), F.lit(DASH)).otherwise(F.concat(F.bround(x, 0).cast("long").cast("string"), F.lit(" mo")))
 
 
 def months_adjustment(c) -> Column:
-    """``+6 mo`` for a positive extension, else empty."""
+    """``+6 mo`` for a positive extension, else a dash."""
     x = col(c)
-    return F.when(x > 0, F.concat(F.lit("+"), F.round(x, 0).cast("long").cast("string"), F.lit(" mo"))).otherwise(F.lit(""))
+    return F.when(x > 0, F.concat(F.lit("+"), F.bround(x, 0).cast("long").cast("string"), F.lit(" mo"))).otherwise(F.lit(DASH))
 
 
 def us_date(c) -> Column:

@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # ---- fixed values ------------------------------------------------------------
-EVENT_TYPES = ("export_pdf", "export_csv", "export_overview")
-STATUSES = ("success", "error")
+EVENT_TYPES = ("export.pdf.replacement", "export.pdf.orders", "export.pdf.requests", "export.pdf.overview")
+STATUSES = ("ok", "fail")
 MAX_PAGE = 1000
 # -------------------------------------------------------------------------------
 
 
 def validate_events(ev: DataFrame) -> DataFrame:
-    """Rows with a known event type and status, payloads re-encoded as JSON text."""
-    return ev.where(F.col("event_type").isin(*EVENT_TYPES) & F.col("status").isin(*STATUSES))
+    """The same rows; a row with an unknown event type or status (null included)
+    fails the job, so nothing is dropped without a sign."""
+    def known(name, values):
+        c = F.col(name)
+        bad = F.raise_error(F.concat(F.lit(f"unknown {name}: "), F.coalesce(c, F.lit("null"))))
+        return F.when(F.coalesce(c.isin(*values), F.lit(False)), c).otherwise(bad.cast("string"))
+    return ev.withColumns({"event_type": known("event_type", EVENT_TYPES), "status": known("status", STATUSES)})
 
 
 def append_events(ev: DataFrame, path: str) -> None:

@@ -71,6 +71,11 @@ def load_catalog(raw: DataFrame, order_col: str = "row_ord") -> tuple[DataFrame,
     return models, prices
 
 
+def _score(cost: Column, length: Column) -> Column:
+    """Rank of a candidate inside its tier: lower cost first, then the longer name."""
+    return F.struct(cost.cast("double").alias("cost"), (-length).alias("short")).alias("score")
+
+
 def _substrings(s: Column, min_len: int) -> Column:
     """Every substring of ``s`` with at least ``min_len`` characters (distinct)."""
     n = F.length(s)
@@ -95,7 +100,7 @@ def _contains_candidates(names: DataFrame, models: DataFrame) -> DataFrame:
              .select("name_norm", "model", "norm_name", "ord")
     c = a.unionByName(b).dropDuplicates(["name_norm", "model"])
     return c.select("name_norm", "model", F.lit(3).alias("tier"), F.lit(0).alias("sub"),
-                    (-F.length("norm_name")).cast("long").alias("score"), "ord")
+                    _score(F.lit(0), F.length("norm_name")), "ord")
 
 
 def _token_keys(toks: Column, has_digit_side: Column | None = None) -> Column:
@@ -127,7 +132,7 @@ def _token_candidates(names: DataFrame, models: DataFrame) -> DataFrame:
     score = F.size(ov) / F.size("tokens")
     return c.where(score >= 0.5).select(
         "name_norm", "model", F.lit(4).alias("tier"), F.lit(0).alias("sub"),
-        (-(score * 1000000).cast("long") * 1000 - F.length("norm_name")).alias("score"), "ord")
+        _score(-score, F.length("norm_name")), "ord")
 
 
 def _family_candidates(names: DataFrame, models: DataFrame) -> DataFrame:
@@ -147,7 +152,7 @@ def _family_candidates(names: DataFrame, models: DataFrame) -> DataFrame:
         (F.contains("name_norm", F.lit("iscrub")) & F.contains("norm_name", F.lit("iscrub"))) |
         (F.contains("name_norm", F.lit("ivac")) & F.contains("norm_name", F.lit("ivac")))), F.lit(1)).otherwise(F.lit(0))
     return j.select("name_norm", "model", F.lit(1).alias("tier"), (fam_rank * 10 + sub).alias("sub"),
-                    F.lit(0).cast("long").alias("score"), "ord")
+                    _score(F.lit(0), F.lit(0)), "ord")
 
 
 def _ice_candidates(names: DataFrame, models: DataFrame) -> DataFrame:
@@ -160,7 +165,7 @@ def _ice_candidates(names: DataFrame, models: DataFrame) -> DataFrame:
     m = m.select("*", F.explode(F.sequence(F.col("msize") - 2, F.col("msize") + 2)).alias("target"))
     j = n.join(m, "target")
     return j.select("name_norm", "model", F.lit(2).alias("tier"), F.lit(0).alias("sub"),
-                    F.abs(F.col("msize") - F.col("target")).cast("long").alias("score"), "ord")
+                    _score(F.abs(F.col("msize") - F.col("target")), F.lit(0)), "ord")
 
 
 def match_catalog(names: DataFrame, name_col: str, models: DataFrame) -> DataFrame:

@@ -39,9 +39,10 @@ def merge_type_lookups(primary: DataFrame, secondary: DataFrame) -> DataFrame:
 
 
 def resolve_category(rows: DataFrame, name_col: str, tmap: DataFrame | None, summary: DataFrame | None,
-                     id_col: str = "equip_id", out: str = "category") -> DataFrame:
+                     id_col: str = "equip_id", out: str = "category",
+                     default: str | None = "Other") -> DataFrame:
     """Category per row: type map, then summary type unless 'Other', then the
-    name rules (computed once per distinct name), then 'Other'."""
+    name rules (computed once per distinct name), then ``default``."""
     r = rows
     if tmap is not None:
         r = r.join(tmap.select(F.col("equip_id").alias(id_col), F.col("equip_type").alias("_tm")), id_col, "left")
@@ -54,8 +55,8 @@ def resolve_category(rows: DataFrame, name_col: str, tmap: DataFrame | None, sum
     names = with_equip_type_from_name(r.select(name_col).distinct(), name_col, "_nm")
     r = r.join(names, r[name_col].eqNullSafe(names[name_col]), "left").drop(names[name_col])
     sm = _nonblank("_sm")
-    cat = F.coalesce(_nonblank("_tm"), F.when(sm != "Other", sm), _nonblank("_nm"), F.lit("Other"))
-    return r.withColumn(out, cat).drop("_tm", "_sm", "_nm")
+    cat = F.coalesce(_nonblank("_tm"), F.when(sm != "Other", sm), _nonblank("_nm"), F.lit(default))
+    return r.withColumn(out, cat.cast("string")).drop("_tm", "_sm", "_nm")
 
 
 def equipment_row_category(rows: DataFrame, name_col: str, type_col: str, tmap: DataFrame | None,

@@ -32,10 +32,12 @@ def drop_blank_ids(df: DataFrame, id_col: str = "equip_id") -> DataFrame:
 
 def asset_rollup(df: DataFrame, id_col: str = "equip_id", order_col: str = "row_ord",
                  firsts: Sequence[str] = (), sums: Sequence[str] = ("parts", "labor"),
-                 count_col: str | None = "n_rows") -> DataFrame:
+                 count_col: str | None = "n_rows", row_firsts: Sequence[str] = ()) -> DataFrame:
     """One row per asset: first non-null value of each ``firsts`` column in row
-    order, sums of ``sums`` and the row count. Blank ids are dropped first."""
+    order, the first row's value of each ``row_firsts`` column (null included),
+    sums of ``sums`` and the row count. Blank ids are dropped first."""
     aggs = [first_non_null(c, order_col).alias(c) for c in firsts]
+    aggs += [F.min_by(F.col(c), F.col(order_col)).alias(c) for c in row_firsts]
     aggs += [F.sum(c).alias(c) for c in sums]
     if count_col:
         aggs.append(F.count(F.lit(1)).alias(count_col))

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from upkeep.functions import attach_one_row
 
-from upkeep.functions import month_key, next_month_start, norm_desc, soft_norm_desc, strip_ws
+from upkeep.functions import month_key, next_month_start, norm_desc, norm_equip_id, soft_norm_desc, strip_ws
+from upkeep.params import Params
 
 
 def raw_status(c="status"):
@@ -29,25 +30,27 @@ def raw_status(c="status"):
 
 
 def effective_status_all(svc: DataFrame, catalog: DataFrame, id_col: str = "equip_id") -> DataFrame:
-    """All-months effective status; ``catalog`` is the unscoped service table."""
-    cat = catalog.where(F.col("month_key").isNotNull())
+    """All-months effective status; ``catalog`` is the unscoped service table. Rows
+    without an id (null or blank) keep their own status: they share no asset."""
+    key = norm_equip_id(id_col)
+    cat = catalog.where(F.col("month_key").isNotNull()).withColumn("_id", key).where(F.col("_id") != "")
     done = cat.where(F.col("completed_date").isNotNull())
     # hard and soft keys from one pass over the completed rows
-    keys = done.select(id_col, F.explode(F.array_distinct(F.array(norm_desc("description"),
+    keys = done.select("_id", F.explode(F.array_distinct(F.array(norm_desc("description"),
                                                                   soft_norm_desc("description")))).alias("_k")) \
                .distinct()
-    first_done = done.where(F.col(id_col).isNotNull()).groupBy(id_col) \
-                     .agg(F.min("completed_date").alias("_first_done"))
-    s = svc.withColumn("_hk", norm_desc("description")).withColumn("_sk", soft_norm_desc("description"))
-    hk = keys.select(F.col(id_col).alias("_id1"), F.col("_k").alias("_hk1"), F.lit(True).alias("_hit_h"))
-    sk = keys.select(F.col(id_col).alias("_id2"), F.col("_k").alias("_sk2"), F.lit(True).alias("_hit_s"))
-    s = s.join(hk, (s[id_col].eqNullSafe(hk._id1)) & (s._hk == hk._hk1), "left") \
-         .join(sk, (s[id_col].eqNullSafe(sk._id2)) & (s._sk == sk._sk2), "left") \
-         .join(first_done, id_col, "left")
+    first_done = done.groupBy(F.col("_id").alias("_id3")).agg(F.min("completed_date").alias("_first_done"))
+    # a null key never matches an equi join, so rows without an id pass round all three
+    s = svc.withColumn("_idn", F.nullif(key, F.lit(""))).withColumn("_hk", norm_desc("description")).withColumn("_sk", soft_norm_desc("description"))
+    hk = keys.select(F.col("_id").alias("_id1"), F.col("_k").alias("_hk1"), F.lit(True).alias("_hit_h"))
+    sk = keys.select(F.col("_id").alias("_id2"), F.col("_k").alias("_sk2"), F.lit(True).alias("_hit_s"))
+    s = s.join(hk, (s._idn == hk._id1) & (s._hk == hk._hk1), "left") \
+         .join(sk, (s._idn == sk._id2) & (s._sk == sk._sk2), "left") \
+         .join(first_done, s._idn == first_done._id3, "left")
     completed = (F.coalesce(F.col("_hit_h"), F.lit(False)) | F.coalesce(F.col("_hit_s"), F.lit(False)) |
                  F.coalesce(F.col("_first_done") > F.col("sched_date"), F.lit(False)))
     return s.withColumn("status", F.when(completed, F.lit("Completed")).otherwise(raw_status())) \
-            .drop("_hk", "_sk", "_id1", "_hk1", "_hit_h", "_id2", "_sk2", "_hit_s", "_first_done")
+            .drop("_idn", "_id3", "_hk", "_sk", "_id1", "_hk1", "_hit_h", "_id2", "_sk2", "_hit_s", "_first_done")
 
 
 def effective_status_month(svc: DataFrame, month: str) -> DataFrame:
@@ -107,11 +110,11 @@ def prepare_service_for_display(svc: DataFrame, month: str, catalog: DataFrame |
     return collapse_stale_duplicates(s, soft=False, id_col=id_col)
 
 
-def done_with_turnaround(svc: DataFrame, calendar: DataFrame) -> DataFrame:
+def done_with_turnaround(svc: DataFrame, calendar: DataFrame, params: Params = Params()) -> DataFrame:
     """Completed rows with both dates, completion not before schedule, plus
     ``turnaround_bd`` business days (rows whose span is unknown drop)."""
     from upkeep.operators.calendar import with_business_days
     done = svc.where((F.lower(strip_ws(F.col("status"))) == "completed") & F.col("sched_date").isNotNull()
                      & F.col("completed_date").isNotNull() & (F.col("completed_date") >= F.col("sched_date")))
-    return with_business_days(done, "sched_date", "completed_date", "turnaround_bd", calendar) \
+    return with_business_days(done, "sched_date", "completed_date", "turnaround_bd", calendar, params) \
         .where(F.col("turnaround_bd").isNotNull())

@@ -62,7 +62,10 @@ def price_cascade(assets: DataFrame, *, purchase: DataFrame | None = None, catal
                   id_col: str = "equip_id") -> DataFrame:
     """New price and its source per asset: purchase book by id -> catalog by
     model and purchase year -> valuation sheet by keyword -> service estimate by
-    id -> 0 with a blank source. All lookups are one-row-per-key equi joins."""
+    id -> 0 with a blank source. The sheet (keyword, price, optional sheet_ord) is
+    looked up with ``scored_keyword_price``: exact keyword, else the best row of the
+    brand, else the unbranded category; without ``sheet_ord`` its rows rank by
+    keyword. All lookups are one-row-per-key equi joins."""
     a = assets
     tiers = []
     if purchase is not None:
@@ -70,7 +73,11 @@ def price_cascade(assets: DataFrame, *, purchase: DataFrame | None = None, catal
     if catalog is not None:
         a = a.join(catalog.select(id_col, F.col("price").alias("_p2")), id_col, "left"); tiers.append(("_p2", "custodial"))
     if valuation is not None:
-        a = a.join(valuation.select("keyword", F.col("price").alias("_p3")), "keyword", "left"); tiers.append(("_p3", "valuation"))
+        sheet = valuation.where(F.col("price") > 0)
+        order = "sheet_ord" if "sheet_ord" in sheet.columns else "keyword"
+        sheet = sheet.select("keyword", "price", F.col(order).alias("sheet_ord"))
+        found = scored_keyword_price(a.select("keyword"), sheet)
+        a = a.join(found.select("keyword", F.col("price").alias("_p3")), "keyword", "left"); tiers.append(("_p3", "valuation"))
     if service is not None:
         a = a.join(service.select(id_col, F.col("price").alias("_p4")), id_col, "left"); tiers.append(("_p4", "service"))
     valid = [F.when(F.col(c) > 0, F.col(c)) for c, _ in tiers]
@@ -83,8 +90,15 @@ def price_cascade(assets: DataFrame, *, purchase: DataFrame | None = None, catal
 
 
 # ---- fixed values: display labels of price sources ----------------------------
-PRICE_SOURCE_LABEL = {"purchase": "Purchase", "custodial": "Catalog", "valuation": "Valuation",
-                      "service": "Service", "": "—"}
+PRICE_SOURCE_LABEL = {"purchase": "Accurate", "custodial": "Catalog", "valuation": "Valuation",
+                      "service": "Estimated", "": "—"}
+# -------------------------------------------------------------------------------
+
+
+def price_source_label(c="price_source"):
+    """Display label of a price source; an unknown source reads as none."""
+    known = F.create_map(*[F.lit(x) for kv in PRICE_SOURCE_LABEL.items() for x in kv])
+    return F.coalesce(F.try_element_at(known, F.coalesce(F.col(c), F.lit(""))), F.lit(PRICE_SOURCE_LABEL[""]))
 
 
 def scored_keyword_price(keys: DataFrame, sheet: DataFrame, key_col: str = "keyword",

@@ -27,7 +27,6 @@ DEFAULT_ANNUAL_PARTS_BUDGET = 80_000
 DEFAULT_MONTHLY_PARTS_BUDGET = 6_667   # round(80000 / 12)
 DEFAULT_FILE_YEAR = 2026
 PAGE_SIZE_DEFAULT = 20
-PAGE_SIZE_ALL = 100_000
 TOKEN_MATCH_MIN_SCORE = 0.5
 HOLIDAY_RANGE = ("2000-01-01", "2035-12-31")
 STATUS_RANK = {"Good": 0, "Monitor": 1, "Replace": 2}
@@ -64,7 +63,5 @@ class Params:
     default_file_year: int = DEFAULT_FILE_YEAR
     holiday_start: str = HOLIDAY_RANGE[0]
     holiday_end: str = HOLIDAY_RANGE[1]
-    calendar_start: str = "1990-01-01"
-    calendar_end: str = "2040-12-31"
     week_starts_on: str = "sunday"
     category_order: tuple = field(default=CHART_CLASS_ORDER)

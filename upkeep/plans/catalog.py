@@ -422,15 +422,25 @@ def q_nearest_year_price(spark, sf_dir):
     return nearest_year_price(targets, cat)
 
 
+def _small_sheet(spark, sf_dir, keyed):
+    """Valuation sheet (keyword, price, sheet_ord by label) from parts up to size 25."""
+    sheet = keyword_medians(keyed.where(F.col("size") <= 25).select("keyword", "cost"), "cost") \
+        .select("keyword", F.col("median_price").alias("price"))
+    return with_keyword_label(sheet, "keyword", "label") \
+        .withColumn("sheet_ord", F.struct(F.lower("label").alias("l"), F.col("keyword").alias("k")))
+
+
 def q_price_cascade(spark, sf_dir):
-    """New price per repaired asset through the four price books."""
+    """New price per repaired asset through the four price books. The purchase book
+    holds parts up to size 10, the sheet is built from parts up to size 25, so the
+    later tiers and the sheet's scored rows are reached."""
     from upkeep.operators.valuation import first_valid_price, price_cascade
     ids = bench.repairs_rows(spark, sf_dir).select("equip_id").distinct()
     names = _keyed_names(spark, sf_dir).select("equip_id", "keyword", "cost", "size")
     assets_df = ids.join(names, "equip_id", "left")
     purchase = names.where(F.col("size") <= 10).select("equip_id", F.col("cost").alias("price"))
     catalog = q_nearest_year_price(spark, sf_dir).select("equip_id", "price")
-    sheet = q_valuation_sheet(spark, sf_dir).select("keyword", "price")
+    sheet = _small_sheet(spark, sf_dir, names)
     li = bench.read(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "N").select(
         F.col("l_partkey").alias("equip_id"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice").alias("row_ord"))
@@ -474,6 +484,8 @@ def q_alias_pick(spark, sf_dir):
 
 
 # ---- streaming ---------------------------------------------------------------
+import uuid  # noqa: E402
+
 from upkeep.streaming.feeds import daily_volume, dedup_feed  # noqa: E402
 
 EVENTS_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -481,12 +493,12 @@ EVENTS_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, v
 
 def q_stream_daily_volume(spark, sf_dir):
     """Events read as a file stream (availableNow); requests per event-time day."""
-    return daily_volume(spark, sf_dir, EVENTS_SCHEMA, glob="events.parquet")
+    return daily_volume(spark, sf_dir, EVENTS_SCHEMA, glob="events.parquet", run_id=uuid.uuid4().hex)
 
 
 def q_stream_dedup_feed(spark, sf_dir):
     """Events through a watermark de-duplication on event_id; rows per type."""
-    feed = dedup_feed(spark, sf_dir, EVENTS_SCHEMA, "event_id", "ts", glob="events.parquet")
+    feed = dedup_feed(spark, sf_dir, EVENTS_SCHEMA, "event_id", "ts", glob="events.parquet", run_id=uuid.uuid4().hex)
     return feed.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_events"),
                                           F.countDistinct("event_id").alias("n_ids"))
 
@@ -517,12 +529,7 @@ def q_scored_price_lookup(spark, sf_dir):
     """Keywords of all parts priced from a sheet built from parts up to size 25."""
     from upkeep.operators.valuation import scored_keyword_price
     keyed = _keyed_names(spark, sf_dir)
-    pb = bench.purchase_book(spark, sf_dir).select("equip_id", "year")
-    small = keyed.where(F.col("size") <= 25).join(pb, "equip_id", "left").select("keyword", "year", "cost")
-    sheet = keyword_medians(small, "cost").select("keyword", F.col("median_price").alias("price"))
-    sheet = with_keyword_label(sheet, "keyword", "label") \
-        .withColumn("sheet_ord", F.struct(F.lower("label").alias("l"), F.col("keyword").alias("k")))
-    return scored_keyword_price(keyed.select("keyword"), sheet)
+    return scored_keyword_price(keyed.select("keyword"), _small_sheet(spark, sf_dir, keyed))
 
 
 # ---- category resolution ----------------------------------------------------------
@@ -601,7 +608,7 @@ def q_equipment_clean(spark, sf_dir):
 def q_service_clean(spark, sf_dir):
     """Service exports (order-list and legacy layouts) cleaned; rows per month and status."""
     from upkeep.plans.jobs import clean_service_grid
-    rows = clean_service_grid(bench.service_export_grid(spark, sf_dir), detail_bucket_rows=1_000_000_000)
+    rows = clean_service_grid(bench.service_export_grid(spark, sf_dir), detail_bucket_rows=bench.DETAIL_BLOCK)
     return rows.groupBy("month_key", "status").agg(
         F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("estimated_price"), 2).alias("estimated_price"),
         F.countDistinct("description").alias("n_descriptions"), F.count_if(F.col("location") == "").alias("no_location"))

@@ -205,8 +205,11 @@ def clean_equipment_grid(grid: DataFrame, tmap: DataFrame | None, as_of, scan_ro
     def cell(name):
         return F.nullif(F.element_at("rec", F.lit(name)), F.lit(""))
 
-    loc = F.coalesce(cell("Location"), extract_location(cell("PersonnelId1")))
-    cost = F.coalesce(parse_list_cost(cell("Cost")), parse_list_cost(cell("CurrentValue")))
+    # the stand-in column counts for a location only where the file has no Location
+    # column, and for a cost where the cost cell is empty (text that is no number stays null)
+    loc = F.when(F.map_contains_key("rec", F.lit("Location")), cell("Location")) \
+           .otherwise(extract_location(cell("PersonnelId1")))
+    cost = parse_list_cost(F.coalesce(cell("Cost"), cell("CurrentValue")))
     r = g.select("file", "row_no",
                  F.regexp_replace(cell("EquipmentId"), " ", "").alias("_id"), cell("Name").alias("Name"),
                  loc.alias("Location"), cell("EquipType").alias("EquipType"),
@@ -219,10 +222,9 @@ def clean_equipment_grid(grid: DataFrame, tmap: DataFrame | None, as_of, scan_ro
     latest = latest_per_key(r, "EquipmentId", "PurchaseDate").drop("file", "row_no", "row_ord")
     latest = latest.withColumn("Age", age_years("PurchaseDate", as_of)).withColumn("equip_id", norm_equip_id("EquipmentId"))
     blank = strip_ws(F.coalesce(F.col("EquipType"), F.lit(""))) == ""
-    filled = resolve_category(latest.withColumn("_name", F.col("Name")), "_name", tmap, None, out="_cat")
-    # only blank types change; the resolver's last resort 'Other' stays null as in the source
-    out = filled.withColumn("EquipType", F.when(blank, F.when(F.col("_cat") != "Other", F.col("_cat")))
-                            .otherwise(F.col("EquipType")))
+    filled = resolve_category(latest.withColumn("_name", F.col("Name")), "_name", tmap, None, out="_cat", default=None)
+    # only blank types change; one that neither the map nor the name rules know stays null
+    out = filled.withColumn("EquipType", F.when(blank, F.col("_cat")).otherwise(F.col("EquipType")))
     return out.select(*EQUIPMENT_COLUMNS), rejected
 
 
@@ -232,7 +234,7 @@ ORDER_LIST_RENAME = {"EquipmentId1": "EquipmentId", "EquipmentName1": "Equipment
 
 
 def clean_service_grid(grid: DataFrame, default_year: int = P.DEFAULT_FILE_YEAR,
-                       detail_bucket_rows: int = 1_000_000_000) -> DataFrame:
+                       detail_bucket_rows: int = 4096) -> DataFrame:
     """Service exports (header on line 0) -> cleaned service rows.
 
     Order-list files (an EquipmentId1 / EquipmentName1 column) carry one order

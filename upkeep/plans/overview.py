@@ -29,7 +29,7 @@ def overview(spark: SparkSession, month: str, req: DataFrame, svc_all: DataFrame
         s = building_scope(s, scope, user_id)
     s = prepare_service_for_display(s, month, catalog=svc_all.where(F.col("month_key").isNotNull())).persist()
     cal = business_calendar(spark, params)
-    done = done_with_turnaround(s, cal)
+    done = done_with_turnaround(s, cal, params)
     out = {
         "kpis": M.kpi_row(q, s, r),
         "hours_by_category": M.hours_by_category(r, params=params),
@@ -44,23 +44,25 @@ def overview(spark: SparkSession, month: str, req: DataFrame, svc_all: DataFrame
     if all_months:
         out["request_volume"] = M.request_volume_by_month(q)
         out["staff_capacity"] = M.staff_capacity_all(r, M.active_months(q, s, r), params)
-        out["parts_budget"] = M.parts_budget(rep, annual=True, params=params)
+        out["parts_budget"] = M.parts_budget(r, annual=True, params=params)
     else:
         out["request_calendar"] = M.request_calendar(q, month, params.week_starts_on)
         ov = capacity_overrides if capacity_overrides is not None else M.capacity_table(spark, {}, params)
-        out["staff_capacity"] = M.staff_capacity_by_month(r, ov, params)
+        chosen = spark.range(1).select(F.lit(month).alias("month_key"))
+        out["staff_capacity"] = M.staff_capacity_by_month(r, ov, params, chosen)
         out["parts_budget"] = M.parts_budget(r, annual=False, params=params)
     return out
 
 
 def drill_down(chart: str, value: str, month: str | None = None) -> dict:
-    """Filters for the linked report when a chart element is clicked."""
+    """Filters for the linked report when a chart element is clicked. A building
+    filter is a column expression over the clicked value."""
     v = str(value or "").strip()
     if chart == "hours_by_category":
         return {"report": "replacement", "category": v}
     if chart == "hours_by_building":
         from upkeep.functions.text import resolve_building_filter
-        return {"report": "replacement", "building": resolve_building_filter(v)}
+        return {"report": "replacement", "building": resolve_building_filter(F.lit(v))}
     if chart == "repair_count_mix":
         return {"report": "replacement", "repair_count_bin": v}
     if chart == "request_calendar":

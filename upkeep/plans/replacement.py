@@ -41,14 +41,15 @@ def replacement_rollup(rep: DataFrame, *, attrs: DataFrame | None = None,
         rows = rows.where(F.col("category") == category)
     if repair_count_bin:
         rows = rows.join(ids_in_bin(rows, repair_count_bin, id_col), id_col, "left_semi")
+    # the building is the first row's, also where that row has none
     if "location" in rows.columns:
-        firsts = ["location"]
+        place = ["location"]
     elif locations is not None and location_key in rows.columns:
-        firsts = [location_key]
+        place = [location_key]
     else:
-        firsts = []
-    firsts += [c for c in ("equipment", "new_price", "price_source", "category") if c in rows.columns]
-    roll = asset_rollup(rows, id_col=id_col, firsts=firsts, sums=("parts", "labor"))
+        place = []
+    firsts = [c for c in ("equipment", "new_price", "price_source", "category") if c in rows.columns]
+    roll = asset_rollup(rows, id_col=id_col, firsts=firsts, sums=("parts", "labor"), row_firsts=place)
     if "location" not in roll.columns and locations is not None:
         k = locations.columns[0]
         roll = roll.join(locations, roll[location_key] == locations[k], "left").drop(k, location_key)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as _dt
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from upkeep.functions import strip_html
@@ -17,8 +17,7 @@ def write_canonical(df: DataFrame, path: str, partition_by: str | None = "month_
     Dynamic partition overwrite replaces only the months present in ``df``."""
     w = df.write.mode(mode).format(fmt)
     if partition_by and partition_by in df.columns:
-        df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        w = w.partitionBy(partition_by)
+        w = w.option("partitionOverwriteMode", "dynamic").partitionBy(partition_by)
     w.save(path)
 
 
@@ -36,7 +35,7 @@ def export_report(df: DataFrame, path: str, *, event_type: str, username: str, u
     n = df.sparkSession.read.parquet(path).count()
     spark: SparkSession = df.sparkSession
     row = [(_dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None), event_type, username, str(user_id), role,
-            month_key, json.dumps(filters, sort_keys=True), int(n), json.dumps(building_scope), "success", "", "")]
+            month_key, json.dumps(filters, sort_keys=True), int(n), json.dumps(building_scope), "ok", "", "")]
     ev = spark.createDataFrame(row, "created_at timestamp, event_type string, username string, user_id string, "
                                     "role string, month_key string, filters_json string, row_count long, "
                                     "building_scope_json string, status string, error_message string, ip string")
@@ -45,12 +44,10 @@ def export_report(df: DataFrame, path: str, *, event_type: str, username: str, u
     return n
 
 
-def output_name(source_file: str, month_key: str | None, suffix: str = "Repair_List_All_Work_Orders") -> str:
-    """Cleaned-file name: month name when the month is known, else the sanitised stem."""
-    import os
-    import re
-    if month_key:
-        month = _dt.date(int(month_key[:4]), int(month_key[5:7]), 1).strftime("%B")
-        return f"{month}_{suffix}.csv"
-    stem = re.sub(r"[^\w]+", "_", os.path.splitext(source_file)[0]).strip("_")
-    return f"{stem}_cleaned.csv"
+def output_name(source_file, month_key, suffix: str = "Repair_List_All_Work_Orders") -> Column:
+    """File name of a cleaned export: the month's name where a month is known, else the
+    source name without its extension, runs of other characters as one underscore."""
+    month = F.date_format(F.try_to_date(F.concat(F.col(month_key), F.lit("-01")), "yyyy-MM-dd"), "MMMM")
+    stem = F.regexp_replace(F.regexp_replace(F.col(source_file), r"(?<=.)\.[^./]*$", ""), r"(?U)\W+", "_")
+    return F.coalesce(F.concat(month, F.lit("_" + suffix + ".csv")),
+                      F.concat(F.btrim(stem, F.lit("_")), F.lit("_cleaned.csv")))

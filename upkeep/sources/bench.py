@@ -331,6 +331,10 @@ def equipment_export_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pre.unionByName(hdr).unionByName(brand_rows).unionByName(arch_hdr).unionByName(arch_rows)
 
 
+# Row numbers set aside in a legacy service export for the details under one part's header.
+DETAIL_BLOCK = 10 ** 15
+
+
 def service_export_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Service exports from line items x orders. Orders up to 1999 go to
     order-list files named by priority (no month); later orders go to legacy
@@ -362,7 +366,8 @@ def service_export_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         "Cost")]).alias("cells"))
     new = j.where(~old)
     lg_file = F.concat(F.date_format("o_orderdate", "MMMM yyyy"), F.lit(" Equipment Details.csv"))
-    base = (F.col("l_partkey") + 1) * F.lit(1_000_000_000)
+    # decimal row numbers: DETAIL_BLOCK numbers for each part, so blocks cannot overlap at any scale
+    base = (F.col("l_partkey") + 1).cast("decimal(20,0)") * F.lit(DETAIL_BLOCK)
     details = new.select(lg_file.alias("file"), (base + F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_no"),
                          F.array(F.lit(""), F.lit(""), F.lit(""), F.lit(""), sched_t, comp_t,
                                  F.col("o_orderpriority")).alias("cells"))

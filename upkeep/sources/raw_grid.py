@@ -16,26 +16,45 @@ from pyspark.sql import types as T
 
 from upkeep.functions import header_token, norm_col_key, strip_ws
 
-GRID_WIDTH = 64
 # Per-file tables (header row, header names, resolved columns) hold one row per
 # file. Their size is bounded by the file listing the driver already holds, so
 # they are broadcast: joining them on the file name must not send every row of a
 # (possibly huge) file to a single task.
 
 
-def read_csv_grid(spark: SparkSession, path: str, width: int = GRID_WIDTH, glob: str = "*.{csv,CSV}",
+def _csv_lines(spark: SparkSession, path: str, schema: T.StructType, glob: str, multi_line: bool) -> DataFrame:
+    """CSV rows under ``path`` by an explicit text schema; a ``_raw`` field holds the
+    source text of each row whose cell count differs from the schema's."""
+    return (spark.read.schema(schema).option("header", False).option("multiLine", multi_line)
+            .option("escape", '"').option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+            .option("columnNameOfCorruptRecord", "_raw").option("columnPruning", False)
+            .option("mode", "PERMISSIVE").csv(path))
+
+
+def csv_width(spark: SparkSession, path: str, glob: str = "*.{csv,CSV}", multi_line: bool = True) -> int:
+    """At least the most cells of any row: the most separators in any row's text, plus
+    one. One pass with a map-side maximum; one number reaches the driver."""
+    text = T.StringType()
+    schema = T.StructType([T.StructField("c0", text), T.StructField("_raw", text)])
+    commas = F.length("_raw") - F.length(F.replace("_raw", F.lit(","), F.lit("")))
+    most = _csv_lines(spark, path, schema, glob, multi_line).agg(F.max(commas).alias("n"), F.count("c0")).first()
+    return (most.n or 0) + 1
+
+
+def read_csv_grid(spark: SparkSession, path: str, width: int | None = None, glob: str = "*.{csv,CSV}",
                   multi_line: bool = True) -> DataFrame:
     """(file, row_no, cells) from every CSV under ``path``; all cells text.
 
-    An explicit wide schema keeps rows longer than the first line; quotes are
-    escaped by doubling. Files are read whole (multi-line cells), so each file
+    The schema is as wide as the widest row (``csv_width``, a pass of its own), so no
+    cell is lost; a caller that knows a bound may give ``width``. Quotes are escaped
+    by doubling. Files are read whole (multi-line cells), so each file
     is one reader task. Exports without line breaks inside cells can be read
     with ``multi_line=False``: files are then split across tasks and still
     numbered in order (``number_rows``)."""
+    if width is None:
+        width = csv_width(spark, path, glob, multi_line)
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
-    raw = (spark.read.schema(schema).option("header", False).option("multiLine", multi_line)
-           .option("escape", '"').option("pathGlobFilter", glob).option("recursiveFileLookup", True)
-           .option("mode", "PERMISSIVE").csv(path))
+    raw = _csv_lines(spark, path, schema, glob, multi_line)
     cells = F.array(*[F.col(f"c{i}") for i in range(width)])
     g = raw.select(F.col("_metadata.file_name").alias("file"), cells.alias("cells"))
     g = number_rows(g)

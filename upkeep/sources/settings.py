@@ -6,40 +6,71 @@ from __future__ import annotations
 import base64
 import dataclasses
 import json
+import math
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from upkeep.params import Params
 
-# fixed values: (settings key, Params field, low, high, integer?)
-SETTINGS_FIELDS = (
-    ("staffCount", "staff_count", 1, 500, True),
-    ("hoursPerDay", "hours_per_day", 0.25, 24.0, False),
-    ("workDays", "work_days", 1, 31, True),
-    ("baseAvailDays", "base_avail_days", 1, 366, True),
-    ("monthlyPartsBudget", "monthly_parts_budget", 0, 10_000_000, False),
-    ("annualPartsBudget", "annual_parts_budget", 0, 100_000_000, False),
-)
-
-
-def _num(v, default, lo, hi, as_int):
+# ---- fixed values: settings key -> (Params field, lowest, highest, whole number) ----
+SETTINGS_FIELDS = {
+    "staffCount": ("staff_count", 1, 500, True),
+    "hoursPerDay": ("hours_per_day", 0.25, 24.0, False),
+    "workDays": ("work_days", 1, 31, True),
+    "baseAvailDays": ("base_avail_days", 1, 3660, True),
+    "monthlyPartsBudget": ("monthly_parts_budget", 1, 10_000_000, True),
+    "annualPartsBudget": ("annual_parts_budget", 1, 100_000_000, True),
+}
+MONTH_FIELDS = ("staffCount", "hoursPerDay", "workDays")
+SETTINGS_SCHEMA_VERSION = 2
+MAX_SCHEMA_VERSION = 10_000
+# --------------------------------------------------------------------------------------
+
+
+def bounded(key: str, value, default):
+    """A settings value as a number inside its key's range (whole numbers cut towards
+    zero); ``default`` for anything that is no finite number."""
+    _, low, high, whole = SETTINGS_FIELDS[key]
     try:
-        n = int(float(v)) if as_int else float(v)
+        n = float(value)
     except (TypeError, ValueError):
         return default
-    return max(lo, min(hi, n))
+    if not math.isfinite(n):
+        return default
+    n = sorted((low, n, high))[1]
+    return int(n) if whole else n
+
+
+def merge_settings(stored: dict | None, base: Params = Params()) -> dict:
+    """Complete settings from a stored document: every number inside its range, blanks
+    and bad values from ``base``, the per-month capacity map with its gaps filled from
+    the merged globals, and a document of an older schema moved to the current one
+    (its budgets return to the default, the monthly one as a twelfth of the annual)."""
+    doc = stored if isinstance(stored, dict) else {}
+    out = {key: bounded(key, doc.get(key), getattr(base, rule[0])) for key, rule in SETTINGS_FIELDS.items()}
+    out["weekStartsOn"] = "monday" if str(doc.get("weekStartsOn", base.week_starts_on)).lower() == "monday" else "sunday"
+    by_month = doc.get("staffCapacityByMonth")
+    by_month = by_month if isinstance(by_month, dict) else {}
+    out["staffCapacityByMonth"] = {
+        str(month).strip(): {key: bounded(key, given.get(key), out[key]) for key in MONTH_FIELDS}
+        for month, given in by_month.items() if str(month).strip() and isinstance(given, dict)}
+    try:
+        version = int(doc.get("settingsSchemaVersion", 1))
+    except (TypeError, ValueError):
+        version = 1
+    if version < SETTINGS_SCHEMA_VERSION:
+        out["annualPartsBudget"] = int(base.annual_parts_budget)
+        out["monthlyPartsBudget"] = max(1, round(out["annualPartsBudget"] / 12))
+    out["settingsSchemaVersion"] = min(max(version, SETTINGS_SCHEMA_VERSION), MAX_SCHEMA_VERSION)
+    return out
 
 
 def params_from_settings(settings: dict, base: Params = Params()) -> Params:
-    """Merge a settings dict into Params; bad values keep the default, numbers are clamped."""
-    upd = {}
-    for key, field, lo, hi, as_int in SETTINGS_FIELDS:
-        if key in settings:
-            upd[field] = _num(settings[key], getattr(base, field), lo, hi, as_int)
-    ws = str(settings.get("weekStartsOn", base.week_starts_on)).strip().lower()
-    upd["week_starts_on"] = ws if ws in ("sunday", "monday") else base.week_starts_on
-    return dataclasses.replace(base, **upd)
+    """``merge_settings`` as Params (the month map goes to ``metrics.capacity_table``)."""
+    merged = merge_settings(settings, base)
+    fields = {rule[0]: merged[key] for key, rule in SETTINGS_FIELDS.items()}
+    return dataclasses.replace(base, week_starts_on=merged["weekStartsOn"], **fields)
 
 
 def read_settings(spark: SparkSession, path: str) -> dict:

@@ -8,16 +8,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from upkeep.sources.raw_grid import header_name_rows, read_csv_grid, records
+
 
 def read_csv_table(spark: SparkSession, path: str, glob: str = "*.{csv,CSV}") -> DataFrame:
-    """Every CSV under ``path`` with a header row, all columns text (no type
-    inference pass over the data), unreadable files skipped, file name kept.
-    Files with different columns are united by name by the CSV reader's
-    per-file header handling when read separately; see ``union_by_name``."""
-    return (spark.read.option("header", True).option("inferSchema", False).option("multiLine", True)
-            .option("escape", '"').option("pathGlobFilter", glob).option("recursiveFileLookup", True)
-            .option("ignoreCorruptFiles", True).csv(path)
-            .withColumn("source_file", F.col("_metadata.file_name")))
+    """Every CSV under ``path`` with a header row, united by column name: files may
+    order their columns differently or lack some (null there). All columns are text
+    in order of first appearance (file name, position); repeated and blank header
+    names are made unique per file. ``source_file`` keeps the file name.
+
+    Only the distinct header names reach the driver; rows are matched to their own
+    file's header. Cells right of a file's last header name have no column. A file
+    that cannot be read fails the job."""
+    grid = read_csv_grid(spark, path, glob=glob)
+    first = grid.select("file").distinct().withColumn("header_row", F.lit(0))
+    order = header_name_rows(grid, first).groupBy("name").agg(F.min(F.struct("file", "pos")).alias("at"))
+    names = [r["name"] for r in order.orderBy("at").select("name").collect()]
+    rows = records(grid, first)
+    return rows.select(*[F.try_element_at("rec", F.lit(n)).alias(n) for n in names], F.col("file").alias("source_file"))
 
 
 def csv_sql(spark: SparkSession, template: str, path: str, view: str = "csv_input", **args) -> DataFrame:

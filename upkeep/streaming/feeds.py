@@ -1,90 +1,106 @@
 """Incremental jobs over folders that receive new export files.
 
 All jobs use the file source with a fixed schema and ``trigger(availableNow)``:
-each run processes whatever arrived since the last run and stops, with
-progress kept in a checkpoint under the cluster's shared checkpoint folder,
-so a lost executor or a restarted job resumes without double counting.
+each run processes whatever arrived since the last run and stops. Progress and
+output lie under the cluster's shared checkpoint folder, by a run id that follows
+from the job and its folders unless the caller names one, so the next call goes on
+where the last one stopped. A batch may be applied again after a failure; every
+sink writes it to a place of its own batch, by overwriting, so rows count once.
 """
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from upkeep.session import scratch_path
 
+# Partition column that names the run and micro-batch a stored row came with.
+BATCH = "feed_batch"
+# Schema of the binary file source, of which only the path is read.
+LISTING = "path string, modificationTime timestamp, length long, content binary"
 
-def _run(query_builder, spark: SparkSession, name: str, run_id: str | None):
-    rid = run_id or uuid.uuid4().hex
+
+def _run(query_builder, spark: SparkSession, name: str, run_id: str | None, *folders: str) -> str:
+    rid = run_id or hashlib.sha1("\n".join((name, *folders)).encode()).hexdigest()
     ckpt = scratch_path(spark, f"stream-{name}-{rid}/checkpoint")
     out = scratch_path(spark, f"stream-{name}-{rid}/out")
-    q = query_builder(ckpt, out)
+    q = query_builder(ckpt, out, rid)
     q.awaitTermination()
     return out
 
 
+def _replace_batch(df: DataFrame, target: str, batch: str, partition_by=()) -> None:
+    """Write ``df`` as batch ``batch`` of ``target``, replacing an earlier try of it."""
+    df.withColumn(BATCH, F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+      .partitionBy(BATCH, *partition_by).parquet(target)
+
+
 def daily_volume(spark: SparkSession, source_dir: str, schema: str, ts_col: str = "ts",
-                 glob: str = "*.parquet", run_id: str | None = None, watermark: str = "1 day") -> DataFrame:
-    """Requests per event-time day. Late rows within the watermark still count;
-    state is one counter per open day. Each micro-batch rewrites the running
-    totals (complete mode), so the output table always holds every day."""
+                 glob: str = "*.parquet", run_id: str | None = None) -> DataFrame:
+    """Requests per event-time day, late rows included: state is one counter per
+    day. Each micro-batch rewrites the running totals (complete mode), so the output
+    table always holds every day and a repeated batch changes nothing."""
     stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(source_dir)
-    agg = stream.withWatermark(ts_col, watermark).groupBy(F.window(ts_col, "1 day").alias("w")) \
-                .agg(F.count(F.lit(1)).alias("n_requests"))
+    agg = stream.groupBy(F.window(ts_col, "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n_requests"))
 
-    def build(ckpt, out):
+    def build(ckpt, out, _rid):
         def sink(batch: DataFrame, _epoch: int):
             batch.select(F.col("w.start").alias("day_start"), "n_requests").write.mode("overwrite").parquet(out)
         return agg.writeStream.outputMode("complete").option("checkpointLocation", ckpt) \
                   .foreachBatch(sink).trigger(availableNow=True).start()
 
-    out = _run(build, spark, "daily-volume", run_id)
+    out = _run(build, spark, "daily-volume", run_id, source_dir, glob)
     return spark.read.parquet(out)
 
 
 def dedup_feed(spark: SparkSession, source_dir: str, schema: str, key: str, ts_col: str,
-               glob: str = "*.parquet", run_id: str | None = None, watermark: str = "1 hour") -> DataFrame:
-    """Append-only feed without repeated keys: a key seen again within the
-    watermark is dropped; state for a key expires with the watermark."""
+               glob: str = "*.parquet", run_id: str | None = None) -> DataFrame:
+    """Feed without repeated keys, however late a row comes: within a batch the row
+    with the earliest time stays (the smallest other columns on ties), and a key that
+    an earlier batch stored is dropped by an anti join on the stored keys. Rows with
+    a null key count as one key."""
     stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(source_dir)
-    d = stream.withWatermark(ts_col, watermark).dropDuplicatesWithinWatermark([key])
-
-    def build(ckpt, out):
-        return d.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt) \
-                .outputMode("append").trigger(availableNow=True).start()
-
-    out = _run(build, spark, "dedup-feed", run_id)
-    return spark.read.schema(schema).parquet(out)
-
-
-def export_ingest(spark: SparkSession, source_dir: str, transform, target: str, width: int = 64,
+    columns = stream.columns
+    stored = T.StructType([f for f in stream.schema.fields if f.name == key] + [T.StructField(BATCH, T.StringType())])
+
+    def build(ckpt, out, rid):
+        def sink(batch: DataFrame, epoch: int):
+            rank = F.struct(ts_col, *[c for c in columns if c not in (key, ts_col)])
+            one = batch.groupBy(key).agg(F.min(rank).alias("_r")).select(key, "_r.*")
+            if epoch > 0:
+                seen = spark.read.schema(stored).parquet(out).where(F.col(BATCH) != f"{rid}-{epoch}") \
+                            .select(F.col(key).alias("_seen"))
+                one = one.join(seen, F.col(key).eqNullSafe(F.col("_seen")), "left_anti")
+            _replace_batch(one.select(*columns), out, f"{rid}-{epoch}")
+        return stream.writeStream.option("checkpointLocation", ckpt).foreachBatch(sink) \
+                     .trigger(availableNow=True).start()
+
+    out = _run(build, spark, "dedup-feed", run_id, source_dir, glob, key)
+    return spark.read.schema(stream.schema).parquet(out).select(*columns)
+
+
+def export_ingest(spark: SparkSession, source_dir: str, transform, target: str, width: int | None = None,
                   run_id: str | None = None, partition_by: str | None = "month_key"):
-    """New CSV exports in ``source_dir`` -> ``transform(grid_batch)`` -> appended
-    to the canonical table ``target`` (partitioned by month). ``transform``
-    receives (file, row_no, cells) rows of whole new files."""
-    from pyspark.sql import types as T
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
-    raw = spark.readStream.schema(schema).option("header", False).option("multiLine", True) \
-               .option("escape", '"').option("pathGlobFilter", "*.csv").csv(source_dir)
-    g = raw.select(F.col("_metadata.file_name").alias("file"),
-                   F.array(*[F.col(f"c{i}") for i in range(width)]).alias("cells"))
-
-    def build(ckpt, out):
-        def sink(batch: DataFrame, _epoch: int):
-            from pyspark.sql import Window
-            from upkeep.sources.raw_grid import number_rows
-            b = number_rows(batch)
-            last = F.aggregate(F.sequence(F.lit(1), F.lit(width)), F.lit(0),
-                               lambda acc, i: F.when(F.try_element_at("cells", i).isNotNull(), i).otherwise(acc))
-            b = b.withColumn("cells", F.slice("cells", 1, F.greatest(last, F.lit(1))))
-            w = transform(b).write.mode("append")
-            if partition_by:
-                w = w.partitionBy(partition_by)
-            w.parquet(target)
-        return g.writeStream.option("checkpointLocation", ckpt).foreachBatch(sink) \
-                .trigger(availableNow=True).start()
-
-    _run(build, spark, "export-ingest", run_id)
+    """New CSV exports in ``source_dir`` -> ``transform(grid_batch)`` -> added to the
+    canonical table ``target``, partitioned by ``feed_batch`` and month.
+    ``transform`` receives (file, row_no, cells) rows of whole new files, as wide as
+    their widest row unless ``width`` bounds it."""
+    from upkeep.sources.raw_grid import read_csv_grid
+    listing = spark.readStream.format("binaryFile").schema(LISTING).option("pathGlobFilter", "*.csv").load(source_dir).select("path")
+
+    def build(ckpt, _out, rid):
+        def sink(batch: DataFrame, epoch: int):
+            # the batch's file names: a listing the driver holds anyway
+            paths = [r.path for r in batch.select("path").collect()]
+            if paths:
+                grid = read_csv_grid(spark, paths, width, glob="*")
+                _replace_batch(transform(grid), target, f"{rid}-{epoch}", [partition_by] if partition_by else [])
+        return listing.writeStream.option("checkpointLocation", ckpt).foreachBatch(sink) \
+                      .trigger(availableNow=True).start()
+
+    _run(build, spark, "export-ingest", run_id, source_dir, target)
     return spark.read.parquet(target)
