@@ -13,6 +13,7 @@ from upkeep.functions import attach_one_row
 
 from upkeep.params import Params
 from upkeep.plans.replacement import replacement_rollup, replacement_status as _status
+from upkeep.session import materialize
 from upkeep.sources import bench
 
 PARAMS = Params()
@@ -54,7 +55,8 @@ def _scoped_repairs(spark, sf_dir):
 
 
 def _display_service_all(spark, sf_dir):
-    svc = bench.service(spark, sf_dir).where(F.col("month_key").isNotNull())
+    # the lineitem-orders join runs once; status, stub and duplicate rules read its rows
+    svc = materialize(bench.service(spark, sf_dir).where(F.col("month_key").isNotNull()))
     return prepare_service_for_display(svc, "ALL", catalog=svc)
 
 
@@ -264,7 +266,7 @@ from upkeep.functions import (extract_label, month_from_file_name, normalize_bui
 def _order_texts(spark, sf_dir):
     o = bench.read(spark, sf_dir, "orders")
     return o.select(
-        "o_orderkey",
+        "o_orderkey", "o_orderpriority",
         F.concat(F.lit("Order Id: "), F.col("o_orderkey").cast("string")).alias("label_text"),
         F.when(F.col("o_orderstatus") == "P", F.lit("Enter Data"))
          .otherwise(F.concat(F.lit("$"), F.format_number("o_totalprice", 2))).alias("money_text"),
@@ -309,8 +311,7 @@ def q_strip_tags(spark, sf_dir):
 
 def q_dq_bad_dates(spark, sf_dir):
     """Unparsable dates per source (priority stands in for the export file)."""
-    t = _order_texts(spark, sf_dir).join(bench.read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"),
-                                         "o_orderkey")
+    t = _order_texts(spark, sf_dir)
     return t.groupBy(F.col("o_orderpriority").alias("source_file")).agg(
         F.count_if(parse_date("date_text").isNull()).alias("bad_dates"), F.count(F.lit(1)).alias("n_rows"))
 
@@ -385,16 +386,18 @@ def q_keyword_extract(spark, sf_dir):
     return _keyed_names(spark, sf_dir).select("equip_id", "equip_name", "keyword", "label", "equip_type")
 
 
-def _purchase_records(spark, sf_dir):
+def _purchase_records(spark, sf_dir, keyed=None):
     pb = bench.purchase_book(spark, sf_dir).select("equip_id", "year")
-    return _keyed_names(spark, sf_dir).join(pb, "equip_id", "left").select("keyword", "year", "cost")
+    keyed = _keyed_names(spark, sf_dir) if keyed is None else keyed
+    return keyed.join(pb, "equip_id", "left").select("keyword", "year", "cost")
 
 
-def _service_prices(spark, sf_dir):
+def _service_prices(spark, sf_dir, keyed=None):
+    keyed = _keyed_names(spark, sf_dir) if keyed is None else keyed
     li = bench.read(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "N") \
               .select(F.col("l_partkey").alias("equip_id"),
                       F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("price"))
-    return li.join(_keyed_names(spark, sf_dir).select("equip_id", "keyword"), "equip_id")
+    return li.join(keyed.select("equip_id", "keyword"), "equip_id")
 
 
 def q_median_price_by_keyword(spark, sf_dir):
@@ -405,7 +408,11 @@ def q_median_price_by_keyword(spark, sf_dir):
 
 def q_valuation_sheet(spark, sf_dir):
     """Valuation sheet: purchase medians, gaps filled from service medians, labelled."""
-    return valuation_sheet(_purchase_records(spark, sf_dir), _service_prices(spark, sf_dir),
+    return _sheet(spark, sf_dir, _keyed_names(spark, sf_dir))
+
+
+def _sheet(spark, sf_dir, keyed):
+    return valuation_sheet(_purchase_records(spark, sf_dir, keyed), _service_prices(spark, sf_dir, keyed),
                            recent_years=5, reference_year=PARAMS.as_of.year)
 
 
@@ -701,7 +708,7 @@ def q_enriched_repairs(spark, sf_dir):
         rep, names, type_map=tm, summary=summ,
         purchase=keyed.where(F.col("size") <= 10).select("equip_id", F.col("cost").alias("price")),
         catalog=catalog_prices_by_id(names, years, models, prices),
-        valuation=q_valuation_sheet(spark, sf_dir).select("keyword", "price"),
+        valuation=_sheet(spark, sf_dir, keyed).select("keyword", "price"),
         service=first_valid_price(li, "equip_id", "price"),
         keywords=keyed.select("equip_id", "keyword"))
     return out.groupBy("month_key", "category", "price_source").agg(
@@ -734,3 +741,71 @@ def q_keyword_key_match(spark, sf_dir):
             .withColumn("key_ord", F.struct((-F.length("key")).alias("l"), F.col("key").alias("k")))
     names = k.select(norm_equipment_name("equip_name").alias("name"))
     return match_keys(names, "name", keys)
+
+
+# ---- contract cases reached by data derived from the tables ------------------------
+def q_name_fold(spark, sf_dir):
+    """Part names with marks on their vowels, normalised back to plain letters."""
+    from upkeep.functions import norm_equipment_name
+    p = bench.read(spark, sf_dir, "part")
+    marked = F.translate("p_name", "aeiouyznc", "áèîõůýźñč")
+    return p.select(F.col("p_partkey").alias("equip_id"), norm_equipment_name(marked).alias("name"))
+
+
+def q_business_days_any(spark, sf_dir):
+    """Business-day spans from 110,000 days before the order to 60,000 days after the
+    shipment, and of the order moved that far alone: dates far outside the holidays."""
+    li = bench.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate")
+    o = bench.read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    pairs = li.join(o, li.l_orderkey == o.o_orderkey).groupBy("o_orderdate", "l_shipdate").agg(F.count(F.lit(1)).alias("n"))
+    early = F.date_sub(F.col("o_orderdate").cast("date"), 110000)
+    both = pairs.select("n", F.explode(F.array(
+        F.struct(early.alias("a"), F.date_add(F.col("l_shipdate").cast("date"), 60000).alias("b")),
+        F.struct(early.alias("a"), F.date_sub(F.col("l_shipdate").cast("date"), 110000).alias("b")))).alias("p"))
+    out = with_business_days(both.select("n", "p.a", "p.b"), "a", "b", "bd", business_calendar(spark, PARAMS), PARAMS)
+    return out.groupBy(F.col("bd").alias("business_days")).agg(F.sum("n").alias("n_rows"))
+
+
+def q_blank_id_service(spark, sf_dir):
+    """All-months status when every third line of an order has no id (blank or null):
+    such rows keep their own status. Rows per description, month and status."""
+    from upkeep.operators.service_scope import effective_status_all
+    line = F.col("row_ord.l_linenumber")
+    eid = F.when(line % 6 == 3, F.lit(" ")).when(line % 3 != 0, F.col("equip_id").cast("string"))
+    svc = materialize(bench.service(spark, sf_dir).where(F.col("month_key").isNotNull()).withColumn("equip_id", eid)
+                      .select("equip_id", "sched_date", "completed_date", "status", "description", "month_key"))
+    return effective_status_all(svc, svc).groupBy("description", "month_key", "status").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("equip_id").alias("n_ids"))
+
+
+def q_override_upsert(spark, sf_dir):
+    """Life extensions with their details: two changes for each part of size 40..48,
+    of which the second counts and deletes where it leaves no months."""
+    p = bench.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("equip_id"), "p_size", "p_brand")
+    base = bench.life_overrides(spark, sf_dir).join(p.select("equip_id", F.col("p_brand").alias("note")), "equip_id")
+    ch = p.where(F.col("p_size").between(40, 48)).select("equip_id", F.explode(F.array(
+        F.struct(F.lit(1).alias("ord"), F.lit(99.0).alias("extra_months"), F.lit("first").alias("note")),
+        F.struct(F.lit(2).alias("ord"), ((F.col("p_size") - 44) * 1.5).cast("double").alias("extra_months"),
+                 F.concat(F.lit(" size "), F.col("p_size").cast("string")).alias("note")))).alias("c")).select("equip_id", "c.*")
+    return merge_overrides(base, ch, order_col="ord", updated_at=PARAMS.as_of)
+
+
+def q_csv_union_ingest(spark, sf_dir):
+    """Line items written as CSV files of two layouts (other column order, a column the
+    other lacks, more than 64 columns), read back united by column name."""
+    from upkeep.session import scratch_path
+    from upkeep.sources.tables import read_csv_table
+    li = bench.read(spark, sf_dir, "lineitem")
+    new = F.coalesce(F.year("l_shipdate") > 1997, F.lit(False))
+    eid, cost = F.col("l_partkey").cast("string").alias("Equipment Id"), F.col("l_extendedprice").cast("string").alias("Cost")
+    root = scratch_path(spark, f"csv-union-{uuid.uuid4().hex}")
+    wide = [F.lit("x").alias(f"Extra {i}") for i in range(65)]
+    old_files = li.where(~new).select(eid, cost)
+    new_files = li.where(new).select(cost, F.concat(F.lit("Vendor, "), F.col("l_suppkey").cast("string")).alias("Vendor"),
+                                     *wide, F.col("l_linenumber").cast("string").alias("Line"), eid)
+    for k, df in enumerate((old_files, new_files)):
+        df.write.option("header", True).option("escape", '"').csv(f"{root}/layout-{k}")
+    t = read_csv_table(spark, root)
+    return t.groupBy(F.col("Equipment Id").cast("long").alias("equip_id")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.round(F.sum(F.col("Cost").cast("double")), 2).alias("cost"),
+        F.countDistinct("Vendor").alias("n_vendors"), F.coalesce(F.sum(F.col("Line").cast("long")), F.lit(0)).alias("line_sum"))

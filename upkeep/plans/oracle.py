@@ -801,3 +801,52 @@ SELECT nn2.n AS name, coalesce(a.k, b.k) AS key
 FROM nn2 LEFT JOIN (SELECT * FROM s1 WHERE rn = 1) a ON a.n = nn2.n
 LEFT JOIN (SELECT * FROM s2 WHERE rn = 1) b ON b.n = nn2.n
 """
+
+ORACLE["name_fold"] = """
+SELECT p_partkey AS equip_id,
+       trim(regexp_replace(regexp_replace(lower(strip_accents(translate(p_name, 'aeiouyznc', 'áèîõůýźñč'))), '[^\\w\\s]', ' ', 'g'),
+                           '\\s+', ' ', 'g')) AS name
+FROM part
+"""
+
+ORACLE["business_days_any"] = f"""
+WITH {X.business_calendar_cte('1600-01-01', '2300-12-31')},
+p AS (SELECT CAST(o_orderdate AS DATE) - 110000 AS a, CAST(l_shipdate AS DATE) + 60000 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+      UNION ALL
+      SELECT CAST(o_orderdate AS DATE) - 110000, CAST(l_shipdate AS DATE) - 110000 FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT {X.business_days('a', 'b', 'ca', 'cb')} AS business_days, count(*) AS n_rows
+FROM p LEFT JOIN cal ca ON ca.cal_date = a LEFT JOIN cal cb ON cb.cal_date = b GROUP BY 1
+"""
+
+ORACLE["blank_id_service"] = f"""
+WITH {X.SERVICE_CTE},
+t AS (SELECT CASE WHEN row_ord.c % 6 = 3 THEN ' ' WHEN row_ord.c % 3 <> 0 THEN CAST(equip_id AS VARCHAR) END AS raw_id,
+             CASE WHEN row_ord.c % 3 <> 0 THEN CAST(equip_id AS VARCHAR) END AS id, sched_date, completed_date, status, description, month_key,
+             {X.norm_desc('description')} AS hk, {X.soft_norm_desc('description')} AS sk
+      FROM s WHERE month_key IS NOT NULL),
+keys AS (SELECT id, hk AS k FROM t WHERE completed_date IS NOT NULL AND id IS NOT NULL
+         UNION SELECT id, sk FROM t WHERE completed_date IS NOT NULL AND id IS NOT NULL),
+fd AS (SELECT id, min(completed_date) AS first_done FROM t WHERE completed_date IS NOT NULL AND id IS NOT NULL GROUP BY id)
+SELECT t.description, t.month_key,
+       CASE WHEN a.k IS NOT NULL OR b.k IS NOT NULL OR coalesce(first_done > sched_date, false) THEN 'Completed'
+            ELSE {X.raw_status('status')} END AS status,
+       count(*) AS n_rows, count(raw_id) AS n_ids
+FROM t LEFT JOIN keys a ON a.id = t.id AND a.k = t.hk LEFT JOIN keys b ON b.id = t.id AND b.k = t.sk
+LEFT JOIN fd ON fd.id = t.id GROUP BY 1, 2, 3
+"""
+
+ORACLE["override_upsert"] = """
+WITH ch AS (SELECT p_partkey AS equip_id, round_even((p_size - 44) * 1.5, 0) AS m, (p_size - 44) * 1.5 AS m0,
+                   'size ' || CAST(p_size AS VARCHAR) AS note
+            FROM part WHERE p_size BETWEEN 40 AND 48)
+SELECT equip_id, CAST(m AS DOUBLE) AS extra_months, note, '2002-01-01' AS updated_at FROM ch WHERE m0 > 0
+UNION ALL
+SELECT p_partkey, CAST(p_size AS DOUBLE), p_brand, '' FROM part WHERE p_size > 48
+"""
+
+ORACLE["csv_union_ingest"] = """
+SELECT l_partkey AS equip_id, count(*) AS n_rows, round(sum(l_extendedprice), 2) AS cost,
+       count(DISTINCT CASE WHEN year(l_shipdate) > 1997 THEN l_suppkey END) AS n_vendors,
+       CAST(coalesce(sum(CASE WHEN year(l_shipdate) > 1997 THEN l_linenumber END), 0) AS BIGINT) AS line_sum
+FROM lineitem GROUP BY 1
+"""

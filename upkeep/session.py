@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -81,13 +82,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df):
-    """Compute a small, reused intermediate result once (e.g. a keyword sheet or
-    a distinct-name dimension) and cut its lineage. Uses a reliable checkpoint
-    in the shared checkpoint folder, so a lost executor does not lose it."""
-    try:
-        checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
-    except Exception:  # noqa: BLE001 - no usable checkpoint folder: keep it cached instead
-        out = df.persist()
-        out.count()
-        return out
+    """Compute a reused intermediate result once: written as Parquet to the shared
+    folder and read back, so lineage is cut, later reads are pruned to their columns
+    and a lost executor costs nothing but a re-read."""
+    path = scratch_path(df.sparkSession, f"materialized-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
