@@ -13,11 +13,14 @@ Tiers, first tier with a hit wins:
    the model has digit tokens, one of them; best score, then longer name.
 Ties go to the earlier catalog model.
 
-No tier pairs every name with every model. Candidates come from equi joins on
-generated keys: the family word; the size shifted by -2..2; whole substrings
-for containment (name substrings = catalog name, catalog substrings = name);
-(word token, digit token) pairs for overlap. Work is bounded by string lengths
-and token counts, not by |names| x |catalog|.
+No tier pairs every name with every model, and models that a tier cannot tell
+apart are reduced to the one that wins before names meet them: the first of a
+family and kind, the first of a size, the first of a normalised name, the longest
+of a token set. Names meet them by equi joins: the family; the size shifted by
+-2..2; for containment one anchor, the rarest ``WINDOW``-character window of the
+contained string, against the windows of the other side, verified on the whole
+strings; (word token, digit token) pairs between distinct token sets. Candidate
+rows grow with the length of the texts, not with its square.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 
 from upkeep.functions.keywords import BRAND_ALIASES, BRAND_SLUGS, clean_name
 from upkeep.functions.text import norm_equipment_name
+from upkeep.session import materialize
 
 # ---- fixed values: catalog stop words -------------------------------------------
 CATALOG_STOPWORDS = (
@@ -45,6 +49,8 @@ MIN_CONTAIN_LEN = 8
 ICE_SIZE_PATTERN = r"\b(1[3-9]|2[0-9]|3[0-2])\b"
 # ----------------------------------------------------------------------------------
 
+WINDOW = 8  # characters of the windows that containment is anchored on; at most MIN_CONTAIN_LEN
+
 BRAND_TOKENS = tuple(sorted(set(BRAND_ALIASES) | set(BRAND_SLUGS)))
 
 
@@ -76,31 +82,50 @@ def _score(cost: Column, length: Column) -> Column:
     return F.struct(cost.cast("double").alias("cost"), (-length).alias("short")).alias("score")
 
 
-def _substrings(s: Column, min_len: int) -> Column:
-    """Every substring of ``s`` with at least ``min_len`` characters (distinct)."""
-    n = F.length(s)
-    subs = F.flatten(F.transform(
-        F.sequence(F.lit(min_len), F.greatest(n, F.lit(min_len))),
-        lambda ln: F.transform(F.sequence(F.lit(1), F.greatest(n - ln + 1, F.lit(1))),
-                               lambda i: F.substring(s, i, ln))))
-    return F.when(n >= min_len, F.array_distinct(F.filter(subs, lambda x: F.length(x) >= min_len))) \
-            .otherwise(F.array().cast("array<string>"))
+def _windows(s: Column, width: int) -> Column:
+    """The distinct ``width``-character windows of ``s`` (at least that long)."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - width + 1), lambda i: F.substring(s, i, width)))
+
+
+def _short_substrings(s: Column) -> Column:
+    """The distinct substrings of ``s`` shorter than ``WINDOW``."""
+    return F.array_distinct(F.flatten(F.transform(
+        F.sequence(F.lit(1), F.least(F.length(s), F.lit(WINDOW - 1))),
+        lambda n: F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substring(s, i, n)))))
+
+
+def _contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(inner, outer) for every string of ``inner`` (distinct, ``WINDOW`` characters
+    or more) that occurs in a string of ``outer`` (distinct). An inner string with
+    a window that no outer string has is dropped; the others meet only the outer
+    strings that hold their rarest window."""
+    ow = outer.where(F.length("outer") >= WINDOW).select("outer", F.explode(_windows(F.col("outer"), WINDOW)).alias("w"))
+    often = ow.groupBy("w").agg(F.count(F.lit(1)).alias("f"))
+    iw = inner.where(F.length("inner") >= WINDOW).withColumn("ws", _windows(F.col("inner"), WINDOW)) \
+              .select("inner", F.size("ws").alias("n"), F.explode("ws").alias("w"))
+    anchor = iw.join(often, "w").groupBy("inner", "n").agg(F.count(F.lit(1)).alias("hits"), F.min(F.struct("f", "w")).alias("a")) \
+               .where(F.col("hits") == F.col("n")).select("inner", F.col("a.w").alias("w"))
+    return anchor.join(ow, "w").where(F.contains("outer", F.col("inner"))).select("inner", "outer")
 
 
 def _contains_candidates(names: DataFrame, models: DataFrame) -> DataFrame:
-    """(name_norm, model) where one string contains the other (catalog name >= 8
-    chars), as two exact equi joins on whole strings: the name's substrings
-    against catalog names, and catalog names' substrings against names. Work is
-    bounded by string lengths; no candidate pairs are generated and discarded."""
-    m = models.where(F.length("norm_name") >= MIN_CONTAIN_LEN).select("model", "norm_name", "ord")
-    ns = names.select("name_norm", F.explode(_substrings(F.col("name_norm"), MIN_CONTAIN_LEN)).alias("sub"))
-    a = ns.join(m, ns.sub == m.norm_name).select("name_norm", "model", "norm_name", "ord")
-    ms = m.select("model", "norm_name", "ord", F.explode(_substrings(F.col("norm_name"), 1)).alias("sub"))
-    b = names.select("name_norm").join(ms, F.col("name_norm") == F.col("sub")) \
-             .select("name_norm", "model", "norm_name", "ord")
-    c = a.unionByName(b).dropDuplicates(["name_norm", "model"])
-    return c.select("name_norm", "model", F.lit(3).alias("tier"), F.lit(0).alias("sub"),
-                    _score(F.lit(0), F.length("norm_name")), "ord")
+    """Best of the models (catalog name >= 8 chars) that a name holds or that hold
+    the name; of equal catalog names the first model stands for all."""
+    m = models.where(F.length("norm_name") >= MIN_CONTAIN_LEN) \
+              .groupBy("norm_name").agg(F.min(F.struct("ord", "model")).alias("m"))
+    held = _contained(m.select(F.col("norm_name").alias("inner")), names.select(F.col("name_norm").alias("outer"))) \
+        .select(F.col("outer").alias("name_norm"), F.col("inner").alias("norm_name"))
+    holds = _contained(names.select(F.col("name_norm").alias("inner")), m.select(F.col("norm_name").alias("outer"))) \
+        .select(F.col("inner").alias("name_norm"), F.col("outer").alias("norm_name"))
+    rank = F.struct((-F.length("norm_name")).alias("short"), F.col("m.ord").alias("ord"), F.col("m.model").alias("model"))
+    long_names = held.unionByName(holds).join(m, "norm_name").select("name_norm", rank.alias("r"))
+    # names shorter than a window: the best model of every short substring
+    short = m.select(F.explode(_short_substrings(F.col("norm_name"))).alias("name_norm"), rank.alias("r")) \
+             .groupBy("name_norm").agg(F.min("r").alias("r"))
+    short_names = names.where(F.length("name_norm") < WINDOW).select("name_norm").join(short, "name_norm")
+    return long_names.unionByName(short_names).select(
+        "name_norm", F.col("r.model").alias("model"), F.lit(3).alias("tier"), F.lit(0).alias("sub"),
+        _score(F.lit(0), -F.col("r.short")), F.col("r.ord").alias("ord"))
 
 
 def _token_keys(toks: Column, has_digit_side: Column | None = None) -> Column:
@@ -117,22 +142,22 @@ def _token_keys(toks: Column, has_digit_side: Column | None = None) -> Column:
 
 
 def _token_candidates(names: DataFrame, models: DataFrame) -> DataFrame:
-    """Token-overlap tier. Candidates must share a word token and, when the model
-    has digit tokens, a digit token too, so the join key is that pair: a name only
-    meets models with the same brand word and the same size number, never every
-    model sharing a common word."""
-    n = names.select("name_norm", distinctive_tokens(F.col("name_norm")).alias("ntok"))
-    nk = n.select("name_norm", "ntok", F.explode(_token_keys(F.col("ntok"))).alias("k"))
-    m = models.where(F.size("tokens") > 0)
-    mk = m.select("model", "norm_name", "ord", "tokens",
-                  F.explode(_token_keys(F.col("tokens"), F.lit(True))).alias("k"))
-    c = nk.join(mk, "k").select("name_norm", "ntok", "model", "norm_name", "ord", "tokens").dropDuplicates(
-        ["name_norm", "model"])
-    ov = F.array_intersect("ntok", "tokens")
-    score = F.size(ov) / F.size("tokens")
-    return c.where(score >= 0.5).select(
-        "name_norm", "model", F.lit(4).alias("tier"), F.lit(0).alias("sub"),
-        _score(-score, F.length("norm_name")), "ord")
+    """Token-overlap tier, worked out between distinct token sets: a set of name
+    tokens meets a set of model tokens on a shared word token and, when the models
+    have digit tokens, a digit token too. Of models with equal sets the longest,
+    then first, stands for all."""
+    n = names.select("name_norm", F.sort_array(distinctive_tokens(F.col("name_norm"))).alias("ntok")).where(F.size("ntok") > 0)
+    nk = n.select("ntok").distinct().select("ntok", F.explode(_token_keys(F.col("ntok"))).alias("k"))
+    m = models.where(F.size("tokens") > 0).groupBy(F.sort_array("tokens").alias("tokens")).agg(
+        F.min(F.struct((-F.length("norm_name")).alias("short"), "ord", "model")).alias("m"))
+    mk = m.select("m", "tokens", F.explode(_token_keys(F.col("tokens"), F.lit(True))).alias("k"))
+    share = F.size(F.array_intersect("ntok", "tokens")) / F.size("tokens")
+    best = nk.join(mk, "k").withColumn("share", share).where(F.col("share") >= 0.5).groupBy("ntok").agg(
+        F.min(F.struct((-F.col("share")).alias("cost"), F.col("m.short").alias("short"), F.col("m.ord").alias("ord"),
+                       F.col("m.model").alias("model"))).alias("b"))
+    return n.join(best, "ntok").select(
+        "name_norm", F.col("b.model").alias("model"), F.lit(4).alias("tier"), F.lit(0).alias("sub"),
+        _score(F.col("b.cost"), -F.col("b.short")), F.col("b.ord").alias("ord"))
 
 
 def _family_candidates(names: DataFrame, models: DataFrame) -> DataFrame:
@@ -140,19 +165,24 @@ def _family_candidates(names: DataFrame, models: DataFrame) -> DataFrame:
            ("kaivac", F.contains(F.col("name_norm"), F.lit("kaivac")), "kaivac"),
            ("puzzi", F.col("name_norm").rlike(r"\bpuzzi\b|\bpriza\b"), "puzzi"),
            ("chariot", F.contains(F.col("name_norm"), F.lit("chariot")), "chariot")]
+
+    def kinds(c):
+        return [F.contains(c, F.lit(w)).alias(f"{c}_{w}") for w in ("iscrub", "ivac")]
+
     keys = F.filter(F.array(*[F.when(cond, F.lit(k)) for k, cond, _ in fam]), lambda x: x.isNotNull())
-    nk = names.select("name_norm", F.explode(keys).alias("fam"))
-    mk = models.select("model", "norm_name", "ord", F.explode(F.filter(
+    nk = names.select("name_norm", F.explode(keys).alias("fam"), *kinds("name_norm"))
+    # the first model of each family and kind: sixteen rows at most
+    mk = models.select("model", "ord", F.explode(F.filter(
         F.array(*[F.when(F.contains(F.col("norm_name"), F.lit(w)), F.lit(k)) for k, _, w in fam]),
-        lambda x: x.isNotNull())).alias("fam"))
+        lambda x: x.isNotNull())).alias("fam"), *kinds("norm_name")) \
+        .groupBy("fam", "norm_name_iscrub", "norm_name_ivac").agg(F.min(F.struct("ord", "model")).alias("m"))
     j = nk.join(mk, "fam")
     rank = {k: i for i, (k, _, _) in enumerate(fam)}
     fam_rank = F.coalesce(*[F.when(F.col("fam") == k, F.lit(i)) for k, i in rank.items()])
-    sub = F.when((F.col("fam") == "chariot") & ~(
-        (F.contains("name_norm", F.lit("iscrub")) & F.contains("norm_name", F.lit("iscrub"))) |
-        (F.contains("name_norm", F.lit("ivac")) & F.contains("norm_name", F.lit("ivac")))), F.lit(1)).otherwise(F.lit(0))
-    return j.select("name_norm", "model", F.lit(1).alias("tier"), (fam_rank * 10 + sub).alias("sub"),
-                    _score(F.lit(0), F.lit(0)), "ord")
+    alike = (F.col("name_norm_iscrub") & F.col("norm_name_iscrub")) | (F.col("name_norm_ivac") & F.col("norm_name_ivac"))
+    sub = F.when((F.col("fam") == "chariot") & ~alike, F.lit(1)).otherwise(F.lit(0))
+    return j.select("name_norm", F.col("m.model").alias("model"), F.lit(1).alias("tier"), (fam_rank * 10 + sub).alias("sub"),
+                    _score(F.lit(0), F.lit(0)), F.col("m.ord").alias("ord"))
 
 
 def _ice_candidates(names: DataFrame, models: DataFrame) -> DataFrame:
@@ -160,18 +190,21 @@ def _ice_candidates(names: DataFrame, models: DataFrame) -> DataFrame:
              .select("name_norm", F.regexp_extract("name_norm", ICE_SIZE_PATTERN, 1).try_cast("int").alias("target"))
     m = models.where(F.contains(F.lower("category"), F.lit("walk-behind scrubber")) &
                      F.col("norm_name").rlike(r"\bice i(\d+)\b")) \
-              .select("model", "ord", F.regexp_extract("norm_name", r"\bice i(\d+)\b", 1).try_cast("int").alias("msize"))
+              .select("model", "ord", F.regexp_extract("norm_name", r"\bice i(\d+)\b", 1).try_cast("int").alias("msize")) \
+              .where(F.col("msize").between(11, 34)).groupBy("msize").agg(F.min(F.struct("ord", "model")).alias("m"))
     # band join as an equi join: each model size stands for targets msize-2 .. msize+2
     m = m.select("*", F.explode(F.sequence(F.col("msize") - 2, F.col("msize") + 2)).alias("target"))
     j = n.join(m, "target")
-    return j.select("name_norm", "model", F.lit(2).alias("tier"), F.lit(0).alias("sub"),
-                    _score(F.abs(F.col("msize") - F.col("target")), F.lit(0)), "ord")
+    return j.select("name_norm", F.col("m.model").alias("model"), F.lit(2).alias("tier"), F.lit(0).alias("sub"),
+                    _score(F.abs(F.col("msize") - F.col("target")), F.lit(0)), F.col("m.ord").alias("ord"))
 
 
 def match_catalog(names: DataFrame, name_col: str, models: DataFrame) -> DataFrame:
     """(name_col, model, match_tier) for each distinct name; null model when no tier hits."""
     d = names.select(name_col).distinct().withColumn("name_norm", clean_name(name_col))
-    nn = d.select("name_norm").where(F.col("name_norm") != "").distinct()
+    # both sides are read by every tier: written once
+    nn = materialize(d.select("name_norm").where(F.col("name_norm") != "").distinct())
+    models = materialize(models)
     cands = _family_candidates(nn, models).unionByName(_ice_candidates(nn, models)) \
         .unionByName(_contains_candidates(nn, models)).unionByName(_token_candidates(nn, models))
     best = cands.groupBy("name_norm").agg(F.min(F.struct("tier", "sub", "score", "ord", "model")).alias("b"))
@@ -186,28 +219,47 @@ def match_keys(names: DataFrame, name_col: str, keys: DataFrame, key_col: str =
     characters, counted with repeats) occur in the name for at least half of
     them, best share then longer key. Ties go to the earlier key.
 
-    Both tiers are exact equi joins: name substrings against whole keys (and key
-    substrings against whole names); name substrings against key tokens."""
-    n = names.select(F.col(name_col).alias("_name")).where(F.col("_name").isNotNull() & (F.col("_name") != "")) \
-             .distinct()
-    k = keys.select(F.col(key_col).alias("_key"), F.col(order_col).alias("_ko")).where(F.col("_key") != "")
-    ns = n.select("_name", F.explode(_substrings(F.col("_name"), 1)).alias("_sub"))
-    a = ns.join(k, F.col("_sub") == F.col("_key")).select("_name", "_key", "_ko")
-    ks = k.select("_key", "_ko", F.explode(_substrings(F.col("_key"), 1)).alias("_sub"))
-    b = n.join(ks, F.col("_name") == F.col("_sub")).select("_name", "_key", "_ko")
-    sub = a.unionByName(b).dropDuplicates(["_name", "_key"]) \
-           .groupBy("_name").agg(F.min_by("_key", F.struct((-F.length("_key")).alias("l"), F.col("_ko").alias("o")))
-                                 .alias("_sub_key"))
+    Containment uses anchors (``_contained``) and, for strings shorter than a
+    window, their short substrings. In the token tier a key with ``n`` tokens needs
+    half of them in the name, so one of its ``n - ceil(n / 2) + 1`` rarest must be
+    there: only those are join keys, and the share is then counted on the name."""
+    n = materialize(names.select(F.col(name_col).alias("_name")).where(F.col("_name").isNotNull() & (F.col("_name") != ""))
+                    .distinct())
+    k = materialize(keys.where(F.col(key_col) != "").groupBy(F.col(key_col).alias("_key")).agg(F.min(order_col).alias("_ko")))
+    rank = F.struct((-F.length("_key")).alias("l"), F.col("_ko").alias("o"), F.col("_key").alias("_key"))
+    outer_names, outer_keys = n.select(F.col("_name").alias("outer")), k.select(F.col("_key").alias("outer"))
+    subs = n.select("_name", F.explode(_short_substrings(F.col("_name"))).alias("_sub"))
+
+    def holding(parts: DataFrame, part: str) -> DataFrame:
+        """(name, part) for the distinct ``parts`` that occur in a name."""
+        long = _contained(parts.select(F.col(part).alias("inner")), outer_names)
+        return long.select(F.col("outer").alias("_name"), F.col("inner").alias(part)).unionByName(
+            subs.join(parts.select(part), F.col("_sub") == F.col(part)).select("_name", part))
+
+    held = holding(k, "_key").join(k, "_key").select("_name", rank.alias("r"))
+    holds = _contained(n.select(F.col("_name").alias("inner")), outer_keys) \
+        .select(F.col("inner").alias("_name"), F.col("outer").alias("_key")).join(k, "_key").select("_name", rank.alias("r"))
+    of_short = k.select(F.explode(_short_substrings(F.col("_key"))).alias("_name"), rank.alias("r")) \
+                .groupBy("_name").agg(F.min("r").alias("r"))
+    short = n.where(F.length("_name") < WINDOW).join(of_short, "_name").select("_name", "r")
+    sub = held.unionByName(holds).unionByName(short).groupBy("_name").agg(F.min("r").alias("r")) \
+              .select("_name", F.col("r._key").alias("_sub_key"))
+
     toks = k.select("_key", "_ko", F.filter(F.split("_key", " "), lambda t: F.length(t) >= 2).alias("_toks")) \
             .where(F.size("_toks") > 0)
-    tk = toks.select("_key", "_ko", F.size("_toks").alias("_nt"), F.explode("_toks").alias("_tok")) \
-             .groupBy("_key", "_ko", "_nt", "_tok").agg(F.count(F.lit(1)).alias("_mult"))
-    ns2 = n.select("_name", F.explode(_substrings(F.col("_name"), 2)).alias("_tok"))
-    hits = ns2.join(tk, "_tok").groupBy("_name", "_key", "_ko", "_nt").agg(F.sum("_mult").alias("_hits"))
-    score = F.col("_hits") / F.col("_nt")
-    tok = hits.where(score >= TOKEN_MIN_SCORE).groupBy("_name").agg(
-        F.min_by("_key", F.struct((-score).alias("s"), (-F.length("_key")).alias("l"), F.col("_ko").alias("o")))
-        .alias("_tok_key"))
+    each = toks.select("_key", F.explode("_toks").alias("_tok"))
+    hits = materialize(holding(each.select("_tok").distinct(), "_tok"))
+    often = hits.groupBy("_tok").agg(F.count(F.lit(1)).alias("_f"))
+    rare = each.join(often, "_tok", "left").groupBy("_key").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), F.col("_tok").alias("t")))).alias("_by"))
+    size = F.size("_by")
+    rare = rare.select("_key", F.explode(F.array_distinct(F.transform(
+        F.slice("_by", F.lit(1), size - F.ceil(size * TOKEN_MIN_SCORE).cast("int") + 1), lambda x: x["t"]))).alias("_tok"))
+    pairs = hits.join(rare, "_tok").select("_name", "_key").distinct().join(toks, "_key")
+    score = F.size(F.filter("_toks", lambda t: F.contains(F.col("_name"), t))) / F.size("_toks")
+    tok = pairs.withColumn("_score", score).where(F.col("_score") >= TOKEN_MIN_SCORE).groupBy("_name").agg(
+        F.min(F.struct((-F.col("_score")).alias("s"), rank.alias("r"))).alias("b")) \
+        .select("_name", F.col("b.r._key").alias("_tok_key"))
     out = n.join(sub, "_name", "left").join(tok, "_name", "left")
     return out.select(F.col("_name").alias(name_col), F.coalesce("_sub_key", "_tok_key").alias(key_col))
 
