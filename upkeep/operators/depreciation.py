@@ -19,15 +19,29 @@ from pyspark.sql import functions as F
 from upkeep.functions import attach_one_row
 
 from upkeep.functions import age_months_from_date, age_months_from_year, book_value
+from upkeep.operators.rollup import drop_blank_ids
 from upkeep.operators.stats import exact_median
 from upkeep.params import Params
 
 
+def equipment_meta(rows: DataFrame, order_col: str = "row_ord") -> DataFrame:
+    """id -> purchase date, depreciation years and type of the **last** row of the
+    equipment summary, its nulls included. Rows without an id are out."""
+    last = F.max_by(F.struct("purchase_date", "depreciation_years", "equip_type"), order_col).alias("_r")
+    return drop_blank_ids(rows).groupBy("equip_id").agg(last).select("equip_id", "_r.*")
+
+
+def purchase_by_id(rows: DataFrame, order_col: str = "row_ord") -> DataFrame:
+    """id -> year and life of the **first** purchase-book row, its nulls included."""
+    first = F.min_by(F.struct("year", "life_years"), order_col).alias("_r")
+    return drop_blank_ids(rows).groupBy("equip_id").agg(first).select("equip_id", "_r.*")
+
+
 def purchase_cohorts(purchase: DataFrame, params: Params = Params()):
     """Cohort statistics from purchase-book rows (equip_id, keyword, equip_type,
     year, life_years): (by_keyword, by_type, fleet) with median age/life months
     and n = max(#ages, #lives)."""
-    rows = purchase.where(F.col("equip_id").isNotNull()).select(
+    rows = drop_blank_ids(purchase).select(
         "keyword", "equip_type",
         age_months_from_year("year", params.as_of).alias("age_m"),
         (F.col("life_years") * 12.0).alias("life_m"))

@@ -21,13 +21,10 @@ def month_scope(df: DataFrame, month: str, col: str = "month_key") -> DataFrame:
 def building_scope(df: DataFrame, scope: DataFrame, user_id, location_col: str = "location",
                    user_col: str = "user_id", building_col: str = "building") -> DataFrame:
     """Keep rows whose normalised building is allowed for ``user_id``; a user
-    with no scope rows is unrestricted. The allowed set is matched with a
-    left-semi join (no driver-side set)."""
+    with no scope rows is unrestricted. One pass: the allowed set (a user's
+    buildings) is joined on, and a one-row count tells whether there is any."""
     allowed = scope.where(F.col(user_col) == F.lit(user_id)) \
-                   .select(normalize_building(building_col).alias("_bld")).distinct()
-    tagged = df.withColumn("_bld", normalize_building(location_col))
-    restricted = tagged.join(allowed, "_bld", "left_semi")
-    # unrestricted when the user has no rows: a one-row flag decides per row
-    has_scope = allowed.agg((F.count(F.lit(1)) > 0).alias("_has"))
-    unrestricted = attach_one_row(tagged, has_scope).where(~F.col("_has")).drop("_has")
-    return restricted.unionByName(unrestricted).drop("_bld")
+                   .select(normalize_building(building_col).alias("_bld")).distinct().withColumn("_in", F.lit(True))
+    tagged = df.withColumn("_bld", normalize_building(location_col)).join(allowed, "_bld", "left")
+    n = allowed.agg(F.count(F.lit(1)).alias("_allowed"))
+    return attach_one_row(tagged, n).where(F.col("_in") | (F.col("_allowed") == 0)).drop("_bld", "_in", "_allowed")

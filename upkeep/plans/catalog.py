@@ -645,11 +645,9 @@ def q_building_options(spark, sf_dir):
 
 def q_footer_counts(spark, sf_dir):
     """Record counts, distinct assets and latest month for the report footer."""
+    from upkeep.plans.overview import footer
     rep = bench.repairs_rows(spark, sf_dir).where(F.col("month_key").isNotNull())
-    svc = bench.service(spark, sf_dir)
-    a = rep.agg(F.count(F.lit(1)).alias("repair_records"), F.countDistinct("equip_id").alias("assets"))
-    b = svc.agg(F.count(F.lit(1)).alias("service_orders"), F.max("month_key").alias("latest_month"))
-    return attach_one_row(a, b)
+    return footer(rep, bench.service(spark, sf_dir))
 
 
 def q_unclassified_count(spark, sf_dir):
@@ -809,3 +807,127 @@ def q_csv_union_ingest(spark, sf_dir):
     return t.groupBy(F.col("Equipment Id").cast("long").alias("equip_id")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.round(F.sum(F.col("Cost").cast("double")), 2).alias("cost"),
         F.countDistinct("Vendor").alias("n_vendors"), F.coalesce(F.sum(F.col("Line").cast("long")), F.lit(0)).alias("line_sum"))
+
+
+def q_depreciation_cohorts(spark, sf_dir):
+    """Depreciation over every fallback: summary rows (last per id), purchase-book rows
+    (first per id), keyword, type and fleet medians of ages and of lives. Returned line
+    items are summary rows, accepted ones purchase rows; their quantity decides which
+    of date, years, year and life a row records, the part's size which types are blank."""
+    from upkeep.functions.keywords import keyword_dimension
+    from upkeep.operators.depreciation import equipment_meta, purchase_by_id
+    names = bench.equipment_names(spark, sf_dir).select("equip_id", "equip_name", "size")
+    kw = keyword_dimension(names, "equip_name").select(F.col("name").alias("equip_name"), "keyword")
+    part = bench.assets(spark, sf_dir).select("equip_id", "category", "new_price").join(names, "equip_id") \
+                .join(kw, "equip_name", "left")
+    qty = F.col("l_quantity")
+    li = bench.read(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("equip_id"), "l_returnflag", "l_shipdate", "l_quantity",
+        F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity").alias("row_ord"))
+    facts = li.join(part.select("equip_id", "category", "size", "keyword"), "equip_id")
+    meta = equipment_meta(facts.where(F.col("l_returnflag") == "R").select(
+        "equip_id", "row_ord", F.when(qty <= 25, F.col("l_shipdate").cast("date")).alias("purchase_date"),
+        F.when(qty <= 10, qty).alias("depreciation_years"),
+        F.when(F.col("size") <= 45, F.col("category")).alias("equip_type")))
+    book = facts.where(F.col("l_returnflag") == "A").select(
+        "equip_id", "row_ord", F.when(qty <= 30, F.year("l_shipdate")).alias("year"),
+        F.when(qty.between(20, 40), qty).alias("life_years"), "keyword", F.col("category").alias("equip_type"))
+    by_kw, by_type, fleet = purchase_cohorts(book, PARAMS)
+    assets_df = part.select("equip_id", "new_price", "keyword",
+                            F.when(F.col("size") > 40, "").otherwise(F.col("category")).alias("equip_type"))
+    d = resolve_depreciation(assets_df, meta=meta, purchase_by_id=purchase_by_id(book), by_keyword=by_kw,
+                             by_type=by_type, fleet=fleet, params=PARAMS)
+    return d.select("equip_id", F.round("age_months", 4).alias("age_months"),
+                    F.round("useful_life_months", 4).alias("useful_life_months"),
+                    "book_value", "basis", "age_source", "life_source")
+
+
+def q_scope_open(spark, sf_dir):
+    """Repair hours per building for a user without scope rows, who sees everything."""
+    nat = bench.read(spark, sf_dir, "nation")
+    scope = nat.select(F.lit("u1").alias("user_id"), F.col("n_name").alias("building"))
+    per_supp = bench.repairs_rows(spark, sf_dir).groupBy("suppkey").agg(
+        F.sum("hours").alias("hours"), F.count(F.lit(1)).alias("n"))
+    loc = bench.supplier_location(spark, sf_dir)
+    rep = per_supp.join(loc, per_supp.suppkey == loc.s_suppkey, "left")
+    return building_scope(rep, scope, "u2").groupBy(F.col("location").alias("building")).agg(
+        F.round(F.sum("hours"), 2).alias("repair_hours"), F.sum("n").alias("n_rows"))
+
+
+def q_price_maps(spark, sf_dir):
+    """Purchase price and year per asset from its first valid purchase row. Accepted line
+    items are the rows; costs and years are texts, blank where the quantity is large."""
+    from upkeep.operators.valuation import purchase_price_map, purchase_year_map
+    qty = F.col("l_quantity")
+    rows = bench.read(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "A").select(
+        F.col("l_partkey").cast("string").alias("equip_id"),
+        F.when(qty > 20, "").otherwise(F.concat(F.lit("$"), F.format_number("l_extendedprice", 2))).alias("cost"),
+        F.when(qty > 30, "n/a").otherwise(F.year("l_shipdate").cast("string")).alias("year"),
+        F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity").alias("row_ord"))
+    return purchase_price_map(rows).withColumnRenamed("price", "purchase_price") \
+        .join(purchase_year_map(rows).withColumnRenamed("year", "purchase_year"), "equip_id", "full_outer")
+
+
+def q_type_lookup(spark, sf_dir):
+    """Type per asset: the first non-blank type among returned line items, filled from
+    the last one among accepted line items. Types are brands; small quantities are blank."""
+    from upkeep.operators.category import merge_type_lookups, type_map
+    p = bench.read(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    li = bench.read(spark, sf_dir, "lineitem")
+    rows = li.join(p, li.l_partkey == p.p_partkey).select(
+        F.col("l_partkey").alias("equip_id"), "l_returnflag",
+        F.when(F.col("l_quantity") > 25, F.concat("p_brand", F.lit("-"), F.col("l_linenumber").cast("string"))).otherwise(" ").alias("equip_type"),
+        F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity").alias("row_ord"))
+    return merge_type_lookups(type_map(rows.where(F.col("l_returnflag") == "R")),
+                              type_map(rows.where(F.col("l_returnflag") == "A"), last=True))
+
+
+def q_sheet_merge(spark, sf_dir):
+    """Two price sheets by equipment label (new prices, then halved ones of the larger
+    sizes) loaded and merged: the first sheet wins, the second fills its gaps."""
+    from upkeep.operators.valuation import load_valuation_sheet, merge_price_sheets
+    n = bench.equipment_names(spark, sf_dir)
+
+    def sheet(price):
+        return load_valuation_sheet(n.select(F.col("equip_name").alias("Equipment"), price.cast("string").alias("price"),
+                                             F.struct(F.col("equip_id")).alias("row_ord")))
+    return merge_price_sheets(sheet(F.when(F.col("size") <= 25, F.col("cost"))), sheet(F.col("cost") / 2)) \
+        .withColumn("price", F.round("price", 4))
+
+
+def q_display_formats(spark, sf_dir):
+    """Report texts: money, months, life extensions and dates of every line item, counted."""
+    from upkeep.functions import display
+    li = bench.read(spark, sf_dir, "lineitem")
+    half = F.when(F.col("l_quantity") < 40, F.col("l_quantity") * 0.5)
+    return li.groupBy(display.money(F.col("l_quantity") * F.when(F.col("l_returnflag") == "R", -1000.0).otherwise(1000.0)).alias("amount"),
+                      display.months(half).alias("life"), display.months_adjustment(half - 5).alias("extension")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max(display.us_date("l_shipdate")).alias("us_date"),
+        F.min(display.iso_date("l_shipdate")).alias("iso_date"))
+
+
+def q_overview_scoped(spark, sf_dir):
+    """Overview of all months for a user limited to the nations of region 1: one row per
+    dataset and key. The staff capacity counts the months that anyone worked in."""
+    from upkeep.plans.overview import overview
+    nat = bench.read(spark, sf_dir, "nation").where(F.col("n_regionkey") == 1)
+    scope = nat.select(F.lit("u1").alias("user_id"), F.col("n_name").alias("building"))
+    cats = bench.assets(spark, sf_dir).select("equip_id", "category")
+    rep = bench.repairs(spark, sf_dir).join(cats, "equip_id", "left")
+    svc = bench.service(spark, sf_dir, with_location=True).join(cats, "equip_id", "left")
+    o = overview(spark, "ALL", bench.requests(spark, sf_dir), svc, rep, cats, PARAMS, scope=scope, user_id="u1")
+    budget, capacity = o["parts_budget"], o["staff_capacity"]
+
+    def rows(name, df, key, value):
+        return df.select(F.lit(name).alias("dataset"), key.cast("string").alias("key"),
+                         F.round(value.cast("double"), 2).alias("value"))
+    parts = [rows("hours_by_building", o["hours_by_building"], F.col("building"), F.col("repair_hours")),
+             rows("repair_count_mix", o["repair_count_mix"], F.col("bin"), F.col("n_assets")),
+             rows("parts_spent", budget, F.lit("ALL"), F.col("spent")),
+             rows("parts_budget", budget, F.lit("ALL"), F.col("budget")),
+             rows("staff_hours", capacity, F.lit("ALL"), F.col("used_hours"))]
+    parts += [rows("footer", o["footer"], F.lit(c), F.col(c)) for c in ("repair_records", "assets", "service_orders")]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out

@@ -28,7 +28,8 @@ _CHART_RANK = "(CASE category " + " ".join(
 ) + " ELSE 18 END)"
 
 
-def _svc_display_all() -> str:
+def _svc_display_all(scope: str = "true") -> str:
+    """Displayed service rows of all months; ``scope`` limits the rows shown, not the catalogue of completions."""
     nd, sd = X.norm_desc("s.description"), X.soft_norm_desc("s.description")
     return f"""
 {X.SERVICE_CTE},
@@ -47,7 +48,8 @@ eff AS (
   LEFT JOIN keys ks ON ks.equip_id IS NOT DISTINCT FROM s.equip_id AND ks.k = {sd}
   LEFT JOIN fd ON fd.equip_id = s.equip_id),
 latest AS (SELECT max(month_key) AS m FROM cat),
-kept AS (SELECT eff.* FROM eff, latest WHERE NOT coalesce(completed_date IS NULL AND month_key < latest.m, false)),
+kept AS (SELECT eff.* FROM eff, latest WHERE NOT coalesce(completed_date IS NULL AND month_key < latest.m, false)
+         AND {scope}),
 {_collapse_cte('kept', soft=True)}"""
 
 
@@ -850,3 +852,115 @@ SELECT l_partkey AS equip_id, count(*) AS n_rows, round(sum(l_extendedprice), 2)
        CAST(coalesce(sum(CASE WHEN year(l_shipdate) > 1997 THEN l_linenumber END), 0) AS BIGINT) AS line_sum
 FROM lineitem GROUP BY 1
 """
+
+def _row_order(descending: bool = False) -> str:
+    keys = ("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity")
+    return ", ".join(f"{k} DESC NULLS LAST" if descending else f"{k} ASC NULLS FIRST" for k in keys)
+
+
+ORACLE["depreciation_cohorts"] = f"""
+WITH {_KW},
+a AS (SELECT en.equip_id, p_retailprice AS price, kw.keyword, CASE WHEN p_size > 40 THEN '' ELSE p_type END AS etype
+      FROM en JOIN part ON p_partkey = en.equip_id LEFT JOIN kw ON kw.name = en.equip_name),
+meta AS (SELECT l_partkey AS equip_id, CASE WHEN l_quantity <= 25 THEN CAST(l_shipdate AS DATE) END AS pdate,
+                CASE WHEN l_quantity <= 10 THEN l_quantity END AS dyears, CASE WHEN p_size <= 45 THEN p_type END AS mtype
+         FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R'
+         QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY {_row_order(True)}) = 1),
+pr AS (SELECT l.*, CASE WHEN l_quantity <= 30 THEN year(l_shipdate) END AS y,
+              CASE WHEN l_quantity BETWEEN 20 AND 40 THEN l_quantity END AS life, kw.keyword, p_type AS ptype
+       FROM lineitem l JOIN part ON p_partkey = l_partkey JOIN en ON en.equip_id = l_partkey
+       LEFT JOIN kw ON kw.name = en.equip_name WHERE l_returnflag = 'A'),
+pa AS (SELECT *, CASE WHEN y IS NOT NULL THEN greatest(0, (2002 - y) * 12 + (1 - 7)) END AS age_m, life * 12.0 AS life_m FROM pr),
+byid AS (SELECT l_partkey AS equip_id, y, life FROM pr
+         QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY {_row_order()}) = 1),
+ck AS (SELECT keyword, median(age_m) AS age, median(life_m) AS life FROM pa WHERE keyword <> ''
+       GROUP BY keyword HAVING count(age_m) + count(life_m) > 0),
+ct AS (SELECT ptype, median(age_m) AS age, median(life_m) AS life FROM pa WHERE ptype <> ''
+       GROUP BY ptype HAVING count(age_m) + count(life_m) > 0),
+fl AS (SELECT median(age_m) AS age, median(life_m) AS life FROM pa),
+d AS (SELECT a.equip_id, a.price,
+        CASE WHEN pdate IS NOT NULL THEN greatest(0, (2002 - year(pdate)) * 12 + (1 - month(pdate))
+             - CASE WHEN 1 < day(pdate) THEN 1 ELSE 0 END) END AS age_d,
+        CASE WHEN byid.y IS NOT NULL THEN greatest(0, (2002 - byid.y) * 12 + (1 - 7)) END AS age_y,
+        CASE WHEN ck.keyword IS NOT NULL THEN ck.age ELSE ct.age END AS age_c, fl.age AS age_f,
+        CASE WHEN byid.life > 0 THEN byid.life * 12.0 END AS life_p, CASE WHEN dyears > 0 THEN dyears * 12.0 END AS life_s,
+        CASE WHEN ck.keyword IS NOT NULL THEN ck.life ELSE ct.life END AS life_c, fl.life AS life_f
+      FROM a LEFT JOIN meta USING (equip_id) LEFT JOIN byid USING (equip_id) LEFT JOIN ck ON ck.keyword = a.keyword
+      LEFT JOIN ct ON ct.ptype = coalesce(nullif(a.etype, ''), meta.mtype) CROSS JOIN fl),
+e AS (SELECT *, CAST(coalesce(age_d, age_y, age_c, age_f) AS DOUBLE) AS age, coalesce(life_p, life_s, life_c, life_f, 96.0) AS life,
+        CASE WHEN age_d IS NOT NULL THEN 'summary_date' WHEN age_y IS NOT NULL THEN 'purchase_year'
+             WHEN age_c IS NOT NULL THEN 'purchase_type_median' WHEN age_f IS NOT NULL THEN 'purchase_fleet_median' ELSE 'none' END AS age_source,
+        CASE WHEN life_p IS NOT NULL THEN 'purchase_id' WHEN life_s IS NOT NULL THEN 'summary' WHEN life_c IS NOT NULL THEN 'purchase_type_median'
+             WHEN life_f IS NOT NULL THEN 'purchase_fleet_median' ELSE 'default' END AS life_source FROM d)
+SELECT equip_id, round(age, 4) AS age_months, round(life, 4) AS useful_life_months,
+       CASE WHEN age IS NOT NULL AND life > 0 AND price > 0 THEN {_bv('price', 'age', 'life')} END AS book_value,
+       CASE WHEN age IS NULL OR life <= 0 OR coalesce(price, 0) <= 0 THEN '—'
+            WHEN age_source IN ('summary_date', 'purchase_year') AND life_source IN ('purchase_id', 'summary') THEN 'Confirmed'
+            ELSE 'Estimated' END AS basis, age_source, life_source
+FROM e
+"""
+
+ORACLE["scope_open"] = f"""
+WITH {X.REPAIRS_CTE}
+SELECT loc.location AS building, round(sum(hours), 2) AS repair_hours, count(*) AS n_rows
+FROM r LEFT JOIN loc ON loc.s_suppkey = r.suppkey GROUP BY loc.location
+"""
+
+ORACLE["price_maps"] = f"""
+WITH r AS (SELECT * FROM lineitem WHERE l_returnflag = 'A' AND l_partkey IS NOT NULL),
+p AS (SELECT l_partkey AS equip_id, round(l_extendedprice, 2) AS purchase_price FROM r
+      WHERE l_quantity <= 20 AND round(l_extendedprice, 2) > 0
+      QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY {_row_order()}) = 1),
+y AS (SELECT l_partkey AS equip_id, year(l_shipdate) AS purchase_year FROM r WHERE l_quantity <= 30 AND l_shipdate IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY {_row_order()}) = 1)
+SELECT CAST(coalesce(p.equip_id, y.equip_id) AS VARCHAR) AS equip_id, purchase_price, purchase_year
+FROM p FULL OUTER JOIN y ON p.equip_id = y.equip_id
+"""
+
+ORACLE["type_lookup"] = f"""
+WITH r AS (SELECT *, p_brand || '-' || CAST(l_linenumber AS VARCHAR) AS t FROM lineitem JOIN part ON p_partkey = l_partkey
+           WHERE l_quantity > 25),
+a AS (SELECT l_partkey AS equip_id, t FROM r WHERE l_returnflag = 'R'
+      QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY {_row_order()}) = 1),
+b AS (SELECT l_partkey AS equip_id, t FROM r WHERE l_returnflag = 'A'
+      QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY {_row_order(True)}) = 1)
+SELECT coalesce(a.equip_id, b.equip_id) AS equip_id, coalesce(a.t, b.t) AS equip_type
+FROM a FULL OUTER JOIN b ON a.equip_id = b.equip_id
+"""
+
+ORACLE["sheet_merge"] = f"""
+WITH {_KW},
+n AS (SELECT en.equip_id, p_size AS size, en.cost, coalesce(kw.keyword, trim(regexp_replace(lower(en.equip_name), '[^a-z0-9]+', ' ', 'g'))) AS k
+      FROM en JOIN part ON p_partkey = en.equip_id LEFT JOIN kw ON kw.name = en.equip_name),
+s1 AS (SELECT k, arg_min(cost, equip_id) AS price FROM n WHERE size <= 25 AND cost > 0 AND k <> '' GROUP BY k),
+s2 AS (SELECT k, arg_min(cost / 2, equip_id) AS price FROM n WHERE cost > 0 AND k <> '' GROUP BY k)
+SELECT coalesce(s1.k, s2.k) AS keyword, round(coalesce(s1.price, s2.price), 4) AS price
+FROM s1 FULL OUTER JOIN s2 ON s1.k = s2.k
+"""
+
+ORACLE["display_formats"] = """
+WITH x AS (SELECT l_quantity * CASE WHEN l_returnflag = 'R' THEN -1000.0 ELSE 1000.0 END AS m, l_shipdate,
+                  CASE WHEN l_quantity < 40 THEN l_quantity * 0.5::DOUBLE END AS h FROM lineitem)
+SELECT CASE WHEN m < 0 THEN '-' ELSE '' END || '$' || format('{:,.2f}', abs(m)::DOUBLE) AS amount,
+       CASE WHEN h IS NULL THEN '—' ELSE CAST(CAST(round_even(h, 0) AS BIGINT) AS VARCHAR) || ' mo' END AS life,
+       CASE WHEN h - 5 > 0 THEN '+' || CAST(CAST(round_even(h - 5, 0) AS BIGINT) AS VARCHAR) || ' mo' ELSE '—' END AS extension,
+       count(*) AS n_rows, max(strftime(l_shipdate, '%m/%d/%Y')) AS us_date, min(strftime(l_shipdate, '%Y-%m-%d')) AS iso_date
+FROM x GROUP BY 1, 2, 3
+"""
+
+ORACLE["overview_scoped"] = f"""
+WITH {X.REPAIRS_CTE},
+own AS (SELECT s_suppkey FROM loc WHERE location IN (SELECT n_name FROM nation WHERE n_regionkey = 1)),
+rs AS (SELECT r.*, loc.location FROM r JOIN own ON own.s_suppkey = r.suppkey JOIN loc ON loc.s_suppkey = r.suppkey
+       WHERE month_key IS NOT NULL),
+{_svc_display_all('eff.row_ord.e IN (SELECT s_suppkey FROM own)')},
+bins AS (SELECT {X.repair_count_bin('n')} AS bin FROM (SELECT equip_id, count(*) AS n FROM rs WHERE equip_id IS NOT NULL GROUP BY 1))
+SELECT 'hours_by_building' AS dataset, {X.normalize_building('location')} AS key, round(sum(hours), 2) AS value FROM rs GROUP BY 2
+UNION ALL SELECT 'repair_count_mix', bin, count(*) FROM bins GROUP BY 2
+UNION ALL SELECT 'parts_spent', 'ALL', round(coalesce(sum(parts), 0.0), 2) FROM rs
+UNION ALL SELECT 'parts_budget', 'ALL', 80000.0 * greatest(count(DISTINCT substr(month_key, 1, 4)), 1) FROM rs
+UNION ALL SELECT 'staff_hours', 'ALL', round(coalesce(sum(hours), 0.0), 2) FROM rs
+UNION ALL SELECT 'footer', 'repair_records', count(*) FROM rs
+UNION ALL SELECT 'footer', 'assets', count(DISTINCT equip_id) FROM rs
+UNION ALL SELECT 'footer', 'service_orders', count(*) FROM disp
+"""

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from upkeep.functions import attach_one_row
 from upkeep.operators import metrics as M
 from upkeep.operators.calendar import business_calendar
 from upkeep.operators.rollup import repair_count_mix
@@ -27,6 +28,7 @@ def overview(spark: SparkSession, month: str, req: DataFrame, svc_all: DataFrame
     if scope is not None:
         r = building_scope(r, scope, user_id)
         s = building_scope(s, scope, user_id)
+        q = building_scope(q, scope, user_id) if "location" in q.columns else q
     s = prepare_service_for_display(s, month, catalog=svc_all.where(F.col("month_key").isNotNull())).persist()
     cal = business_calendar(spark, params)
     done = done_with_turnaround(s, cal, params)
@@ -51,9 +53,18 @@ def overview(spark: SparkSession, month: str, req: DataFrame, svc_all: DataFrame
         chosen = spark.range(1).select(F.lit(month).alias("month_key"))
         out["staff_capacity"] = M.staff_capacity_by_month(r, ov, params, chosen)
         out["parts_budget"] = M.parts_budget(r, annual=False, params=params)
+    out["footer"] = footer(r, s)
     return out
 
 
+def footer(rep: DataFrame, svc: DataFrame) -> DataFrame:
+    """One row for the report footer: repair records, distinct assets, service orders
+    and the latest service month."""
+    a = rep.agg(F.count(F.lit(1)).alias("repair_records"), F.countDistinct("equip_id").alias("assets"))
+    b = svc.agg(F.count(F.lit(1)).alias("service_orders"), F.max("month_key").alias("latest_month"))
+    return attach_one_row(a, b)
+
+
 def drill_down(chart: str, value: str, month: str | None = None) -> dict:
     """Filters for the linked report when a chart element is clicked. A building
     filter is a column expression over the clicked value."""
