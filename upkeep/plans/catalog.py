@@ -457,7 +457,9 @@ def q_price_cascade(spark, sf_dir):
 
 
 # ---- raw ingest: header detection, unique names, alias pick --------------------
-from upkeep.sources.raw_grid import find_header_rows, grid_from_text, header_name_rows, pick, records  # noqa: E402
+from upkeep.functions import norm_col_key  # noqa: E402
+from upkeep.sources.raw_grid import (  # noqa: E402
+    field, find_header_rows, grid_from_text, header_name_rows, records_resolved, staged)
 
 
 def _doc_grid(spark, sf_dir):
@@ -482,10 +484,10 @@ def q_unique_headers(spark, sf_dir):
 def q_alias_pick(spark, sf_dir):
     """Records under each header; per document the rows that carry a value under
     the first present alias of ('The', 'the_', 'a', 'Le')."""
-    g = _doc_grid(spark, sf_dir)
-    rec = records(g, find_header_rows(g, "the", 10, 1))
-    v = pick("rec", "The", "the_", "a", "Le")
-    return rec.select(F.col("file").alias("doc_id"), "row_no", v.alias("value")) \
+    g = staged(_doc_grid(spark, sf_dir))
+    top = g.where(F.col("row_no") < 10)
+    rec = records_resolved(g, find_header_rows(top, "the", 10, 1), {"v": ("the", "a", "le")}, norm_col_key, top)
+    return rec.select(F.col("file").alias("doc_id"), "row_no", field("v").alias("value")) \
               .groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count("value").alias("n_values"),
                                      F.sum(F.length("value")).alias("value_chars"))
 

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from upkeep import params as P
 from upkeep.functions import (extract_label, labor_cost, month_from_file_name, month_key, norm_equip_id,
                               parse_date, parse_dollar, parse_repair_hours, strip_ws, to_double)
-from upkeep.sources.raw_grid import field, find_header_rows, record_map, records, records_resolved, spread
+from upkeep.session import materialize
+from upkeep.sources.raw_grid import field, find_header_rows, record_map, records, records_resolved, staged, unique_names
 
 # ---- fixed values: export column names and aliases ---------------------------
 REPAIRS_COLUMNS = ("#", "Completed Date", "Equipment Name", "Equipment ID", "Location", "Service Vendor",
@@ -73,7 +74,9 @@ def load_repairs_grid(grid: DataFrame) -> DataFrame:
             "equip_id": _norm_aliases(names_for("equip_id")) + ID_FALLBACK_KEYS}
     for c in ("location", "repairs", "hours", "parts", "labor", "total"):
         spec[c] = _norm_aliases(names_for(c))
-    r = records_resolved(grid, find_header_rows(grid, "#", 10, 1), spec, _key)
+    grid = staged(grid)
+    top = grid.where(F.col("row_no") < 10)
+    r = records_resolved(grid, find_header_rows(top, "#", 10, 1), spec, _key, top)
     keep = (F.when(F.col("_c_idx").isNotNull(), strip_ws(F.coalesce(field("idx"), F.lit(""))).rlike(r"^\d+$"))
             .when(F.col("_c_date_guess").isNotNull(), parse_date(field("date_guess")).isNotNull())
             .when(F.col("_c_eq_guess").isNotNull(), strip_ws(F.coalesce(field("eq_guess"), F.lit(""))) != "")
@@ -95,7 +98,9 @@ def clean_repairs_rows(grid: DataFrame, labor_rate: float = P.LABOR_RATE_PER_HOU
     completion date; hours come from the details text; labor = hours x rate and
     total = parts + labor, both rounded half-to-even at cents; month from the file
     name."""
-    recs = records(grid, grid.select("file").distinct().withColumn("header_row", F.lit(0)))
+    grid = staged(grid)
+    top = grid.where(F.col("row_no") == 0)
+    recs = records(grid, top.select("file", F.lit(0).alias("header_row")), top)
     vals = {k: extract_label(F.element_at("rec", F.lit(col)), label) for k, (col, label) in RAW_REPAIR_FIELDS.items()}
     row_text = F.concat_ws(" ", F.filter(F.map_values("rec"), lambda v: v.isNotNull() & (strip_ws(v) != "")))
     completed = parse_date(F.element_at("rec", F.lit("CompletedDate1")))
@@ -109,8 +114,8 @@ def clean_repairs_rows(grid: DataFrame, labor_rate: float = P.LABOR_RATE_PER_HOU
     r = r.withColumn("labor", labor_cost("hours", labor_rate)) \
          .withColumn("total", F.bround(F.col("parts") + F.col("labor"), 2)) \
          .withColumn("repairs", F.lit(1))
-    months = r.select("file").distinct().withColumn("month_key", month_from_file_name("file"))  # once per file
-    return r.join(F.broadcast(months), "file")
+    months = materialize(top.select("file", month_from_file_name("file").alias("month_key")))  # once per file
+    return r.join(months, "file")
 
 
 REQUEST_COLUMNS = ("Work Order #", "Request Date", "Requestor", "Request", "Assigned To")
@@ -124,21 +129,24 @@ def clean_requests_grid(grid: DataFrame, default_year: int = P.DEFAULT_FILE_YEAR
     work order that is not blank and does not start with 'total', and a
     parseable request date (written MM/dd/yyyy). Each file's month comes from
     its name, else from the first kept row."""
-    headers = find_header_rows(grid, "Work Order #", 25, None)
+    grid = staged(grid)
+    top = grid.where(F.col("row_no") < 25)
+    headers = materialize(find_header_rows(top, "Work Order #", 25, None))
     rejected = headers.where(F.col("header_row").isNull()).select("file")
     spec = {c: (c.strip().lower(),) for c in REQUEST_COLUMNS}
     r = records_resolved(grid, headers.where(F.col("header_row").isNotNull()), spec,
-                         lambda k: F.lower(strip_ws(k)))
+                         lambda k: F.lower(strip_ws(k)), top)
     wo = strip_ws(field("Work Order #"))
     d = parse_date(field("Request Date"))
     r = r.where(wo.isNotNull() & (wo != "") & ~F.lower(wo).startswith("total") & d.isNotNull())
     out = r.select("file", "row_no", wo.alias("work_order"), F.date_format(d, "MM/dd/yyyy").alias("request_date"),
                    field("Requestor").alias("requestor"), field("Request").alias("request"),
                    F.coalesce(field("Assigned To"), F.lit("")).alias("assigned_to"), month_key(d).alias("_m"))
+    out = materialize(out)  # read for the files' months and for the rows
     first = out.groupBy("file").agg(F.min_by("_m", "row_no").alias("_first_m"))
     first = first.withColumn("file_month", F.coalesce(month_from_file_name("file", default_year),
                                                       F.col("_first_m")))  # once per file
-    out = out.join(F.broadcast(first.select("file", "file_month")), "file").drop("_m")
+    out = out.join(materialize(first.select("file", "file_month")), "file").drop("_m")
     return out, rejected
 
 
@@ -147,7 +155,9 @@ def load_requests_grid(grid: DataFrame) -> DataFrame:
     rows, else row 1; drop rows whose work order is null or starts with 'Total';
     dates M/d/yyyy, bad -> null)."""
     spec = {c: (c,) for c in REQUEST_COLUMNS}
-    r = records_resolved(grid, find_header_rows(grid, "Work Order #", 10, 1), spec, lambda k: strip_ws(k))
+    grid = staged(grid)
+    top = grid.where(F.col("row_no") < 10)
+    r = records_resolved(grid, find_header_rows(top, "Work Order #", 10, 1), spec, lambda k: strip_ws(k), top)
     wo = field("Work Order #")
     r = r.where(wo.isNotNull() & ~wo.startswith("Total"))
     d = F.try_to_date(strip_ws(field("Request Date")), "M/d/yyyy")
@@ -186,20 +196,21 @@ def clean_equipment_grid(grid: DataFrame, tmap: DataFrame | None, as_of, scan_ro
     from upkeep.functions import age_years, extract_location, parse_list_cost
     from upkeep.operators.category import resolve_category
     from upkeep.operators.windows import latest_per_key
-    from upkeep.sources.raw_grid import find_header_rows, unique_names
-    found = find_header_rows(grid, "equipment id", scan_rows, None, any_column=True)
+    grid = staged(grid)
+    top = grid.where(F.col("row_no") < max(scan_rows, 2))
+    found = find_header_rows(top, "equipment id", scan_rows, None, any_column=True)
     tries = found.select("file", F.array_distinct(F.filter(F.array(F.col("header_row"), F.lit(1), F.lit(0)),
                                                           lambda x: x.isNotNull())).alias("t"))
     tries = tries.select("file", F.posexplode("t").alias("rank", "row"))
-    hdr_rows = grid.select(F.col("file").alias("_gf"), F.col("row_no").alias("_gr"),
+    hdr_rows = top.select(F.col("file").alias("_gf"), F.col("row_no").alias("_gr"),
                            F.transform("cells", _canon_header).alias("canon"))
-    cand = F.broadcast(tries).join(hdr_rows, (F.col("file") == F.col("_gf")) & (F.col("row") == F.col("_gr"))) \
+    cand = tries.join(hdr_rows, (F.col("file") == F.col("_gf")) & (F.col("row") == F.col("_gr"))) \
                 .where(F.array_contains("canon", "EquipmentId") & F.array_contains("canon", "Name"))
-    best = cand.groupBy("file").agg(F.min_by("row", "rank").alias("header_row"))
+    best = materialize(cand.groupBy("file").agg(F.min_by("row", "rank").alias("header_row")))
     rejected = grid.select("file").distinct().join(best, "file", "left_anti")
-    h = best.join(hdr_rows, (F.col("file") == F.col("_gf")) & (F.col("header_row") == F.col("_gr"))) \
-            .select(F.col("file").alias("_nf"), "header_row", unique_names(F.col("canon")).alias("names"))
-    g = spread(grid).join(F.broadcast(h), F.col("file") == F.col("_nf")).where(F.col("row_no") > F.col("header_row"))
+    h = materialize(best.join(hdr_rows, (F.col("file") == F.col("_gf")) & (F.col("header_row") == F.col("_gr")))
+                    .select(F.col("file").alias("_nf"), "header_row", unique_names(F.col("canon")).alias("names")))
+    g = grid.join(h, F.col("file") == F.col("_nf")).where(F.col("row_no") > F.col("header_row"))
     g = g.select("file", "row_no", record_map("names", "cells").alias("rec"))
 
     def cell(name):
@@ -245,6 +256,7 @@ def clean_service_grid(grid: DataFrame, default_year: int = P.DEFAULT_FILE_YEAR,
     scheduled or completed month."""
     from upkeep.functions import (clean_service_description, is_placeholder_description, status_from_hint)
     from upkeep.operators.windows import forward_fill
+    grid = staged(grid)
     hdr = grid.where(F.col("row_no") == 0).select(
         F.col("file").alias("_hf"),
         F.transform("cells", lambda c: strip_ws(F.regexp_replace(F.coalesce(c, F.lit("")), "^﻿", ""))).alias("raw"))
@@ -256,10 +268,9 @@ def clean_service_grid(grid: DataFrame, default_year: int = P.DEFAULT_FILE_YEAR,
     ren = F.create_map(*kv)
     names = F.transform("raw", lambda c: F.when(
         is_ol, F.coalesce(F.element_at(ren, c), F.when((c == "Name") & ~has_loc, F.lit("Location")), c)).otherwise(c))
-    from upkeep.sources.raw_grid import unique_names
-    hdr = hdr.select("_hf", is_ol.alias("order_list"), unique_names(names).alias("names"),
-                     month_from_file_name("_hf", default_year).alias("_fm"))  # once per file
-    g = spread(grid.where(F.col("row_no") > 0)).join(F.broadcast(hdr), F.col("file") == F.col("_hf"))
+    hdr = materialize(hdr.select("_hf", is_ol.alias("order_list"), unique_names(names).alias("names"),
+                                 month_from_file_name("_hf", default_year).alias("_fm")))  # once per file
+    g = grid.where(F.col("row_no") > 0).join(hdr, F.col("file") == F.col("_hf"))
     g = g.select("file", "row_no", "order_list", "_fm", record_map("names", "cells").alias("rec"))
 
     def cell(name):

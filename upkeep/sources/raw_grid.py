@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from upkeep.functions import header_token, norm_col_key, strip_ws
+from upkeep.session import materialize
 
-# Per-file tables (header row, header names, resolved columns) hold one row per
-# file. Their size is bounded by the file listing the driver already holds, so
-# they are broadcast: joining them on the file name must not send every row of a
-# (possibly huge) file to a single task.
+# Cleaning jobs read a grid several times: the top rows for headers, then all rows. They
+# stage it first (``staged``): the source is parsed once, and the header search is pushed
+# down to the row groups that hold top rows. Per-file tables (header names, resolved
+# columns) are written too, so the planner knows their size: it broadcasts them while
+# they are small, and splits skewed files in the join beyond that.
 
 
 def _csv_lines(spark: SparkSession, path: str, schema: T.StructType, glob: str, multi_line: bool) -> DataFrame:
@@ -70,13 +72,13 @@ def number_rows(df: DataFrame, file_col: str = "file") -> DataFrame:
     Within one read partition ``monotonically_increasing_id`` is consecutive, so
     each (file, partition) chunk is numbered by its id offset; chunks get a
     running offset from a window over the chunks of a file (a handful per file,
-    not its rows) joined back by broadcast. A huge splittable file is numbered
+    not its rows) joined back. A huge splittable file is numbered
     by all its reader tasks in parallel."""
     d = df.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
     chunks = d.groupBy(file_col, "_pid").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(file_col).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    j = d.join(F.broadcast(chunks.select(file_col, "_pid", "_first", "_off")), [file_col, "_pid"])
+    j = d.join(chunks.select(file_col, "_pid", "_first", "_off"), [file_col, "_pid"])
     return j.withColumn("row_no", F.col("_off") + F.col("_mid") - F.col("_first")) \
             .drop("_pid", "_mid", "_first", "_off")
 
@@ -88,15 +90,11 @@ def grid_from_text(df: DataFrame, file_col: str, text_col: str, sep: str = ",")
     return lines.select("file", "row_no", F.split("line", sep).alias("cells"))
 
 
-def spread(grid: DataFrame) -> DataFrame:
-    """Spread raw rows evenly before per-row parsing. A multi-line CSV file is
-    read whole by one task, and parsing (regexes, date formats) costs far more
-    CPU per byte than a size-based split assumes, so rows are dealt round-robin
-    over ``spark.sql.shuffle.partitions`` tasks (one shuffle of the raw text,
-    after row numbers are fixed). A size-targeted rebalance would merge a small
-    but CPU-heavy input into one task."""
-    n = int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return grid.repartition(n)
+def staged(grid: DataFrame) -> DataFrame:
+    """The grid as a Parquet table in the shared folder. A multi-line CSV file is parsed
+    by one task, but its staged rows are split over many, row numbers can no longer
+    change when a lost task is run again, and every later read is pruned."""
+    return materialize(grid)
 
 
 def find_header_rows(grid: DataFrame, sentinel: str, max_scan: int = 10, default: int | None = 1,
@@ -134,7 +132,7 @@ def header_name_rows(grid: DataFrame, headers: DataFrame) -> DataFrame:
     The repeat counter is a window over (file, name), i.e. over one header
     line's cells, never over data rows."""
     hd = headers.select(F.col("file").alias("_hf"), "header_row")
-    h = grid.join(F.broadcast(hd), (F.col("file") == F.col("_hf")) & (F.col("row_no") == F.col("header_row")))
+    h = grid.join(hd, (F.col("file") == F.col("_hf")) & (F.col("row_no") == F.col("header_row")))
     e = h.select("file", "header_row", F.posexplode("cells").alias("pos", "raw"))
     base = F.coalesce(F.nullif(strip_ws(F.regexp_replace("raw", "\n", " ")), F.lit("")),
                       F.concat(F.lit("_unnamed_"), F.col("pos").cast("string")))
@@ -152,12 +150,12 @@ def header_names(grid: DataFrame, headers: DataFrame) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("names"))
 
 
-def records(grid: DataFrame, headers: DataFrame) -> DataFrame:
+def records(grid: DataFrame, headers: DataFrame, top: DataFrame | None = None) -> DataFrame:
     """Rows below each file's header as (file, row_no, rec MAP<name, cell>).
-    Names are unique, so the first of duplicated columns keeps the plain name."""
-    names = header_names(grid, headers)
-    names = names.withColumnRenamed("file", "_nf")
-    g = spread(grid).join(F.broadcast(names), F.col("file") == F.col("_nf")).where(F.col("row_no") > F.col("header_row"))
+    Names are unique, so the first of duplicated columns keeps the plain name.
+    ``top``: the rows that header rows are among, where known."""
+    names = materialize(header_names(grid if top is None else top, headers).withColumnRenamed("file", "_nf"))
+    g = grid.join(names, F.col("file") == F.col("_nf")).where(F.col("row_no") > F.col("header_row"))
     return g.select("file", "row_no", record_map("names", "cells").alias("rec"))
 
 
@@ -202,13 +200,14 @@ def resolve_columns(names: Column, spec: dict, key_fn) -> list[Column]:
     return out
 
 
-def records_resolved(grid: DataFrame, headers: DataFrame, spec: dict, key_fn) -> DataFrame:
+def records_resolved(grid: DataFrame, headers: DataFrame, spec: dict, key_fn, top: DataFrame | None = None) -> DataFrame:
     """Like ``records`` plus one ``_c_<name>`` column per spec entry holding the
     resolved header name (null when the file lacks the column). Resolution runs
     on one row per file; rows then read ``element_at(rec, _c_<name>)``."""
-    hn = header_names(grid, headers)
-    hn = hn.select(F.col("file").alias("_nf"), "header_row", "names", *resolve_columns(F.col("names"), spec, key_fn))
-    g = spread(grid).join(F.broadcast(hn), F.col("file") == F.col("_nf")).where(F.col("row_no") > F.col("header_row"))
+    hn = header_names(grid if top is None else top, headers)
+    hn = materialize(hn.select(F.col("file").alias("_nf"), "header_row", "names",
+                               *resolve_columns(F.col("names"), spec, key_fn)))
+    g = grid.join(hn, F.col("file") == F.col("_nf")).where(F.col("row_no") > F.col("header_row"))
     return g.select("file", "row_no", record_map("names", "cells").alias("rec"), *[F.col("_c_" + k) for k in spec])
 
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from upkeep.sources.raw_grid import header_name_rows, read_csv_grid, records
+from upkeep.sources.raw_grid import header_name_rows, read_csv_grid, records, staged
 
 
 def read_csv_table(spark: SparkSession, path: str, glob: str = "*.{csv,CSV}") -> DataFrame:
@@ -20,11 +20,12 @@ def read_csv_table(spark: SparkSession, path: str, glob: str = "*.{csv,CSV}") ->
     Only the distinct header names reach the driver; rows are matched to their own
     file's header. Cells right of a file's last header name have no column. A file
     that cannot be read fails the job."""
-    grid = read_csv_grid(spark, path, glob=glob)
-    first = grid.select("file").distinct().withColumn("header_row", F.lit(0))
-    order = header_name_rows(grid, first).groupBy("name").agg(F.min(F.struct("file", "pos")).alias("at"))
+    grid = staged(read_csv_grid(spark, path, glob=glob))
+    top = grid.where(F.col("row_no") == 0)
+    first = top.select("file", F.lit(0).alias("header_row"))
+    order = header_name_rows(top, first).groupBy("name").agg(F.min(F.struct("file", "pos")).alias("at"))
     names = [r["name"] for r in order.orderBy("at").select("name").collect()]
-    rows = records(grid, first)
+    rows = records(grid, first, top)
     return rows.select(*[F.try_element_at("rec", F.lit(n)).alias(n) for n in names], F.col("file").alias("source_file"))
 
 
