@@ -142,6 +142,31 @@ def test_mixing_to_given_weights(docs):
     assert set(got.source) == {"src1", "src2"} and (got.slot < got.deadline).all()
 
 
+@pytest.mark.parametrize("weights", [[.5, .3, .15, .05], [(10_000 if i else 100_000) ** 0.7 for i in range(20)], [1 / 3, 1e-4, 7]])
+def test_mixing_stays_within_a_block_of_the_weights_asked_for(weights):
+    from fractions import Fraction
+
+    done, total = [0] * len(weights), sum(map(Fraction, weights))
+    share = [Fraction(w) / total for w in weights]
+    for n, (i, j, release, deadline, slot) in zip(range(1, 60_001), mixing.pfair(mixing.whole(weights))):
+        assert slot == n - 1 and j == done[i] and release <= slot < deadline
+        done[i] += 1
+        if n % 101 < 5:
+            assert all(abs(done[k] - n * w) < 1 for k, w in enumerate(share))
+
+
+def test_mix_follows_the_weights_over_many_thousand_blocks(spark):
+    from fractions import Fraction
+
+    weights = {"a": .5, "b": .3, "c": .15, "d": .05}
+    rows = spark.range(24_000).selectExpr("id AS doc_id", "'x' AS text", "substr('aaaaaaaabbbbccdd', cast(id % 16 AS int) + 1, 1) AS source")
+    got = mixing.mix(rows, weights=weights, block_chars=1, period=64).toPandas().sort_values("slot")
+    assert list(got.slot) == list(range(len(got))) and len(got) > 30_000 and got.doc_id.nunique() == 24_000
+    total = sum(map(Fraction, weights.values()))
+    for s, w in weights.items():  # exact: a lag may come as near to one as a float can't tell
+        assert all(abs(done - n * Fraction(w) / total) < 1 for n, done in enumerate((got.source == s).cumsum().tolist(), 1))
+
+
 def test_bpe_equals_the_library(spark, docs, rows):
     from tokenizers import Tokenizer
 

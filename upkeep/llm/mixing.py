@@ -1,24 +1,23 @@
 """Mixing sources to target weights with a Pfair schedule.
 
 Each source is laid out as a line of blocks of ``block_chars`` characters: a
-document belongs to the block that its running character count falls in. The
-target weights are shares c/P of a period of P slots. Block j (from 1) of a
-source with weight w is released at slot floor((j-1)/w) and due at ceil(j/w);
-each slot goes to the released block with the earliest deadline. The shares add
-up to the period, so every deadline is met and in every prefix of the schedule
-each source is less than one block away from its weight. All lags are zero at
-the end of a period, hence the schedule of any length is the schedule of one
-period repeated: only that one, of at most ``period`` slots (a parameter, raised
-to eight slots a source), is worked out step by step; the slot of every block is
-a lookup and an addition.
+document belongs to the block that its running character count falls in. Block j
+(from 1) of a source with the share w of all weights is released at slot
+floor((j-1)/w) and due at ceil(j/w); each slot goes to the released block with
+the earliest deadline. Weights are taken as exact rationals and never rounded:
+the shares add up to one, so every deadline is met, and in every prefix of the
+schedule, however long, each source is less than one block away from the weight
+asked for. The schedule is worked out slot by slot over its whole length and
+handed on ``period`` slots at a time; that bounds memory and changes no slot.
 
 The mix ends with the slot in which the last source has been used whole: the
 source that is largest against its weight appears once, the others start over
 (their last round may stop short there). No document is
 left out. Default weights are the number of blocks to the power ``temperature``,
 the usual smoothing; a dictionary of weights replaces it (sources that it does
-not name get the smallest named weight). A share of less than a slot per period
-is raised to one slot, so ``period`` bounds how finely weights are met.
+not name get the smallest named weight). Weights must be positive and finite, as
+no finite mix uses every document of a source without weight; a source with a
+small weight for its blocks makes the mix as long as its weight asks.
 
 Cases: a null source is a source of its own; a null text has no characters;
 null and repeated ids are kept (rows are told apart by a row id); a text longer
@@ -29,6 +28,10 @@ table gives no rows.
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,36 +44,46 @@ PERIOD = 16_384
 TEMPERATURE = 0.7
 
 
-def shares(weights: list[float], period: int) -> list[int]:
-    """Whole slots of a period in proportion to the weights, one at least, by
-    largest remainder; they add up to the period."""
-    total = sum(weights)
-    spare = period - len(weights)
-    exact = [w / total * spare for w in weights]
-    out = [1 + int(x) for x in exact]
-    short = period - sum(out)
-    for i in sorted(range(len(out)), key=lambda i: (-(exact[i] - int(exact[i])), i))[:short]:
-        out[i] += 1
-    return out
+def whole(weights: list[float]) -> list[int]:
+    """Integers in exactly the proportions of the weights."""
+    if not all(w > 0 and math.isfinite(w) for w in weights):
+        raise ValueError("weights must be positive and finite")
+    exact = [Fraction(w) for w in weights]
+    scale = math.lcm(*(x.denominator for x in exact))
+    return [int(x * scale) for x in exact]
 
 
-def pfair_period(counts: list[int]) -> list[tuple[int, int, int, int, int]]:
-    """(source, block of the period, release, deadline, slot) for one period, by
-    earliest deadline first among the released blocks."""
-    period = sum(counts)
-    waiting = [(0, -(-period // c), i, 1) for i, c in enumerate(counts)]
+def pfair(weights: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(source, block from 0, release, deadline, slot) without end, by earliest
+    deadline first among the released blocks."""
+    total = sum(weights)
+    waiting = [(0, -(-total // w), i, 1) for i, w in enumerate(weights)]
     heapq.heapify(waiting)
     ready: list[tuple[int, int, int, int]] = []
-    out = []
-    for slot in range(period):
+    slot = 0
+    while True:
         while waiting and waiting[0][0] <= slot:
             release, deadline, i, j = heapq.heappop(waiting)
             heapq.heappush(ready, (deadline, i, j, release))
         deadline, i, j, release = heapq.heappop(ready)
-        out.append((i, j - 1, release, deadline, slot))
-        if j < counts[i]:
-            heapq.heappush(waiting, (j * period // counts[i], -(-(j + 1) * period // counts[i]), i, j + 1))
-    return out
+        yield i, j - 1, release, deadline, slot
+        heapq.heappush(waiting, (j * total // weights[i], -(-(j + 1) * total // weights[i]), i, j + 1))
+        slot += 1
+
+
+def pfair_period(counts: list[int]) -> list[tuple[int, int, int, int, int]]:
+    """The schedule of one period of as many slots as the counts add up to."""
+    return list(islice(pfair(counts), sum(counts)))
+
+
+def until_used(weights: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """The schedule up to the slot in which the last source has been used whole."""
+    left = len(blocks)
+    for row in pfair(weights):
+        yield row
+        left -= row[1] + 1 == blocks[row[0]]
+        if not left:
+            return
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE,
@@ -91,47 +104,33 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     sizes = blocked.groupBy("source").agg((F.max("block") + 1).alias("_blocks"))
 
     def schedule(batches):
-        """One row per source in, the slots of a period out."""
+        """One row per source in, the slots of the whole schedule out."""
         got = [r for b in batches for r in b.to_pylist()]
         if not got:
             return
         got.sort(key=lambda r: (r["source"] is not None, r["source"] or ""))
         if weights:
             least = min(weights.values())
-            wanted = [float(weights.get(r["source"], least)) for r in got]
+            wanted = [weights.get(r["source"], least) for r in got]
         else:
             wanted = [r["_blocks"] ** temperature for r in got]
-        slots = max(period, 8 * len(got))
-        counts = shares(wanted, slots)
-        plan = pfair_period(counts)
-        at = {(i, j): slot for i, j, _, _, slot in plan}
-        end = 1 + max((r["_blocks"] - 1) // c * slots + at[i, (r["_blocks"] - 1) % c] for i, (r, c) in enumerate(zip(got, counts)))
-        uses = [end // slots * c for c in counts]  # blocks scheduled before the end
-        for i, _, _, _, slot in plan:
-            uses[i] += slot < end % slots
-        cols = list(zip(*plan))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([got[i]["source"] for i in cols[0]], pa.string()), pa.array(cols[1], pa.int64()),
-             pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()),
-             pa.array([counts[i] for i in cols[0]], pa.int64()), pa.array([got[i]["_blocks"] for i in cols[0]], pa.int64()),
-             pa.array([uses[i] for i in cols[0]], pa.int64()), pa.array([slots] * len(plan), pa.int64())],
-            ["_s", "_j", "_release", "_deadline", "_slot", "_count", "_blocks", "_uses", "_length"])
+        slots = until_used(whole(wanted), [r["_blocks"] for r in got])
+        while part := list(islice(slots, period)):
+            cols = list(zip(*part))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([got[i]["source"] for i in cols[0]], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:]),
+                 pa.array([got[i]["_blocks"] for i in cols[0]], pa.int64())],
+                ["_s", "_j", "_release", "_deadline", "_slot", "_blocks"])
 
     plan = written(sizes.coalesce(1).mapInArrow(
-        schedule, "_s string, _j long, _release long, _deadline long, _slot long, _count long, _blocks long, "
-                  "_uses long, _length long"), "schedule")
-    per_source = plan.where("_j = 0").select("_s", "_count", "_blocks", "_uses")
+        schedule, "_s string, _j long, _release long, _deadline long, _slot long, _blocks long"), "schedule")
+    per_source = plan.groupBy("_s").agg(F.max("_blocks").alias("_blocks"), (F.max("_j") + 1).alias("_uses"))
     used = (blocked.join(per_source, F.col("source").eqNullSafe(F.col("_s")))
             # the source's j-th block in the schedule is block j mod blocks: one use per turn
             .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"),
                                                       F.floor((F.col("_uses") - 1 - F.col("block")) / F.col("_blocks")))))
             .withColumn("_use", F.col("epoch") * F.col("_blocks") + F.col("block"))
-            .withColumn("_at", F.col("_use") % F.col("_count")).withColumn("_turn", F.floor(F.col("_use") / F.col("_count")))
-            .drop("_s", "_count", "_blocks", "_uses"))
-    slots = plan.select("_s", "_j", "_release", "_deadline", "_slot", "_length")
-    begin = F.col("_turn") * F.col("_length")
-    # the planner broadcasts the slots of one period while they are small
-    return used.join(slots, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_at") == F.col("_j"))).select(
-        "_rid", "doc_id", "source", "block", "epoch", (begin + F.col("_release")).alias("release"),
-        (begin + F.col("_deadline")).alias("deadline"), (begin + F.col("_slot")).alias("slot"), "place",
-        *(["_carry"] if carry else []))
+            .drop("_s", "_blocks", "_uses"))
+    return used.join(plan.drop("_blocks"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_use") == F.col("_j"))).select(
+        "_rid", "doc_id", "source", "block", "epoch", F.col("_release").alias("release"),
+        F.col("_deadline").alias("deadline"), F.col("_slot").alias("slot"), "place", *(["_carry"] if carry else []))
