@@ -361,6 +361,21 @@ def test_nearest_neighbours(spark):
     assert hits / total >= 0.9 and not set(got.query_id) & {100_020, 100_040, 100_140}
 
 
+@pytest.mark.parametrize("lengths", ["even", "lognormal .3", "lognormal 1", "1 % longer"])
+def test_nearest_neighbours_of_uneven_lengths(spark, lengths):
+    g = np.random.default_rng(3)
+    vecs = g.standard_normal((2000, 64))
+    vecs /= np.linalg.norm(vecs, axis=1)[:, None]
+    vecs *= {"even": np.ones(2000), "lognormal .3": g.lognormal(0, .3, 2000), "lognormal 1": g.lognormal(0, 1, 2000),
+             "1 % longer": np.where(np.arange(2000) % 100 == 7, 3, 1)}[lengths][:, None]
+    got = neighbours.nearest(spark.createDataFrame(list(enumerate(vecs.tolist())), "vec_id long, embedding array<double>"),
+                             lambda i: i % 20 == 0, block_rows=1000).toPandas()
+    scores = vecs @ vecs.T
+    np.fill_diagonal(scores, -np.inf)
+    hits = sum(len(set(np.argsort(-scores[q])[:20]) & set(got[got.query_id == q].vec_id)) for q in range(0, 2000, 20))
+    assert len(got) == 2000 and hits >= 0.96 * 2000
+
+
 def test_empty_tables(spark):
     docs = table(spark, SF, "documents").limit(0)
     for got in (exact_dedup.exact_dedup(docs), simhash.near_duplicates(docs), mixing.mix(docs), token_counts.token_counts(docs),

@@ -1,16 +1,22 @@
 """Nearest neighbours by collision-counting hashing.
 
-Largest inner product is turned into smallest angle: every vector gets one more
-component so that all have the length of the longest (its length is worked out
-over all rows); queries get a zero. Each of ``projections`` random lines orders
-the vectors of a block in a sorted array. A query's window on each line is
-centred on its own projection and expanded by virtual rehashing, radius by
-radius; a vector inside the windows of at least ``threshold`` lines has collided
-often enough and is verified with its inner product in double precision.
-Expansion ends when ``k`` and a share ``verify`` of the block have been verified:
-near vectors reach the threshold at smaller radii than far ones, so they are
-among the first. The share sets the recall: in 64 dimensions, with neighbours at
-an angle of 65 degrees, 0.3 gives about 0.95.
+Largest inner product is turned into smallest angle: the vectors of a block are
+split into ranges of similar length, and every vector gets one more component so
+that all have the length of the longest of their range; queries get a zero. Each
+of ``projections`` random lines orders the vectors of a range in a sorted array.
+A query's window on each line is centred on its own projection and expanded by
+virtual rehashing, radius by radius; a vector inside the windows of at least
+``threshold`` lines has collided often enough and is verified with its inner
+product in double precision.
+
+Ranges are searched from the longest vectors down. The ``k``-th score found so
+far, over the longest vector of a range, is a bound on the angle, and so on the
+distance, that a vector of the range needs to score better. Such a vector's
+distance from the query on a line is normal with that deviation, so at every
+radius the chance that it still lacks collisions is known: expansion ends when
+that chance is at most ``miss`` (or every vector has been seen), whatever share
+of the vectors has been verified by then. A range whose longest vector can't
+reach the ``k``-th score is left out; ranges of a few vectors are verified whole.
 
 The vectors are dealt into blocks of bounded size, the queries into sets of
 bounded size; every set meets every block in a task of its own, and the best
@@ -39,31 +45,42 @@ THRESHOLD = 0.68     # share of the lines on which a vector must collide
 WIDTH = 1.0          # half width of a window at radius 1, in units of a line
 FIRST_RADIUS = 0.9
 RATIO = 1.12         # growth of the radius
-VERIFY = 0.4         # share of a block that is verified at most before expansion ends
+MISS = 0.02          # chance that a vector with a better score is still unseen when expansion ends
+SPREAD = 0.8         # least length in a range, as a share of its longest
 BLOCK_ROWS = 8192
 QUERY_ROWS = 2048
 SEED = 7
 
 
-class Block:
-    """Sorted projection arrays of one block of vectors."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float, projections: int):
-        self.ids, self.vectors = ids, vectors
-        n, dim = vectors.shape
-        rest = np.sqrt(np.maximum(longest ** 2 - np.einsum("ij,ij->i", vectors, vectors), 0))
-        self.lines = np.random.default_rng(SEED).standard_normal((projections, dim + 1))
-        at = (np.column_stack([vectors, rest]) / longest) @ self.lines.T
+def reach_for(projections: int, threshold: int, miss: float) -> float:
+    """Radius, in units of a vector's distance from the query, at which it lacks
+    ``threshold`` collisions on ``projections`` lines with a chance of ``miss``."""
+    low, high = 0.0, 40.0
+    for _ in range(60):
+        z = (low + high) / 2
+        p = math.erf(z / math.sqrt(2))
+        lacking = sum(math.comb(projections, i) * p ** i * (1 - p) ** (projections - i) for i in range(threshold))
+        low, high = (z, high) if lacking > miss else (low, z)
+    return high
+
+
+class Range:
+    """Sorted projection arrays of the vectors of a block that have similar lengths."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, lengths: np.ndarray, lines: np.ndarray):
+        self.ids, self.vectors, self.longest, self.lines = ids, vectors, lengths.max(), lines
+        rest = np.sqrt(np.maximum(self.longest ** 2 - lengths ** 2, 0))
+        at = (np.column_stack([vectors, rest]) / self.longest) @ lines.T
         self.order = np.argsort(at, axis=0, kind="stable").T.ravel()
         # all sorted arrays in one, each moved clear of the last, so one search serves all lines
-        self.apart = 4 * (1 + np.abs(at).max()) * np.arange(projections)
+        self.apart = 4 * (1 + np.abs(at).max()) * np.arange(len(lines))
         self.sorted = (np.sort(at, axis=0).T + self.apart[:, None]).ravel()
 
-    def nearest(self, own: int, query: np.ndarray, k: int, threshold: int, verify: int) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, scores) of the verified vectors, best ``k``."""
+    def nearest(self, own: int, query: np.ndarray, length: float, k: int, threshold: int, reach_z: float,
+                best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, scores) of the verified vectors; ``best``: the best scores of other ranges, ``k`` at most."""
         n, order = len(self.ids), self.order
-        unit = query / math.sqrt(query @ query)
-        centre = self.lines[:, :-1] @ unit
+        centre = self.lines[:, :-1] @ (query / length)
         edge = np.abs(self.apart[1] if len(self.apart) > 1 else np.inf) / 2
         low = self.sorted.searchsorted(np.clip(centre, -edge, edge) + self.apart)
         high, hits = low, np.zeros(n, dtype=np.int64)
@@ -81,13 +98,54 @@ class Block:
                 new = np.flatnonzero((hits >= threshold) & ~seen)
                 seen[new] = True
                 new = new[self.ids[new] != own]
-                rows, scores = np.append(rows, new), np.append(scores, self.vectors[new] @ query)
-            if seen.sum() >= n or len(rows) >= verify + k:
+                got = self.vectors[new] @ query
+                rows, scores = np.append(rows, new), np.append(scores, got)
+                best = np.append(best, got)
+                best = np.partition(best, -k)[-k:] if len(best) > k else best
+            if seen.all():
+                break
+            enough = math.inf
+            if len(best) == k:  # the distance that a better vector has at most
+                enough = reach_z * math.sqrt(2 - 2 * max(-1.0, min(1.0, best.min() / (self.longest * length)))) / WIDTH
+                if radius >= enough:
+                    break
+            radius = min(radius * RATIO, enough)
+        return rows, scores
+
+
+class Block:
+    """Ranges of one block of vectors, longest first."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int, k: int):
+        self.ids, self.vectors, self.k = ids, vectors, k
+        lengths = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+        by_length = np.argsort(-lengths, kind="stable")
+        lines = np.random.default_rng(SEED).standard_normal((projections, vectors.shape[1] + 1))
+        self.ranges: list[tuple[np.ndarray, float, Range | None]] = []  # rows, longest, arrays unless verified whole
+        falling, at = -lengths[by_length], 0
+        while at < len(falling):
+            end = max(int(falling.searchsorted(falling[at] * SPREAD, side="right")), min(at + 4 * k, len(falling)))
+            rows = by_length[at:end]
+            self.ranges.append((rows, -falling[at], Range(ids[rows], vectors[rows], lengths[rows], lines) if end - at > 4 * k and falling[at] else None))
+            at = end
+
+    def nearest(self, own: int, query: np.ndarray, threshold: int, reach_z: float) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, scores) of the verified vectors, best ``k``."""
+        k, length = self.k, math.sqrt(query @ query)
+        rows, scores = np.empty(0, dtype=np.int64), np.empty(0)
+        for part, longest, arrays in self.ranges:
+            if len(scores) >= k and scores.min() > longest * length * (1 + 1e-9):
                 break
-            radius *= RATIO
-        if len(rows) > k:
-            cut = np.partition(scores, -k)[-k]
-            rows, scores = rows[scores >= cut], scores[scores >= cut]
+            if arrays is None or not length:  # few vectors, or lengths too small for a double
+                new = part[self.ids[part] != own]
+                got = self.vectors[new] @ query
+            else:
+                new, got = arrays.nearest(own, query, length, k, threshold, reach_z, scores if len(scores) <= k else np.partition(scores, -k)[-k:])
+                new = part[new]
+            rows, scores = np.append(rows, new), np.append(scores, got)
+            if len(rows) > k:
+                cut = np.partition(scores, -k)[-k]
+                rows, scores = rows[scores >= cut], scores[scores >= cut]
         return rows, scores
 
 
@@ -99,17 +157,16 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
-            projections: int = PROJECTIONS, threshold: float = THRESHOLD, verify: float = VERIFY,
+            projections: int = PROJECTIONS, threshold: float = THRESHOLD, miss: float = MISS,
             block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score``; ``is_query``: a function of the id column."""
     rows = written(usable(vectors, id_col, vec_col).withColumn("_rid", F.monotonically_increasing_id()), "vectors")
     asked = rows.where(is_query(F.col("id")))
-    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max(squares)).alias("longest"),
-                     F.sum(is_query(F.col("id")).cast("long")).alias("q")).first()
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(is_query(F.col("id")).cast("long")).alias("q")).first()
     blocks = max(1, math.ceil((facts["n"] or 0) / block_rows))
     sets = max(1, math.ceil((facts["q"] or 0) / query_rows))
-    longest = float(facts["longest"] or 1.0)
+    least = max(1, round(threshold * projections))
+    reach_z = reach_for(projections, least, miss)
 
     def spread(n):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -127,11 +184,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
         if len(known) and len(asks):
             ids = known["id"].astype("Int64")
             own = ids.fillna(-(1 << 62)).to_numpy(dtype=np.int64)
-            block = Block(own, np.array(known["v"].tolist(), dtype=float), longest, projections)
+            block = Block(own, np.array(known["v"].tolist(), dtype=float), projections, k)
             names = ids.to_numpy(dtype=object)
-            least, most = max(1, round(threshold * projections)), max(4 * k, round(verify * len(own)))
             for q, v in zip(asks["id"], asks["v"]):
-                got, scores = block.nearest(int(q), np.array(v, dtype=float), k, least, most)
+                got, scores = block.nearest(int(q), np.array(v, dtype=float), least, reach_z)
                 asked_by.append(np.full(len(got), int(q)))
                 found_ids.append(names[got])
                 found_scores.append(scores)
