@@ -304,6 +304,18 @@ def test_html_extraction_of_odd_input(html, text):
     assert html_extract.extract(html) == text
 
 
+LONG = [f"Long paragraph {i}, with commas, clauses, and enough words in it that it passes a good many points to its section, more than others." for i in range(10)]
+
+
+@pytest.mark.parametrize("wrap", ["{}", "<div>{}</div>", "<section><div>{}</div></section>"])
+def test_html_extraction_of_text_spread_unevenly(wrap):
+    """Without article or main: short sections, lists, tables and h3 to h6 beside the section that holds most of the text stay."""
+    page = ("<body><div class=menu><a href=/>Home</a></div><div id=content>" + wrap.format("<div>" + "".join(f"<p>{x}</p>" for x in LONG) + "</div>")
+            + "<div><h2>Short</h2><p>One short paragraph.</p></div><h3>Points</h3><ul><li>One<li>Two</ul><h6>Figures</h6><table><tr><td>1<td>2</table></div>"
+            + "<div><h3>Elsewhere</h3><ul><li><a href=/a>Other page</a><li><a href=/b>Another page</a></ul></div><div><p>Afterword.</p></div></body>")
+    assert html_extract.extract(page).split("\n") == LONG + ["Short", "One short paragraph.", "Points", "One", "Two", "Figures", "1", "2", "Afterword."]
+
+
 def test_html_extraction_of_the_pages(spark):
     """Against the articles cut out of the known page layout."""
     import html

@@ -6,9 +6,12 @@ their length and their commas, to their ancestors: in full to the parent, half
 to the grandparent, a share of 1 / (2 * distance) beyond. A container's points
 are discounted by its link density; the best container is kept, raised to the
 article that encloses it, with those siblings that score well or are plain
-paragraphs. Inside, everything stays but furniture: elements that are menus,
-headers, footers, sidebars, notices, adverts, forms or reader comments by tag,
-role or class, hidden elements, and lists that consist of links.
+paragraphs. On a page that marks no article, text may be spread over sections,
+lists and headings of any level: there every block of the page is kept, unless
+half of it is links or it is a heading that stands over such a block. Inside,
+everything stays but furniture: elements that are menus, headers, footers,
+sidebars, notices, adverts, forms or reader comments by tag, role or class,
+hidden elements, and lists that consist of links.
 
 Cases: null or empty html gives an empty text; a page without any paragraph
 points falls back to its body; an end of input inside a tag, comment or script
@@ -230,9 +233,10 @@ class Page:
                 break
         while self.tags[best] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "tr", "td", "tbody", "blockquote") and self.parents[best] > 0:
             best = self.parents[best]
+        marked = any(self.tags[n] in ("article", "main") for n in (best, *self.ancestors(best)))
         parent = self.parents[best]
         kept = {best}
-        if parent >= 0 and self.tags[best] not in ("body", "html"):
+        if marked and parent >= 0 and self.tags[best] not in ("body", "html"):
             bar = max(4.0, 0.2 * final[best])
             for n in range(1, len(self.tags)):
                 if self.parents[n] == parent and n != best and not self.skip[n]:
@@ -240,11 +244,17 @@ class Page:
                     if final[n] >= bar or plain:
                         kept.add(n)
         menus = {n for n in range(1, len(self.tags)) if self.tags[n] in ("ul", "ol", "div", "table", "dl") and links[n] >= 3 and density[n] > 0.8}
-        out = []
-        for node, text, _ in self.blocks:
+        out, under = [], True  # under: the block that a heading stands over is kept
+        for node, text, linked in reversed(self.blocks):
             chain = (node, *self.ancestors(node))
-            if kept.intersection(chain) and not menus.intersection(chain):
+            keep = not menus.intersection(chain)
+            if keep and not kept.intersection(chain):
+                keep = not marked and linked < 0.5 * len(text) and (under or self.tags[node] not in HEADINGS)
+            if self.tags[node] not in HEADINGS:
+                under = keep
+            if keep:
                 out.append(text)
+        out.reverse()
         return "\n".join(out)
 
 
