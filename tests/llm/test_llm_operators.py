@@ -351,6 +351,14 @@ def test_toxicity_locates_sentences_and_takes_odd_rows(spark, docs):
     assert toxicity.score(docs, none).where("predicted = 1").isEmpty()
 
 
+def test_repeated_query_rows_have_neighbours_of_their_own(spark):
+    base = table(spark, SF, "embeddings").select("vec_id", "embedding")
+    once = neighbours.nearest(base, lambda i: i == 20).toPandas()
+    twice = neighbours.nearest(base.unionByName(base.where("vec_id = 20")), lambda i: i == 20).toPandas()
+    assert sorted(twice["rank"]) == sorted(list(range(1, 21)) * 2)
+    assert twice.vec_id.nunique() == 20 and set(twice.vec_id) == set(once.vec_id)
+
+
 def test_nearest_neighbours(spark):
     base = table(spark, SF, "embeddings")
     odd = [(100_000, None), (100_020, []), (100_040, [0.0] * 64), (100_060, [float("nan")] * 64), (100_080, [None] * 64), (100_100, [float("inf")] * 64),

@@ -25,7 +25,8 @@ bounded size; every set meets every block in a task of its own, and the best
 Cases: vectors that are null, empty, zero or hold null or non-finite components
 take no part; vectors of another dimension than the query's aren't compared; a
 candidate with the query's own id is the query itself; repeated ids are
-candidates of their own; a null id is a candidate (last among ties), never a
+candidates of their own, and each row of a repeated query id is a query of its
+own with up to ``k`` neighbours (ranks start over); a null id is a candidate (last among ties), never a
 query; fewer candidates than ``k``: all of them; an empty table gives no rows.
 """
 
@@ -175,29 +176,30 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
         return F.pmod(F.xxhash64("_rid"), F.lit(n)).cast("int")
 
     # every set of queries meets every block: both sides bounded, one task each
-    data = rows.select(F.size("v").alias("dim"), dealt(blocks).alias("block"), spread(sets).alias("set"), F.lit(False).alias("asks"), "id", "v")
-    queries = asked.select(F.size("v").alias("dim"), spread(blocks).alias("block"), dealt(sets).alias("set"), F.lit(True).alias("asks"), "id", "v")
+    data = rows.select(F.size("v").alias("dim"), dealt(blocks).alias("block"), spread(sets).alias("set"), F.lit(False).alias("asks"), "_rid", "id", "v")
+    queries = asked.select(F.size("v").alias("dim"), spread(blocks).alias("block"), dealt(sets).alias("set"), F.lit(True).alias("asks"), "_rid", "id", "v")
 
     def search(part: pd.DataFrame) -> pd.DataFrame:
         known, asks = part[~part["asks"]], part[part["asks"]]
-        asked_by, found_ids, found_scores = [], [], []
+        asked_by, asking, found_ids, found_scores = [], [], [], []
         if len(known) and len(asks):
             ids = known["id"].astype("Int64")
             own = ids.fillna(-(1 << 62)).to_numpy(dtype=np.int64)
             block = Block(own, np.array(known["v"].tolist(), dtype=float), projections, k)
             names = ids.to_numpy(dtype=object)
-            for q, v in zip(asks["id"], asks["v"]):
+            for rid, q, v in zip(asks["_rid"], asks["id"], asks["v"]):
                 got, scores = block.nearest(int(q), np.array(v, dtype=float), least, reach_z)
+                asking.append(np.full(len(got), int(rid)))
                 asked_by.append(np.full(len(got), int(q)))
                 found_ids.append(names[got])
                 found_scores.append(scores)
         if not asked_by:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "Int64", "score": float})
-        return pd.DataFrame({"query_id": np.concatenate(asked_by), "vec_id": pd.array(np.concatenate(found_ids), dtype="Int64"),
+            return pd.DataFrame({"_rid": [], "query_id": [], "vec_id": [], "score": []}).astype({"_rid": "int64", "query_id": "int64", "vec_id": "Int64", "score": float})
+        return pd.DataFrame({"_rid": np.concatenate(asking), "query_id": np.concatenate(asked_by), "vec_id": pd.array(np.concatenate(found_ids), dtype="Int64"),
                              "score": np.concatenate(found_scores)})
 
     found = (data.unionByName(queries).groupBy("dim", "block", "set")
-             .applyInPandas(search, "query_id long, vec_id long, score double"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
+             .applyInPandas(search, "_rid long, query_id long, vec_id long, score double"))
+    order = Window.partitionBy("_rid").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
