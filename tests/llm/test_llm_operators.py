@@ -167,6 +167,19 @@ def test_mix_follows_the_weights_over_many_thousand_blocks(spark):
         assert all(abs(done - n * Fraction(w) / total) < 1 for n, done in enumerate((got.source == s).cumsum().tolist(), 1))
 
 
+def test_mix_of_many_sources_holds_one_entry_per_weight(spark, monkeypatch):
+    """One source per page: 3,000 sources of one block each and one of 500 keep their weights, scheduled as two."""
+    rows = spark.range(3500).selectExpr("id AS doc_id", "'x' AS text", "if(id < 500, 'hot', concat('page', id)) AS source")
+    held = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(mixing, "until_used", lambda w, n, f=mixing.until_used: held.add(len(w)) or f(w, n))
+    got = mixing.mix(rows, block_chars=1).toPandas().sort_values("slot")
+    assert held.value == 2 and got.doc_id.nunique() == 3500 and list(got.slot) == list(range(len(got)))
+    assert ((got.slot >= got.release) & (got.slot < got.deadline)).all()
+    total = 3000 + 500 ** 0.7
+    for s, w in (("hot", 500 ** 0.7), ("page500", 1), ("page3499", 1)):
+        assert np.abs((got.source == s).cumsum().to_numpy() - np.arange(1, len(got) + 1) * w / total).max() < 1 + 1e-9
+
+
 def test_bpe_equals_the_library(spark, docs, rows):
     from tokenizers import Tokenizer
 

@@ -7,8 +7,13 @@ floor((j-1)/w) and due at ceil(j/w); each slot goes to the released block with
 the earliest deadline. Weights are taken as exact rationals and never rounded:
 the shares add up to one, so every deadline is met, and in every prefix of the
 schedule, however long, each source is less than one block away from the weight
-asked for. The schedule is worked out slot by slot over its whole length and
-handed on ``period`` slots at a time; that bounds memory and changes no slot.
+asked for. Sources of equal weight are scheduled as one, and its slots go round
+them in turn: with m of them, the y-th slot (from 0) is block y div m of member
+y mod m, which is as near to its weight as the whole is. So the schedule holds
+one entry per different weight, not per source; by default these are at most the
+different block counts, about the square root of twice the blocks. It is worked
+out slot by slot over its whole length and handed on ``period`` slots at a time;
+that bounds memory and changes no slot.
 
 The mix ends with the slot in which the last source has been used whole: the
 source that is largest against its weight appears once, the others start over
@@ -29,6 +34,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import operator
 from collections.abc import Iterator
 from fractions import Fraction
 from itertools import islice
@@ -103,34 +109,43 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     blocked = laid.withColumn("block", F.floor(F.col("place") / block_chars))
     sizes = blocked.groupBy("source").agg((F.max("block") + 1).alias("_blocks"))
 
+    if weights:
+        named = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "_n string, _named double")
+        weighed = (sizes.join(named, F.col("source").eqNullSafe(F.col("_n")), "left")
+                   .select("source", "_blocks", F.coalesce("_named", F.lit(float(min(weights.values())))).alias("_w")))
+    else:
+        weighed = sizes.withColumn("_w", F.pow("_blocks", F.lit(float(temperature))))
+    members = written(prefix_sums(weighed.withColumn("_one", F.lit(1)), ["_w"], ["source"], "_one", "_member", "members")
+                      .select("source", "_blocks", "_w", F.col("_member").cast("long").alias("_member")), "weights")
+    kinds = members.groupBy("_w").agg(F.count(F.lit(1)).alias("_members"), F.max(F.struct("_blocks", "_member")).alias("_last"))
+
     def schedule(batches):
-        """One row per source in, the slots of the whole schedule out."""
-        got = [r for b in batches for r in b.to_pylist()]
+        """One row per different weight in, the slots of the whole schedule out."""
+        got = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["_w"])
         if not got:
             return
-        got.sort(key=lambda r: (r["source"] is not None, r["source"] or ""))
-        if weights:
-            least = min(weights.values())
-            wanted = [weights.get(r["source"], least) for r in got]
-        else:
-            wanted = [r["_blocks"] ** temperature for r in got]
-        slots = until_used(whole(wanted), [r["_blocks"] for r in got])
+        single, m = whole([r["_w"] for r in got]), [r["_members"] for r in got]
+        total = sum(map(operator.mul, single, m))
+        # of the sources of a weight, the last one with the most blocks is the last used whole
+        slots = until_used([w * n for w, n in zip(single, m)],
+                           [(r["_last"]["_blocks"] - 1) * r["_members"] + r["_last"]["_member"] + 1 for r in got])
         while part := list(islice(slots, period)):
-            cols = list(zip(*part))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([got[i]["source"] for i in cols[0]], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:]),
-                 pa.array([got[i]["_blocks"] for i in cols[0]], pa.int64())],
-                ["_s", "_j", "_release", "_deadline", "_slot", "_blocks"])
-
-    plan = written(sizes.coalesce(1).mapInArrow(
-        schedule, "_s string, _j long, _release long, _deadline long, _slot long, _blocks long"), "schedule")
-    per_source = plan.groupBy("_s").agg(F.max("_blocks").alias("_blocks"), (F.max("_j") + 1).alias("_uses"))
+            rows = [(got[i]["_w"], y % m[i], j := y // m[i], j * total // single[i], -(-(j + 1) * total // single[i]), slot)
+                    for i, y, _, _, slot in part]
+            types = [pa.float64()] + [pa.int64()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), types)],
+                                             ["_w", "_member", "_j", "_release", "_deadline", "_slot"])
+
+    plan = written(kinds.coalesce(1).mapInArrow(
+        schedule, "_w double, _member long, _j long, _release long, _deadline long, _slot long"), "schedule")
+    per_source = (members.join(plan.groupBy("_w", "_member").agg((F.max("_j") + 1).alias("_uses")), ["_w", "_member"])
+                  .withColumnRenamed("source", "_s"))
     used = (blocked.join(per_source, F.col("source").eqNullSafe(F.col("_s")))
             # the source's j-th block in the schedule is block j mod blocks: one use per turn
             .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"),
                                                       F.floor((F.col("_uses") - 1 - F.col("block")) / F.col("_blocks")))))
-            .withColumn("_use", F.col("epoch") * F.col("_blocks") + F.col("block"))
+            .withColumn("_j", F.col("epoch") * F.col("_blocks") + F.col("block"))
             .drop("_s", "_blocks", "_uses"))
-    return used.join(plan.drop("_blocks"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_use") == F.col("_j"))).select(
+    return used.join(plan, ["_w", "_member", "_j"]).select(
         "_rid", "doc_id", "source", "block", "epoch", F.col("_release").alias("release"),
         F.col("_deadline").alias("deadline"), F.col("_slot").alias("slot"), "place", *(["_carry"] if carry else []))
