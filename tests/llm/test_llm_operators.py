@@ -364,6 +364,16 @@ def test_toxicity_locates_sentences_and_takes_odd_rows(spark, docs):
     assert toxicity.score(docs, none).where("predicted = 1").isEmpty()
 
 
+def test_toxicity_trains_on_one_row_per_id(spark, monkeypatch):
+    rows = [(i % 50, f"You are vile and {i % 50}!" if i % 2 else "All good here.") for i in range(200)] + [(0, "Flood of rows.")] * 500
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(50)], "doc_id long, quality int, toxic int")
+    seen = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda rows, n: seen.append(len(rows)) or fit(rows, n))
+    toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels, train_rows=30)
+    assert seen == [min(30, labels.where(~toxicity.held_out("doc_id")).count())]
+
+
 def test_repeated_query_rows_have_neighbours_of_their_own(spark):
     base = table(spark, SF, "embeddings").select("vec_id", "embedding")
     once = neighbours.nearest(base, lambda i: i == 20).toPandas()

@@ -11,7 +11,8 @@ stem covers its inflections. Candidates are counted over the training texts in
 Spark; those that stand out most among toxic documents (``MAX_FEATURES``) are
 kept. Training rows are labelled documents, at most ``train_rows`` (a documented
 bound; the rows with the smallest hash of their id, a random but repeatable
-choice). Scoring covers every whole text.
+choice), one row each: of documents that share a picked id, the text that sorts
+last. Scoring covers every whole text.
 
 Cases: null texts count as empty and get the score of an empty document; rows
 with null or other than 0/1 labels are not learned from; of repeated labels the
@@ -130,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
              .groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("y")))
     picked = known.orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
     data = (docs.join(F.broadcast(picked), F.col(id_col) == F.col("_id"))  # at most train_rows small rows
-            .select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), "y"))
+            .groupBy("_id", "y").agg(F.max(F.coalesce(F.col(text_col), F.lit(""))).alias("text")).select("text", "y"))
     data = written(data, "toxic-train")
     total = {r["y"]: r["n"] for r in data.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = total.get(1, 0), total.get(0, 0)
