@@ -103,11 +103,23 @@ def test_union_by_name(spark):
     assert [tuple(r) for r in rows] == [(1, 2, None), (None, 3, 4)]
 
 
-def test_renumber_after_filter(spark):
-    from upkeep.operators.windows import renumber
-    df = spark.createDataFrame([("f", i, i % 3 == 0) for i in range(30)] + [("g", i, True) for i in range(4)],
-                               "file string, row_no int, keep boolean").repartition(1)
-    out = renumber(df.where("keep"), "file", "row_no", "n").collect()
-    got = sorted((r.file, r.row_no, r.n) for r in out)
-    assert [x[2] for x in got if x[0] == "f"] == list(range(1, 11))
-    assert [x[2] for x in got if x[0] == "g"] == [1, 2, 3, 4]
+def test_dense_number_after_shuffle(spark):
+    """1..n per group after a filter and a shuffle, with a group that spreads over many files."""
+    from upkeep.operators.windows import dense_number
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 50 != 1, F.concat(F.lit("f"), F.col("id") % 7)).alias("file"),
+                                  ((F.col("id") * 7919) % 3001).alias("row_no"))
+    kept = df.where(F.col("row_no") % 2 == 1).repartition(5)
+    out = dense_number(kept, "file", "row_no", "n", "all").collect()
+    want, seen = {}, {}
+    for r in sorted(kept.collect(), key=lambda r: r.row_no):
+        seen[r.file] = seen.get(r.file, 0) + 1
+        want[r.file, r.row_no] = seen[r.file]
+    assert {(r.file, r.row_no): r.n for r in out} == want and len(out) == len(want)
+    assert all(r["all"] == seen[r.file] for r in out) and None in seen and seen["hot"] > 400
+
+
+def test_dense_number_whole_table_and_empty(spark):
+    from upkeep.operators.windows import dense_number
+    df = spark.createDataFrame([(5,), (None,), (3,)], "v int")
+    assert [(r.v, r.n) for r in dense_number(df, [], "v", "n", start=0).orderBy("n").collect()] == [(None, 0), (3, 1), (5, 2)]
+    assert dense_number(df.where("v > 9"), "v", "v", "n").columns == ["v", "n"] and dense_number(df.where("v > 9"), "v", "v", "n").count() == 0

@@ -6,6 +6,7 @@ so none of these runs one window over a whole key.
 * ``latest_per_key`` is a ``min_by`` aggregate (partial per task, then merged).
 * ``forward_fill`` is a two-level scan: runs inside fixed-size buckets of the
   order column, plus a carry computed over one row per bucket.
+* ``dense_number`` numbers range-sorted files by prefix sums of their counts.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from upkeep.session import materialize
+
 
 def latest_per_key(df: DataFrame, key: str | Sequence[str], date_col: str, order_col: str = "row_ord") -> DataFrame:
     """One row per key: latest ``date_col`` (nulls last), earliest row on ties."""
@@ -58,20 +61,33 @@ def forward_fill(df: DataFrame, part_cols: Sequence[str], order_col: str, is_hea
     return out.withColumn(prefix + order_col, F.col("_f")["_o"]).drop("_hdr", "_bk", "_in", "_carry", "_f")
 
 
-def renumber(df: DataFrame, part_col: str, order_col: str, out: str = "row_no") -> DataFrame:
-    """1..n within each file after filtering, in file order.
-
-    Rows are numbered inside each read partition (a window bounded by one
-    partition's rows) and shifted by the running count of the file's earlier
-    chunks, so a huge file is numbered by all its tasks at once. Call it on
-    rows straight from a file scan (before any shuffle): the input is evaluated
-    twice, and only scan partitions are guaranteed to be the same both times."""
-    d = df.withColumn("_pid", F.spark_partition_id())
-    chunks = d.groupBy(part_col, "_pid").agg(F.min(order_col).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    wc = Window.partitionBy(part_col).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.withColumn("_off", F.coalesce(F.sum("_n").over(wc), F.lit(0))).drop("_n", "_first")
-    w = Window.partitionBy(part_col, "_pid").orderBy(order_col)
-    d = d.withColumn("_r", F.row_number().over(w))
-    return d.join(F.broadcast(chunks), [part_col, "_pid"]) \
-            .withColumn(out, F.col("_off") + F.col("_r")).drop("_pid", "_r", "_off")
+def dense_number(df: DataFrame, by: str | Sequence[str], order: str | Sequence[str], out: str = "row_no",
+                 count_out: str | None = None, start: int = 1) -> DataFrame:
+    """``start``, ``start + 1``, ... within each ``by`` group in ``order`` (nulls first), after any shuffle;
+    ``count_out`` adds the group's row count. ``by`` may be empty: the whole table is numbered.
 
+    Rows are range-partitioned and sorted on (by, order) and written, so a hot group spreads over
+    many files and every row has a fixed place in its file. Each (group, file) run is reduced to its
+    row count and first place; runs get the exclusive prefix of the counts before them, and a row's
+    number is that prefix plus its distance from the start of its run. No window spans data rows: the
+    only one is over a group's runs, at most one a file. ``order`` should end in a unique column, else
+    equal rows are numbered in any order."""
+    by, order = ([c] if isinstance(c, str) else list(c) for c in (by, order))
+    keys = [F.col(c).asc_nulls_first() for c in by + order]
+    placed = materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()))
+    rows = placed.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    ks = [f"_k{i}" for i in range(len(by))]
+    runs = rows.groupBy(*[F.col(c).alias(k) for c, k in zip(by, ks)], F.col("_file").alias("_f")) \
+               .agg(F.min("_part").alias("_p"), F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*ks)
+    before = group.orderBy("_p", "_f").rowsBetween(Window.unboundedPreceding, -1)
+    runs = materialize(runs.select(*ks, "_f", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+                                   F.sum("_n").over(group).alias("_all")))
+    on = F.col("_file") == F.col("_f")
+    for c, k in zip(by, ks):
+        on = on & F.col(c).eqNullSafe(F.col(k))
+    # every row has its run; the left join keeps the rows' side as the one that is streamed
+    rows = rows.join(runs, on, "left").withColumn(out, F.col("_before") + F.col("_at") - F.col("_first") + start)
+    if count_out:
+        rows = rows.withColumn(count_out, F.col("_all"))
+    return rows.drop("_part", "_file", "_at", "_f", "_first", "_before", "_all", *ks)
