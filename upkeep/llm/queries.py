@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators, each over its whole table."""
+"""The registered queries of the dealt operators, each over its whole table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from upkeep.llm import bpe, chat, exact_dedup, html_extract, mixing, neighbours, simhash, token_counts, toxicity, warc
+from upkeep.llm import bpe, chat, exact_dedup, html_extract, merkle, mixing, neighbours, simhash, sql, token_counts, toxicity, url_rules, vector_codes, warc
 from upkeep.llm.common import table
 
 
@@ -54,6 +54,23 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(merkle.manifest(merkle.document_leaves(table(spark, sf_dir, "documents"))))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+# fixed values: the rules of the contract (host, path, verdict)
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+             ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op13_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, url_rules.RULES))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -62,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_chat_formatting, op3_source_mixing, op4_exact_dedup, op5_bpe_round_trip,
                                    op6_warc_archive, op7_token_counts, op8_simhash_near_dedup, op9_toxicity,
-                                   op10_nearest_neighbours, pipeline)}
+                                   op10_nearest_neighbours, op11_merkle_manifest, op12_vector_codes, op13_url_rules, pipeline)}
 
 ORACLE = {
     "op4_exact_dedup": """
@@ -71,4 +88,7 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM n
 """,
+    "op11_merkle_manifest": sql.MERKLE_MANIFEST,
+    "op12_vector_codes": sql.VECTOR_CODES,
+    "op13_url_rules": sql.URL_RULES,
 }
