@@ -4,14 +4,19 @@ Prefix sums of turn tokens place every turn on a line of spans of ``stride``
 tokens; the turns that start in a span form a window, so windows are aligned
 with turns. A turn longer than the stride stands alone in a window of its own. A
 window holds the conversation's system turn (its first turn, if the role is
-``system``), a limited history (the turns before it that start within
-``history`` tokens) and its new turns. Only new assistant turns are under the
+``system``), a limited history (the turns before it that start within its
+history tokens) and its new turns. Only new assistant turns are under the
 loss mask; the system turn after its first window and repeated history are
 masked, so each assistant text is a target exactly once.
 
-With stride = (budget - history - system reserve) / 2, the new turns of a window
-have less than two strides, so no window exceeds the budget unless a single turn
-does so by itself; nothing is cut.
+A turn's tokens are those of its formatted text, marks and escapes included;
+tokens never cross the line breaks around a turn, so a window has exactly the sum
+of its turns' tokens. Each conversation has a stride of its own: of the budget
+less its system turn, at most a quarter, and at most ``history`` tokens, is
+history, and half of the rest is the stride. The new turns of a window have less
+than two strides, and a turn that stands alone gets no more history than it
+leaves room for. So a window exceeds the budget only where the system turn and a
+single new turn do so by themselves; then there is no history, and nothing is cut.
 
 Template: ``### role``, newline, text, newline, ``</turn>``, newline. Inside
 texts and roles a backslash is doubled and ``</turn>`` and ``### `` get a
@@ -42,8 +47,6 @@ from upkeep.llm.token_counts import TOKENIZER, counter
 
 BUDGET = 1024
 HISTORY = 160
-SYSTEM_RESERVE = 160
-TURN_TOKENS = 8      # the template's own marks
 END = "\n</turn>\n"
 
 
@@ -53,6 +56,10 @@ def _escaped(c):
     return F.replace(c, F.lit("### "), F.lit("\\### "))
 
 
+def _head(role):
+    return F.concat(F.lit("### "), F.replace(_escaped(role), F.lit("\n"), F.lit("\\n")), F.lit("\n"))
+
+
 _ESCAPE = re.compile(r"\\(.)", re.S)
 
 
@@ -73,13 +80,10 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, system_reserve: int = SYSTEM_RESERVE,
-                   tokenizer: str = TOKENIZER) -> DataFrame:
+def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokenizer: str = TOKENIZER) -> DataFrame:
     """``conv_id, window`` (in order), ``formatted``, ``context`` (leading turns
     that repeat earlier ones), ``loss`` (start and length of the masked-in spans,
-    in code points) and ``tokens``."""
-    stride = max(1, (budget - history - system_reserve) // 2)
-    history = min(history, stride)
+    in code points) and ``tokens`` of the formatted text."""
 
     @F.pandas_udf("long")
     def tokens(text: pd.Series) -> pd.Series:
@@ -87,30 +91,36 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
         return text.map(c.count)
 
     rows = written(conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-                   .withColumn("_cost", tokens("text") + TURN_TOKENS).withColumn("_rid", F.monotonically_increasing_id()), "turns")
-    lead = written(rows.groupBy("conv_id").agg(F.min(F.struct("turn", "_rid")).alias("_lead"))
-                   .select(F.col("conv_id").alias("_c"), F.col("_lead._rid").alias("_first")), "leads")
+                   .withColumn("_cost", tokens(F.concat(_head(F.col("role")), _escaped(F.col("text")), F.lit(END))))
+                   .withColumn("_rid", F.monotonically_increasing_id()), "turns")
+    lead = written(rows.groupBy("conv_id").agg(F.min_by(F.struct("_rid", "role", "_cost"), F.struct("turn", "_rid")).alias("_lead"))
+                   .select(F.col("conv_id").alias("_c"), F.col("_lead._rid").alias("_first"),
+                           F.greatest(F.lit(0), budget - F.when(F.col("_lead.role") == "system", F.col("_lead._cost")).otherwise(0)).alias("_room")), "leads")
     marked = (rows.join(lead, F.col("conv_id").eqNullSafe(F.col("_c")))
               .withColumn("_system", (F.col("role") == "system") & (F.col("_rid") == F.col("_first"))).drop("_c", "_first")
-              .withColumn("_weight", F.when(F.col("_system"), 0).otherwise(F.col("_cost"))))
+              .withColumn("_weight", F.when(F.col("_system"), 0).otherwise(F.col("_cost")))
+              .withColumn("_past", F.least(F.lit(history), F.floor(F.col("_room") / 4)))
+              .withColumn("_stride", F.greatest(F.lit(1), F.floor((F.col("_room") - F.col("_past")) / 2))))
     placed = prefix_sums(marked, ["conv_id"], ["turn", "_rid"], "_weight", "_start", "placed")
     # even numbers: the turns that start in a span; odd ones: a span's turn that is longer than the stride
-    placed = written(placed.withColumn("window", 2 * F.floor(F.col("_start") / stride) + (F.col("_weight") > stride).cast("long")), "spans")
+    alone = F.col("_weight") > F.col("_stride")
+    placed = written(placed.withColumn("window", 2 * F.floor(F.col("_start") / F.col("_stride")) + alone.cast("long"))
+                     .withColumn("_past", F.when(alone, F.least("_past", F.col("_room") - F.col("_weight"))).otherwise(F.col("_past"))).drop("_room", "_stride"), "spans")
     fields = ["_kind", "_start", "turn", "_rid", "role", "text", "_cost"]
     new = placed.withColumn("_kind", F.when(F.col("_system"), 0).otherwise(2))
-    windows = (placed.groupBy("conv_id", "window").agg(F.min("_start").alias("_from"), F.max("_system").alias("_has"))
+    windows = (placed.groupBy("conv_id", "window").agg(F.min("_start").alias("_from"), F.max("_system").alias("_has"), F.min("_past").alias("_reach"))
                .withColumnsRenamed({"conv_id": "_c", "window": "_w"}))
     system = placed.where("_system").select("conv_id", "_start", "turn", "_rid", "role", "text", "_cost", F.lit(0).alias("_kind"))
     kept = (windows.where("not _has").join(system, F.col("_c").eqNullSafe(F.col("conv_id"))).select("conv_id", F.col("_w").alias("window"), *fields))
     # a turn can be history of the windows up to one span on
-    past = (placed.where((~F.col("_system")) & (F.col("window") % 2 == 0)).drop("_system")
+    past = (placed.where((~F.col("_system")) & (F.col("window") % 2 == 0)).drop("_system", "_past")
             .withColumn("_to", F.explode(F.array(*[F.col("window") + k for k in (1, 2, 3)]))))
     past = (past.join(windows, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_to") == F.col("_w")))
-            .where((F.col("_start") < F.col("_from")) & (F.col("_start") >= F.col("_from") - history))
+            .where((F.col("_start") < F.col("_from")) & (F.col("_start") >= F.col("_from") - F.col("_reach")))
             .select("conv_id", F.col("_to").alias("window"), F.lit(1).alias("_kind"), *fields[1:]))
     turns = (new.select("conv_id", "window", *fields, F.lit(True).alias("_new")).unionByName(kept.withColumn("_new", F.lit(False)))
              .unionByName(past.withColumn("_new", F.lit(False))))
-    head = F.concat(F.lit("### "), F.replace(_escaped(F.col("role")), F.lit("\n"), F.lit("\\n")), F.lit("\n"))
+    head = _head(F.col("role"))
     body = _escaped(F.col("text"))
     turns = turns.select("conv_id", "window", F.struct("_kind", "_start", "turn", "_rid", head.alias("head"), body.alias("body"),
                                                        (F.col("_new") & (F.col("role") == "assistant")).alias("target"), "_new", "_cost").alias("t"))
