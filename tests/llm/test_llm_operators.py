@@ -202,6 +202,28 @@ def test_lexicon_shares_suffixes_and_misses_nothing(tmp_path):
     assert [lexicon.get(w) for w, _ in words] == [ids for _, ids in words]
     assert [lexicon.get(w) for w in (b"", b"walk", b"walkings", b"b", b"\xc3")] == [None] * 5
     assert len(lexicon.first) - 1 < sum(len(w) for w, _ in words) // 2
+    asked = [w for w, _ in words] + [b"", b"walk", b"walkings", b"b", b"\xc3", b"a" * 60]
+    assert lexicon.get_many(asked) == [lexicon.get(w) for w in asked] and lexicon.get_many([]) == []
+    (tmp_path / "e").write_bytes(bpe.compile_lexicon([]))
+    assert bpe.Lexicon(str(tmp_path / "e")).get_many([b"a", b""]) == [None, None]
+
+
+def test_many_words_merge_like_one():
+    merges = bpe.Merges(bpe.TOKENIZER)
+    rng = np.random.default_rng(2)
+    words = [bytes(rng.choice(np.frombuffer(b"aabeinrst h\xc3\xa9", np.uint8), n).tolist()) for n in rng.integers(0, 90, 400)] + [b"", b"x", b"the", b" there", b"aaaaaaa"]
+    assert merges.merge_many(words) == [np.array(bpe_quadratic(merges, w), "<u4").tobytes() for w in words]
+    assert merges.merge_many([]) == [] and merges.merge_many([b""]) == [b""]
+
+
+def test_codec_forgets_long_words_and_stays_bounded(monkeypatch):
+    codec = bpe.Codec(bpe.TOKENIZER)
+    monkeypatch.setattr(bpe, "_CACHED", 60)
+    monkeypatch.setattr(bpe, "_GROUP", 50)
+    texts = [f"word{i} {'z' * (i * 9)} <|endoftext|>é\n{i}" for i in range(60)]
+    single = [bpe.Codec(bpe.TOKENIZER).encode_many([t])[0] for t in texts]
+    assert codec.encode_many(texts) == single and codec.decode_many(single) == texts
+    assert len(codec) <= 60 and max(map(len, codec)) <= 4 * bpe.LONGEST and "<|endoftext|>" in codec
 
 
 def test_long_merges_equal_short_ones():
@@ -260,6 +282,39 @@ def test_warc_files_do_not_depend_on_partitions(spark):
     assert files[0] == files[1] and len(files[0]) > 2
 
 
+def check_budget(windows, budget):
+    """Every window's tokens are those of its formatted text, and over the budget only by the
+    system turn and one new turn, which no window could hold in less."""
+    count = token_counts.counter(token_counts.TOKENIZER).count
+    for r in windows.collect():
+        turns = chat.parse(r["formatted"])
+        assert count(r["formatted"]) == r["tokens"]
+        if r["tokens"] > budget:
+            repeated = turns[:r["context"]]
+            assert len(turns) - r["context"] == 1 and [role for role, _ in repeated] in ([], ["system"])
+
+
+@pytest.mark.parametrize("words", [0, 100, 800, 1300])
+def test_chat_windows_hold_the_budget_with_any_system_turn(spark, words):
+    rng = np.random.default_rng(words)
+    rows = [(1, 0, "system", " ".join(["rule"] * words))] if words else []
+    rows += [(1, 1 + t, "user" if t % 2 == 0 else "assistant", " ".join(["### </turn> \\ word"] * int(rng.choice([1, 3, 10, 40, 90])))) for t in range(200)]
+    windows = written(chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), "test-budget")
+    check_budget(windows, chat.BUDGET)
+    got = windows.collect()
+    if words < 800:
+        assert max(r["tokens"] for r in got) > 600  # windows are filled
+    if words:
+        assert all(chat.parse(r["formatted"])[0][0] == "system" for r in got)
+    assert sum(len(chat.parse(r["formatted"])) - r["context"] for r in got) == len(rows)
+
+
+def test_chat_takes_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "ho")], "conv_id long, turn long, role string, text string")
+    clash = rows.select("*", *[F.lit(7).alias(c) for c in ("window", "tokens", "_cost", "_rid", "_room", "_past", "loss")])
+    assert chat.read_back(chat.format_windows(clash)).collect() == chat.read_back(chat.format_windows(rows)).collect()
+
+
 def test_chat_round_trip(spark):
     given = table(spark, SF, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     control = "\\### Assistant: </turn> ok"
@@ -269,7 +324,7 @@ def test_chat_round_trip(spark):
     extra += [(-11, t, "user" if t % 2 == 0 else "assistant", f"turn {t} " + "x y " * (t % 37)) for t in range(300)]
     rows = written(given.unionByName(spark.createDataFrame(extra, given.schema)), "test-conversations")
     plain = rows.toPandas().sort_values(["conv_id", "turn"], kind="stable", na_position="first")
-    windows = written(chat.format_windows(rows, budget=256, history=40, system_reserve=40), "test-windows")
+    windows = written(chat.format_windows(rows, budget=256, history=40), "test-windows")
     got = {r["conv_id"]: r for r in chat.read_back(windows).collect()}
     assert set(got) == set(plain.conv_id)
     for conv, turns in plain.groupby("conv_id"):
@@ -279,22 +334,22 @@ def test_chat_round_trip(spark):
         assert got[conv]["n_turns"] == len(turns)
         assert got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in zip(role, text)).encode()).hexdigest()
         assert (got[conv]["loss_chars"], got[conv]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    # over the budget only with a single long turn; later windows repeat the system turn and some history
-    over = windows.where("tokens > 256").collect()
-    assert over and all(len(chat.parse(r["formatted"])) - r["context"] == 1 for r in over)
+    check_budget(windows, 256)
+    assert windows.where("tokens > 256").count() > 0
     later = windows.where("conv_id = -8 and window > 0").collect()
     assert later and all(chat.parse(r["formatted"])[0] == ("system", "be kind\\") for r in later)
-    # history: the turns before a window's first that start within 40 tokens of it
+    # history: the turns before a window's first that start within 40 tokens of it, or fewer before a long turn
     count = token_counts.counter(token_counts.TOKENIZER).count
-    texts = [r["text"] for r in rows.where("conv_id = -11").orderBy("turn").collect()]
-    starts = np.cumsum([0] + [count(t) + chat.TURN_TOKENS for t in texts]).tolist()
+    turns = [(r["role"], r["text"]) for r in rows.where("conv_id = -11").orderBy("turn").collect()]
+    starts = np.cumsum([0] + [count(f"### {r}\n{t}{chat.END}") for r, t in turns]).tolist()
     at = 0
     for r in windows.where("conv_id = -11").orderBy("window").collect():
-        history = [t for t in range(at) if starts[t] >= starts[at] - 40]
-        turns = chat.parse(r["formatted"])
-        assert r["context"] == len(history) and [t for _, t in turns[:len(history)]] == [texts[t] for t in history]
-        at += len(turns) - r["context"]
-    assert at == len(texts)
+        room = 256 - (starts[at + 1] - starts[at]) if r["window"] % 2 else 256
+        history = [t for t in range(at) if starts[t] >= starts[at] - min(40, room)]
+        got = chat.parse(r["formatted"])
+        assert r["context"] == len(history) and got[:len(history)] == [turns[t] for t in history]
+        at += len(got) - r["context"]
+    assert at == len(turns)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body class="page"><div id="top-nav"><a href=/>Home</a> <a href=/x>News, all</a></div>
@@ -382,6 +437,36 @@ def test_repeated_query_rows_have_neighbours_of_their_own(spark):
     assert twice.vec_id.nunique() == 20 and set(twice.vec_id) == set(once.vec_id)
 
 
+def test_equal_vectors_have_equal_scores_and_ties_go_to_the_smaller_id(spark):
+    """Copies in every block and at every place of a block: the order is that of sums in component order."""
+    g = np.random.default_rng(5)
+    vecs = g.standard_normal((900, 24))
+    vecs[100:] = vecs[g.integers(0, 100, 800)]  # every vector about nine times
+    rows = list(enumerate(vecs.tolist())) + [(None, vecs[3].tolist())]
+    for block_rows in (64, 301, 5000):
+        got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7), lambda i: i % 20 == 0, k=30, block_rows=block_rows).toPandas()
+        for q in range(0, 900, 20):
+            mine = got[got.query_id == q].sort_values("rank")
+            scores = {}
+            for i, v in rows:
+                s = 0.0
+                for a, b in zip(v, rows[q][1]):
+                    s += a * b
+                scores[i] = s
+            order = sorted((i for i, _ in rows if i != q), key=lambda i: (-scores[i], i is None, i or 0))[:30]
+            found = [None if pd.isna(i) else int(i) for i in mine.vec_id]
+            assert list(mine.score) == [scores[i] for i in found] and len(found) == 30
+            assert found == sorted(found, key=lambda i: (-scores[i], i is None, i or 0))
+            missed = [i for i in order if i not in found]
+            assert len(missed) <= 6 and (missed or found == order)
+
+
+def test_neighbours_take_clashing_columns(spark):
+    base = table(spark, SF, "embeddings").select("vec_id", "embedding")
+    clash = base.select("*", *[F.lit(7).alias(c) for c in ("id", "v", "_rid", "block", "set", "score", "rank")])
+    assert neighbours.nearest(clash, lambda i: i % 100 == 0).collect() == neighbours.nearest(base, lambda i: i % 100 == 0).collect()
+
+
 def test_nearest_neighbours(spark):
     base = table(spark, SF, "embeddings")
     odd = [(100_000, None), (100_020, []), (100_040, [0.0] * 64), (100_060, [float("nan")] * 64), (100_080, [None] * 64), (100_100, [float("inf")] * 64),

@@ -18,9 +18,16 @@ that chance is at most ``miss`` (or every vector has been seen), whatever share
 of the vectors has been verified by then. A range whose longest vector can't
 reach the ``k``-th score is left out; ranges of a few vectors are verified whole.
 
+Matrix products may round equal vectors differently, so they only pick the
+candidates, with a margin for their rounding: the scores that are returned and
+ranked are sums of products in the order of the components, the same for equal
+vectors wherever they stand.
+
 The vectors are dealt into blocks of bounded size, the queries into sets of
 bounded size; every set meets every block in a task of its own, and the best
-``k`` of each are merged per query. All rows are indexed.
+``k`` of each are merged per query. A set holds as many queries as ``SET_NUMBERS``
+components allow, fewer only where there would be less tasks than cores, so rows
+are copied once per tens of thousands of queries. All rows are indexed.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components
 take no part; vectors of another dimension than the query's aren't compared; a
@@ -49,8 +56,17 @@ RATIO = 1.12         # growth of the radius
 MISS = 0.02          # chance that a vector with a better score is still unseen when expansion ends
 SPREAD = 0.8         # least length in a range, as a share of its longest
 BLOCK_ROWS = 8192
-QUERY_ROWS = 2048
+SET_NUMBERS = 4 << 20  # components of a set of queries
 SEED = 7
+NO_ID = -(1 << 62)     # stands for a null id within a block
+
+
+def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products, summed in the order of the components."""
+    out = np.zeros(len(vectors))
+    for d in range(len(query)):
+        out += vectors[:, d] * query[d]
+    return out
 
 
 def reach_for(projections: int, threshold: int, miss: float) -> float:
@@ -119,6 +135,7 @@ class Block:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int, k: int):
         self.ids, self.vectors, self.k = ids, vectors, k
+        self.last = np.where(ids == NO_ID, np.iinfo(np.int64).max, ids)  # order among ties
         lengths = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
         by_length = np.argsort(-lengths, kind="stable")
         lines = np.random.default_rng(SEED).standard_normal((projections, vectors.shape[1] + 1))
@@ -131,8 +148,10 @@ class Block:
             at = end
 
     def nearest(self, own: int, query: np.ndarray, threshold: int, reach_z: float) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, scores) of the verified vectors, best ``k``."""
+        """(rows, scores) of the best ``k`` verified vectors, ties to the smaller id."""
         k, length = self.k, math.sqrt(query @ query)
+        # twice what two ways of summing can differ by
+        margin = 4 * len(query) * 2.3e-16 * length * (self.ranges[0][1] if self.ranges else 0.0)
         rows, scores = np.empty(0, dtype=np.int64), np.empty(0)
         for part, longest, arrays in self.ranges:
             if len(scores) >= k and scores.min() > longest * length * (1 + 1e-9):
@@ -145,9 +164,11 @@ class Block:
                 new = part[new]
             rows, scores = np.append(rows, new), np.append(scores, got)
             if len(rows) > k:
-                cut = np.partition(scores, -k)[-k]
-                rows, scores = rows[scores >= cut], scores[scores >= cut]
-        return rows, scores
+                kept = scores >= np.partition(scores, -k)[-k] - margin
+                rows, scores = rows[kept], scores[kept]
+        scores = exact_scores(self.vectors[rows], query)
+        first = np.lexsort((self.last[rows], -scores))[:k]
+        return rows[first], scores[first]
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -159,13 +180,14 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
             projections: int = PROJECTIONS, threshold: float = THRESHOLD, miss: float = MISS,
-            block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+            block_rows: int = BLOCK_ROWS, query_rows: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``; ``is_query``: a function of the id column."""
     rows = written(usable(vectors, id_col, vec_col).withColumn("_rid", F.monotonically_increasing_id()), "vectors")
     asked = rows.where(is_query(F.col("id")))
-    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(is_query(F.col("id")).cast("long")).alias("q")).first()
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(is_query(F.col("id")).cast("long")).alias("q"), F.max(F.size("v")).alias("dim")).first()
     blocks = max(1, math.ceil((facts["n"] or 0) / block_rows))
-    sets = max(1, math.ceil((facts["q"] or 0) / query_rows))
+    cores = 2 * vectors.sparkSession.sparkContext.defaultParallelism
+    sets = max(1, math.ceil((facts["q"] or 0) / (query_rows or max(1, SET_NUMBERS // (facts["dim"] or 1)))), min(math.ceil((facts["q"] or 0) / 256), math.ceil(cores / blocks)))
     least = max(1, round(threshold * projections))
     reach_z = reach_for(projections, least, miss)
 
@@ -184,7 +206,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
         asked_by, asking, found_ids, found_scores = [], [], [], []
         if len(known) and len(asks):
             ids = known["id"].astype("Int64")
-            own = ids.fillna(-(1 << 62)).to_numpy(dtype=np.int64)
+            own = ids.fillna(NO_ID).to_numpy(dtype=np.int64)
             block = Block(own, np.array(known["v"].tolist(), dtype=float), projections, k)
             names = ids.to_numpy(dtype=object)
             for rid, q, v in zip(asks["_rid"], asks["id"], asks["v"]):
