@@ -5,7 +5,8 @@ split into ranges of similar length, and every vector gets one more component so
 that all have the length of the longest of their range; queries get a zero. Each
 of ``projections`` random lines orders the vectors of a range in a sorted array.
 A query's window on each line is centred on its own projection and expanded by
-virtual rehashing, radius by radius; a vector inside the windows of at least
+virtual rehashing, radius by radius, from the radius that the best of a few
+vectors asks for; a vector inside the windows of at least
 ``threshold`` lines has collided often enough and is verified with its inner
 product in double precision.
 
@@ -51,7 +52,8 @@ from upkeep.llm.common import written
 PROJECTIONS = 64
 THRESHOLD = 0.68     # share of the lines on which a vector must collide
 WIDTH = 1.0          # half width of a window at radius 1, in units of a line
-FIRST_RADIUS = 0.9
+SAMPLE = 256         # vectors whose best score sets the first radius
+LEAST_RADIUS = 0.05  # windows of no width would never grow
 RATIO = 1.12         # growth of the radius
 MISS = 0.02          # chance that a vector with a better score is still unseen when expansion ends
 SPREAD = 0.8         # least length in a range, as a share of its longest
@@ -92,41 +94,47 @@ class Range:
         # all sorted arrays in one, each moved clear of the last, so one search serves all lines
         self.apart = 4 * (1 + np.abs(at).max()) * np.arange(len(lines))
         self.sorted = (np.sort(at, axis=0).T + self.apart[:, None]).ravel()
+        self.sample = np.linspace(0, len(ids) - 1, min(len(ids), SAMPLE)).astype(np.int64)
 
     def nearest(self, own: int, query: np.ndarray, length: float, k: int, threshold: int, reach_z: float,
                 best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rows, scores) of the verified vectors; ``best``: the best scores of other ranges, ``k`` at most."""
-        n, order = len(self.ids), self.order
+        n, order, lines = len(self.ids), self.order, len(self.lines)
         centre = self.lines[:, :-1] @ (query / length)
-        edge = np.abs(self.apart[1] if len(self.apart) > 1 else np.inf) / 2
-        low = self.sorted.searchsorted(np.clip(centre, -edge, edge) + self.apart)
-        high, hits = low, np.zeros(n, dtype=np.int64)
+        edge = np.abs(self.apart[1] if lines > 1 else np.inf) / 2
+
+        def enough(score: float) -> float:
+            """The radius that a vector with a better score needs at most."""
+            return reach_z * math.sqrt(2 - 2 * max(-1.0, min(1.0, score / (self.longest * length)))) / WIDTH
+
+        # a few vectors tell about how far the best ones are; from there radius by radius
+        radius = max(LEAST_RADIUS, enough((self.vectors[self.sample] @ query).max()))
         seen = np.zeros(n, dtype=bool)
         rows, scores = np.empty(0, dtype=np.int64), np.empty(0)
-        radius = FIRST_RADIUS
         while True:
-            reach = WIDTH * radius
-            a = self.sorted.searchsorted(np.maximum(centre - reach, -edge) + self.apart)
-            b = self.sorted.searchsorted(np.minimum(centre + reach, edge) + self.apart, side="right")
-            fresh = [order[x:y] for x, y in zip(a.tolist(), low.tolist()) if x < y] + [order[x:y] for x, y in zip(high.tolist(), b.tolist()) if x < y]
-            low, high = np.minimum(a, low), np.maximum(b, high)
-            if fresh:
-                hits += np.bincount(np.concatenate(fresh), minlength=n)
-                new = np.flatnonzero((hits >= threshold) & ~seen)
-                seen[new] = True
-                new = new[self.ids[new] != own]
-                got = self.vectors[new] @ query
-                rows, scores = np.append(rows, new), np.append(scores, got)
-                best = np.append(best, got)
-                best = np.partition(best, -k)[-k:] if len(best) > k else best
+            a = self.sorted.searchsorted(np.maximum(centre - WIDTH * radius, -edge) + self.apart).tolist()
+            b = self.sorted.searchsorted(np.minimum(centre + WIDTH * radius, edge) + self.apart, side="right").tolist()
+            # count the smaller part: the collisions, or the lines without one
+            if 2 * (sum(b) - sum(a)) < lines * n:
+                hits = np.bincount(np.concatenate([order[x:y] for x, y in zip(a, b)]), minlength=n)
+            else:
+                outside = [order[x:y] for l, (x, y) in enumerate(zip(a, b)) for x, y in ((l * n, x), (y, l * n + n)) if x < y]
+                hits = lines - np.bincount(np.concatenate(outside), minlength=n) if outside else np.full(n, lines)
+            new = np.flatnonzero((hits >= threshold) & ~seen)
+            seen[new] = True
+            new = new[self.ids[new] != own]
+            got = self.vectors[new] @ query
+            rows, scores = np.append(rows, new), np.append(scores, got)
+            best = np.append(best, got)
+            best = np.partition(best, -k)[-k:] if len(best) > k else best
             if seen.all():
                 break
-            enough = math.inf
-            if len(best) == k:  # the distance that a better vector has at most
-                enough = reach_z * math.sqrt(2 - 2 * max(-1.0, min(1.0, best.min() / (self.longest * length)))) / WIDTH
-                if radius >= enough:
+            if len(best) == k:
+                if radius >= (last := enough(best.min())):
                     break
-            radius = min(radius * RATIO, enough)
+                radius = min(radius * RATIO, last)
+            else:
+                radius *= RATIO
         return rows, scores
 
 
