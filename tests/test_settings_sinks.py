@@ -77,11 +77,11 @@ def test_csv_grid_and_incremental_ingest(spark):
     assert [(r.equipment, r.parts, r.month_key) for r in rows] == [("Vac, red", 3.5, "2026-05"), ("Ladder", 0.0, "2026-05")]
     target = os.path.join(tempfile.mkdtemp(), "repairs")
     run = "t1"
-    out = export_ingest(spark, src, load_repairs_grid, target, width=8, run_id=run)
+    out = export_ingest(spark, src, load_repairs_grid, target, run_id=run)
     assert out.count() == 2
     with open(os.path.join(src, "June 2026 Repairs.csv"), "w") as f:
         f.write('#,Completed Date,Equipment Name\n1,6/1/2026,Fan\n')
-    out = export_ingest(spark, src, load_repairs_grid, target, width=8, run_id=run)
+    out = export_ingest(spark, src, load_repairs_grid, target, run_id=run)
     assert out.count() == 3
 
 
@@ -109,7 +109,7 @@ def test_row_numbers_dense_across_splits(spark):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
-        g = read_csv_grid(spark, d, width=2, multi_line=False)
+        g = read_csv_grid(spark, d)
         assert g.rdd.getNumPartitions() > 1
         rows = g.select("row_no", F.col("cells")[0].alias("c")).collect()
     finally:

@@ -58,3 +58,34 @@ def test_hot_key_operators_match_pandas(spark):
     # exact median per id
     med = {r.equip_id: r.m for r in exact_median(df, ["equip_id"], "parts", "m").collect()}
     assert med == {k: float(g.parts.median()) for k, g in pdf.groupby("equip_id")}
+
+
+def test_median_of_a_hot_key_with_millions_of_distinct_values(spark):
+    """One keyword holds a third of the rows, a million distinct prices; no window runs over them."""
+    n = 3_000_000
+    df = spark.range(0, n, 1, 8).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 4000)).alias("k"),
+                                        ((F.col("id") * 1_103_515_245) % 2_147_483_647 / 1000.0).alias("v"))
+    got = exact_median(df, ["k"], "v", "m", "n").where("k = 'hot'").first()
+    want = sorted(i * 1_103_515_245 % 2_147_483_647 / 1000.0 for i in range(0, n, 3))
+    assert got.n == 1_000_000 and got.m == (want[499_999] + want[500_000]) / 2.0
+    # rows that reach a window: buckets, parts, and one part's values
+    import upkeep.operators.stats as stats
+    hist = df.where("k = 'hot'").groupBy("k", "v").agg(F.count(F.lit(1)).alias("c")).withColumn("b", stats._bucket(F.col("v")))
+    assert hist.select("b").distinct().count() < 8000
+    middle = hist.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).where(F.col("low") <= got.m).orderBy(F.desc("low")).first()
+    inside = hist.where(F.col("b") == middle.b).groupBy(stats._part(F.col("v"), F.lit(middle.low), F.lit(middle.high)).alias("p")).count()
+    assert inside.agg(F.max("count")).first()[0] < 100
+
+
+def test_median_of_awkward_values(spark):
+    import math
+    import statistics
+    inf = math.inf
+    groups = {"ties": [1.0] * 7, "even": [1.0, 2.0], "apart": [-1e300, 1e300], "near": [1.0, 1.0 + 2 ** -52, 1.0 + 2 ** -51, 1.0 + 2 ** -50], "neg": [-5.5, -3.25, 0.0, 2.0, 1e-300],
+              "inf": [-inf, 1.0, inf], "one": [4.0], "wide": [10.0 ** k for k in range(-300, 300)], "small": [1e-9 * k for k in range(501)], None: [3.0, 9.0, 6.0]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("even", None), ("nothing", None)]
+    got = {r.k: (r.m, r.n) for r in exact_median(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", "m", "n").collect()}
+    assert got == {k: (statistics.median(vs), len(vs)) for k, vs in groups.items()}
+    df = spark.createDataFrame(rows, "k string, v double")
+    assert exact_median(df.where("k = 'even'"), [], "v", "m").collect()[0].m == 1.5 and exact_median(df.where("k = 'zz'"), [], "v", "m").collect()[0].m is None
+    assert exact_median(spark.createDataFrame([(float("nan"),), (1.0,), (2.0,)], "v double"), [], "v", "m").first().m == 2.0

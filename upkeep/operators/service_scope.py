@@ -34,23 +34,25 @@ def effective_status_all(svc: DataFrame, catalog: DataFrame, id_col: str = "equi
     without an id (null or blank) keep their own status: they share no asset."""
     key = norm_equip_id(id_col)
     cat = catalog.where(F.col("month_key").isNotNull()).withColumn("_id", key).where(F.col("_id") != "")
-    done = cat.where(F.col("completed_date").isNotNull())
-    # hard and soft keys from one pass over the completed rows
-    keys = done.select("_id", F.explode(F.array_distinct(F.array(norm_desc("description"),
-                                                                  soft_norm_desc("description")))).alias("_k")) \
-               .distinct()
-    first_done = done.groupBy(F.col("_id").alias("_id3")).agg(F.min("completed_date").alias("_first_done"))
-    # a null key never matches an equi join, so rows without an id pass round all three
-    s = svc.withColumn("_idn", F.nullif(key, F.lit(""))).withColumn("_hk", norm_desc("description")).withColumn("_sk", soft_norm_desc("description"))
+    # rows are reduced to (id, hard key, soft key) before they meet: what a key says of
+    # its id is worked out on these, and joined to the rows once
+    hard, soft = norm_desc("description"), soft_norm_desc("description")
+    done = cat.where(F.col("completed_date").isNotNull()).groupBy("_id", hard.alias("_h"), soft.alias("_s")).agg(F.min("completed_date").alias("_first"))
+    keys = done.select("_id", F.explode(F.array_distinct(F.array("_h", "_s"))).alias("_k")).distinct()
+    first_done = done.groupBy(F.col("_id").alias("_id3")).agg(F.min("_first").alias("_first_done"))
+    s = svc.withColumn("_idn", F.nullif(key, F.lit(""))).withColumn("_hk", hard).withColumn("_sk", soft)
+    asked = s.where(F.col("_idn").isNotNull()).select("_idn", "_hk", "_sk").distinct()
     hk = keys.select(F.col("_id").alias("_id1"), F.col("_k").alias("_hk1"), F.lit(True).alias("_hit_h"))
     sk = keys.select(F.col("_id").alias("_id2"), F.col("_k").alias("_sk2"), F.lit(True).alias("_hit_s"))
-    s = s.join(hk, (s._idn == hk._id1) & (s._hk == hk._hk1), "left") \
-         .join(sk, (s._idn == sk._id2) & (s._sk == sk._sk2), "left") \
-         .join(first_done, s._idn == first_done._id3, "left")
-    completed = (F.coalesce(F.col("_hit_h"), F.lit(False)) | F.coalesce(F.col("_hit_s"), F.lit(False)) |
-                 F.coalesce(F.col("_first_done") > F.col("sched_date"), F.lit(False)))
+    told = (asked.join(hk, (asked._idn == hk._id1) & (asked._hk == hk._hk1), "left").join(sk, (asked._idn == sk._id2) & (asked._sk == sk._sk2), "left")
+            .join(first_done, asked._idn == first_done._id3, "left")
+            .select(F.col("_idn").alias("_i"), F.col("_hk").alias("_h"), F.col("_sk").alias("_s"),
+                    F.coalesce(F.col("_hit_h"), F.col("_hit_s"), F.lit(False)).alias("_hit"), "_first_done"))
+    # rows without an id match nothing and pass
+    s = s.join(told, (F.col("_idn") == F.col("_i")) & F.col("_hk").eqNullSafe(F.col("_h")) & F.col("_sk").eqNullSafe(F.col("_s")), "left")
+    completed = F.coalesce(F.col("_hit"), F.lit(False)) | F.coalesce(F.col("_first_done") > F.col("sched_date"), F.lit(False))
     return s.withColumn("status", F.when(completed, F.lit("Completed")).otherwise(raw_status())) \
-            .drop("_idn", "_id3", "_hk", "_sk", "_id1", "_hk1", "_hit_h", "_id2", "_sk2", "_hit_s", "_first_done")
+            .drop("_idn", "_hk", "_sk", "_i", "_h", "_s", "_hit", "_first_done")
 
 
 def effective_status_month(svc: DataFrame, month: str) -> DataFrame:

@@ -13,7 +13,7 @@ from upkeep.functions import attach_one_row
 
 from upkeep.params import Params
 from upkeep.plans.replacement import replacement_rollup, replacement_status as _status
-from upkeep.session import materialize
+from upkeep.session import materialize, shared
 from upkeep.sources import bench
 
 PARAMS = Params()
@@ -55,9 +55,12 @@ def _scoped_repairs(spark, sf_dir):
 
 
 def _display_service_all(spark, sf_dir):
-    # the lineitem-orders join runs once; status, stub and duplicate rules read its rows
-    svc = materialize(bench.service(spark, sf_dir).where(F.col("month_key").isNotNull()))
-    return prepare_service_for_display(svc, "ALL", catalog=svc)
+    def build():
+        # the lineitem-orders join runs once; status, stub and duplicate rules read its rows
+        svc = materialize(bench.service(spark, sf_dir).where(F.col("month_key").isNotNull()))
+        return prepare_service_for_display(svc, "ALL", catalog=svc)
+
+    return shared(spark, "service-display", [f"{sf_dir}/lineitem.parquet", f"{sf_dir}/orders.parquet"], build)
 
 
 def q_kpi_row(spark, sf_dir):
@@ -577,10 +580,11 @@ def q_repairs_ingest(spark, sf_dir):
 
 
 def q_repairs_clean(spark, sf_dir):
-    """Raw repair row exports cleaned (labels, hours text, labor); totals per file month."""
+    """Raw repair row exports cleaned (labels, hours text, labor, row numbers); totals per file month."""
     rows = clean_repairs_rows(bench.repairs_row_export_grid(spark, sf_dir))
     return rows.groupBy("month_key").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("hours"), 2).alias("hours"),
+        F.count(F.lit(1)).alias("n_rows"), F.max("#").alias("last_no"), F.sum("#").alias("no_sum"),
+        F.countDistinct("file", "#").alias("n_numbers"), F.round(F.sum("hours"), 2).alias("hours"),
         F.round(F.sum("parts"), 2).alias("parts"), F.round(F.sum("labor"), 2).alias("labor"),
         F.count_if(F.col("vendor") == "—").alias("no_vendor"))
 
@@ -811,6 +815,28 @@ def q_csv_union_ingest(spark, sf_dir):
         F.countDistinct("Vendor").alias("n_vendors"), F.coalesce(F.sum(F.col("Line").cast("long")), F.lit(0)).alias("line_sum"))
 
 
+def q_rejected_files(spark, sf_dir):
+    """Events written as CSV files beside files that cannot be used: daily counts of two
+    types, one ending inside a quoted cell and one with a byte that is no UTF-8, and a file
+    without a row. Rows read from the good files, and files rejected per reason."""
+    from upkeep.session import scratch_path
+    from upkeep.sources.csv_scan import scan_csv
+    e = bench.read(spark, sf_dir, "events")
+    root = scratch_path(spark, f"rejects-{uuid.uuid4().hex}")
+    bad = F.col("event_type").isin("error", "purchase")
+    line = F.concat_ws(",", "event_id", F.date_format("ts", "yyyy-MM-dd"), F.concat(F.lit('"'), "event_type", F.lit(', """",\n"')))
+    e.where(F.coalesce(~bad, F.lit(True))).select(line.alias("value")).write.text(f"{root}/good")
+    daily = e.where(bad).groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    for kind, last in (("error", F.lit('"total')), ("purchase", F.unhex(F.lit("E9")).cast("string"))):
+        days = daily.where(F.col("event_type") == kind).select(F.concat_ws(",", "day", "n").alias("value"))  # a row a day
+        days.coalesce(1).unionByName(spark.range(1).select(last.alias("value"))).coalesce(1).write.text(f"{root}/{kind}")
+    e.where("false").select(F.lit("").alias("value")).write.text(f"{root}/none")
+    scan = scan_csv(spark, root, glob="*.txt", skip_bad=True)
+    whole = scan.grid.where(F.element_at("cells", 3).endswith(', "",\n') & (F.size("cells") == 3))
+    return whole.agg(F.count(F.lit(1)).alias("n")).select(F.lit("read").alias("outcome"), "n").unionByName(
+        scan.rejects.groupBy(F.col("reason").alias("outcome")).agg(F.count(F.lit(1)).alias("n")))
+
+
 def q_depreciation_cohorts(spark, sf_dir):
     """Depreciation over every fallback: summary rows (last per id), purchase-book rows
     (first per id), keyword, type and fleet medians of ages and of lives. Returned line

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from upkeep import params as P
 from upkeep.functions import (extract_label, labor_cost, month_from_file_name, month_key, norm_equip_id,
                               parse_date, parse_dollar, parse_repair_hours, strip_ws, to_double)
+from upkeep.operators.windows import dense_number
 from upkeep.session import materialize
 from upkeep.sources.raw_grid import field, find_header_rows, record_map, records, records_resolved, staged, unique_names
 
@@ -97,9 +98,8 @@ def clean_repairs_rows(grid: DataFrame, labor_rate: float = P.LABOR_RATE_PER_HOU
     Labelled cells lose their label; rows need a name or an id and a parseable
     completion date; hours come from the details text; labor = hours x rate and
     total = parts + labor, both rounded half-to-even at cents; month from the file
-    name."""
-    grid = staged(grid)
-    top = grid.where(F.col("row_no") == 0)
+    name. ``#`` numbers a file's kept rows 1..n in file order."""
+    top = materialize(grid.where(F.col("row_no") == 0))
     recs = records(grid, top.select("file", F.lit(0).alias("header_row")), top)
     vals = {k: extract_label(F.element_at("rec", F.lit(col)), label) for k, (col, label) in RAW_REPAIR_FIELDS.items()}
     row_text = F.concat_ws(" ", F.filter(F.map_values("rec"), lambda v: v.isNotNull() & (strip_ws(v) != "")))
@@ -115,7 +115,8 @@ def clean_repairs_rows(grid: DataFrame, labor_rate: float = P.LABOR_RATE_PER_HOU
          .withColumn("total", F.bround(F.col("parts") + F.col("labor"), 2)) \
          .withColumn("repairs", F.lit(1))
     months = materialize(top.select("file", month_from_file_name("file").alias("month_key")))  # once per file
-    return r.join(months, "file")
+    # written first: numbering reads its input twice, the raw rows should be cleaned once
+    return dense_number(materialize(r), "file", "row_no", "#").join(months, "file")
 
 
 REQUEST_COLUMNS = ("Work Order #", "Request Date", "Requestor", "Request", "Assigned To")

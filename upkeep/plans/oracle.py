@@ -610,9 +610,10 @@ WITH r AS (SELECT CASE WHEN year(l_shipdate) >= 2000 THEN strftime(l_shipdate, '
                        ELSE '2026-' || strftime(l_shipdate, '%m') END AS month_key,
                   CASE WHEN l_returnflag = 'N' THEN l_quantity / 10.0::DOUBLE WHEN l_returnflag = 'A' THEN 0.5
                        ELSE 1.0 END AS h,
-                  l_extendedprice * l_discount / 1000.0::DOUBLE AS p, s_name
+                  l_extendedprice * l_discount / 1000.0::DOUBLE AS p, s_name,
+                  row_number() OVER (PARTITION BY year(l_shipdate), month(l_shipdate)) AS no
            FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey WHERE l_shipdate IS NOT NULL)
-SELECT month_key, count(*) AS n_rows, round(sum(h), 2) AS hours, round(sum(p), 2) AS parts,
+SELECT month_key, count(*) AS n_rows, max(no) AS last_no, CAST(sum(no) AS BIGINT) AS no_sum, count(*) AS n_numbers, round(sum(h), 2) AS hours, round(sum(p), 2) AS parts,
        round(sum(round_even(h * 12.5::DOUBLE, 2)), 2) AS labor,
        count(*) FILTER (WHERE coalesce(s_name, '') = '') AS no_vendor
 FROM r GROUP BY month_key
@@ -853,6 +854,12 @@ SELECT l_partkey AS equip_id, count(*) AS n_rows, round(sum(l_extendedprice), 2)
 FROM lineitem GROUP BY 1
 """
 
+ORACLE["rejected_files"] = """
+SELECT 'read' AS outcome, count(*) AS n FROM events WHERE coalesce(event_type, '') NOT IN ('error', 'purchase')
+UNION ALL SELECT * FROM (VALUES ('open quote', 1::BIGINT), ('not text', 1::BIGINT), ('empty', 1::BIGINT)) AS t(outcome, n)
+"""
+
+
 def _row_order(descending: bool = False) -> str:
     keys = ("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity")
     return ", ".join(f"{k} DESC NULLS LAST" if descending else f"{k} ASC NULLS FIRST" for k in keys)

@@ -88,3 +88,25 @@ def materialize(df):
     path = scratch_path(df.sparkSession, f"materialized-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_SHARED: dict[tuple, object] = {}
+
+
+def shared(spark: SparkSession, name: str, sources: list[str], build):
+    """``materialize(build())``, once for the files of ``sources`` as they are now: queries
+    of a session that need the same intermediate table read one copy. The key holds every
+    source file's path, length and modification time (a listing, the files aren't read), so
+    changed sources make a new table; a table whose folder is gone is made again."""
+    listing = [r for path in sources for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+               .select("path", "length", "modificationTime").collect()]
+    key = (spark.sparkContext.applicationId, name, tuple(sorted(map(str, listing))))
+    df = _SHARED.get(key)
+    if df is not None:
+        try:
+            df.limit(1).count()
+            return df
+        except Exception:  # noqa: BLE001 - the folder was cleared
+            pass
+    _SHARED[key] = df = materialize(build())
+    return df

@@ -12,10 +12,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from upkeep.functions import header_token, norm_col_key, strip_ws
 from upkeep.session import materialize
+from upkeep.sources.csv_scan import CSV_GLOB, scan_csv
 
 # Cleaning jobs read a grid several times: the top rows for headers, then all rows. They
 # stage it first (``staged``): the source is parsed once, and the header search is pushed
@@ -24,63 +24,10 @@ from upkeep.session import materialize
 # they are small, and splits skewed files in the join beyond that.
 
 
-def _csv_lines(spark: SparkSession, path: str, schema: T.StructType, glob: str, multi_line: bool) -> DataFrame:
-    """CSV rows under ``path`` by an explicit text schema; a ``_raw`` field holds the
-    source text of each row whose cell count differs from the schema's."""
-    return (spark.read.schema(schema).option("header", False).option("multiLine", multi_line)
-            .option("escape", '"').option("pathGlobFilter", glob).option("recursiveFileLookup", True)
-            .option("columnNameOfCorruptRecord", "_raw").option("columnPruning", False)
-            .option("mode", "PERMISSIVE").csv(path))
-
-
-def csv_width(spark: SparkSession, path: str, glob: str = "*.{csv,CSV}", multi_line: bool = True) -> int:
-    """At least the most cells of any row: the most separators in any row's text, plus
-    one. One pass with a map-side maximum; one number reaches the driver."""
-    text = T.StringType()
-    schema = T.StructType([T.StructField("c0", text), T.StructField("_raw", text)])
-    commas = F.length("_raw") - F.length(F.replace("_raw", F.lit(","), F.lit("")))
-    most = _csv_lines(spark, path, schema, glob, multi_line).agg(F.max(commas).alias("n"), F.count("c0")).first()
-    return (most.n or 0) + 1
-
-
-def read_csv_grid(spark: SparkSession, path: str, width: int | None = None, glob: str = "*.{csv,CSV}",
-                  multi_line: bool = True) -> DataFrame:
-    """(file, row_no, cells) from every CSV under ``path``; all cells text.
-
-    The schema is as wide as the widest row (``csv_width``, a pass of its own), so no
-    cell is lost; a caller that knows a bound may give ``width``. Quotes are escaped
-    by doubling. Files are read whole (multi-line cells), so each file
-    is one reader task. Exports without line breaks inside cells can be read
-    with ``multi_line=False``: files are then split across tasks and still
-    numbered in order (``number_rows``)."""
-    if width is None:
-        width = csv_width(spark, path, glob, multi_line)
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
-    raw = _csv_lines(spark, path, schema, glob, multi_line)
-    cells = F.array(*[F.col(f"c{i}") for i in range(width)])
-    g = raw.select(F.col("_metadata.file_name").alias("file"), cells.alias("cells"))
-    g = number_rows(g)
-    # trailing empty cells beyond the last filled one are dropped
-    last = F.aggregate(F.sequence(F.lit(1), F.lit(width)), F.lit(0),
-                       lambda acc, i: F.when(F.try_element_at("cells", i).isNotNull(), i).otherwise(acc))
-    return g.withColumn("cells", F.slice("cells", 1, F.greatest(last, F.lit(1))))
-
-
-def number_rows(df: DataFrame, file_col: str = "file") -> DataFrame:
-    """0-based row number per file in read order, without a window over a file's rows.
-
-    Within one read partition ``monotonically_increasing_id`` is consecutive, so
-    each (file, partition) chunk is numbered by its id offset; chunks get a
-    running offset from a window over the chunks of a file (a handful per file,
-    not its rows) joined back. A huge splittable file is numbered
-    by all its reader tasks in parallel."""
-    d = df.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    chunks = d.groupBy(file_col, "_pid").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(file_col).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    j = d.join(chunks.select(file_col, "_pid", "_first", "_off"), [file_col, "_pid"])
-    return j.withColumn("row_no", F.col("_off") + F.col("_mid") - F.col("_first")) \
-            .drop("_pid", "_mid", "_first", "_off")
+def read_csv_grid(spark: SparkSession, path: str | list[str], glob: str = CSV_GLOB, skip_bad: bool = False) -> DataFrame:
+    """(file, row_no, cells) from every CSV under ``path``; all cells text, rows of any
+    width, cells with line breaks, large files read by many tasks (``csv_scan``)."""
+    return scan_csv(spark, path, glob, skip_bad).grid
 
 
 def grid_from_text(df: DataFrame, file_col: str, text_col: str, sep: str = ",") -> DataFrame:

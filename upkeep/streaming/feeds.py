@@ -83,21 +83,20 @@ def dedup_feed(spark: SparkSession, source_dir: str, schema: str, key: str, ts_c
     return spark.read.schema(stream.schema).parquet(out).select(*columns)
 
 
-def export_ingest(spark: SparkSession, source_dir: str, transform, target: str, width: int | None = None,
-                  run_id: str | None = None, partition_by: str | None = "month_key"):
+def export_ingest(spark: SparkSession, source_dir: str, transform, target: str, run_id: str | None = None, partition_by: str | None = "month_key"):
     """New CSV exports in ``source_dir`` -> ``transform(grid_batch)`` -> added to the
     canonical table ``target``, partitioned by ``feed_batch`` and month.
-    ``transform`` receives (file, row_no, cells) rows of whole new files, as wide as
-    their widest row unless ``width`` bounds it."""
+    ``transform`` receives (file, row_no, cells) rows of whole new files."""
+    from upkeep.sources.csv_scan import CSV_GLOB
     from upkeep.sources.raw_grid import read_csv_grid
-    listing = spark.readStream.format("binaryFile").schema(LISTING).option("pathGlobFilter", "*.csv").load(source_dir).select("path")
+    listing = spark.readStream.format("binaryFile").schema(LISTING).option("pathGlobFilter", CSV_GLOB).load(source_dir).select("path")
 
     def build(ckpt, _out, rid):
         def sink(batch: DataFrame, epoch: int):
             # the batch's file names: a listing the driver holds anyway
             paths = [r.path for r in batch.select("path").collect()]
             if paths:
-                grid = read_csv_grid(spark, paths, width, glob="*")
+                grid = read_csv_grid(spark, paths, glob="*")
                 _replace_batch(transform(grid), target, f"{rid}-{epoch}", [partition_by] if partition_by else [])
         return listing.writeStream.option("checkpointLocation", ckpt).foreachBatch(sink) \
                       .trigger(availableNow=True).start()
