@@ -68,13 +68,10 @@ def test_median_of_a_hot_key_with_millions_of_distinct_values(spark):
     got = exact_median(df, ["k"], "v", "m", "n").where("k = 'hot'").first()
     want = sorted(i * 1_103_515_245 % 2_147_483_647 / 1000.0 for i in range(0, n, 3))
     assert got.n == 1_000_000 and got.m == (want[499_999] + want[500_000]) / 2.0
-    # rows that reach a window: buckets, parts, and one part's values
+    # rows that reach a window: buckets, and the values of the middle one
     import upkeep.operators.stats as stats
-    hist = df.where("k = 'hot'").groupBy("k", "v").agg(F.count(F.lit(1)).alias("c")).withColumn("b", stats._bucket(F.col("v")))
-    assert hist.select("b").distinct().count() < 8000
-    middle = hist.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).where(F.col("low") <= got.m).orderBy(F.desc("low")).first()
-    inside = hist.where(F.col("b") == middle.b).groupBy(stats._part(F.col("v"), F.lit(middle.low), F.lit(middle.high)).alias("p")).count()
-    assert inside.agg(F.max("count")).first()[0] < 100
+    hist = df.where("k = 'hot'").groupBy("k", "v").agg(F.count(F.lit(1)).alias("c")).groupBy(stats._bucket(F.col("v")).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"))
+    assert hist.count() < 70_000 and hist.where(F.col("low") <= got.m).orderBy(F.desc("low")).first().n < 1000
 
 
 def test_median_of_awkward_values(spark):

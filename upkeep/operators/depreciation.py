@@ -21,6 +21,7 @@ from upkeep.functions import attach_one_row
 from upkeep.functions import age_months_from_date, age_months_from_year, book_value
 from upkeep.operators.rollup import drop_blank_ids
 from upkeep.operators.stats import exact_median
+from upkeep.session import materialize
 from upkeep.params import Params
 
 
@@ -45,22 +46,20 @@ def purchase_cohorts(purchase: DataFrame, params: Params = Params()):
         "keyword", "equip_type",
         age_months_from_year("year", params.as_of).alias("age_m"),
         (F.col("life_years") * 12.0).alias("life_m"))
-
-    def cohort(key):
-        r = rows.where(F.col(key).isNotNull() & (F.col(key) != "")) if key else rows
-        g = [key] if key else []
-        a = exact_median(r, g, "age_m", "median_age", "n_age")
-        life = exact_median(r, g, "life_m", "median_life", "n_life")
-        keys = r.where(F.col("age_m").isNotNull() | F.col("life_m").isNotNull()).select(*g).distinct() \
-            if g else None
-        if g:
-            out = keys.join(a, g, "left").join(life, g, "left")
-        else:
-            out = attach_one_row(a, life)
-        return out.withColumn("n", F.greatest(F.coalesce("n_age", F.lit(0)), F.coalesce("n_life", F.lit(0)))) \
-                  .drop("n_age", "n_life")
-
-    return cohort("keyword"), cohort("equip_type"), cohort(None)
+    # all cohorts and both measures in one selection of medians
+    cohorts = F.array(*[F.struct(F.lit(kind).alias("kind"), key.alias("key")) for kind, key in
+                        (("keyword", F.col("keyword")), ("type", F.col("equip_type")), ("fleet", F.lit("all")))])
+    measures = F.array(*[F.struct(F.lit(m).alias("m"), F.col(c).cast("double").alias("v")) for m, c in (("age", "age_m"), ("life", "life_m"))])
+    long = rows.select(F.explode(measures).alias("x"), cohorts.alias("_cs")).where("x.v is not null") \
+               .select("x.*", F.explode("_cs").alias("c")).select("c.*", "m", "v").where("key <> ''")
+    found = materialize(exact_median(long, ["kind", "key", "m"], "v", "median", "n"))
+
+    def cohort(kind, *key):
+        r = found.where(F.col("kind") == kind).select(*[F.col("key").alias(k) for k in key], "m", "median", "n")
+        pick = [F.max(F.when(F.col("m") == m, F.col("median"))).alias(f"median_{m}") for m in ("age", "life")]
+        return r.groupBy(*key).agg(*pick, F.coalesce(F.max("n"), F.lit(0)).alias("n"))
+
+    return cohort("keyword", "keyword"), cohort("type", "equip_type"), cohort("fleet")
 
 
 def resolve_depreciation(assets: DataFrame, *, meta: DataFrame | None, purchase_by_id: DataFrame | None,

@@ -6,16 +6,15 @@ middle rank is narrowed down instead:
 
 1. every group is reduced to a histogram of distinct values (partial aggregates,
    so a group with a third of all rows arrives pre-counted);
-2. values fall into buckets of a monotone scale (about 0.3 % of the value wide),
-   and only the bucket that holds the middle rank is kept, two for an even count
-   whose middle values lie apart;
-3. that bucket is cut into ``SUB`` equal parts between its least and greatest
-   value, and again only the middle one is kept;
-4. what is left, a few values, is read off by running counts.
-
-Windows see buckets, parts, and the values of one part: their size does not
-follow the group's distinct values. Every bucket scale used is monotone, which is
-all that exactness needs; a value equal to many others is one value.
+2. values fall into buckets of a monotone scale, each about 0.02 % of its value
+   wide, and only the bucket that holds the middle rank is kept, two for an even
+   count whose middle values lie apart;
+3. what is left, the values of that bucket, is read off by running counts.
+
+Windows see a group's buckets and the values of one bucket, not its distinct
+values. The scale is monotone, which is all that exactness needs; a value equal
+to many others is one value. Values that crowd into a few buckets (all within
+0.02 % of each other) meet in the last window, which sorts and spills.
 """
 
 from __future__ import annotations
@@ -25,8 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FINE = 256    # buckets for a doubling of the value
-SUB = 4096    # parts of the middle bucket
+FINE = 4096   # buckets for a growth of the value by a factor e
 
 
 def _bucket(v: Column) -> Column:
@@ -34,20 +32,6 @@ def _bucket(v: Column) -> Column:
     return (F.signum(v) * F.floor(F.log1p(F.abs(v)) * FINE)).cast("int")
 
 
-def _part(v: Column, low: Column, high: Column) -> Column:
-    """Place of ``v`` between ``low`` and ``high``, 0 to ``SUB``."""
-    return F.when(high > low, F.floor((v / 2 - low / 2) / (high / 2 - low / 2) * SUB)).otherwise(0).cast("int")
-
-
-def _middle(counts: DataFrame, keys: list[str], by: str, before: Column, first: Column, second: Column) -> DataFrame:
-    """Of rows (keys, by, _n): those that hold the ranks ``first`` or ``second``, with
-    ``_before``, the rows before them."""
-    w = Window.partitionBy(*keys).orderBy(by)
-    counts = counts.withColumn("_upto", before + F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    counts = counts.withColumn("_before", F.col("_upto") - F.col("_n"))
-    return counts.where((first > F.col("_before")) & (first <= F.col("_upto")) | (second > F.col("_before")) & (second <= F.col("_upto"))).drop("_upto")
-
-
 def exact_median(df: DataFrame, group_cols: Sequence[str], value_col: str, out: str = "median",
                  count_out: str | None = None) -> DataFrame:
     """One row per group with the exact median of non-null ``value_col``
@@ -62,29 +46,18 @@ def exact_median(df: DataFrame, group_cols: Sequence[str], value_col: str, out:
     odd = F.isnan("_v") | (F.abs("_v") == float("inf"))
     # values that are no finite number have buckets of their own at the ends
     hist = hist.withColumn("_b", F.when(~odd, _bucket(F.col("_v"))).when(F.col("_v") == float("-inf"), -(1 << 30)).when(F.isnan("_v"), (1 << 30) + 1).otherwise(1 << 30))
-    finite = F.when(~odd, F.col("_v"))
-    buckets = hist.groupBy(*keys, "_b").agg(F.sum("_c").alias("_n"), F.min(finite).alias("_low"), F.max(finite).alias("_high"))
-    total = F.sum("_n").over(Window.partitionBy(*keys))
-    buckets = buckets.withColumn("_all", total).withColumn("_k1", F.floor((F.col("_all") + 1) / 2)).withColumn("_k2", F.floor(F.col("_all") / 2) + 1)
-    kept = _middle(buckets, keys, "_b", F.lit(0), F.col("_k1"), F.col("_k2"))
-    ranks = ["_all", "_k1", "_k2"]
-
-    def within(rows: DataFrame, chosen: DataFrame, on: list[str], carried: list[str]) -> DataFrame:
-        """Rows whose ``on`` is among the chosen."""
-        c = chosen.select(*[F.col(k).alias("_j" + k) for k in on], *carried)
-        cond = None
-        for k in on:  # groups may be null
-            e = F.col(k).eqNullSafe(F.col("_j" + k))
-            cond = e if cond is None else cond & e
-        return rows.join(c, cond).drop(*["_j" + k for k in on])
-
-    left = within(hist, kept, [*keys, "_b"], [*ranks, "_before", "_low", "_high"])
-    left = left.withColumn("_p", F.coalesce(_part(F.col("_v"), F.col("_low"), F.col("_high")), F.lit(0)))
-    parts = left.groupBy(*keys, "_b", "_p", *ranks, F.col("_before").alias("_base")).agg(F.sum("_c").alias("_n"))
-    parts = _middle(parts, [*keys, "_b"], "_p", F.col("_base"), F.col("_k1"), F.col("_k2"))
-    last = within(left.drop(*ranks, "_before", "_low", "_high"), parts, [*keys, "_b", "_p"], [*ranks, "_before"])
-    run = Window.partitionBy(*keys, "_b", "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    last = last.withColumn("_cum", F.col("_before") + F.sum("_c").over(run))
+    buckets = hist.groupBy(*keys, "_b").agg(F.sum("_c").alias("_n"))
+    w = Window.partitionBy(*keys)
+    upto = F.sum("_n").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    buckets = buckets.withColumn("_all", F.sum("_n").over(w)).withColumn("_before", upto - F.col("_n"))
+    buckets = buckets.withColumn("_k1", F.floor((F.col("_all") + 1) / 2)).withColumn("_k2", F.floor(F.col("_all") / 2) + 1)
+    holds = [(F.col(k) > F.col("_before")) & (F.col(k) <= F.col("_before") + F.col("_n")) for k in ("_k1", "_k2")]
+    kept = buckets.where(holds[0] | holds[1]).select(*[F.col(k).alias("_j" + k) for k in (*keys, "_b")], "_all", "_k1", "_k2", "_before")
+    same = F.col("_b") == F.col("_j_b")
+    for k in keys:  # groups may be null
+        same = same & F.col(k).eqNullSafe(F.col("_j" + k))
+    run = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    last = hist.join(kept, same).withColumn("_cum", F.col("_before") + F.sum("_c").over(run))
 
     def at(rank: str) -> Column:
         # the least value that the running count reaches the rank with, in the bucket that holds it

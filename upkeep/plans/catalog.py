@@ -832,7 +832,7 @@ def q_rejected_files(spark, sf_dir):
         days.coalesce(1).unionByName(spark.range(1).select(last.alias("value"))).coalesce(1).write.text(f"{root}/{kind}")
     e.where("false").select(F.lit("").alias("value")).write.text(f"{root}/none")
     scan = scan_csv(spark, root, glob="*.txt", skip_bad=True)
-    whole = scan.grid.where(F.element_at("cells", 3).endswith(', "",\n') & (F.size("cells") == 3))
+    whole = scan.grid.where(F.get("cells", F.lit(2)).endswith(', "",\n') & (F.size("cells") == 3))
     return whole.agg(F.count(F.lit(1)).alias("n")).select(F.lit("read").alias("outcome"), "n").unionByName(
         scan.rejects.groupBy(F.col("reason").alias("outcome")).agg(F.count(F.lit(1)).alias("n")))
 
