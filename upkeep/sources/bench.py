@@ -216,7 +216,13 @@ def _export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     hours = F.col("l_quantity") / F.lit(10.0)
     parts = F.col("l_extendedprice") * F.col("l_discount") / F.lit(1000.0)
     labor = F.bround(hours * F.lit(12.5), 2)
-    return j.select("*", hours.alias("_hours"), parts.alias("_parts"), labor.alias("_labor"))
+    return _spread(j).select("*", hours.alias("_hours"), parts.alias("_parts"), labor.alias("_labor"))
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Line items over as many tasks as there are cores: a small table is read or joined in
+    one task, and cleaning a raw row costs far more than moving it."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "l_orderkey", "l_linenumber")
 
 
 def repairs_export_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,6 +353,7 @@ def service_export_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     pr = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("_pp"), "p_retailprice")
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(names, li.l_partkey == names._pid, "left") \
           .join(loc, li.l_suppkey == loc.s_suppkey, "left").join(pr, li.l_partkey == pr._pp, "left")
+    j = _spread(j)
     s = lambda c: F.col(c).cast("string")
     done = (F.col("l_linestatus") == "F") & (F.col("l_shipdate") >= F.col("o_orderdate"))
     sched_t = F.date_format("o_orderdate", "M/d/yyyy")
