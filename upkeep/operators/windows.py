@@ -73,9 +73,7 @@ def dense_number(df: DataFrame, by: str | Sequence[str], order: str | Sequence[s
     only one is over a group's runs, at most one a file. ``order`` should end in a unique column, else
     equal rows are numbered in any order."""
     by, order = ([c] if isinstance(c, str) else list(c) for c in (by, order))
-    keys = [F.col(c).asc_nulls_first() for c in by + order]
-    placed = materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()))
-    rows = placed.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    rows = _ranged(df, [F.col(c).asc_nulls_first() for c in by + order])
     ks = [f"_k{i}" for i in range(len(by))]
     runs = rows.groupBy(*[F.col(c).alias(k) for c, k in zip(by, ks)], F.col("_file").alias("_f")) \
                .agg(F.min("_part").alias("_p"), F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
@@ -91,3 +89,35 @@ def dense_number(df: DataFrame, by: str | Sequence[str], order: str | Sequence[s
     if count_out:
         rows = rows.withColumn(count_out, F.col("_all"))
     return rows.drop("_part", "_file", "_at", "_f", "_first", "_before", "_all", *ks)
+
+
+def _ranged(df: DataFrame, keys) -> DataFrame:
+    """The rows range-partitioned, sorted and written: ``_part`` is the place of a row's
+    range, ``_file`` and ``_at`` its file and place there."""
+    placed = materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()))
+    return placed.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+
+
+class RangedReport:
+    """A report sorted once, for reading pages of any depth.
+
+    The sorted rows are written in ranges; the row counts of the ranges, summed up, tell
+    which of them a page lies in, so a page reads those files only (their names prune the
+    scan) and the rows before it are never read, however deep it is. ``keys`` are sort
+    columns and should end in a unique one."""
+
+    def __init__(self, df: DataFrame, keys):
+        self.columns = df.columns
+        self.rows = _ranged(df, list(keys))
+        runs = self.rows.groupBy("_file").agg(F.min("_part").alias("_p"), F.count(F.lit(1)).alias("_n"))
+        before = Window.orderBy("_p", "_file").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+        self.ranges = materialize(runs.select("_file", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+
+    def page(self, page_no: int, size: int) -> DataFrame:
+        """``place`` (from 0) and the report's columns of page ``page_no`` (from 0)."""
+        first, last = page_no * size, (page_no + 1) * size
+        hit = self.ranges.where((F.col("_before") < last) & (F.col("_before") + F.col("_n") > first)).collect()  # the page's ranges
+        rows, place = self.rows.where(F.col("_file").isin([r["_file"] for r in hit])), F.lit(None).cast("long")
+        for r in hit:
+            place = F.when(F.col("_file") == r["_file"], F.col("_at") + r["_before"]).otherwise(place)
+        return rows.withColumn("place", place).where((F.col("place") >= first) & (F.col("place") < last)).select("place", *self.columns)

@@ -515,6 +515,22 @@ def q_stream_dedup_feed(spark, sf_dir):
                                           F.countDistinct("event_id").alias("n_ids"))
 
 
+def q_stream_dedup_late(spark, sf_dir):
+    """Events as a feed that arrives in two drops: the second repeats every third event
+    with another time and value, late or not, and adds late events with new ids. Per type:
+    rows, ids, and the sum of ids whose first drop's row stayed."""
+    from upkeep.session import scratch_path
+    e = bench.read(spark, sf_dir, "events")
+    root, run = scratch_path(spark, f"drops-{uuid.uuid4().hex}"), uuid.uuid4().hex
+    again = e.where(F.col("event_id") % 3 == 0).withColumn("ts", F.col("ts") + F.expr("make_interval(0, 0, 0, cast(event_id % 5 - 2 AS int))")).withColumn("value", F.lit(-1.0))
+    late = e.where(F.col("event_id") % 5 == 0).withColumn("event_id", F.col("event_id") + 10 ** 12).withColumn("ts", F.col("ts") - F.expr("INTERVAL 400 DAYS"))
+    for drop, rows in (("one", e), ("two", again.unionByName(again).unionByName(late))):
+        rows.write.parquet(f"{root}/{drop}")
+        feed = dedup_feed(spark, f"{root}/*", EVENTS_SCHEMA, "event_id", "ts", run_id=run)
+    return feed.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_events"), F.countDistinct("event_id").alias("n_ids"),
+                                          F.count_if(F.col("value") == -1.0).alias("n_replaced"), F.count_if(F.col("event_id") >= 10 ** 12).alias("n_late"))
+
+
 # ---- catalog model matching and catalog price ----------------------------------
 from upkeep.operators.catalog_match import load_catalog, match_catalog  # noqa: E402
 
@@ -959,3 +975,32 @@ def q_overview_scoped(spark, sf_dir):
     for x in parts[1:]:
         out = out.unionByName(x)
     return out
+
+
+def q_status_page(spark, sf_dir):
+    """A deep page of the replacement table sorted by status (Replace, Monitor, Good), then
+    id: read from the ranges it lies in, not through the rows before it."""
+    from upkeep.functions.status import status_rank
+    from upkeep.operators.windows import RangedReport
+    report = q_replacement_status(spark, sf_dir).select("equip_id", "status", "n_rows").withColumn("rank", status_rank("status"))
+    return RangedReport(report, [F.col("rank").desc(), F.col("equip_id").asc()]).page(25, 40).drop("rank")
+
+
+def q_life_rules(spark, sf_dir):
+    """Ids, lives and settings numbers of every part as text, read by the rules for each:
+    normalised id, positive years or null, number within its range or the default."""
+    from upkeep.functions.money import clamp_number, coerce_life_years
+    from upkeep.operators.category import normalize_ids
+    p = bench.read(spark, sf_dir, "part")
+    text = F.when(F.col("p_size") % 7 == 0, "n/a").otherwise((F.col("p_size") - 10).cast("string"))
+    rows = p.select("p_partkey", F.concat(F.lit(" "), F.col("p_partkey").cast("string"), F.lit(" ")).alias("raw_id"), text.alias("life"))
+    return normalize_ids(rows, "raw_id", "equip_id").select(
+        "p_partkey", "equip_id", coerce_life_years("life").alias("life_years"), clamp_number("life", 1, 30, 8).alias("setting"))
+
+
+def q_category_options(spark, sf_dir):
+    """The categories a report can be filtered by: distinct non-blank types."""
+    from upkeep.operators.options import category_options
+    p = bench.read(spark, sf_dir, "part")
+    padded = p.select(F.when(F.col("p_size") % 9 == 0, "  ").otherwise(F.concat(F.lit(" "), "p_type", F.lit(" "))).alias("category"))
+    return category_options(padded)

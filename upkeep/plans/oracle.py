@@ -971,3 +971,23 @@ UNION ALL SELECT 'footer', 'repair_records', count(*) FROM rs
 UNION ALL SELECT 'footer', 'assets', count(DISTINCT equip_id) FROM rs
 UNION ALL SELECT 'footer', 'service_orders', count(*) FROM disp
 """
+
+ORACLE["stream_dedup_late"] = """
+SELECT event_type, count(*) AS n_events, count(*) AS n_ids, 0::BIGINT AS n_replaced, CAST(sum(late) AS BIGINT) AS n_late
+FROM (SELECT event_type, 0 AS late FROM events UNION ALL SELECT event_type, 1 FROM events WHERE event_id % 5 = 0) GROUP BY 1
+"""
+
+ORACLE["status_page"] = f"""
+SELECT row_number() OVER (ORDER BY CASE status WHEN 'Replace' THEN 0 WHEN 'Monitor' THEN 1 WHEN 'Good' THEN 2 ELSE 3 END, equip_id) - 1 AS place,
+       equip_id, status, n_rows
+FROM ({ORACLE["replacement_status"]}) QUALIFY place >= 1000 AND place < 1040
+"""
+
+ORACLE["life_rules"] = """
+SELECT p_partkey, p_partkey::VARCHAR AS equip_id, CASE WHEN p_size % 7 <> 0 AND p_size > 10 THEN (p_size - 10)::DOUBLE END AS life_years,
+       CASE WHEN p_size % 7 = 0 THEN 8.0 ELSE least(30, greatest(1, p_size - 10)) END::DOUBLE AS setting FROM part
+"""
+
+ORACLE["category_options"] = """
+SELECT DISTINCT trim(p_type) AS category FROM part WHERE p_size % 9 <> 0 AND trim(p_type) <> ''
+"""

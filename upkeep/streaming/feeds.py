@@ -57,25 +57,35 @@ def daily_volume(spark: SparkSession, source_dir: str, schema: str, ts_col: str
     return spark.read.parquet(out)
 
 
+# Partition column of a row's key: stored keys are looked up by bucket.
+BUCKET = "feed_bucket"
+
+
 def dedup_feed(spark: SparkSession, source_dir: str, schema: str, key: str, ts_col: str,
-               glob: str = "*.parquet", run_id: str | None = None) -> DataFrame:
+               glob: str = "*.parquet", run_id: str | None = None, buckets: int = 64) -> DataFrame:
     """Feed without repeated keys, however late a row comes: within a batch the row
     with the earliest time stays (the smallest other columns on ties), and a key that
     an earlier batch stored is dropped by an anti join on the stored keys. Rows with
-    a null key count as one key."""
+    a null key count as one key.
+
+    Stored rows are partitioned by ``buckets`` hash buckets of their key, and a batch
+    reads the keys of the buckets its own keys fall into only: a small late file costs a
+    few buckets, not the store. ``buckets`` must stay the same for a run id."""
     stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(source_dir)
     columns = stream.columns
-    stored = T.StructType([f for f in stream.schema.fields if f.name == key] + [T.StructField(BATCH, T.StringType())])
+    stored = T.StructType([f for f in stream.schema.fields if f.name == key] + [T.StructField(BUCKET, T.IntegerType()), T.StructField(BATCH, T.StringType())])
 
     def build(ckpt, out, rid):
         def sink(batch: DataFrame, epoch: int):
             rank = F.struct(ts_col, *[c for c in columns if c not in (key, ts_col)])
-            one = batch.groupBy(key).agg(F.min(rank).alias("_r")).select(key, "_r.*")
+            one = batch.groupBy(key).agg(F.min(rank).alias("_r")).select(key, "_r.*") \
+                       .withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
             if epoch > 0:
-                seen = spark.read.schema(stored).parquet(out).where(F.col(BATCH) != f"{rid}-{epoch}") \
+                touched = [r[0] for r in one.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
+                seen = spark.read.schema(stored).parquet(out).where(F.col(BUCKET).isin(touched) & (F.col(BATCH) != f"{rid}-{epoch}")) \
                             .select(F.col(key).alias("_seen"))
                 one = one.join(seen, F.col(key).eqNullSafe(F.col("_seen")), "left_anti")
-            _replace_batch(one.select(*columns), out, f"{rid}-{epoch}")
+            _replace_batch(one.select(*columns, BUCKET), out, f"{rid}-{epoch}", [BUCKET])
         return stream.writeStream.option("checkpointLocation", ckpt).foreachBatch(sink) \
                      .trigger(availableNow=True).start()
 
