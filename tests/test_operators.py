@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from upkeep.operators.calendar import business_calendar, with_business_days
@@ -103,7 +104,15 @@ def test_union_by_name(spark):
     assert [tuple(r) for r in rows] == [(1, 2, None), (None, 3, 4)]
 
 
-def test_dense_number_after_shuffle(spark):
+@pytest.fixture
+def many_ranges(spark):
+    """Small ranges are not put together, as large ones would not be."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_dense_number_after_shuffle(spark, many_ranges):
     """1..n per group after a filter and a shuffle, with a group that spreads over many files."""
     from upkeep.operators.windows import dense_number
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 50 != 1, F.concat(F.lit("f"), F.col("id") % 7)).alias("file"),
@@ -123,3 +132,46 @@ def test_dense_number_whole_table_and_empty(spark):
     df = spark.createDataFrame([(5,), (None,), (3,)], "v int")
     assert [(r.v, r.n) for r in dense_number(df, [], "v", "n", start=0).orderBy("n").collect()] == [(None, 0), (3, 1), (5, 2)]
     assert dense_number(df.where("v > 9"), "v", "v", "n").columns == ["v", "n"] and dense_number(df.where("v > 9"), "v", "v", "n").count() == 0
+
+
+def test_ranged_report_pages(spark, many_ranges):
+    """Pages of any depth equal a full sort, and read only the files they lie in."""
+    from upkeep.operators.windows import RangedReport
+    df = spark.range(2000).select(F.when(F.col("id") % 11 != 0, F.concat(F.lit("s"), F.col("id") % 3)).alias("status"), ((F.col("id") * 7919) % 2003).alias("v"))
+    report = RangedReport(df, [F.col("status").desc_nulls_last(), F.col("v").asc()])
+    rows = sorted(((r.status, r.v) for r in df.collect()), key=lambda x: (x[0] is None, [-ord(c) for c in x[0] or ""], x[1]))
+    for page_no, size in ((0, 7), (3, 500), (66, 30), (199, 10), (0, 5000), (40, 50)):
+        got = sorted((r.place, r.status, r.v) for r in report.page(page_no, size).collect())
+        assert got == [(k, *rows[k]) for k in range(page_no * size, min(2000, (page_no + 1) * size))]
+    files = report.ranges.count()
+    assert files > 3 and len(report.page(66, 30).select(F.input_file_name()).distinct().collect()) <= 2
+    assert RangedReport(df.where("v < 0"), [F.col("v").asc()]).page(0, 10).count() == 0
+
+
+def test_feed_reads_only_the_buckets_of_its_keys(spark, monkeypatch):
+    """A later drop with two keys looks at their buckets of the store, and drops repeats however late."""
+    import os
+    import tempfile
+
+    from upkeep.streaming import feeds
+    d, run = tempfile.mkdtemp(), os.path.basename(tempfile.mkdtemp())
+    schema = "id long, ts timestamp, v string"
+
+    def drop(name, rows):
+        spark.createDataFrame(rows, "id long, day int, v string").selectExpr("id", "timestamp_seconds(day * 86400) AS ts", "v").write.parquet(f"{d}/{name}")
+        return sorted(map(str, (tuple(r)[::2] for r in feeds.dedup_feed(spark, f"{d}/*", schema, "id", "ts", run_id=run, buckets=16).collect())))
+
+    first = drop("one", [(k, 10, "a") for k in range(200)] + [(None, 9, "n"), (None, 8, "m")])
+    assert len(first) == 201 and "(None, 'm')" in first
+    seen = []
+    real = spark.read.schema(schema).__class__.parquet
+
+    def watch(self, *paths, **kw):
+        out = real(self, *paths, **kw)
+        if feeds.BUCKET in out.columns and "v" not in out.columns:
+            seen.append(out)
+        return out
+
+    monkeypatch.setattr(spark.read.__class__, "parquet", watch)
+    assert drop("two", [(7, 1, "late"), (7, 1, "late"), (1000, 1, "new"), (None, 1, "x")]) == sorted([*first, "(1000, 'new')"])
+    assert len(seen) == 1
