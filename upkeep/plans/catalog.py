@@ -1004,3 +1004,19 @@ def q_category_options(spark, sf_dir):
     p = bench.read(spark, sf_dir, "part")
     padded = p.select(F.when(F.col("p_size") % 9 == 0, "  ").otherwise(F.concat(F.lit(" "), "p_type", F.lit(" "))).alias("category"))
     return category_options(padded)
+
+
+def q_summary_merge(spark, sf_dir):
+    """Equipment summary kept as a state per id: returned line items first, then accepted
+    ones, then a small drop for few ids, each merged into the state; latest date per id, the
+    earliest row on ties, as if all rows had been cleaned at once."""
+    from upkeep.operators.state import KeyedState
+    from upkeep.session import scratch_path
+    li = bench.read(spark, sf_dir, "lineitem")
+    rows = li.select(F.col("l_partkey").alias("equip_id"), F.col("l_shipdate").cast("date").alias("purchase_date"), F.col("l_extendedprice").alias("cost"), "l_returnflag",
+                     F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice").alias("row_ord"))
+    keep = ("equip_id", "purchase_date", "cost", "row_ord")
+    state = KeyedState(spark, scratch_path(spark, f"summary-{uuid.uuid4().hex}"), rows.select(*keep).schema, "equip_id", "purchase_date", buckets=16)
+    for drop in (F.col("l_returnflag") == "R", F.col("l_returnflag") == "A", (F.col("l_returnflag") == "N") & (F.col("l_partkey") % 97 == 0)):
+        state.merge(rows.where(drop).select(*keep))
+    return state.rows().select("equip_id", "purchase_date", F.col("cost").cast("double").alias("cost"))

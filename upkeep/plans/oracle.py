@@ -991,3 +991,9 @@ SELECT p_partkey, p_partkey::VARCHAR AS equip_id, CASE WHEN p_size % 7 <> 0 AND
 ORACLE["category_options"] = """
 SELECT DISTINCT trim(p_type) AS category FROM part WHERE p_size % 9 <> 0 AND trim(p_type) <> ''
 """
+
+ORACLE["summary_merge"] = """
+SELECT l_partkey AS equip_id, CAST(l_shipdate AS DATE) AS purchase_date, CAST(l_extendedprice AS DOUBLE) AS cost FROM lineitem
+WHERE l_returnflag IN ('R', 'A') OR (l_returnflag = 'N' AND l_partkey % 97 = 0)
+QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY CAST(l_shipdate AS DATE) DESC NULLS LAST, l_orderkey, l_linenumber, l_suppkey, l_extendedprice) = 1
+"""
