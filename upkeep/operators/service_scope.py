@@ -10,7 +10,8 @@
 
 Skew: nothing here puts a whole group into one task. Group statistics are
 aggregates with a map-side phase; rows are matched back to them with equi
-joins, which AQE splits when a key is hot. No window spans a group.
+joins, which AQE splits when a key is hot. No window spans a group. Only rows
+that a rule can change, open rows and the groups that hold one, are looked up.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from upkeep.functions import attach_one_row
 
 from upkeep.functions import month_key, next_month_start, norm_desc, norm_equip_id, soft_norm_desc, strip_ws
 from upkeep.params import Params
+from upkeep.session import materialize
 
 
 def raw_status(c="status"):
@@ -30,29 +32,40 @@ def raw_status(c="status"):
 
 
 def effective_status_all(svc: DataFrame, catalog: DataFrame, id_col: str = "equip_id") -> DataFrame:
-    """All-months effective status; ``catalog`` is the unscoped service table. Rows
-    without an id (null or blank) keep their own status: they share no asset."""
+    """All-months effective status; ``catalog`` is the unscoped service table, which holds
+    the rows of ``svc``. Rows without an id (null or blank) keep their own status: they
+    share no asset.
+
+    A completed row is its own evidence, so only open rows ask the catalogue: they are
+    reduced to (id, hard key, soft key), and of the completions only those of their ids
+    are keyed and grouped."""
     key = norm_equip_id(id_col)
-    cat = catalog.where(F.col("month_key").isNotNull()).withColumn("_id", key).where(F.col("_id") != "")
-    # rows are reduced to (id, hard key, soft key) before they meet: what a key says of
-    # its id is worked out on these, and joined to the rows once
     hard, soft = norm_desc("description"), soft_norm_desc("description")
-    done = cat.where(F.col("completed_date").isNotNull()).groupBy("_id", hard.alias("_h"), soft.alias("_s")).agg(F.min("completed_date").alias("_first"))
+    named = key != ""
+    dated = F.col("completed_date").isNotNull() & F.col("month_key").isNotNull()
+    own = dated & named
+    open_rows = svc.where(~dated & named).withColumn("_idn", key).withColumn("_hk", hard).withColumn("_sk", soft)
+    # written, so the planner knows how few they are
+    asked = materialize(open_rows.select("_idn", "_hk", "_sk").distinct())
+    ids = asked.select("_idn").distinct()
+    cat = catalog.where(F.col("month_key").isNotNull() & F.col("completed_date").isNotNull()) \
+                 .select(key.alias("_id"), "description", "completed_date").where(F.col("_id") != "")
+    cat = cat.join(ids, F.col("_id") == F.col("_idn"), "left_semi")
+    done = materialize(cat.groupBy("_id", "description").agg(F.min("completed_date").alias("_first"))
+                       .groupBy("_id", hard.alias("_h"), soft.alias("_s")).agg(F.min("_first").alias("_first")))
     keys = done.select("_id", F.explode(F.array_distinct(F.array("_h", "_s"))).alias("_k")).distinct()
     first_done = done.groupBy(F.col("_id").alias("_id3")).agg(F.min("_first").alias("_first_done"))
-    s = svc.withColumn("_idn", F.nullif(key, F.lit(""))).withColumn("_hk", hard).withColumn("_sk", soft)
-    asked = s.where(F.col("_idn").isNotNull()).select("_idn", "_hk", "_sk").distinct()
     hk = keys.select(F.col("_id").alias("_id1"), F.col("_k").alias("_hk1"), F.lit(True).alias("_hit_h"))
     sk = keys.select(F.col("_id").alias("_id2"), F.col("_k").alias("_sk2"), F.lit(True).alias("_hit_s"))
     told = (asked.join(hk, (asked._idn == hk._id1) & (asked._hk == hk._hk1), "left").join(sk, (asked._idn == sk._id2) & (asked._sk == sk._sk2), "left")
             .join(first_done, asked._idn == first_done._id3, "left")
             .select(F.col("_idn").alias("_i"), F.col("_hk").alias("_h"), F.col("_sk").alias("_s"),
                     F.coalesce(F.col("_hit_h"), F.col("_hit_s"), F.lit(False)).alias("_hit"), "_first_done"))
-    # rows without an id match nothing and pass
-    s = s.join(told, (F.col("_idn") == F.col("_i")) & F.col("_hk").eqNullSafe(F.col("_h")) & F.col("_sk").eqNullSafe(F.col("_s")), "left")
+    j = open_rows.join(told, (F.col("_idn") == F.col("_i")) & (F.col("_hk") == F.col("_h")) & (F.col("_sk") == F.col("_s")), "left")
     completed = F.coalesce(F.col("_hit"), F.lit(False)) | F.coalesce(F.col("_first_done") > F.col("sched_date"), F.lit(False))
-    return s.withColumn("status", F.when(completed, F.lit("Completed")).otherwise(raw_status())) \
-            .drop("_idn", "_hk", "_sk", "_i", "_h", "_s", "_hit", "_first_done")
+    judged = j.withColumn("status", F.when(completed, F.lit("Completed")).otherwise(raw_status())).select(*svc.columns)
+    rest = svc.where(~named | own).withColumn("status", F.when(own, F.lit("Completed")).otherwise(raw_status())).select(*svc.columns)
+    return rest.unionByName(judged)
 
 
 def effective_status_month(svc: DataFrame, month: str) -> DataFrame:
@@ -76,24 +89,23 @@ def collapse_stale_duplicates(svc: DataFrame, soft: bool = False, id_col: str =
     completed rows, keep its best row by (has completion, status Completed,
     completion date, scheduled date), earliest row on ties; else keep all.
 
-    One aggregation per group gives the row count, the completed count and the
-    winning row (``min_by`` over the negated rank, then row order); one join
-    back keeps the rows. Both are shuffle operators AQE can split, so a hot
-    group never has to fit one task."""
+    A mixed group's best row is a completed one, so its winner is sought among the
+    completed rows of groups that hold an open row (``min_by`` over the negated rank,
+    then row order); one join back keeps the rows. Keys are worked out once and written,
+    winners too, so the planner knows how few they are. All of it is shuffle operators
+    AQE can split, so a hot group never has to fit one task."""
     key = soft_norm_desc("description") if soft else norm_desc("description")
-    s = svc.withColumn("_dk", key).withColumn("_dm", F.coalesce(month_key("sched_date"), F.lit("")))
-    has_c = F.col("completed_date").isNotNull()
+    s = materialize(svc.withColumn("_dk", key).withColumn("_dm", F.coalesce(month_key("sched_date"), F.lit(""))))
     far = F.lit("0001-01-01").cast("date")
-    neg_rank = F.struct((-has_c.cast("int")).alias("a"),
-                        (-(F.lower(strip_ws(F.col("status"))) == "completed").cast("int")).alias("b"),
-                        (-F.unix_date(F.coalesce(F.col("completed_date"), far))).alias("c"),
+    neg_rank = F.struct((-(F.lower(strip_ws(F.col("status"))) == "completed").cast("int")).alias("b"),
+                        (-F.unix_date(F.col("completed_date"))).alias("c"),
                         (-F.unix_date(F.coalesce(F.col("sched_date"), far))).alias("d"),
                         F.col(order_col).alias("o"))
     gkey = [id_col, "_dk", "_dm"]
-    stats = s.groupBy(*gkey).agg(F.count(F.lit(1)).alias("_n"), F.count("completed_date").alias("_nd"),
-                                 F.min_by(F.col(order_col), neg_rank).alias("_win"))
-    stale = stats.where((F.col("_nd") > 0) & (F.col("_nd") < F.col("_n"))) \
-                 .select(*[F.col(c).alias("_s" + c) for c in gkey], "_win")
+    opened = materialize(s.where(F.col("completed_date").isNull()).select(*[F.col(c).alias("_o" + c) for c in gkey]).distinct())
+    done = s.where(F.col("completed_date").isNotNull())
+    mixed = done.join(opened, [done[c].eqNullSafe(opened["_o" + c]) for c in gkey], "left_semi")
+    stale = materialize(mixed.groupBy(*[F.col(c).alias("_s" + c) for c in gkey]).agg(F.min_by(F.col(order_col), neg_rank).alias("_win")))
     j = s.join(stale, [s[c].eqNullSafe(stale["_s" + c]) for c in gkey], "left").drop(*["_s" + c for c in gkey])
     keep = F.col("_win").isNull() | (F.col(order_col) == F.col("_win"))
     return j.where(keep).drop("_dk", "_dm", "_win")
@@ -105,8 +117,8 @@ def prepare_service_for_display(svc: DataFrame, month: str, catalog: DataFrame |
     ``month`` is ``'ALL'`` or ``'YYYY-MM'``; ``svc`` is already month-scoped."""
     catalog = catalog if catalog is not None else svc
     if str(month).strip().upper() == "ALL":
-        s = effective_status_all(svc, catalog, id_col)
-        s = drop_prior_open_stubs(s, catalog)
+        # the status looks at the catalogue only, so rows that drop needn't be judged
+        s = effective_status_all(drop_prior_open_stubs(svc, catalog), catalog, id_col)
         return collapse_stale_duplicates(s, soft=True, id_col=id_col)
     s = effective_status_month(svc, month)
     return collapse_stale_duplicates(s, soft=False, id_col=id_col)
