@@ -13,6 +13,7 @@ from upkeep.operators.rollup import repair_count_mix
 from upkeep.operators.scope import building_scope, month_scope
 from upkeep.operators.service_scope import done_with_turnaround, prepare_service_for_display
 from upkeep.params import Params
+from upkeep.session import materialize
 
 
 def overview(spark: SparkSession, month: str, req: DataFrame, svc_all: DataFrame, rep: DataFrame,
@@ -20,16 +21,19 @@ def overview(spark: SparkSession, month: str, req: DataFrame, svc_all: DataFrame
              scope: DataFrame | None = None, user_id=None) -> dict[str, DataFrame]:
     """Datasets of the overview for ``month`` ('ALL' or 'YYYY-MM').
 
-    Inputs are scoped once (month, then building) and the scoped service table
-    is persisted because most datasets read it. The completion catalogue of the
-    all-months status rule is the unscoped service table."""
+    Inputs are scoped once (month, then building); the scoped repairs and the displayed
+    service rows are written because most datasets read them. The completion catalogue of
+    the all-months status rule is the unscoped service table, written before, since
+    scopes and rules read it many times."""
     all_months = str(month).strip().upper() == "ALL"
-    r, s, q = month_scope(rep, month), month_scope(svc_all, month), month_scope(req, month)
+    catalog = materialize(svc_all.where(F.col("month_key").isNotNull())) if all_months else svc_all
+    r, s, q = month_scope(rep, month), month_scope(catalog, month), month_scope(req, month)
     if scope is not None:
         r = building_scope(r, scope, user_id)
         s = building_scope(s, scope, user_id)
         q = building_scope(q, scope, user_id) if "location" in q.columns else q
-    s = prepare_service_for_display(s, month, catalog=svc_all.where(F.col("month_key").isNotNull())).persist()
+    r = materialize(r)
+    s = materialize(prepare_service_for_display(s, month, catalog=catalog))
     cal = business_calendar(spark, params)
     done = done_with_turnaround(s, cal, params)
     out = {
