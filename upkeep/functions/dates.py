@@ -29,14 +29,14 @@ def month_key(c) -> Column:
     return F.date_format(col(c), "yyyy-MM")
 
 
-def parse_date(c, formats=DATE_FORMATS) -> Column:
+def parse_date(c, formats=DATE_FORMATS, stripped: bool = False) -> Column:
     """Lenient date parse: first format that fits, else null.
 
     Blank text is null without trying formats, and the two common shapes go
     straight to their format: a failed parse costs an exception inside the
     formatter, so routing by a cheap shape test keeps the per-row cost low
     (results are the same as trying every format in order)."""
-    s = strip_ws(col(c).cast("string"))
+    s = col(c).cast("string") if stripped else strip_ws(col(c).cast("string"))
     full = F.coalesce(*[F.try_to_date(s, f) for f in formats])
     if tuple(formats) != DATE_FORMATS:
         return full

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from upkeep.functions._col import col
-from upkeep.functions.text import strip_ws
+from upkeep.functions.text import strip_cell, strip_ws
 from upkeep import params as P
 
 __all__ = ["to_double", "parse_dollar_amount", "parse_dollar", "parse_list_cost",
@@ -19,8 +19,9 @@ def to_double(c) -> Column:
     return strip_ws(col(c).cast("string")).try_cast("double")
 
 
-def _money_text(c) -> Column:
-    return F.translate(strip_ws(col(c).cast("string")), "$,", "")
+def _money_text(c, stripped: bool = False) -> Column:
+    s = col(c).cast("string")
+    return F.translate(s if stripped else strip_ws(s), "$,", "")
 
 
 def parse_dollar_amount(c) -> Column:
@@ -31,9 +32,9 @@ def parse_dollar_amount(c) -> Column:
             .when(n > 0, n).otherwise(F.lit(None).cast("double"))
 
 
-def parse_dollar(c) -> Column:
+def parse_dollar(c, stripped: bool = False) -> Column:
     """Amount with invalid -> 0.0; negatives kept."""
-    return F.coalesce(_money_text(c).try_cast("double"), F.lit(0.0))
+    return F.coalesce(_money_text(c, stripped).try_cast("double"), F.lit(0.0))
 
 
 def parse_list_cost(c) -> Column:
@@ -52,11 +53,13 @@ def parse_purchase_year(c) -> Column:
 
 
 def row_mentions_found(row_text) -> Column:
-    return F.lower(F.coalesce(col(row_text), F.lit(""))).rlike(r"\bfound\b")
+    low = F.lower(F.coalesce(col(row_text), F.lit("")))
+    return F.contains(low, F.lit("found")) & low.rlike(r"\bfound\b")
 
 
 def parse_repair_hours(details, row_text, found_hours: float = P.FOUND_HOURS,
-                       blank_hours: float = P.DEFAULT_HOURS_WHEN_BLANK, mixed_numbers: bool = False) -> Column:
+                       blank_hours: float = P.DEFAULT_HOURS_WHEN_BLANK, mixed_numbers: bool = False,
+                       stripped: bool = False) -> Column:
     """Repair duration from a free-text details cell.
 
     ``found`` -> found_hours; blank -> found_hours when the row mentions found,
@@ -66,7 +69,7 @@ def parse_repair_hours(details, row_text, found_hours: float = P.FOUND_HOURS,
     source exports' cleaner); ``mixed_numbers=True`` reads it as 1.5.
     """
     d = col(details).cast("string")
-    s = strip_ws(d)
+    s = d if stripped else strip_ws(d)
     low = F.lower(s)
     blank = d.isNull() | (s == "") | (low == "nan")
     found_row = row_mentions_found(row_text)
@@ -74,28 +77,27 @@ def parse_repair_hours(details, row_text, found_hours: float = P.FOUND_HOURS,
     norm = low
     for w in ("hours", "hour", "hrs", "hr"):
         norm = F.replace(norm, F.lit(w), F.lit(""))
-    norm = F.regexp_replace(strip_ws(norm), r"\s+", " ")
+    norm = F.regexp_replace(strip_cell(norm), r"\s+", " ")
     frac = r"(\d+)\s*/\s*(\d+)"
     num_a = F.regexp_extract(norm, frac, 1).cast("double")
     num_b = F.regexp_extract(norm, frac, 2).cast("double")
     typo = r"^(\d+)\s+(\d)$"
-    typo_val = F.concat(F.regexp_extract(strip_ws(norm), typo, 1), F.lit("."),
-                        F.regexp_extract(strip_ws(norm), typo, 2)).cast("double")
+    typo_val = F.concat(F.regexp_extract(norm, typo, 1), F.lit("."),
+                        F.regexp_extract(norm, typo, 2)).cast("double")
     dotted = F.replace(norm, F.lit(","), F.lit("."))
-    first_num = F.regexp_extract(dotted, r"(\d+\.?\d*)", 1).cast("double")
+    first_num = F.nullif(F.regexp_extract(dotted, r"(\d+\.?\d*)", 1), F.lit("")).cast("double")
     mixed = r"(\d+)\s+(\d+)\s*/\s*(\d+)"
     mixed_val = F.regexp_extract(norm, mixed, 1).cast("double") + \
         F.regexp_extract(norm, mixed, 2).cast("double") / F.regexp_extract(norm, mixed, 3).cast("double")
     out = (F.when(blank, fallback)
-           .when((low == "found") | low.rlike(r"^found\b"), F.lit(float(found_hours))))
+           .when(F.startswith(low, F.lit("found")) & low.rlike(r"^found\b"), F.lit(float(found_hours))))
     if mixed_numbers:
         out = out.when(norm.rlike(mixed) & (F.regexp_extract(norm, mixed, 3).cast("double") != 0), mixed_val)
     return (out
-            .when(norm.rlike(frac),
+            .when(F.contains(low, F.lit("/")) & norm.rlike(frac),
                   F.when(num_b != 0, num_a / num_b).otherwise(F.lit(float(blank_hours))))
-            .when(strip_ws(norm).rlike(typo), typo_val)
-            .when(dotted.rlike(r"\d"), first_num)
-            .otherwise(fallback))
+            .when(norm.rlike(typo), typo_val)
+            .otherwise(F.coalesce(first_num, fallback)))
 
 
 def labor_cost(hours, rate: float = P.LABOR_RATE_PER_HOUR) -> Column:

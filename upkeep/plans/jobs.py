@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from upkeep import params as P
 from upkeep.functions import (extract_label, labor_cost, month_from_file_name, month_key, norm_equip_id,
-                              parse_date, parse_dollar, parse_repair_hours, strip_ws, to_double)
+                              parse_date, parse_dollar, parse_repair_hours, strip_cell, strip_ws, to_double)
 from upkeep.operators.windows import dense_number
 from upkeep.session import materialize
-from upkeep.sources.raw_grid import field, find_header_rows, record_map, records, records_resolved, staged, unique_names
+from upkeep.sources.raw_grid import field, find_header_rows, name_place, record_map, records_resolved, staged, unique_names
 
 # ---- fixed values: export column names and aliases ---------------------------
 REPAIRS_COLUMNS = ("#", "Completed Date", "Equipment Name", "Equipment ID", "Location", "Service Vendor",
@@ -100,23 +100,25 @@ def clean_repairs_rows(grid: DataFrame, labor_rate: float = P.LABOR_RATE_PER_HOU
     total = parts + labor, both rounded half-to-even at cents; month from the file
     name. ``#`` numbers a file's kept rows 1..n in file order."""
     top = materialize(grid.where(F.col("row_no") == 0))
-    recs = records(grid, top.select("file", F.lit(0).alias("header_row")), top)
-    vals = {k: extract_label(F.element_at("rec", F.lit(col)), label) for k, (col, label) in RAW_REPAIR_FIELDS.items()}
-    row_text = F.concat_ws(" ", F.filter(F.map_values("rec"), lambda v: v.isNotNull() & (strip_ws(v) != "")))
-    completed = parse_date(F.element_at("rec", F.lit("CompletedDate1")))
-    hours = parse_repair_hours(F.element_at("rec", F.lit("Details")), row_text)
-    parts = parse_dollar(F.element_at("rec", F.lit("Textbox38")))
-    r = recs.select("file", "row_no", completed.alias("completed_date"), vals["equipment"].alias("equipment"),
-                    vals["equip_id"].alias("equip_id"), vals["location"].alias("location"),
-                    F.when(vals["vendor"] != "", vals["vendor"]).otherwise(F.lit("—")).alias("vendor"),
-                    hours.alias("hours"), parts.alias("parts"))
-    r = r.where(((F.col("equipment") != "") | (F.col("equip_id") != "")) & F.col("completed_date").isNotNull())
+    spec = {**{k: (col,) for k, (col, _) in RAW_REPAIR_FIELDS.items()}, "completed": ("CompletedDate1",), "details": ("Details",), "cost": ("Textbox38",)}
+    recs = records_resolved(grid, top.select("file", F.lit(0).alias("header_row")), spec, lambda k: k, top)
+    # white space goes once a cell, not once a rule
+    cells = recs.select("file", "row_no", "cells", "_width", *[strip_cell(field(k)).alias("_" + k) for k in spec])
+    vals = {k: extract_label("_" + k, label, stripped=True) for k, (_, label) in RAW_REPAIR_FIELDS.items()}
+    row_text = F.concat_ws(" ", F.slice("cells", F.lit(1), F.col("_width")))
+    r = cells.select("file", "row_no", parse_date("_completed", stripped=True).alias("completed_date"), vals["equipment"].alias("equipment"),
+                    vals["equip_id"].alias("equip_id"), vals["location"].alias("location"), vals["vendor"].alias("vendor"),
+                    parse_repair_hours("_details", row_text, stripped=True).alias("hours"),
+                    parse_dollar("_cost", stripped=True).alias("parts"))
+    # written as parsed, then filtered: a filter would be pushed into the parsing and every
+    # cell parsed twice, and numbering reads its input twice
+    r = materialize(r).where(((F.col("equipment") != "") | (F.col("equip_id") != "")) & F.col("completed_date").isNotNull())
+    r = r.withColumn("vendor", F.when(F.col("vendor") != "", F.col("vendor")).otherwise(F.lit("—")))
     r = r.withColumn("labor", labor_cost("hours", labor_rate)) \
          .withColumn("total", F.bround(F.col("parts") + F.col("labor"), 2)) \
          .withColumn("repairs", F.lit(1))
     months = materialize(top.select("file", month_from_file_name("file").alias("month_key")))  # once per file
-    # written first: numbering reads its input twice, the raw rows should be cleaned once
-    return dense_number(materialize(r), "file", "row_no", "#").join(months, "file")
+    return dense_number(r, "file", "row_no", "#").join(months, "file")
 
 
 REQUEST_COLUMNS = ("Work Order #", "Request Date", "Requestor", "Request", "Assigned To")
@@ -269,37 +271,35 @@ def clean_service_grid(grid: DataFrame, default_year: int = P.DEFAULT_FILE_YEAR,
     ren = F.create_map(*kv)
     names = F.transform("raw", lambda c: F.when(
         is_ol, F.coalesce(F.element_at(ren, c), F.when((c == "Name") & ~has_loc, F.lit("Location")), c)).otherwise(c))
-    hdr = materialize(hdr.select("_hf", is_ol.alias("order_list"), unique_names(names).alias("names"),
-                                 month_from_file_name("_hf", default_year).alias("_fm")))  # once per file
+    hdr = hdr.select("_hf", is_ol.alias("order_list"), unique_names(names).alias("names"),
+                     month_from_file_name("_hf", default_year).alias("_fm"))  # once per file
+    wanted = ("EquipmentId", "ScheduledDate", "CompletedDate", "Description", "StatusRaw", "EquipmentName", "Name", "Location", "Cost")
+    hdr = hdr.select("*", *[F.lit(n).alias("_c_" + n) for n in wanted])
+    hdr = materialize(hdr.select("_hf", "order_list", "_fm", *[name_place("names", "_c_" + n) for n in wanted]))
     g = grid.where(F.col("row_no") > 0).join(hdr, F.col("file") == F.col("_hf"))
-    g = g.select("file", "row_no", "order_list", "_fm", record_map("names", "cells").alias("rec"))
-
-    def cell(name):
-        return F.element_at("rec", F.lit(name))
-
-    eid = strip_ws(F.coalesce(cell("EquipmentId"), F.lit("")))
-    base = g.select("file", "row_no", "order_list", "_fm", eid.alias("_eid"),
-                    cell("ScheduledDate").alias("_sched"), cell("CompletedDate").alias("_comp"),
-                    cell("Description").alias("_desc"), cell("StatusRaw").alias("_hint"),
-                    strip_ws(F.coalesce(cell("EquipmentName"), cell("Name"), F.lit(""))).alias("_name"),
-                    strip_ws(F.coalesce(cell("Location"), F.lit(""))).alias("_loc"),
-                    parse_dollar(cell("Cost")).alias("_price"))
+    g = g.select("file", "row_no", "order_list", "_fm", *[strip_cell(field(n)).alias(n) for n in wanted])
+    # every cell is parsed once and written: filters and the forward fill below would
+    # else be pushed into the parsing and repeat it
+    base = materialize(g.select(
+        "file", "row_no", "order_list", "_fm", F.coalesce("EquipmentId", F.lit("")).alias("_eid"),
+        F.coalesce(F.col("ScheduledDate") != "", F.lit(False)).alias("_has_sched"), is_placeholder_description("Description").alias("_stub"),
+        parse_date("ScheduledDate", stripped=True).alias("_sd"), parse_date("CompletedDate", stripped=True).alias("_cd"),
+        clean_service_description("Description", stripped=True).alias("_dc"), F.col("StatusRaw").alias("_hint"),
+        F.coalesce("EquipmentName", "Name", F.lit("")).alias("_name"),
+        F.coalesce("Location", F.lit("")).alias("_loc"), parse_dollar("Cost", stripped=True).alias("_price")))
     ol = base.where(F.col("order_list"))
     leg = forward_fill(base.where(~F.col("order_list")), ["file"], "row_no", F.col("_eid") != "",
                        ["_eid", "_name", "_loc", "_price"], bucket_rows=detail_bucket_rows, prefix="ctx")
-    leg = leg.select("file", "row_no", "_fm", "_sched", "_comp", "_desc", F.lit(None).cast("string").alias("_hint"),
+    leg = leg.select("file", "row_no", "_fm", "_has_sched", "_stub", "_sd", "_cd", "_dc", F.lit(None).cast("string").alias("_hint"),
                      F.coalesce(F.col("ctx_eid"), F.lit("")).alias("_eid"),
                      F.coalesce(F.col("ctx_name"), F.lit("")).alias("_name"),
                      F.coalesce(F.col("ctx_loc"), F.lit("")).alias("_loc"),
                      F.coalesce(F.col("ctx_price"), F.lit(0.0)).alias("_price"))
     rows = ol.select(*leg.columns).unionByName(leg)
-    # each parsed value is its own column, referenced (not re-expanded) below
-    rows = rows.withColumn("_sd", parse_date(F.col("_sched"))).withColumn("_cd", parse_date(F.col("_comp"))) \
-               .withColumn("_dc", clean_service_description(F.col("_desc")))
     rows = rows.withColumn("_ms", month_key("_sd")).withColumn("_mc", month_key("_cd"))
     months_ok = (F.col("_fm").isNull() | (F.col("_ms").isNull() & F.col("_mc").isNull()) |
                  (F.col("_fm") == F.col("_ms")) | (F.col("_fm") == F.col("_mc")))
-    keep = (F.col("_sched").isNotNull() & (strip_ws(F.col("_sched")) != "") & ~is_placeholder_description("_desc")
+    keep = (F.col("_has_sched") & ~F.col("_stub")
             & (F.col("_eid") != "") & (F.col("_sd").isNotNull() | F.col("_cd").isNotNull())
             & F.coalesce(months_ok, F.lit(True))
             & (F.col("_dc") != "") & ~F.lower(F.col("_dc")).startswith("delete duplicate"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -81,12 +82,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), name)
 
 
+@contextmanager
+def compiled(spark: SparkSession):
+    """HotSpot compiles no method above 8,000 bytes of bytecode, so a stage that parses many
+    columns in one generated method would be interpreted, row by row. Inside this context
+    such a stage is run by its operators, whose expressions are cut into small methods."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df):
     """Compute a reused intermediate result once: written as Parquet to the shared
     folder and read back, so lineage is cut, later reads are pruned to their columns
     and a lost executor costs nothing but a re-read."""
     path = scratch_path(df.sparkSession, f"materialized-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    with compiled(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

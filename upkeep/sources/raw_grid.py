@@ -148,16 +148,22 @@ def resolve_columns(names: Column, spec: dict, key_fn) -> list[Column]:
 
 
 def records_resolved(grid: DataFrame, headers: DataFrame, spec: dict, key_fn, top: DataFrame | None = None) -> DataFrame:
-    """Like ``records`` plus one ``_c_<name>`` column per spec entry holding the
-    resolved header name (null when the file lacks the column). Resolution runs
-    on one row per file; rows then read ``element_at(rec, _c_<name>)``."""
+    """Rows below each file's header as (file, row_no, cells) plus one ``_c_<name>`` column
+    per spec entry, the place (from 0) of the resolved header name, null when the file lacks
+    the column, and ``_width``, the file's number of names. Resolution runs on one row per
+    file; rows read their cells by place, so no map is built per row."""
     hn = header_names(grid if top is None else top, headers)
-    hn = materialize(hn.select(F.col("file").alias("_nf"), "header_row", "names",
-                               *resolve_columns(F.col("names"), spec, key_fn)))
+    hn = hn.select(F.col("file").alias("_nf"), "header_row", "names", *resolve_columns(F.col("names"), spec, key_fn))
+    hn = materialize(hn.select("_nf", "header_row", F.size("names").alias("_width"), *[name_place("names", "_c_" + k) for k in spec]))
     g = grid.join(hn, F.col("file") == F.col("_nf")).where(F.col("row_no") > F.col("header_row"))
-    return g.select("file", "row_no", record_map("names", "cells").alias("rec"), *[F.col("_c_" + k) for k in spec])
+    return g.select("file", "row_no", "cells", "_width", *[F.col("_c_" + k) for k in spec])
+
+
+def name_place(names: str, name: str) -> Column:
+    """Place (from 0) of the header name in column ``name`` among unique ``names``; null when absent."""
+    return (F.nullif(F.array_position(F.col(names), F.col(name)).cast("int"), F.lit(0)) - 1).alias(name)
 
 
 def field(name: str) -> Column:
-    """Cell of a resolved column (null when the file has no such column)."""
-    return F.element_at(F.col("rec"), F.col("_c_" + name))
+    """Cell of a resolved column; null when the file has no such column or the row is short."""
+    return F.get("cells", F.col("_c_" + name))
