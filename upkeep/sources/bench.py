@@ -269,7 +269,8 @@ def repairs_row_export_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit("$"), F.col("_parts").cast("string")), details)
     data = r.select(file.alias("file"), (F.lit(1) + F.monotonically_increasing_id()).alias("row_no"),
                     cells.alias("cells"))
-    hdr = data.select("file").distinct().select(
+    # the files follow from the line items alone: no join or spreading for them
+    hdr = read(spark, sf_dir, "lineitem").select(file.alias("file")).distinct().select(
         "file", F.lit(0).cast("long").alias("row_no"),
         F.array(*[F.lit(h) for h in ("PersonnelId5", "PersonnelId1", "PersonnelId4", "PersonnelId3",
                                      "CompletedDate1", "Textbox38", "Details")]).alias("cells"))
