@@ -155,3 +155,15 @@ def test_no_files(spark):
     d = tempfile.mkdtemp()
     assert read_csv_grid(spark, d).count() == 0 and rejected_files(spark, d).count() == 0
     assert read_csv_table(spark, d).columns == ["source_file"]
+
+
+def test_cells_without_a_gap_need_no_lambda(spark):
+    from upkeep.sources.csv_scan import filled, record_cells
+    records = {"a,b": ["a", "b"], "": [None], ",": [None], "a,": ["a"], ",a,,b": [None, "a", None, "b"], '"x, y",,""': ["x, y"],
+               '"",z': [None, "z"], 'a,"': ["a"], '"p""q",1': ['p"q', "1"]}
+    df = spark.createDataFrame([(k,) for k in records], "v string")
+    out = df.select("v", filled(record_cells(F.col("v"), F.split("v", '"'))).alias("c"))
+    assert {r.v: r.c for r in out.collect()} == records
+    # the pass over every cell is behind a search for an empty one
+    plan = df.select(record_cells(F.col("v"), F.split("v", '"')))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" in plan

@@ -81,7 +81,16 @@ def _plainly_quoted(pieces: Column) -> Column:
 
 
 def record_cells(value: Column, pieces: Column) -> Column:
-    """The cells of a record; ``pieces``: the record cut at its quotes."""
+    """The cells of a record, empty ones null; ``pieces``: the record cut at its quotes."""
+    return _nulled(_cell_texts(value, pieces))
+
+
+def _nulled(cells: Column) -> Column:
+    # a lambda over the cells only where one is empty
+    return F.when(F.array_contains(cells, ""), F.transform(cells, lambda c: F.nullif(c, F.lit("")))).otherwise(cells)
+
+
+def _cell_texts(value: Column, pieces: Column) -> Column:
     n = F.size(pieces)
     plain = F.concat_ws("", F.transform(pieces, lambda p, i: F.when(i % 2 == 1, p).when((p == "") & (i > 0) & (i < n - 1), F.lit('"'))
                                         .otherwise(F.replace(p, F.lit(","), F.lit(_CUT)))))
@@ -96,19 +105,20 @@ def record_cells(value: Column, pieces: Column) -> Column:
                         F.concat(acc["out"], F.when(text, F.lit('"')).otherwise(""), F.when(s == 0, F.replace(after, F.lit(","), F.lit(_CUT))).otherwise(after)).alias("out"))
 
     odd = _fold(pieces, start, step, lambda acc: acc["out"])
-    cells = F.when(n == 1, F.split(value, ",")).otherwise(F.split(F.when(_plainly_quoted(pieces), plain).otherwise(odd), _CUT))
-    return F.transform(cells, lambda c: F.nullif(c, F.lit("")))
+    return F.when(n == 1, F.split(value, ",")).otherwise(F.split(F.when(_plainly_quoted(pieces), plain).otherwise(odd), _CUT))
 
 
 def filled(cells: Column) -> Column:
     """Without the empty cells after the last filled one; at least one cell."""
     behind = F.array_position(F.transform(F.reverse(cells), lambda c: c.isNotNull()), True)
-    return F.slice(cells, 1, F.when(behind == 0, 1).otherwise(F.size(cells) - behind + 1).cast("int"))
+    cut = F.slice(cells, 1, F.when(behind == 0, 1).otherwise(F.size(cells) - behind + 1).cast("int"))
+    return F.when(F.get(cells, F.size(cells) - 1).isNotNull(), cells).otherwise(cut)
 
 
 def _parsed(rows: DataFrame) -> DataFrame:
     """``file, row_no, cells`` of ``_path, row_no, value``."""
-    cut = rows.withColumn("_pieces", F.split("value", '"')).withColumn("_cells", record_cells(F.col("value"), F.col("_pieces")))
+    cut = rows.withColumn("_pieces", F.split("value", '"')).withColumn("_texts", _cell_texts(F.col("value"), F.col("_pieces")))
+    cut = cut.withColumn("_cells", _nulled(F.col("_texts")))
     return cut.select(_name("_path").alias("file"), F.col("row_no").cast("long").alias("row_no"), filled(F.col("_cells")).alias("cells"))
 
 
