@@ -25,11 +25,10 @@ def _money_text(c, stripped: bool = False) -> Column:
 
 
 def parse_dollar_amount(c) -> Column:
-    """Positive amount or null ('', 'enter data', junk and <= 0 are null)."""
-    s = strip_ws(col(c).cast("string"))
-    n = _money_text(c).try_cast("double")
-    return F.when((s == "") | (F.lower(s) == "enter data"), F.lit(None).cast("double")) \
-            .when(n > 0, n).otherwise(F.lit(None).cast("double"))
+    """Positive amount or null: '', 'enter data' and other junk are no numbers, and
+    amounts <= 0 are null too."""
+    n = _money_text(strip_cell(col(c).cast("string")), stripped=True).try_cast("double")
+    return F.when(n > 0, n)
 
 
 def parse_dollar(c, stripped: bool = False) -> Column:

@@ -63,17 +63,23 @@ def load_catalog(raw: DataFrame, order_col: str = "row_ord") -> tuple[DataFrame,
     """Catalog rows (model, category, year, price, row_ord) with valid year and
     positive price -> (models: model, norm_name, category, ord, tokens;
     prices: model, year, price). Category = first row of the model, price per
-    (model, year) = last row."""
+    (model, year) = last row. The rows are read and their prices parsed once: the
+    first and last row of each (model, year) text are written, and both tables
+    follow from them."""
     from upkeep.functions import parse_dollar_amount, parse_purchase_year
-    r = raw.select(F.trim(F.col("model").cast("string")).alias("model"),
-                   F.trim(F.col("category").cast("string")).alias("category"),
-                   parse_purchase_year("year").alias("year"), parse_dollar_amount("price").alias("price"),
-                   F.col(order_col).alias("_o")) \
-           .where((F.col("model") != "") & F.col("year").isNotNull() & F.col("price").isNotNull())
-    models = r.groupBy("model").agg(F.min_by("category", "_o").alias("category"), F.min("_o").alias("ord"))
+    rows = raw.select("model", "year", "category", parse_dollar_amount("price").alias("price"), F.col(order_col).alias("_o"))
+    valid = F.col("price").isNotNull()
+    ends = materialize(rows.groupBy("model", "year").agg(
+        F.min(F.when(valid, F.struct("_o", "category"))).alias("first"),
+        F.max(F.when(valid, F.struct("_o", "price"))).alias("last")).where(F.col("last").isNotNull()))
+    r = ends.select(F.trim(F.col("model").cast("string")).alias("model"),
+                    F.trim(F.col("first.category").cast("string")).alias("category"), F.col("first._o").alias("_first"),
+                    parse_purchase_year("year").alias("year"), F.col("last.price").alias("price"), F.col("last._o").alias("_last")) \
+            .where((F.col("model") != "") & F.col("year").isNotNull())
+    models = r.groupBy("model").agg(F.min_by("category", "_first").alias("category"), F.min("_first").alias("ord"))
     models = models.withColumn("norm_name", norm_equipment_name("model")).where(F.col("norm_name") != "") \
                    .withColumn("tokens", distinctive_tokens(F.col("norm_name")))
-    prices = r.groupBy("model", "year").agg(F.max_by("price", "_o").alias("price"))
+    prices = r.groupBy("model", "year").agg(F.max_by("price", "_last").alias("price"))
     return models, prices
 
 
@@ -201,7 +207,9 @@ def _ice_candidates(names: DataFrame, models: DataFrame) -> DataFrame:
 
 def match_catalog(names: DataFrame, name_col: str, models: DataFrame) -> DataFrame:
     """(name_col, model, match_tier) for each distinct name; null model when no tier hits."""
-    d = names.select(name_col).distinct().withColumn("name_norm", clean_name(name_col))
+    # names are cleaned once each: filters and joins on the cleaned name would otherwise move
+    # below the distinct, where every row's name is cleaned
+    d = materialize(names.select(name_col).distinct().withColumn("name_norm", clean_name(name_col)))
     # both sides are read by every tier: written once
     nn = materialize(d.select("name_norm").where(F.col("name_norm") != "").distinct())
     models = materialize(models)

@@ -53,7 +53,9 @@ def exact_median(df: DataFrame, group_cols: Sequence[str], value_col: str, out:
     buckets = buckets.withColumn("_k1", F.floor((F.col("_all") + 1) / 2)).withColumn("_k2", F.floor(F.col("_all") / 2) + 1)
     holds = [(F.col(k) > F.col("_before")) & (F.col(k) <= F.col("_before") + F.col("_n")) for k in ("_k1", "_k2")]
     kept = buckets.where(holds[0] | holds[1]).select(*[F.col(k).alias("_j" + k) for k in (*keys, "_b")], "_all", "_k1", "_k2", "_before")
-    same = F.col("_b") == F.col("_j_b")
+    # null-safe for buckets too, though they are never null: an inferred not-null test would move into
+    # one of the two readings of the histogram, and the rows would be read and reduced twice
+    same = F.col("_b").eqNullSafe(F.col("_j_b"))
     for k in keys:  # groups may be null
         same = same & F.col(k).eqNullSafe(F.col("_j" + k))
     run = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)

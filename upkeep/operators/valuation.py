@@ -41,14 +41,20 @@ def valuation_sheet(purchase: DataFrame, service: DataFrame, recent_years: int =
 def nearest_year_price(targets: DataFrame, catalog: DataFrame, model_col: str = "model") -> DataFrame:
     """Price for each target (model, target_year): the exact catalog year, else
     the nearest year (earlier year on ties); clamping to the first/last year is
-    the nearest rule at the ends. Equi join on the model: candidates per target
-    are that model's catalog years only."""
-    j = targets.join(catalog, model_col, "left")
+    the nearest rule at the ends. Equi join on the model: candidates are that
+    model's catalog years only, and each (model, target_year) asks once however
+    many targets share it."""
+    asked = [model_col, "target_year"]
+    j = targets.select(*asked).distinct().join(catalog, model_col, "left")
     dist = F.abs(F.col("year") - F.col("target_year"))
     best = F.min_by(F.struct(F.col("year").alias("catalog_year"), F.col("price").alias("price")),
                     F.struct(dist.alias("d"), F.col("year").alias("y")))
     keys = [c for c in targets.columns]
-    return j.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.catalog_year", "_b.price")
+    found = j.groupBy(*asked).agg(best.alias("_b")).select(*[F.col(c).alias(f"_a{i}") for i, c in enumerate(asked)], "_b")
+    same = F.lit(True)
+    for i, c in enumerate(asked):  # targets without a model or year stay, as any other
+        same = same & F.col(c).eqNullSafe(F.col(f"_a{i}"))
+    return targets.distinct().join(found, same, "left").select(*keys, "_b.catalog_year", "_b.price")
 
 
 def first_valid_price(rows: DataFrame, id_col: str, price_col: str, order_col: str = "row_ord") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from upkeep.operators.catalog_match import match_catalog
 from upkeep.operators.category import resolve_category
 from upkeep.operators.valuation import nearest_year_price, price_cascade
+from upkeep.session import materialize
 
 
 def catalog_prices_by_id(names: DataFrame, years: DataFrame, models: DataFrame, prices: DataFrame) -> DataFrame:
@@ -33,7 +34,8 @@ def enrich_repairs(rep: DataFrame, names: DataFrame, *, type_map: DataFrame | No
 
     ``names`` = (equip_id, equip_name) per asset; ``keywords`` = (equip_id,
     keyword); price books are (equip_id | keyword, price)."""
-    ids = rep.select("equip_id").distinct()
+    # written once: categories, keyword prices and the join back each start from the ids
+    ids = materialize(rep.select("equip_id").distinct())
     a = ids.join(names, "equip_id", "left")
     a = resolve_category(a, "equip_name", type_map, summary)
     a = a.join(keywords, "equip_id", "left")
