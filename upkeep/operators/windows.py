@@ -5,7 +5,7 @@ Skew: a key (an asset, a file, a conversation) may hold a third of all rows,
 so none of these runs one window over a whole key.
 * ``latest_per_key`` is a ``min_by`` aggregate (partial per task, then merged).
 * ``forward_fill`` is a two-level scan: runs inside fixed-size buckets of the
-  order column, plus a carry computed over one row per bucket.
+  order column, plus a carry over one row per bucket for those that begin without a header.
 * ``dense_number`` numbers range-sorted files by prefix sums of their counts.
 """
 
@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from upkeep.session import materialize
+from upkeep.session import materialize, packed
 
 
 def latest_per_key(df: DataFrame, key: str | Sequence[str], date_col: str, order_col: str = "row_ord") -> DataFrame:
@@ -34,31 +34,43 @@ def latest_per_key(df: DataFrame, key: str | Sequence[str], date_col: str, order
 
 
 def forward_fill(df: DataFrame, part_cols: Sequence[str], order_col: str, is_header, carry_cols: Sequence[str],
-                 bucket_rows: int = 4096, prefix: str = "ctx_") -> DataFrame:
+                 bucket_rows: int = 4096, prefix: str = "ctx_", rows=None, keep: Sequence[str] | None = None) -> DataFrame:
     """Rows where ``is_header`` holds set ``carry_cols`` for themselves and all
     following rows (by integer ``order_col`` within ``part_cols``) until the next
     header; all carried columns reset together. Rows before the first header
-    get nulls."""
-    parts = list(part_cols)
-    hdr = F.when(is_header, F.struct(F.col(order_col).alias("_o"), *[F.col(c).alias(c) for c in carry_cols]))
-    d = df.withColumn("_hdr", hdr).withColumn("_bk", F.floor(F.col(order_col) / F.lit(bucket_rows)))
-    # level 1: running last header inside each (partition, bucket): at most bucket_rows per window
+    get nulls. ``rows``: condition on ``df`` of the rows to return, else all;
+    ``keep``: the columns of ``df`` to return, else all.
+
+    Filled rows are written; only buckets that begin without a header ask the
+    buckets before them, and where there is none no carry is computed."""
+    parts, keep = list(part_cols), list(df.columns if keep is None else keep)
+    header = F.struct(F.col(order_col).alias("_o"), *[F.col(c).alias(c) for c in carry_cols])
+    dealt = df.withColumn("_bk", F.floor(F.col(order_col) / F.lit(bucket_rows)))
+    # level 1: running last header inside each (partition, bucket): at most bucket_rows per window.
+    # Rows are dealt first, so the header's values aren't shuffled a second time as a struct
     w = Window.partitionBy(*parts, "_bk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    d = dealt.repartition(*parts, "_bk").withColumn("_hdr", F.when(is_header, header))
     d = d.withColumn("_in", F.last("_hdr", ignorenulls=True).over(w))
-    # level 2: last header of each bucket, then carry = last header of earlier buckets
-    per_bucket = d.where(F.col("_hdr").isNotNull()).groupBy(*parts, "_bk") \
-                  .agg(F.max_by("_hdr", F.col(order_col)).alias("_last"))
-    wb = Window.partitionBy(*parts).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    # buckets without any header still need the carry from before them
-    bucket_keys = d.select(*parts, "_bk").distinct()
-    allb = bucket_keys.join(per_bucket.select(*parts, "_bk", "_last"), parts + ["_bk"], "left")
-    carry = allb.withColumn("_carry", F.last("_last", ignorenulls=True).over(wb)).drop("_last")
-    d = d.join(carry, parts + ["_bk"], "left")
-    filled = F.coalesce(F.col("_in"), F.col("_carry"))
-    out = d.withColumn("_f", filled)
-    for c in carry_cols:
-        out = out.withColumn(prefix + c, F.col("_f")[c])
-    return out.withColumn(prefix + order_col, F.col("_f")["_o"]).drop("_hdr", "_bk", "_in", "_carry", "_f")
+    d = d if rows is None else d.where(rows)
+    at = [F.col(c).alias(f"_p{i}") for i, c in enumerate(parts)]
+    with packed(df.sparkSession):
+        d = materialize(d.select(*[F.col(c).alias("_c_" + c) for c in keep], *at, "_bk", "_in"))
+    filled, unfilled = d.where(F.col("_in").isNotNull()), d.where(F.col("_in").isNull())
+    if unfilled.limit(1).count():
+        # level 2: last header of each bucket, then carry = last header of earlier buckets
+        ps = [f"_p{i}" for i in range(len(parts))]
+        asking = materialize(unfilled.select(*ps, "_bk").distinct().withColumn("_asks", F.lit(True)))
+        heads = dealt.where(is_header).select(*at, "_bk", header.alias("_last"))
+        if ps:
+            heads = heads.join(asking.select(*ps).distinct(), ps, "left_semi")
+        heads = heads.groupBy(*ps, "_bk").agg(F.max_by("_last", "_last._o").alias("_last"))
+        wb = Window.partitionBy(*ps).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+        carry = asking.join(heads, [*ps, "_bk"], "full").withColumn("_carry", F.last("_last", ignorenulls=True).over(wb))
+        carry = carry.where("_asks").select(*ps, "_bk", "_carry")
+        unfilled = unfilled.drop("_in").join(carry, [*ps, "_bk"], "left").withColumnRenamed("_carry", "_in")
+        d = filled.unionByName(unfilled)
+    out = [F.col("_c_" + c).alias(c) for c in keep] + [F.col("_in")[c].alias(prefix + c) for c in carry_cols]
+    return d.select(*out, F.col("_in")["_o"].alias(prefix + order_col))
 
 
 def dense_number(df: DataFrame, by: str | Sequence[str], order: str | Sequence[str], out: str = "row_no",

@@ -27,6 +27,7 @@ DEFAULT_ANNUAL_PARTS_BUDGET = 80_000
 DEFAULT_MONTHLY_PARTS_BUDGET = 6_667   # round(80000 / 12)
 DEFAULT_FILE_YEAR = 2026
 PAGE_SIZE_DEFAULT = 20
+BROADCAST_ROWS = 1_000_000           # most rows of a dimension table that a broadcast is hinted for
 TOKEN_MATCH_MIN_SCORE = 0.5
 HOLIDAY_RANGE = ("2000-01-01", "2035-12-31")
 STATUS_RANK = {"Good": 0, "Monitor": 1, "Replace": 2}

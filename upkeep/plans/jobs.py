@@ -15,7 +15,7 @@ from upkeep import params as P
 from upkeep.functions import (extract_label, labor_cost, month_from_file_name, month_key, norm_equip_id,
                               parse_date, parse_dollar, parse_repair_hours, strip_cell, strip_ws, to_double)
 from upkeep.operators.windows import dense_number
-from upkeep.session import materialize
+from upkeep.session import materialize, packed
 from upkeep.sources.raw_grid import field, find_header_rows, name_place, record_map, records_resolved, staged, unique_names
 
 # ---- fixed values: export column names and aliases ---------------------------
@@ -259,7 +259,7 @@ def clean_service_grid(grid: DataFrame, default_year: int = P.DEFAULT_FILE_YEAR,
     scheduled or completed month."""
     from upkeep.functions import (clean_service_description, is_placeholder_description, status_from_hint)
     from upkeep.operators.windows import forward_fill
-    grid = staged(grid)
+    # the grid isn't staged: it is read for its first rows, and once more where all rows are parsed
     hdr = grid.where(F.col("row_no") == 0).select(
         F.col("file").alias("_hf"),
         F.transform("cells", lambda c: strip_ws(F.regexp_replace(F.coalesce(c, F.lit("")), "^﻿", ""))).alias("raw"))
@@ -280,30 +280,34 @@ def clean_service_grid(grid: DataFrame, default_year: int = P.DEFAULT_FILE_YEAR,
     g = g.select("file", "row_no", "order_list", "_fm", *[strip_cell(field(n)).alias(n) for n in wanted])
     # every cell is parsed once and written: filters and the forward fill below would
     # else be pushed into the parsing and repeat it
-    base = materialize(g.select(
+    base = g.select(
         "file", "row_no", "order_list", "_fm", F.coalesce("EquipmentId", F.lit("")).alias("_eid"),
         F.coalesce(F.col("ScheduledDate") != "", F.lit(False)).alias("_has_sched"), is_placeholder_description("Description").alias("_stub"),
         parse_date("ScheduledDate", stripped=True).alias("_sd"), parse_date("CompletedDate", stripped=True).alias("_cd"),
         clean_service_description("Description", stripped=True).alias("_dc"), F.col("StatusRaw").alias("_hint"),
         F.coalesce("EquipmentName", "Name", F.lit("")).alias("_name"),
-        F.coalesce("Location", F.lit("")).alias("_loc"), parse_dollar("Cost", stripped=True).alias("_price")))
-    ol = base.where(F.col("order_list"))
-    leg = forward_fill(base.where(~F.col("order_list")), ["file"], "row_no", F.col("_eid") != "",
-                       ["_eid", "_name", "_loc", "_price"], bucket_rows=detail_bucket_rows, prefix="ctx")
-    leg = leg.select("file", "row_no", "_fm", "_has_sched", "_stub", "_sd", "_cd", "_dc", F.lit(None).cast("string").alias("_hint"),
+        F.coalesce("Location", F.lit("")).alias("_loc"), parse_dollar("Cost", stripped=True).alias("_price"))
+    with packed(grid.sparkSession):
+        base = materialize(base)
+    ms, mc = month_key("_sd"), month_key("_cd")
+    months_ok = F.col("_fm").isNull() | (ms.isNull() & mc.isNull()) | (F.col("_fm") == ms) | (F.col("_fm") == mc)
+    # what a row's own cells decide; only these rows and headers take part in the fill
+    keep = (F.col("_has_sched") & ~F.col("_stub") & (F.col("_sd").isNotNull() | F.col("_cd").isNotNull())
+            & F.coalesce(months_ok, F.lit(True))
+            & (F.col("_dc") != "") & ~F.lower(F.col("_dc")).startswith("delete duplicate"))
+    has_id = F.col("_eid") != ""
+    ol = base.where(F.col("order_list") & keep)
+    own = ["file", "row_no", "_sd", "_cd", "_dc"]
+    leg = base.where(~F.col("order_list") & (has_id | keep)).withColumn("_keep", keep)
+    leg = forward_fill(leg.select(*own, "_eid", "_name", "_loc", "_price", "_keep"), ["file"], "row_no", has_id,
+                       ["_eid", "_name", "_loc", "_price"], bucket_rows=detail_bucket_rows, prefix="ctx", rows=F.col("_keep"), keep=own)
+    leg = leg.select(*own, F.lit(None).cast("string").alias("_hint"),
                      F.coalesce(F.col("ctx_eid"), F.lit("")).alias("_eid"),
                      F.coalesce(F.col("ctx_name"), F.lit("")).alias("_name"),
                      F.coalesce(F.col("ctx_loc"), F.lit("")).alias("_loc"),
                      F.coalesce(F.col("ctx_price"), F.lit(0.0)).alias("_price"))
     rows = ol.select(*leg.columns).unionByName(leg)
-    rows = rows.withColumn("_ms", month_key("_sd")).withColumn("_mc", month_key("_cd"))
-    months_ok = (F.col("_fm").isNull() | (F.col("_ms").isNull() & F.col("_mc").isNull()) |
-                 (F.col("_fm") == F.col("_ms")) | (F.col("_fm") == F.col("_mc")))
-    keep = (F.col("_has_sched") & ~F.col("_stub")
-            & (F.col("_eid") != "") & (F.col("_sd").isNotNull() | F.col("_cd").isNotNull())
-            & F.coalesce(months_ok, F.lit(True))
-            & (F.col("_dc") != "") & ~F.lower(F.col("_dc")).startswith("delete duplicate"))
-    out = rows.where(keep).select(
+    out = rows.where(has_id).select(
         "file", "row_no", F.col("_eid").alias("equip_id"), F.col("_name").alias("equipment"),
         F.col("_sd").alias("sched_date"), F.col("_cd").alias("completed_date"), F.col("_loc").alias("location"),
         F.col("_dc").alias("description"), status_from_hint(F.col("_hint"), F.col("_cd")).alias("status"),

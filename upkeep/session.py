@@ -8,6 +8,9 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from upkeep import params as P
 
 # Session settings every job relies on. AQE re-plans joins from runtime sizes
 # (sort-merge -> broadcast when a side turns out small), coalesces tiny shuffle
@@ -83,25 +86,39 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def compiled(spark: SparkSession):
-    """HotSpot compiles no method above 8,000 bytes of bytecode, so a stage that parses many
-    columns in one generated method would be interpreted, row by row. Inside this context
-    such a stage is run by its operators, whose expressions are cut into small methods."""
-    key = "spark.sql.codegen.hugeMethodLimit"
+def _set(spark: SparkSession, key: str, value: str):
     before = spark.conf.get(key)
-    spark.conf.set(key, "8000")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def compiled(spark: SparkSession):
+    """HotSpot compiles no method above 8,000 bytes of bytecode, so a stage that parses many
+    columns in one generated method would be interpreted, row by row. Inside this context
+    such a stage is run by its operators, whose expressions are cut into small methods."""
+    return _set(spark, "spark.sql.codegen.hugeMethodLimit", "8000")
+
+
+def unshuffled(spark: SparkSession):
+    """Shuffle files of a write inside this context go when it ends: what is written is read
+    from its files, and the shuffles would else stay on disk until the driver collects garbage."""
+    return _set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def packed(spark: SparkSession):
+    """Tables written inside this context, of as many rows as the input, take a fifth less disk."""
+    return _set(spark, "spark.sql.parquet.compression.codec", "zstd")
+
+
 def materialize(df):
     """Compute a reused intermediate result once: written as Parquet to the shared
     folder and read back, so lineage is cut, later reads are pruned to their columns
     and a lost executor costs nothing but a re-read."""
     path = scratch_path(df.sparkSession, f"materialized-{uuid.uuid4().hex}")
-    with compiled(df.sparkSession):
+    with compiled(df.sparkSession), unshuffled(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -126,3 +143,10 @@ def shared(spark: SparkSession, name: str, sources: list[str], build):
             pass
     _SHARED[key] = df = materialize(build())
     return df
+
+
+def small(df, rows: int = P.BROADCAST_ROWS):
+    """A dimension table, written; a broadcast is hinted while it has at most ``rows`` rows,
+    beyond that the planner decides by its size."""
+    df = materialize(df)
+    return F.broadcast(df) if df.count() <= rows else df

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from upkeep import params as P
 from upkeep.functions import labor_cost, month_key
+from upkeep.session import materialize, packed, small
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -347,43 +348,54 @@ def service_export_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     order-list files named by priority (no month); later orders go to legacy
     'Equipment Details' files per order month, with one equipment header row
     per part followed by its detail rows."""
-    li = read(spark, sf_dir, "lineitem")
-    o = read(spark, sf_dir, "orders")
-    names = equipment_names(spark, sf_dir).select(F.col("equip_id").alias("_pid"), "equip_name")
-    loc = supplier_location(spark, sf_dir)
-    pr = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("_pp"), "p_retailprice")
-    j = li.join(o, li.l_orderkey == o.o_orderkey).join(names, li.l_partkey == names._pid, "left") \
-          .join(loc, li.l_suppkey == loc.s_suppkey, "left").join(pr, li.l_partkey == pr._pp, "left")
-    j = _spread(j)
-    s = lambda c: F.col(c).cast("string")
-    done = (F.col("l_linestatus") == "F") & (F.col("l_shipdate") >= F.col("o_orderdate"))
-    sched_t = F.date_format("o_orderdate", "M/d/yyyy")
-    comp_t = F.when(done, F.date_format("l_shipdate", "M/d/yyyy")).otherwise(F.lit(""))
+    li, o = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
+    parts = equipment_names(spark, sf_dir).select(F.col("equip_id").alias("_pid"), "equip_name", "cost")
+    loc = small(supplier_location(spark, sf_dir))
+    # Line items are dealt once, by the key that orders are joined on, and the joined rows are
+    # written with what the exports show of them: every kind of row below reads this table.
+    # Parts are joined where a row shows their name: to orders of a list and to header rows.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     old = F.year("o_orderdate") <= 1999
+    done = (F.col("l_linestatus") == "F") & (F.col("l_shipdate") >= F.col("o_orderdate"))
+    j = li.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_linestatus", "l_shipdate", "l_extendedprice", "l_quantity") \
+          .repartition(tasks, "l_orderkey").join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(loc, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    j = j.select(
+        old.alias("_old"), "l_partkey", F.coalesce("location", F.lit("")).alias("location"), "o_orderpriority", F.col("o_orderdate").cast("date").alias("_sched"),
+        F.when(done, F.col("l_shipdate").cast("date")).alias("_comp"), F.when(old, F.col("l_linestatus")).alias("_status"),
+        F.when(old, F.col("l_extendedprice") / F.col("l_quantity")).alias("_unit"),
+        F.when(old, 1 + F.monotonically_increasing_id()).alias("_no"),
+        F.when(~old, F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("_line"))
+    with packed(spark):
+        j = materialize(j)
+    s = lambda c: F.col(c).cast("string")
+    sched_t = F.date_format("_sched", "M/d/yyyy")
+    comp_t = F.coalesce(F.date_format("_comp", "M/d/yyyy"), F.lit(""))
     ol_file = F.concat(F.lit("Service Orders "), F.col("o_orderpriority"), F.lit(".csv"))
-    ol = j.where(old).select(ol_file.alias("file"), (F.lit(1) + F.monotonically_increasing_id()).alias("row_no"),
-                             F.array(s("l_partkey"), F.coalesce("equip_name", F.lit("")),
-                                     F.when(F.col("l_linestatus") == "F", F.lit("Completed")).otherwise(F.lit("open")),
-                                     F.coalesce("location", F.lit("")), sched_t, comp_t,
-                                     F.concat(F.col("o_orderpriority"), F.lit(" - (Repair)")),
-                                     F.concat(F.lit("$"), (F.col("l_extendedprice") / F.col("l_quantity")).cast("string")))
-                             .alias("cells"))
-    ol_files = ol.select("file").distinct()
-    ol_hdr = ol_files.select("file", F.lit(0).cast("long").alias("row_no"), F.array(*[F.lit(h) for h in (
+    old_rows, new = j.where("_old"), j.where("not _old")
+    ol = old_rows.select("l_partkey", "location", "o_orderpriority", "_sched", "_comp", "_status", "_unit", "_no") \
+        .join(parts, F.col("l_partkey") == F.col("_pid"), "left") \
+        .select(ol_file.alias("file"), F.col("_no").alias("row_no"),
+                F.array(s("l_partkey"), F.coalesce("equip_name", F.lit("")),
+                        F.when(F.col("_status") == "F", F.lit("Completed")).otherwise(F.lit("open")),
+                        F.col("location"), sched_t, comp_t,
+                        F.concat(F.col("o_orderpriority"), F.lit(" - (Repair)")),
+                        F.concat(F.lit("$"), s("_unit"))).alias("cells"))
+    ol_hdr = old_rows.select(ol_file.alias("file")).distinct().select("file", F.lit(0).cast("long").alias("row_no"), F.array(*[F.lit(h) for h in (
         "EquipmentId1", "EquipmentName1", "Textbox21", "Name", "ScheduledDate", "CompletedDate", "Description",
         "Cost")]).alias("cells"))
-    new = j.where(~old)
-    lg_file = F.concat(F.date_format("o_orderdate", "MMMM yyyy"), F.lit(" Equipment Details.csv"))
+    lg_file = lambda c: F.concat(F.date_format(c, "MMMM yyyy"), F.lit(" Equipment Details.csv"))
     # decimal row numbers: DETAIL_BLOCK numbers for each part, so blocks cannot overlap at any scale
     base = (F.col("l_partkey") + 1).cast("decimal(20,0)") * F.lit(DETAIL_BLOCK)
-    details = new.select(lg_file.alias("file"), (base + F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_no"),
+    details = new.select(lg_file("_sched").alias("file"), (base + F.col("_line")).alias("row_no"),
                          F.array(F.lit(""), F.lit(""), F.lit(""), F.lit(""), sched_t, comp_t,
                                  F.col("o_orderpriority")).alias("cells"))
-    heads = new.select(lg_file.alias("file"), base.alias("row_no"), s("l_partkey").alias("_id"),
-                       F.coalesce("equip_name", F.lit("")).alias("_n"), F.coalesce("location", F.lit("")).alias("_l"),
-                       F.concat(F.lit("$"), F.format_number("p_retailprice", 2)).alias("_c")).distinct() \
-               .select("file", "row_no", F.array("_id", "_n", "_l", "_c", F.lit(""), F.lit(""), F.lit("")).alias("cells"))
-    lg_hdr = details.select("file").distinct().select("file", F.lit(0).cast("long").alias("row_no"), F.array(
+    # a header row for each part and location of a month, found before the part's texts are joined
+    heads = new.select("l_partkey", "location", F.trunc("_sched", "month").alias("_month")).distinct() \
+               .join(parts, F.col("l_partkey") == F.col("_pid"), "left") \
+               .select(lg_file("_month").alias("file"), base.alias("row_no"), F.array(
+                   s("l_partkey"), F.coalesce("equip_name", F.lit("")), F.col("location"),
+                   F.concat(F.lit("$"), F.format_number("cost", 2)), F.lit(""), F.lit(""), F.lit("")).alias("cells"))
+    lg_hdr = new.select(lg_file("_sched").alias("file")).distinct().select("file", F.lit(0).cast("long").alias("row_no"), F.array(
         *[F.lit(h) for h in ("EquipmentId", "Name", "Location", "Cost", "ScheduledDate", "CompletedDate",
                              "Description")]).alias("cells"))
     return ol_hdr.unionByName(ol).unionByName(lg_hdr).unionByName(heads).unionByName(details)
