@@ -4,15 +4,18 @@ A line break inside a quoted cell does not end a record, so where records start
 follows from all quotes before a place. Files are read as physical lines, which
 Spark splits into byte ranges, and every line is reduced to what it does to the
 state "outside a quoted cell" and "inside one" (``line_states``): most lines end
-as they began. A range's lines compose to one such effect, a prefix over the
-ranges of a file gives the state each range starts in, and from that follows
-which lines open a record that later lines close.
+as they began. A range's lines are taken in chunks; a chunk's lines compose to one
+such effect, a prefix over the chunks of a file gives the state each chunk starts
+in, and from that follows which lines open a record that later lines close.
 
 * Files without blank lines and without such records, which is most of them, are
   parsed line by line where they are read; a line's number is its place in its
-  range plus the lines of the ranges before. Nothing is shuffled but counts.
-* In other files the lines of a record are put together again by (file, record),
-  blank lines between records go, and the rows are numbered by ``dense_number``.
+  chunk plus the lines of the chunks before. Nothing is shuffled but counts.
+* The lines of other files are dealt out by chunk, once and without their paths. In
+  a chunk, the lines from one start of a record to the next are put together; blank
+  lines between records go. Only a record that goes on in the next chunk is put
+  together across chunks. A record's number is its place in its chunk plus the
+  records of the chunks before. No task holds more than a bounded share of the bytes.
 
 Each record is parsed by itself into an array of its own length: no width is
 known or assumed. A quote opens a cell only at its start; inside it a doubled
@@ -32,17 +35,21 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from upkeep.operators.windows import dense_number
-from upkeep.session import materialize
+from upkeep.session import materialize, small
 
 CSV_GLOB = "*.[cC][sS][vV]"
 _PACKED = re.compile(r"\.(gz|bz2|zst|xz|deflate|lz4|snappy)$")
 # stands for a separator outside quotes: two noncharacters, which no text holds
 _CUT = "\ufdd0\ufdd1"
+# a chunk is 2 ** 14 consecutive lines of a byte range at most
+CHUNK_BITS = 14
+# most chunks whose rows are sent to every task, and bytes of lines that a task puts together
+CHUNKS_SENT, TASK_BYTES = 200_000, 1 << 23
 
 
 def _fold(pieces: Column, start: Column, step, finish=None) -> Column:
@@ -116,10 +123,11 @@ def filled(cells: Column) -> Column:
 
 
 def _parsed(rows: DataFrame) -> DataFrame:
-    """``file, row_no, cells`` of ``_path, row_no, value``."""
+    """``file, row_no, cells`` of ``file, row_no, value``."""
     cut = rows.withColumn("_pieces", F.split("value", '"')).withColumn("_texts", _cell_texts(F.col("value"), F.col("_pieces")))
     cut = cut.withColumn("_cells", _nulled(F.col("_texts")))
-    return cut.select(_name("_path").alias("file"), F.col("row_no").cast("long").alias("row_no"), filled(F.col("_cells")).alias("cells"))
+    # cells come out of a generator: a condition on them would else be pushed into the parsing and repeat it
+    return cut.select("file", F.col("row_no").cast("long").alias("row_no"), F.inline(F.array(F.struct(filled(F.col("_cells")).alias("cells")))))
 
 
 def _same(path: Column) -> Column:
@@ -140,33 +148,105 @@ class CsvScan:
     rejects: DataFrame
 
 
-def _states_before(effects: DataFrame, by: list[str], order: str) -> DataFrame:
-    """Adds ``_known`` (the state before a row, where an earlier row of ``by`` fixes it)
-    and ``_turns`` (else: how often it turned) to rows with the effects ``a``, ``b``."""
-    w = Window.partitionBy(*by).orderBy(order)
-    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-    turns = F.col("a") > F.col("b")
-    out = effects.withColumn("_turns", F.coalesce(F.sum(turns.cast("int")).over(earlier), F.lit(0)))
-    fixed = F.when(F.col("a") == F.col("b"), F.struct(F.col("a").alias("to"), F.col("_turns").alias("at")))
-    out = out.withColumn("_fixed", F.last(fixed, ignorenulls=True).over(earlier))
-    return out.withColumn("_known", (F.col("_fixed.to") + F.col("_turns") - F.col("_fixed.at")) % 2).drop("_fixed")
-
-
-def _open_records(quoted: DataFrame) -> DataFrame:
-    """``_path, _line, opens`` of the lines that open or close a record of several
-    lines; ``quoted``: ``_path, _block, _line, a, b`` of the lines with quotes."""
-    inside = materialize(_states_before(quoted, ["_path", "_block"], "_line"))
-    # a range's effect is that of its last line, given what came before it in the range
-    after = F.when(F.col("_known") == 0, F.col("a")).when(F.col("_known") == 1, F.col("b"))
-    turned = (F.col("_turns") + (F.col("a") > F.col("b")).cast("int")) % 2
-    fixed = F.coalesce(after, F.when(F.col("a") == F.col("b"), F.col("a")))
-    ranges = (inside.withColumn("_f", F.struct(fixed.alias("to"), turned.alias("t"))).groupBy("_path", "_block").agg(F.max_by("_f", "_line").alias("_f"))
-              .select("_path", "_block", F.coalesce("_f.to", "_f.t").alias("a"), F.coalesce("_f.to", 1 - F.col("_f.t")).alias("b")))
-    starts = _states_before(ranges, ["_path"], "_block").select("_path", "_block", F.coalesce("_known", F.col("_turns") % 2).alias("_start"))
-    now = F.coalesce("_known", (F.col("_start") + F.col("_turns")) % 2)
-    told = inside.join(starts, ["_path", "_block"]).withColumn("_now", now)
-    opens, closes = (F.col("_now") == 0) & (F.col("a") == 1), (F.col("_now") == 1) & (F.col("b") == 0)
-    return told.where(opens | closes).select("_path", "_line", opens.alias("opens"))
+def _effects(lines: DataFrame) -> DataFrame:
+    """Adds the effects ``a``, ``b`` of the lines; one without a quote leaves the state."""
+    cut = lines.withColumn("_pieces", F.split("value", '"'))
+    cut = cut.withColumn("_s", F.when(F.size("_pieces") > 1, line_states(F.col("_pieces"))))
+    return cut.withColumn("a", F.coalesce("_s.a", F.lit(0))).withColumn("b", F.coalesce("_s.b", F.lit(1))).drop("_pieces", "_s")
+
+
+def _state_before(effects: DataFrame, by: str, order: str, start) -> DataFrame:
+    """Adds ``_now``, the state before a row: that which an earlier row of ``by`` fixes, else
+    ``start``, turned as often as the rows since then turn it."""
+    earlier = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = effects.withColumn("_turned", F.coalesce(F.sum((F.col("a") > F.col("b")).cast("int")).over(earlier), F.lit(0)))
+    fixed = F.when(F.col("a") == F.col("b"), F.struct(F.col("a").alias("to"), F.col("_turned").alias("at")))
+    out = out.withColumn("_last", F.last(fixed, ignorenulls=True).over(earlier))
+    now = F.coalesce(F.col("_last.to") + F.col("_turned") - F.col("_last.at"), start + F.col("_turned")) % 2
+    return out.withColumn("_now", now).drop("_last", "_turned")
+
+
+CHUNK_KEYS = ["_path", "_block", "_chunk"]
+
+
+def _placed(lines: DataFrame, chunks: DataFrame, *columns: str) -> DataFrame:
+    """The lines of ``chunks`` with columns of theirs. A chunk's row stands for thousands of lines, so
+    chunks are sent to the lines, unless there are very many."""
+    names = {k: k + "_" for k in CHUNK_KEYS}
+    at = small(chunks.select(*[F.col(k).alias(v) for k, v in names.items()], *columns), CHUNKS_SENT)
+    on = [F.col(k) == F.col(v) for k, v in names.items()]
+    return lines.join(at, on).drop(*names.values())
+
+
+def _chunks(lines: DataFrame, blank: Column, *more: Column) -> DataFrame:
+    """A row a chunk of lines: ``_g`` its number among all, ``_o`` that in its file, what its lines hold, whether
+    its file is ``_uneven`` (has blank lines or records of several lines), ``_shift`` from the ids of its lines to
+    their numbers, ``_start`` and ``_end``, the states before and after it."""
+    turns = F.sum((F.col("a") > F.col("b")).cast("int"))
+    seen = _effects(lines)
+    # of the lines that fix the state the last one, and what to
+    fixed = F.max(F.when(F.col("a") == F.col("b"), F.col("_id") * 2 + F.col("a")))
+    facts = seen.groupBy(*CHUNK_KEYS).agg(
+        F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"), F.count_if(blank).alias("_blank"), F.sum(F.octet_length("value")).alias("_bytes"),
+        F.bool_or(F.col("a") == 1).alias("_opens"), turns.alias("_turns"), fixed.alias("_fixed"), *more)
+    file = Window.partitionBy("_path")
+    facts = materialize(facts.withColumn("_opened", F.max("_opens").over(file)).withColumn("_uneven", F.max(F.col("_opens") | (F.col("_blank") > 0)).over(file)))
+    mixed = facts.where("_opened and _fixed is not null")
+    after = F.lit(0)
+    if mixed.limit(1).count():
+        later = _effects(_placed(lines, mixed, "_fixed").where(F.col("_id") > F.shiftright("_fixed", 1)))
+        facts = facts.join(later.groupBy(*CHUNK_KEYS).agg(turns.alias("_after")), CHUNK_KEYS, "left")
+        after = F.coalesce("_after", F.lit(0))
+    to = F.when(F.col("_fixed").isNotNull(), (F.col("_fixed") % 2 + after) % 2)
+    order = file.orderBy("_block", "_chunk")
+    out = facts.withColumn("a", F.coalesce(to, F.col("_turns") % 2)).withColumn("b", F.coalesce(to, 1 - F.col("_turns") % 2)).withColumn("_o", F.row_number().over(order))
+    before = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = _state_before(out.withColumn("_shift", before - F.col("_first")), "_path", "_o", F.lit(0)).withColumnRenamed("_now", "_start")
+    out = out.withColumn("_end", F.when(F.col("_start") == 0, F.col("a")).otherwise(F.col("b"))).withColumn("file", _name("_path"))
+    return materialize(out.drop("a", "b", "_opens", "_opened", "_turns", "_fixed", "_after", "_first").withColumn("_g", F.monotonically_increasing_id()))
+
+
+def _told(lines: DataFrame, chunks: DataFrame, tasks: int, *columns: str) -> DataFrame:
+    """The lines of ``chunks`` dealt out by chunk, with the state ``_now`` before each."""
+    dealt = _placed(lines, chunks, "_g", "_start", *[c for c in columns if c not in lines.columns]).select("_g", "_id", "_start", *columns, "value").repartition(tasks, "_g")
+    return _state_before(_effects(dealt), "_g", "_id", F.col("_start"))
+
+
+def _records(lines: DataFrame, chunks: DataFrame, blank: Column, tasks: int) -> DataFrame:
+    """``file, row_no, value`` of the records in ``chunks``, those of uneven files."""
+    # a quoted cell that no line closes: the lines from the one that opens it on are records of their own
+    files = chunks.groupBy(F.col("_path").alias("_p")).agg(F.max_by("_end", "_o").alias("_e")).where("_e = 1")
+    unclosed = materialize(chunks.join(files, F.col("_path") == F.col("_p"), "left_semi"))
+    if unclosed.limit(1).count():
+        opening = _told(lines, unclosed, tasks, "_path", "_o").where("_now = 0").groupBy(F.col("_path").alias("_p")).agg(F.max(F.struct("_o", "_id")).alias("_at"))
+        chunks = materialize(chunks.join(opening, F.col("_path") == F.col("_p"), "left").withColumn(
+            "_apart", F.when(F.col("_o") == F.col("_at._o"), F.col("_at._id")).when(F.col("_o") > F.col("_at._o"), F.lit(-1).cast("long"))).drop("_p", "_at"))
+    else:
+        chunks = chunks.withColumn("_apart", F.lit(None).cast("long"))
+    told = _told(lines, chunks, tasks, "_apart")
+    outside = (F.col("_now") == 0) | F.coalesce(F.col("_id") >= F.col("_apart"), F.lit(False))
+    # lines of a record have the same rank in their chunk; rank 0 goes on from the chunk before
+    rank = F.sum((F.col("_out") & ~F.col("_blank")).cast("long")).over(Window.partitionBy("_g").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = told.withColumn("_out", outside).withColumn("_blank", blank).withColumn("_rank", rank).where("not (_out and _blank)")
+    ranked = ranked.groupBy("_g", "_rank").agg(F.sort_array(F.collect_list(F.struct("_id", "value"))).alias("_ls"))
+    pieces = materialize(ranked.select("_g", "_rank", _text("_ls").alias("value")))
+    counts = pieces.groupBy(F.col("_g").alias("_c")).agg(F.max("_rank").alias("_held"))
+    before = Window.partitionBy("_path").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
+    held = chunks.join(counts, F.col("_g") == F.col("_c"), "left").withColumn("_held", F.coalesce("_held", F.lit(0)))
+    held = held.select(F.col("_g").alias("_c"), "_path", "file", "_o", "_held", F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_before"),
+                       ((F.col("_end") == 1) & F.col("_apart").isNull()).alias("_on"))
+    pieces = pieces.join(small(held, CHUNKS_SENT), F.col("_g") == F.col("_c")).withColumn("row_no", F.col("_before") + F.col("_rank") - 1)
+    crosses = (F.col("_rank") == 0) | (F.col("_on") & (F.col("_rank") == F.col("_held")))
+    whole = pieces.where(~crosses).select("file", "row_no", "value")
+    run = F.sum((F.col("_rank") > 0).cast("long")).over(Window.partitionBy("_path").orderBy("_o", "_rank").rowsBetween(Window.unboundedPreceding, 0))
+    runs = pieces.where(crosses).withColumn("_run", run).groupBy("_path", "_run").agg(
+        F.first("file").alias("file"), F.max(F.when(F.col("_rank") > 0, F.col("row_no"))).alias("row_no"),
+        F.sort_array(F.collect_list(F.struct("_o", "_rank", "value"))).alias("_ls"))
+    return whole.unionByName(runs.select("file", "row_no", _text("_ls").alias("value")))
+
+
+def _text(pieces: str) -> Column:
+    return F.concat_ws("\n", F.transform(pieces, lambda x: x["value"]))
 
 
 def scan_csv(spark: SparkSession, path: str | list[str], glob: str = CSV_GLOB, skip_bad: bool = False) -> CsvScan:
@@ -182,56 +262,35 @@ def scan_csv(spark: SparkSession, path: str | list[str], glob: str = CSV_GLOB, s
 
     names = source("text").inputFiles() if skip_bad else []  # a listing that the driver holds anyway
     packed = any(_PACKED.search(n) for n in names)
-    at = _same(F.col("_metadata.file_path")).alias("_path")
-    lines = source("text").select(at, F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value")
+    lines = source("text").select(_same(F.col("_metadata.file_path")).alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+                                  F.monotonically_increasing_id().alias("_id"), "value").withColumn("_chunk", F.shiftright("_id", CHUNK_BITS))
     blank = F.trim(F.col("value")) == ""
-    cut = lines.withColumn("_pieces", F.split("value", '"'))
-    # pass 1: one row a byte range
-    opens = F.when(F.size("_pieces") > 1, line_states(F.col("_pieces"))["a"] == 1).otherwise(F.lit(False))
-    facts = [F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"), F.bool_or(opens).alias("_opens"), F.count_if(blank).alias("_blank")]
+    odd = F.bool_or(F.col("value").contains("\x00") | ~F.is_valid_utf8("value")) if skip_bad else F.lit(False)
+    chunks = _chunks(lines, blank, odd.alias("_odd"))
+    rejects = spark.createDataFrame([], "file string, reason string")
     if skip_bad:
-        facts += [F.sum(F.octet_length("value")).alias("_bytes"), F.bool_or(F.col("value").contains("\x00") | ~F.is_valid_utf8("value")).alias("_odd")]
-    blocks = cut.groupBy("_path", "_block").agg(*facts)
-    file = Window.partitionBy("_path")
-    before = file.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = materialize(blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-                         .withColumn("_uneven", F.max(F.col("_opens") | (F.col("_blank") > 0)).over(file)))
-    place = blocks.select(F.col("_path").alias("_p"), F.col("_block").alias("_b"), "_uneven", (F.col("_before") - F.col("_first")).alias("_shift"))
-    placed = (lines.join(place, (F.col("_path") == F.col("_p")) & (F.col("_block") == F.col("_b")), "left")
-              .select("_path", "_block", (F.col("_id") + F.col("_shift")).alias("_line"), "value", "_uneven"))
-    rows = placed.where("not _uneven").select("_path", F.col("_line").alias("row_no"), "value")
-    unclosed = None
-    if blocks.where("_uneven").limit(1).count():
-        uneven = placed.where("_uneven")
-        quoted = uneven.withColumn("_pieces", F.split("value", '"')).where(F.size("_pieces") > 1).withColumn("_s", line_states(F.col("_pieces")))
-        events = _open_records(materialize(quoted.select("_path", "_block", "_line", "_s.a", "_s.b")))
-        pairs = (dense_number(events, "_path", "_line", "_k", start=0).groupBy("_path", F.floor(F.col("_k") / 2).alias("_pair"))
-                 .agg(F.min("_line").alias("_from"), F.max("_line").alias("_to"), F.count(F.lit(1)).alias("_ends")))
-        pairs = materialize(pairs)
-        unclosed = pairs.where("_ends = 1").select("_path")
-        members = pairs.where("_ends = 2").select(F.col("_path").alias("_p"), "_from", F.explode(F.sequence("_from", "_to")).alias("_l"))
-        fixed = materialize(uneven.join(members, (F.col("_path") == F.col("_p")) & (F.col("_line") == F.col("_l")), "left")
-                            .where(F.col("_from").isNotNull() | ~blank).select("_path", "_line", "_from", "value"))
-        whole = (fixed.where("_from is not null").groupBy("_path", "_from").agg(F.sort_array(F.collect_list(F.struct("_line", "value"))).alias("_ls"))
-                 .select("_path", F.col("_from").alias("_line"), F.concat_ws("\n", F.transform("_ls", lambda x: x["value"])).alias("value")))
-        records = fixed.where("_from is null").select("_path", "_line", "value").unionByName(whole)
-        rows = rows.unionByName(dense_number(records, "_path", "_line", "row_no", start=0).select("_path", "row_no", "value"))
-    none = spark.createDataFrame([], "file string, reason string")
-    if not skip_bad:
-        return CsvScan(_parsed(rows), none)
-    read = blocks.groupBy(F.col("_path").alias("_p")).agg(F.sum("_bytes").alias("_bytes"), F.sum("_n").alias("_n"), F.sum("_blank").alias("_blank"), F.max("_odd").alias("_odd"))
+        rejects = _rejects(spark, chunks, names, source("binaryFile"))
+        chunks = materialize(chunks.join(rejects, F.col("_path") == F.col("_r"), "left_anti"))
+        rejects = rejects.select(_name("_r").alias("file"), "reason")
+    even, size = chunks.agg(F.count_if(~F.col("_uneven")), F.sum(F.when(F.col("_uneven"), F.col("_bytes")))).first()
+    parts = []
+    if even or size is None:
+        parts.append(_placed(lines, chunks.where("not _uneven"), "file", "_shift").select("file", (F.col("_id") + F.col("_shift")).alias("row_no"), "value"))
+    if size is not None:
+        parts.append(_records(lines, chunks.where("_uneven"), blank, size // TASK_BYTES + 1))
+    return CsvScan(_parsed(reduce(DataFrame.unionByName, parts)), rejects)
+
+
+def _rejects(spark: SparkSession, chunks: DataFrame, names: list[str], listed: DataFrame) -> DataFrame:
+    """(``_r``, ``reason``) of the files that can't be used."""
+    read = chunks.groupBy(F.col("_path").alias("_p")).agg(F.sum("_bytes").alias("_bytes"), F.sum("_n").alias("_n"), F.sum("_blank").alias("_blank"), F.max("_odd").alias("_odd"),
+                                                          F.max_by("_end", "_o").alias("_open"))
     # scans leave out files without a byte, so the names come from the listing
     files = spark.createDataFrame([(f,) for f in names], "_path string").select(_same(F.col("_path")).alias("_path"))
-    sizes = source("binaryFile").select(_same(F.col("_metadata.file_path")).alias("_s"), "length")
+    sizes = listed.select(_same(F.col("_metadata.file_path")).alias("_s"), "length")
     judged = files.join(sizes, F.col("_path") == F.col("_s"), "left").join(read, F.col("_path") == F.col("_p"), "left")
-    if unclosed is not None:
-        judged = judged.join(unclosed.select(F.col("_path").alias("_u")), F.col("_path") == F.col("_u"), "left")
-    else:
-        judged = judged.withColumn("_u", F.lit(None).cast("string"))
     # line ends are one or two bytes; a mark of the byte order is three
     short = (F.col("length") > 0) & F.col("_p").isNull() | ~F.col("_path").rlike(_PACKED.pattern) & (F.col("_bytes") + 2 * F.col("_n") + 3 < F.col("length"))
     reason = (F.when(F.col("length").isNull(), "empty").when(short, "unreadable").when(F.col("_p").isNull() | (F.col("_n") == F.col("_blank")), "empty").when(F.col("_odd"), "not text")
-              .when(F.col("_u").isNotNull(), "open quote"))
-    bad = materialize(judged.select(F.col("_path").alias("_r"), reason.alias("reason")).where("reason is not null"))
-    good = rows.join(bad.select("_r"), F.col("_path") == F.col("_r"), "left_anti")
-    return CsvScan(_parsed(good), bad.select(_name("_r").alias("file"), "reason"))
+              .when(F.col("_open") == 1, "open quote"))
+    return materialize(judged.select(F.col("_path").alias("_r"), reason.alias("reason")).where("reason is not null"))
