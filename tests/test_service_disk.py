@@ -11,7 +11,7 @@ from upkeep.operators import windows
 from upkeep.operators.windows import forward_fill
 from upkeep.plans import jobs
 from upkeep.session import materialize, small
-from upkeep.sources import bench
+from upkeep.sources import bench, raw_grid
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,22 +34,27 @@ def test_line_items_are_joined_once(spark):
 
 
 def test_grid_is_not_staged(spark, monkeypatch):
-    seen = _counted(monkeypatch, jobs)
+    seen, staged = _counted(monkeypatch, jobs), _counted(monkeypatch, raw_grid)
     jobs.clean_service_grid(bench.service_export_grid(spark, SF), detail_bucket_rows=bench.DETAIL_BLOCK)
     # headers of the files, and the parsed rows
-    assert [("cells" in df.columns, "_eid" in df.columns) for df in seen] == [(False, False), (False, True)]
-
-
-def test_shuffles_of_a_write_go(spark):
-    blocks = lambda: {b.toString() for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
-        spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()) if "shuffle" in b.toString()}
-    before = blocks()
-    out = materialize(spark.range(200_000).repartition(7, "id").groupBy((F.col("id") % 5000).alias("k")).agg(F.sum("id").alias("s")))
+    assert [("cells" in df.columns, "_eid" in df.columns) for df in seen] == [(False, False), (False, True)] and not staged
+
+
+def test_shuffles_of_a_write_go(spark, tmp_path):
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {x for x in (files.apply(i).getName() for i in range(files.size())) if x.startswith("shuffle")}
+    df = spark.range(200_000).repartition(7, "id").groupBy((F.col("id") % 5000).alias("k")).agg(F.sum("id").alias("s"))
+    before = shuffles()
+    df.write.parquet(str(tmp_path / "plain"))
+    plain = shuffles()
+    assert plain - before
+    out = materialize(df)
     for _ in range(40):  # they are removed in the background
-        if not blocks() - before:
+        if not shuffles() - plain:
             break
         time.sleep(0.25)
-    assert not blocks() - before and out.count() == 5000
+    assert not shuffles() - plain and out.count() == 5000
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
 
 
